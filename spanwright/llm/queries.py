@@ -6,15 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import table
+from spanwright.llm.language_id import fit, held_out, identify
 from spanwright.llm.line_dedup import drop_repeated_lines
+from spanwright.llm.mixing import mix
+from spanwright.llm.simhash import near_duplicates
 from spanwright.llm.url_filter import judge_urls
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
+    named = identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))

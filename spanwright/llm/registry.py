@@ -5,7 +5,10 @@ from __future__ import annotations
 from spanwright.llm import oracles, queries
 
 QUERIES = {
+    "op5_simhash": queries.op5_simhash,
     "op6_url_filter": queries.op6_url_filter,
+    "op7_language_id": queries.op7_language_id,
+    "op8_mixing": queries.op8_mixing,
     "op9_line_dedup": queries.op9_line_dedup,
 }
 
