@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import table
+from spanwright.llm.decontaminate import find_leaks
 from spanwright.llm.language_id import fit, held_out, identify
 from spanwright.llm.line_dedup import drop_repeated_lines
 from spanwright.llm.mixing import mix
@@ -13,6 +14,11 @@ from spanwright.llm.simhash import near_duplicates
 from spanwright.llm.url_filter import judge_urls
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance", "leak.similarity", "leak.word")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

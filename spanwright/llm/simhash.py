@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwright.llm.common import stored, without
+from spanwright.llm.common import stored
 from spanwright.llm.components import components
 
 #: Buckets with more different fingerprints than this are linked through shared points.
@@ -92,6 +92,13 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.unionByName(through).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
+def _classes(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first_id, root): one row for each fingerprint of ``fps`` (id, fp)."""
+    classes = fps.groupBy("fp").agg(F.min("id").alias("first_id"))
+    roots = components(links(classes.select("fp"), max_bits))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, max_bits: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``docs``.
 
@@ -100,11 +107,31 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 2, width: int = 3, id_co
     link like any other. Rows without an id keep their place in a component but never name it
     (null if no row of the component has an id). Repeated rows each get a row.
     """
-    docs = without(docs, ["fingerprint", "component_id"])
     fps = stored(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("first_id"))
-    roots = components(links(classes.select("fp"), max_bits))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _classes(fps, max_bits)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, max_bits: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of smallest id.
+
+    A row with an id goes before rows without; of rows that share id and fingerprint the
+    smallest text stays. The texts are shuffled once, for the final choice.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [simhash64(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["row", "fp"])
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([packed.schema["row"], T.StructField("fp", T.LongType())])
+    rows = stored(packed.mapInArrow(run, schema), "fingerprinted")
+    rooted = _classes(rows.select(F.col(f"row.{id_col}").alias("id"), "fp"), max_bits)
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k")).select("k.fp", "k.first_id")
+    chosen = rows.join(kept, "fp").filter(F.col(f"row.{id_col}").eqNullSafe(F.col("first_id")))
+    first = Window.partitionBy("fp").orderBy(F.col(f"row.{text_col}"))
+    return chosen.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
