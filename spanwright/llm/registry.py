@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanwright.llm import oracles, queries
 
 QUERIES = {
+    "pipeline": queries.pipeline,
     "op4_decontaminate": queries.op4_decontaminate,
     "op5_simhash": queries.op5_simhash,
     "op6_url_filter": queries.op6_url_filter,
