@@ -2,6 +2,51 @@
 
 from __future__ import annotations
 
+from spanwright.llm.licenses import TEMPLATES
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}', '{}')".format(t.license_id, t.name, t.text.replace("'", "''")) for t in TEMPLATES)
+
+OP2 = rf"""
+WITH t AS (
+  SELECT license_id, template, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  FROM (SELECT license_id, template, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(license_id, template, body))
+), lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS unit FROM documents
+), units AS (
+  SELECT doc_id, unit, body FROM lines UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))
+), u AS (
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  FROM (SELECT doc_id, unit, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM units)
+), scored AS (
+  SELECT doc_id, unit, license_id, template, len(t.grams) AS n, 2.0::DOUBLE * len(list_intersect(u.grams, t.grams)) / (len(u.grams) + len(t.grams)) AS dice
+  FROM u JOIN t ON len(u.grams) BETWEEN len(t.grams) * 0.6 AND len(t.grams) * 1.7 AND len(u.grams) > 0
+)
+SELECT doc_id, unit, license_id, template, dice
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, n DESC, license_id, template) AS nth FROM scored WHERE dice >= 0.8)
+WHERE nth = 1
+"""
+
+OP3 = r"""
+WITH bytes AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+), first AS (
+  SELECT hex, min(page_id) AS first_id FROM bytes GROUP BY hex
+), bits AS (
+  -- base32: five bytes at a time are eight letters of five bits
+  SELECT hex, string_agg(letters, '' ORDER BY i) AS digest
+  FROM (
+    SELECT hex, i, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> (35 - 5 * j)) & 31 AS INTEGER), 1), '' ORDER BY j) AS letters
+    FROM (SELECT hex, i, CAST('0x' || substr(hex, 1 + 10 * i, 10) AS BIGINT) AS v FROM first, range(4) AS a(i)), range(8) AS b(j)
+    GROUP BY hex, i
+  )
+  GROUP BY hex
+)
+SELECT b.page_id, octet_length(b.payload) AS payload_bytes, bits.digest AS payload_digest,
+       CASE WHEN b.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN b.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
+FROM bytes b JOIN first f USING (hex) JOIN bits USING (hex)
+"""
+
 OP6 = r"""
 WITH parts AS (
   SELECT page_id,

@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import table
+from spanwright.llm.common import shared_path, table
 from spanwright.llm.decontaminate import find_leaks
 from spanwright.llm.language_id import fit, held_out, identify
+from spanwright.llm.licenses import scan_licenses
 from spanwright.llm.line_dedup import drop_repeated_lines
 from spanwright.llm.mixing import mix
 from spanwright.llm.simhash import near_duplicates
 from spanwright.llm.url_filter import judge_urls
+from spanwright.llm.warc import read_warc, write_pages
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = read_warc(spark, path, verify=True)
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast("long")
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

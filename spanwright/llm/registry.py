@@ -6,6 +6,8 @@ from spanwright.llm import oracles, queries
 
 QUERIES = {
     "pipeline": queries.pipeline,
+    "op2_license_scan": queries.op2_license_scan,
+    "op3_warc": queries.op3_warc,
     "op4_decontaminate": queries.op4_decontaminate,
     "op5_simhash": queries.op5_simhash,
     "op6_url_filter": queries.op6_url_filter,
@@ -15,6 +17,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": oracles.OP2,
+    "op3_warc": oracles.OP3,
     "op6_url_filter": oracles.OP6,
     "op9_line_dedup": oracles.OP9,
 }
