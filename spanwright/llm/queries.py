@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.llm.ann import nearest
 from spanwright.llm.common import shared_path, table
 from spanwright.llm.decontaminate import find_leaks
 from spanwright.llm.language_id import fit, held_out, identify
@@ -16,6 +17,10 @@ from spanwright.llm.url_filter import judge_urls
 from spanwright.llm.warc import read_warc, write_pages
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

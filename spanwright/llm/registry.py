@@ -6,6 +6,7 @@ from spanwright.llm import oracles, queries
 
 QUERIES = {
     "pipeline": queries.pipeline,
+    "op1_ann": queries.op1_ann,
     "op2_license_scan": queries.op2_license_scan,
     "op3_warc": queries.op3_warc,
     "op4_decontaminate": queries.op4_decontaminate,
