@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from spanwright.plans import retrieval
+
 FLAGSHIP = "i8_metrics_by_label"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (retrieval,)
+QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
