@@ -13,6 +13,7 @@ from spanwright.llm.licenses import scan_licenses
 from spanwright.llm.line_dedup import drop_repeated_lines
 from spanwright.llm.mixing import mix
 from spanwright.llm.simhash import near_duplicates
+from spanwright.llm.suffix_dedup import drop_repeats
 from spanwright.llm.url_filter import judge_urls
 from spanwright.llm.warc import read_warc, write_pages
 
@@ -70,6 +71,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

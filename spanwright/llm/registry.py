@@ -15,6 +15,7 @@ QUERIES = {
     "op7_language_id": queries.op7_language_id,
     "op8_mixing": queries.op8_mixing,
     "op9_line_dedup": queries.op9_line_dedup,
+    "op10_suffix_dedup": queries.op10_suffix_dedup,
 }
 
 ORACLES = {
