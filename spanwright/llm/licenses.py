@@ -79,9 +79,15 @@ def size_range(n: int, least: float) -> tuple[int, int]:
     return max(1, int(n * least / (2 - least))), int(n * (2 - least) / least) + 1
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: SQL repeats an expression wherever its column is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _unit_bigrams(text: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(_bound(words, pairs))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, *, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,8 +116,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("unit"), x.alias("body")))
     units = F.when(F.contains(text, F.lit("\n")), F.concat(F.array(F.struct(F.lit(0).alias("unit"), text.alias("body"))), lines)).otherwise(lines)
     # a set of ``low`` bigrams takes ``2 * low + 1`` characters at least
-    rows = docs.select(F.col(id_col).alias("id"), F.inline(F.filter(units, lambda u: F.length(u["body"]) > 2 * low)))
-    rows = rows.select("id", "unit", _unit_bigrams(F.col("body")).alias("grams")).filter(F.size("grams").between(low, high))
+    long = F.filter(units, lambda u: F.length(u["body"]) > 2 * low)
+    sets_of = F.transform(long, lambda u: F.struct(u["unit"].alias("unit"), _unit_bigrams(u["body"]).alias("grams")))
+    rows = docs.select(F.col(id_col).alias("id"), F.inline(F.filter(sets_of, lambda u: F.size(u["grams"]).between(low, high))))
     near = F.filter(listed, lambda t: F.size("grams").between(t["low"], t["high"]))
     scored = F.transform(
         near,
