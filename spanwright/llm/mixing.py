@@ -23,7 +23,7 @@ from spanwright.llm.common import WORD_CLASS, stored, without
 
 #: Rows of a group in which pairs are formed, and rows that a group leaves open.
 GROUP_ROWS = 512
-OPEN_ROWS = 8
+OPEN_ROWS = 32
 #: Groups that meet in one node of the tree, and in its root.
 FAN_IN = 64
 ROOT_GROUPS = 4
