@@ -110,3 +110,52 @@ def mixed_model(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     fit = fit.withColumn("loglik", -(F.col("n") * (F.log(2 * np.pi * F.col("sigma2")) + 1) + F.col("logdet")) / 2).withColumn("slope_se", F.sqrt(F.col("sigma2") * F.col("a11") / det))
     best = fit.agg(F.max(F.struct("loglik", "t", "intercept", "slope", "slope_se", "sigma2", "n", "groups")).alias("m")).select("m.*")
     return best.select("n", "groups", "intercept", "slope", "slope_se", "sigma2", (F.col("t") * F.col("sigma2")).alias("tau2"), "loglik")
+
+
+def paired_report(df: DataFrame, keys: list[str], d: str) -> DataFrame:
+    """n, mean, median, sd, t and dz of differences, for groups of five or more that are not all zero."""
+    out = df.filter(F.col(d).isNotNull()).groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("median"), F.stddev_samp(d).alias("sd"), F.count_if(F.col(d) != 0).alias("_other"))
+    out = out.filter((F.col("n") >= 5) & (F.col("_other") > 0)).drop("_other")
+    return out.withColumns({"t": F.col("mean") / (F.nullif("sd", F.lit(0.0)) / F.sqrt("n")), "dz": F.col("mean") / F.nullif("sd", F.lit(0.0))})
+
+
+def deal(df: DataFrame, strata: list[str], raters: list[str], order: Column, key: str, start: Column) -> DataFrame:
+    """Items of each stratum in a seeded order, dealt to raters in turn from an offset of the stratum."""
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, key)) - 1
+    return df.withColumn("rater", F.element_at(F.array(*map(F.lit, raters)), (F.pmod(place + start, F.lit(len(raters))) + 1).cast("int")))
+
+
+def workload(df: DataFrame, rater: str, raters: list[str], heavy: Column) -> DataFrame:
+    """Items and heavy items a rater; ``both`` counts for each."""
+    who = F.when(F.col(rater) == "both", F.array(*map(F.lit, raters))).otherwise(F.array(rater))
+    return df.withColumn("_heavy", heavy).select(F.explode(who).alias("rater"), "_heavy").groupBy("rater").agg(F.count(F.lit(1)).alias("items"), F.count_if("_heavy").alias("heavy"))
+
+
+def jitter(df: DataFrame, value: str, key: str, step: float) -> DataFrame:
+    """``df`` plus ``offset``: equal values are spread evenly around zero."""
+    w = Window.partitionBy(value)
+    return df.withColumn("offset", (F.row_number().over(w.orderBy(key)) - 1 - (F.count(F.lit(1)).over(w) - 1) / 2.0) * step)
+
+
+def cell_answers(cells: DataFrame, headers: list[str]) -> DataFrame:
+    """(sheet, header, answer): for each header text the cell to the right of its first place.
+
+    ``cells`` holds sheet, row, col, value; sheets without a header have no row for it.
+    """
+    first = Window.partitionBy("sheet", "value").orderBy("row", "col")
+    heads = cells.filter(F.col("value").isin(*headers)).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("sheet", "row", (F.col("col") + 1).alias("col"), F.col("value").alias("header"))
+    return heads.join(cells.select("sheet", "row", "col", F.col("value").alias("answer")), ["sheet", "row", "col"], "left").select("sheet", "header", "answer")
+
+
+def worksheet(lines: DataFrame, key: str, head: str, field: str) -> DataFrame:
+    """(key, entry, field, value): a line matching ``head`` opens an entry, one matching ``field``
+    (name, value) a field, other non-blank lines continue the field, a blank line ends it."""
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    is_head, is_field = F.col("text").rlike(head), F.col("text").rlike(field)
+    e = lines.withColumn("entry", F.sum(is_head.cast("int")).over(w)).filter("entry > 0").withColumn("_h", is_head).withColumn("_f", is_field & ~is_head)
+    e = e.withColumn("_span", F.sum((F.col("_f") | F.col("_h") | (F.trim("text") == "")).cast("int")).over(w))
+    part = Window.partitionBy(key, "_span").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("field", F.first(F.when(F.col("_f"), F.regexp_extract("text", field, 1)), ignorenulls=True).over(part)).filter("field is not null")
+    value = F.when(F.col("_f"), F.regexp_extract("text", field, 2)).otherwise(F.trim("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", value.alias("v")))), lambda x: x["v"]), " ")
+    return e.groupBy(key, "entry", "field").agg(joined.alias("value"))

@@ -261,6 +261,91 @@ def j3_zero_filled(spark, sf):
     return dims.join(rich, "n_nationkey", "left").select("r_name", F.col("k").isNull().alias("no_match"), "n_name", F.coalesce("k", F.lit(0)).alias("concept_n"))
 
 
+@query(f"""WITH {_PAIR}, g AS (SELECT "case" % 10 AS g, d FROM p) SELECT g, count(*) AS n, round(avg(d), 4) AS mean, round(quantile_cont(d, 0.5), 4) AS median, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, round(avg(d) / stddev_samp(d), 6) AS dz FROM g GROUP BY g HAVING count(*) >= 5""")
+def k7_paired_report(spark, sf):
+    r = study.paired_report(_pairs(spark, sf).withColumn("g", F.col("case") % 10), ["g"], "d")
+    return r.select("g", "n", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("t", 6).alias("t"), F.round("dz", 6).alias("dz"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, quality, toxic, (row_number() OVER (PARTITION BY quality, toxic ORDER BY {_DRAW.format(seed='deal', key='doc_id')}, doc_id) - 1 + toxic) % 2 AS k FROM labels), r AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'both' WHEN k = 0 THEN 'r1' ELSE 'r2' END AS rater, quality FROM d),
+x AS (SELECT unnest(CASE WHEN rater = 'both' THEN ['r1', 'r2'] ELSE [rater] END) AS rater, quality FROM r) SELECT rater, count(*) AS items, count(*) FILTER (WHERE quality = 1) AS heavy FROM x GROUP BY rater""")
+def l3_deal_workload(spark, sf):
+    d = study.deal(_t(spark, sf, "labels"), ["quality", "toxic"], ["r1", "r2"], tx.draw_order("deal", F.col("doc_id")), "doc_id", F.col("toxic"))
+    return study.workload(d.withColumn("rater", F.when(F.col("doc_id") % 9 == 0, "both").otherwise(F.col("rater"))), "rater", ["r1", "r2"], F.col("quality") == 1)
+
+
+@query("SELECT p_partkey, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 - (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE) * 0.1::DOUBLE AS \"offset\" FROM part")
+def t9_spread(spark, sf):
+    return study.jitter(_t(spark, sf, "part"), "p_size", "p_partkey", 0.1).select("p_partkey", "offset")
+
+
+_CELLS = """cells AS (SELECT conv_id AS sheet, turn AS "row", 1 AS "col", role AS value FROM conversations UNION ALL SELECT conv_id, turn, 2, text FROM conversations)"""
+
+
+@query(f"""WITH {_CELLS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet, value ORDER BY "row", "col") AS nth FROM cells WHERE value IN ('user', 'assistant')) WHERE nth = 1) SELECT h.sheet, h.value AS header, c.value AS answer FROM h LEFT JOIN cells c ON c.sheet = h.sheet AND c."row" = h."row" AND c."col" = h."col" + 1""")
+def a14_cell_answers(spark, sf):
+    c = _t(spark, sf, "conversations")
+    cells = c.select(F.col("conv_id").alias("sheet"), F.col("turn").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("role").alias("value")), F.struct(F.lit(2).alias("col"), F.col("text").alias("value")))).alias("c")).select("sheet", "row", "c.col", "c.value")
+    return study.cell_answers(cells, ["user", "assistant"])
+
+
+@query()
+def a17_worksheet(spark, sf):
+    c = _t(spark, sf, "conversations")
+    lines = c.select("conv_id", F.explode(F.array(F.struct((F.col("turn") * 2).alias("line_no"), F.when(F.col("turn") % 2 == 0, "## entry").otherwise("").alias("text")), F.struct((F.col("turn") * 2 + 1).alias("line_no"), F.concat("role", F.lit(": "), F.regexp_replace("text", "\n", " ")).alias("text")))).alias("l")).select("conv_id", "l.line_no", "l.text")
+    return study.worksheet(lines, "conv_id", "^## ", r"^(\w+): (.*)$")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS response_id, avg(l_quantity) AS score FROM lineitem GROUP BY l_orderkey), k AS (SELECT o_orderkey AS response_id, o_custkey AS question_id, o_orderstatus AS condition FROM orders)
+SELECT condition, c_mktsegment AS stratum, count(*) AS n, count(score) AS n_scored, round(avg(score), 6) AS mean FROM k LEFT JOIN s USING (response_id) LEFT JOIN customer ON c_custkey = question_id GROUP BY ALL""")
+def h6_blind_key_join(spark, sf):
+    """Scores joined to the blind key, then to the case's data; cases without a score stay."""
+    s = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("response_id")).agg(F.avg("l_quantity").alias("score"))
+    k = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("response_id"), F.col("o_custkey").alias("question_id"), F.col("o_orderstatus").alias("condition"))
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.col("c_mktsegment").alias("stratum"))
+    return k.join(s, "response_id", "left").join(c, "question_id", "left").groupBy("condition", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@query("""SELECT d.doc_id, l.quality IS NULL AS pending FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL""")
+def h17_resume(spark, sf):
+    """What is still to do: the rows whose id is not done yet."""
+    return _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").withColumn("pending", F.lit(True))
+
+
+@query("""SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 3""")
+def m1_top_per_group(spark, sf):
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return _t(spark, sf, "part").withColumn("k", F.row_number().over(w)).filter("k <= 3").select("p_brand", "p_partkey", "p_retailprice")
+
+
+@query("""SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1""")
+def m5_duplicate_ids(spark, sf):
+    return _t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("""(SELECT c_custkey AS key FROM customer WHERE c_acctbal > 5000) INTERSECT (SELECT o_custkey FROM orders) """)
+def m8_intersect(spark, sf):
+    return _t(spark, sf, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("key")).intersect(_t(spark, sf, "orders").select(F.col("o_custkey").alias("key")))
+
+
+@query("""(SELECT c_custkey AS key FROM customer) EXCEPT (SELECT o_custkey FROM orders)""")
+def m9_except(spark, sf):
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("key")).exceptAll(_t(spark, sf, "orders").select(F.col("o_custkey").alias("key"))).distinct()
+
+
+@query("""SELECT c_custkey AS key FROM customer WHERE c_acctbal > 9000 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000""")
+def m7_union(spark, sf):
+    rich = _t(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("key"))
+    return rich.union(_t(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("key"))).distinct()
+
+
+@query("""SELECT n_chunks, spec, config_strategy, size, overlap FROM (SELECT 'fixed-' || (64 * (1 + doc_id % 3)) || CASE WHEN doc_id % 2 = 0 THEN '-16' ELSE '' END AS spec, count(*) AS n_chunks FROM documents GROUP BY 1), LATERAL (SELECT split_part(spec, '-', 1) AS config_strategy, split_part(spec, '-', 2)::INT AS size, coalesce(nullif(split_part(spec, '-', 3), ''), '0')::INT AS overlap)""")
+def t19_parse_config(spark, sf):
+    spec = F.concat(F.lit("fixed-"), 64 * (1 + F.col("doc_id") % 3), F.when(F.col("doc_id") % 2 == 0, "-16").otherwise(""))
+    parts = F.split("spec", "-")
+    return _t(spark, sf, "documents").groupBy(spec.alias("spec")).agg(F.count(F.lit(1)).alias("n_chunks")).select("n_chunks", "spec", parts[0].alias("config_strategy"), parts[1].cast("int").alias("size"), F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0)).alias("overlap"))
+
+
 @query()
 def stream_screen(spark, sf):
     """The keyword screen over conversations as a stream, run to the end of the input."""
