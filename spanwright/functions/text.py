@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Address and phone patterns, and what they are replaced by.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -128,3 +129,59 @@ def reflow(lines: Column) -> Column:
     item = lambda x: x.rlike(r"^(\d+[.)]|[a-zA-Z][.)]|[-•*–])\s*")
     step = lambda acc, x: F.when(acc == "", x).when(item(x), F.concat(acc, F.lit("\n"), x)).when(F.endswith(acc, F.lit("-")), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))
     return F.aggregate(F.filter(F.transform(lines, F.trim), lambda x: x != ""), F.lit(""), step)
+
+
+def display_reflow(lines: Column) -> Column:
+    """Lines glued for reading: only a line that starts in lower case or a digit, is no list item,
+    and follows one that does not end a sentence, joins the line before it."""
+    item = lambda x: x.rlike(r"^(\d+[.)]|[a-zA-Z][.)]|[-•*–])\s*")
+    glue = lambda acc, x: ~item(x) & ~acc.rlike(r"[.;:?!]$") & x.rlike(r"^[\p{Ll}0-9]")
+    step = lambda acc, x: F.when(acc == "", x).when(glue(acc, x), F.concat(acc, F.lit(" "), x)).otherwise(F.concat(acc, F.lit("\n"), x))
+    return F.aggregate(F.filter(F.transform(lines, F.trim), lambda x: x != ""), F.lit(""), step)
+
+
+def readable(c: Column) -> Column:
+    """C1 controls dropped, a blank after a sentence end that runs into a capital, blanks collapsed."""
+    c = F.regexp_replace(c, "[\\u0080-\\u009F]", "")
+    c = F.regexp_replace(c, r"(\p{Ll}[.!?])(\p{Lu})", "$1 $2")
+    return F.trim(F.regexp_replace(c, r"[ \t]{2,}", " "))
+
+
+@F.pandas_udf(StringType())
+def fix_mojibake(s: pd.Series) -> pd.Series:
+    """UTF-8 that was read as Latin-1, where the telltale characters stand and the way back is lossless."""
+
+    def one(x: str | None) -> str | None:
+        if not x or not any(c in x for c in "ÃÂâð"):
+            return x
+        try:
+            return x.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return x
+
+    return s.map(one)
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n", IntegerType())]))
+def redact_names(s: pd.Series) -> pd.DataFrame:
+    """One or two capitalised words after a self-introduction or a title become ``[nama]``; with the count."""
+    pattern = re.compile(r"\b((?:[Nn]ama saya|[Ss]aya bernama|[Dd]r\.|[Bb]apak|[Ii]bu|[Mm]y name is|[Mm]r\.|[Mm]rs\.)\s+)((?:[A-Z][\w'’-]+)(?:\s+[A-Z][\w'’-]+)?)")
+    out = [pattern.subn(r"\1[nama]", x or "") for x in s]
+    return pd.DataFrame(out, columns=["text", "n"])
+
+
+def plain_markdown(c: Column) -> Column:
+    """Without heading marks, emphasis and link targets."""
+    c = F.regexp_replace(c, r"(?m)^#+\s*", "")
+    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.regexp_replace(c, r"[*_`]+", "")
+
+
+def first_json(c: Column, schema: str) -> Column:
+    """The first ``{...}`` of a reply, code fences or not, as a struct; null where there is none."""
+    return F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema)
+
+
+def section(c: Column, heading: str) -> Column:
+    """What stands between a ``## heading`` and the next ``## `` or the end."""
+    return F.regexp_extract(c, rf"(?is)##\s*{heading}\s*\n(.*?)(?=\n##\s|\z)", 1)
