@@ -13,11 +13,9 @@ group-by over digests; results never change, because suspects are always counted
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,9 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwright.llm.common import stored, without
+from spanwright.llm.twice_filter import bits_for, contains, seen_twice
 
-#: Bits of a filter segment (8 KB); segments are the unit in which filters are merged.
-SEGMENT_BITS = 1 << 16
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -45,56 +42,6 @@ def _doc_keys(text: str | None, min_chars: int) -> set[bytes]:
     return {k for k in keys if _chars(k) >= min_chars}
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two filter positions for each 64-bit hash; ``bits`` is a power of two."""
-    mask = np.uint64(bits - 1)
-    return np.stack([hashes & mask, (hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) & mask])
-
-
-def _get(words: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (words[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _set(words: np.ndarray, pos: np.ndarray) -> None:
-    np.bitwise_or.at(words, (pos >> np.uint64(3)).astype(np.int64), np.uint8(1) << (pos & np.uint64(7)).astype(np.uint8))
-
-
-def _fill(bits: int, min_chars: int):
-    """mapInArrow: texts of a task -> the non-empty segments of its two filters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            hashes = [xxhash.xxh64_intdigest(k) for text in batch.column(0) for k in _doc_keys(text.as_py(), min_chars)]
-            if not hashes:
-                continue
-            keys, n = np.unique(np.array(hashes, np.uint64), return_counts=True)
-            pos = _positions(keys, bits)
-            again = (_get(once, pos[0]) & _get(once, pos[1])) | (n > 1)
-            _set(twice, pos[:, again].ravel())
-            _set(once, pos.ravel())
-        step = SEGMENT_BITS // 8
-        segs = [s for s in range(bits // SEGMENT_BITS) if once[s * step : (s + 1) * step].any()]
-        packed = [[zlib.compress(w[s * step : (s + 1) * step].tobytes(), 1) for s in segs] for w in (once, twice)]
-        yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=["seg", "once", "twice"])
-
-    return run
-
-
-def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas over segments dealt by their number: a task holds its own segments only."""
-    kept: dict[int, list[np.ndarray]] = {}
-    for frame in frames:
-        for seg, a, b in zip(frame["seg"], frame["once"], frame["twice"]):
-            once, twice = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if seg in kept:
-                kept[seg][1] |= twice | (kept[seg][0] & once)
-                kept[seg][0] |= once
-            else:
-                kept[seg] = [once.copy(), twice.copy()]
-    yield pd.DataFrame({"seg": pd.Series([*kept], dtype="int32"), "twice": [zlib.compress(x[1].tobytes(), 1) for x in kept.values()]})
-
-
 def repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 27) -> DataFrame:
     """(id, key, first_id): the lines of each document whose key is in ``min_docs`` documents or more.
 
@@ -102,36 +49,28 @@ def repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, i
     """
     if min_docs < 2:
         raise ValueError("min_docs is 2 at least; a line of one document is no repeat")
-    spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     lines = texts.select(F.sum(F.coalesce(newlines, F.lit(0)) + 1)).first()[0] or 0
-    bits = max(SEGMENT_BITS, min(max_filter_bits, 1 << (8 * lines).bit_length()))
-    parts = texts.mapInArrow(_fill(bits, min_chars), "seg int, once binary, twice binary")
-    merged = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seg").mapInPandas(_merge, "seg int, twice binary")
-    step = SEGMENT_BITS // 8
-    twice = np.zeros(bits // 8, np.uint8)  # max_filter_bits / 8 bytes at most
-    for row in merged.toLocalIterator():
-        twice[row.seg * step : (row.seg + 1) * step] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    shared = spark.sparkContext.broadcast(twice)
+    hashes = lambda text: np.array([xxhash.xxh64_intdigest(k) for k in _doc_keys(text, min_chars)], np.uint64)
+    shared = seen_twice(texts, hashes, bits_for(lines, max_filter_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
         for batch in batches:
             ids, keys = [], []
             for i, text in enumerate(batch.column(1)):
                 own = list(_doc_keys(text.as_py(), min_chars))
                 keys += own
                 ids += [i] * len(own)
-            pos = _positions(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), bits)
-            hit = np.flatnonzero(_get(words, pos[0]) & _get(words, pos[1]))
+            hit = np.flatnonzero(contains(shared.value, np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)))
             digests = [xxhash.xxh3_128_digest(keys[i]) for i in hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([ids[i] for i in hit], pa.int64())), pa.array(digests, pa.binary())], names=["id", "key"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.BinaryType())])
     found = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(suspects, schema), "line-suspects")
     common = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= min_docs)
-    return found.join(common.select("key", "first_id"), "key")
+    # written first: the join then shuffles both sides itself, and a key of very many lines can be split
+    return found.join(stored(common.select("key", "first_id"), "line-repeats"), "key")
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 27) -> DataFrame:
