@@ -7,6 +7,9 @@ are merged through the cover: of any two positions there is a shift of 0, 1 or 2
 both to sampled ones, so a suffix is known by the bytes of the shift, the name behind it and
 the bytes that complete the match length. Equal prefixes of neighbours in that order, that
 is, rows of one key, are repeats, and the smallest document of a key is the one that keeps it.
+
+Before the sort, two Bloom filters over the sampled triples (see ``twice_filter``) leave out those
+that one document alone has: a repeat has both its triples in two documents, so none is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +23,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwright.llm.common import stored, without
+from spanwright.llm.twice_filter import bits_for, contains, seen_twice
 
 #: Sampled suffixes that a task hands on at a time.
 BATCH = 1 << 16
 
 
-def _sampled(length: int, prefix: int):
-    """mapInArrow: (id, h, text) -> sampled suffixes with their first ``prefix`` bytes and what completes a match."""
+def _windows(data: bytes, width: int, at: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), width)[at]
+
+
+def _hashes(data: bytes, width: int) -> np.ndarray:
+    """A rolling 64-bit hash of every window of ``width`` bytes."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD1B54A32D192ED03)
+    b ^= b >> np.uint64(29)
+    base, size, h, out, done = np.uint64(0xBF58476D1CE4E5B9), 1, b, None, 0
+    with np.errstate(over="ignore"):
+        while True:  # windows of 1, 2, 4, ... bytes, put together by the binary digits of the width
+            if width & size:
+                out = h if out is None else out[: len(data) - done - size + 1] * base + h[done : done + len(data) - done - size + 1]
+                done += size
+            if size * 2 > width:
+                break
+            h, size, base = h[: len(h) - size] * base + h[size:], size * 2, base * base
+        out = out * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+def _cover(n_bytes: int, prefix: int) -> np.ndarray:
+    """Sampled positions that a whole prefix follows: those of residue 1 and 2 modulo 3."""
+    at = np.arange(max(0, n_bytes - prefix + 1))
+    return at[at % 3 != 0]
+
+
+def _sampled(length: int, prefix: int, shared):
+    """mapInArrow: (id, h, text) -> sampled suffixes with their two triples and what completes a match."""
     tail = length - 2 * prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,19 +66,22 @@ def _sampled(length: int, prefix: int):
                 data = (text.as_py() or "").encode("utf-8")
                 if len(data) < length:
                     continue
-                pos = np.arange(len(data) - 2 * prefix + 1)
-                pos = pos[pos % 3 != 0]
-                padded = np.frombuffer(b"\0\0" + data + bytes(tail), np.uint8)
+                twice = np.zeros(len(data), np.bool_)
+                cover = _cover(len(data), prefix)
+                twice[cover] = contains(shared.value, _hashes(data, prefix)[cover])
+                pos = _cover(len(data), 2 * prefix)
+                pos = pos[twice[pos] & twice[pos + prefix]]
+                padded = b"\0\0" + data + bytes(tail)
                 for i in range(0, len(pos), BATCH):
                     at = pos[i : i + BATCH]
 
                     def cut(start: int, width: int) -> pa.Array:
-                        view = np.lib.stride_tricks.sliding_window_view(padded, width)[at + start + 2]
-                        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(np.ascontiguousarray(view))]).cast(pa.binary())
+                        view = np.ascontiguousarray(_windows(padded, width, at + start + 2))
+                        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(view)]).cast(pa.binary())
 
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(key, len(at)), pa.repeat(h, len(at)), pa.array(at, pa.int32()), pa.array(np.full(len(at), len(data)), pa.int32()), cut(0, prefix), cut(-2, 2), cut(2 * prefix, tail)],
-                        names=["id", "h", "pos", "size", "prefix", "before", "after"],
+                        [pa.repeat(key, len(at)), pa.repeat(h, len(at)), pa.array(at, pa.int32()), pa.array(np.full(len(at), len(data)), pa.int32()), cut(0, prefix), cut(prefix, prefix), cut(-2, 2), cut(2 * prefix, tail)],
+                        names=["id", "h", "pos", "size", "one", "two", "before", "after"],
                     )
 
     return run
@@ -59,7 +93,7 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return stored(ordered.withColumn(name, F.monotonically_increasing_id()), name)
 
 
-def repeated_starts(docs: DataFrame, length: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int, *, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 29) -> DataFrame:
     """(id, h, start): byte positions at which a string of ``length`` bytes starts that also starts in a
     document of smaller id. ``h`` is the hash of the text, which tells rows of one id apart."""
     if length < 8:
@@ -67,15 +101,20 @@ def repeated_starts(docs: DataFrame, length: int, *, id_col: str = "doc_id", tex
     prefix = (length - 2) // 6 * 3  # a multiple of 3, so that the shift by it stays in the cover
     tail = length - 2 * prefix
     id_type = docs.schema[id_col].dataType
-    fields = [("id", id_type), ("h", T.LongType()), ("pos", T.IntegerType()), ("size", T.IntegerType()), ("prefix", T.BinaryType()), ("before", T.BinaryType()), ("after", T.BinaryType())]
+    fields = [("id", id_type), ("h", T.LongType()), ("pos", T.IntegerType()), ("size", T.IntegerType())] + [(n, T.BinaryType()) for n in ("one", "two", "before", "after")]
     text = F.col(text_col).cast("string")
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).distinct()
-    # the suffixes from the second half of a prefix on, which only lend their names
-    rows = source.mapInArrow(_sampled(length, prefix), T.StructType([T.StructField(*f) for f in fields]))
-    halves = source.mapInArrow(_second_halves(length, prefix), T.StructType([T.StructField(*f) for f in fields[:3]] + [T.StructField("prefix", T.BinaryType())]))
-    first = _named(rows.select("prefix").unionByName(halves.select("prefix")), ["prefix"], "name")
-    behind = halves.join(first, "prefix").select("id", "h", (F.col("pos") - prefix).alias("pos"), F.col("name").alias("next"))
-    pairs = stored(rows.join(first, "prefix").drop("prefix").join(behind, ["id", "h", "pos"]), "suffix-pairs")
+    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+    def keys_of(text: str | None) -> np.ndarray:
+        data = (text or "").encode("utf-8")
+        return np.unique(_hashes(data, prefix)[_cover(len(data), prefix)]) if len(data) >= length else np.array([], np.uint64)
+
+    n_bytes = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    shared = seen_twice(docs.select(text.alias("text")), keys_of, bits_for(n_bytes * 2 // 3, max_filter_bits))
+    rows = stored(source.mapInArrow(_sampled(length, prefix, shared), T.StructType([T.StructField(*f) for f in fields])), "suffixes")
+    first = _named(rows.select(F.explode(F.array("one", "two")).alias("triple")), ["triple"], "name")
+    names = rows.join(first.select(F.col("triple").alias("one"), F.col("name").alias("name")), "one").join(first.select(F.col("triple").alias("two"), F.col("name").alias("next")), "two")
+    pairs = stored(names.drop("one", "two"), "suffix-pairs")
     second = _named(pairs, ["name", "next"], "rank")
     ranked = pairs.join(second, ["name", "next"]).select("id", "h", "pos", "size", "rank", "before", "after")
     shifted = [
@@ -84,30 +123,10 @@ def repeated_starts(docs: DataFrame, length: int, *, id_col: str = "doc_id", tex
     ]
     keyed = ranked.select("id", "h", "size", "rank", F.inline(F.array(*shifted))).filter((F.col("start") >= 0) & (F.col("start") + length <= F.col("size")))
     keys = ["shift", "rank", "rest"]
-    firsts = keyed.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
+    firsts = stored(keyed.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")), "suffix-firsts")
     return keyed.join(firsts, keys).filter(F.col("id") > F.col("first")).select("id", "h", "start").distinct()
 
 
-def _second_halves(length: int, prefix: int):
-    """mapInArrow: the suffixes ``prefix`` bytes behind a sampled one, with their own prefixes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, h, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                data = (text.as_py() or "").encode("utf-8")
-                if len(data) < length:
-                    continue
-                pos = np.arange(prefix, len(data) - prefix + 1)
-                pos = pos[pos % 3 != 0]
-                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), prefix)
-                for i in range(0, len(pos), BATCH):
-                    at = pos[i : i + BATCH]
-                    cut = pa.FixedSizeBinaryArray.from_buffers(pa.binary(prefix), len(at), [None, pa.py_buffer(np.ascontiguousarray(windows[at]))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(at)), pa.repeat(h, len(at)), pa.array(at, pa.int32()), cut], names=["id", "h", "pos", "prefix"])
-
-    return run
-
-
 def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``kept`` (bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
