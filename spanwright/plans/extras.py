@@ -78,7 +78,7 @@ def d23_section(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", tx.section(_brief(), "Referral").alias("referral"))
 
 
-@query("""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, 'th')) AS with_th, sum(len(regexp_extract_all(text, 'the'))) AS n_the, count(*) FILTER (WHERE NOT regexp_matches(text, '[.]$')) AS open_end FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, 'th')) AS with_th, sum(len(regexp_extract_all(text, 'the')))::BIGINT AS n_the, count(*) FILTER (WHERE NOT regexp_matches(text, '[.]$')) AS open_end FROM conversations GROUP BY role""")
 def d24_audit(spark, sf):
     c = _t(spark, sf, "conversations")
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike("th")).alias("with_th"), F.sum(F.regexp_count("text", F.lit("the"))).alias("n_the"), F.count_if(~F.col("text").rlike("[.]$")).alias("open_end"))

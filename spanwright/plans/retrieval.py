@@ -74,8 +74,13 @@ def _scores(spark, sf) -> DataFrame:
     return metrics.per_query(_ranked(spark, sf), ["query_id", "qlabel"], KS)
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to nine places: sums come in another order from another engine."""
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def i7_metrics_per_query(spark, sf):
-    return _scores(spark, sf)
+    return _rounded(_scores(spark, sf))
 
 
 _GAINS = _PAIRS.format(where=" WHERE e.vec_id <> q.query_id") + """,
@@ -87,23 +92,24 @@ _METRICS = ", ".join(
     for k in KS
 )
 _SCORED = f"{_GAINS}, s AS (SELECT query_id, qlabel, {_METRICS} FROM g GROUP BY query_id, qlabel)"
-I7 = f"WITH {_SCORED} SELECT * FROM s"
 _NAMES = [f"{m}_at_{k}" for k in KS for m in ("recall", "precision", "mrr", "ndcg")]
+_MEANS = ", ".join(f"round(avg({m}), 9) AS {m}" for m in _NAMES)
+I7 = f"WITH {_SCORED} SELECT query_id, qlabel, {', '.join(f'round({m}, 9) AS {m}' for m in _NAMES)} FROM s"
 
 
 def i8_metrics_by_label(spark, sf):
-    return _scores(spark, sf).groupBy("qlabel").agg(F.count(F.lit(1)).alias("n_queries"), *[F.avg(m).alias(m) for m in _NAMES])
+    return _rounded(_scores(spark, sf).groupBy("qlabel").agg(F.count(F.lit(1)).alias("n_queries"), *[F.avg(m).alias(m) for m in _NAMES]))
 
 
-I8 = f"WITH {_SCORED} SELECT qlabel, count(*) AS n_queries, {', '.join(f'avg({m}) AS {m}' for m in _NAMES)} FROM s GROUP BY qlabel"
+I8 = f"WITH {_SCORED} SELECT qlabel, count(*) AS n_queries, {_MEANS} FROM s GROUP BY qlabel"
 
 
 def i9_metrics_grouping_sets(spark, sf):
     s = _scores(spark, sf).withColumn("half", F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd"))
-    return metrics.grouped_means(s, [[], ["qlabel"], ["half"]], _NAMES)
+    return _rounded(metrics.grouped_means(s, [[], ["qlabel"], ["half"]], _NAMES))
 
 
-I9 = f"WITH {_SCORED}, h AS (SELECT *, CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS half FROM s) SELECT qlabel, half, count(*) AS n_queries, {', '.join(f'avg({m}) AS {m}' for m in _NAMES)} FROM h GROUP BY GROUPING SETS ((), (qlabel), (half))"
+I9 = f"WITH {_SCORED}, h AS (SELECT *, CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS half FROM s) SELECT qlabel, half, count(*) AS n_queries, {_MEANS} FROM h GROUP BY GROUPING SETS ((), (qlabel), (half))"
 
 
 def i6_multihop_coverage(spark, sf):

@@ -63,9 +63,10 @@ def n3_validate(spark, sf):
     return study.problems(_t(spark, sf, "benchmark"), "item_id", checks)
 
 
-@query("""SELECT lang, count(n_chars) AS n, avg(n_chars) AS mean, stddev_samp(n_chars) AS sd, quantile_cont(n_chars::DOUBLE, 0.5) AS median, list_sort(list(n_chars))[count(n_chars) // 2 + 1] AS upper_median, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang""")
+@query("""SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, quantile_cont(n_chars::DOUBLE, 0.5) AS median, list_sort(list(n_chars))[count(n_chars) // 2 + 1] AS upper_median, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang""")
 def j4_describe(spark, sf):
-    return study.describe(_t(spark, sf, "documents"), ["lang"], "n_chars")
+    d = study.describe(_t(spark, sf, "documents"), ["lang"], "n_chars")
+    return d.withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
 
 
 @query("""SELECT coalesce(toxic::VARCHAR, 'blank') AS value, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
@@ -81,9 +82,9 @@ def _pairs(spark, sf):
     return study.pivot_pairs(_t(spark, sf, "orders").withColumnRenamed("o_custkey", "case"), "case", "o_orderstatus", "o_totalprice", "F", "O")
 
 
-@query(f'WITH {_PAIR} SELECT "case", round(a, 4) AS a, round(b, 4) AS b, round(d, 4) AS d FROM p')
+@query(f'WITH {_PAIR} SELECT "case", round(a, 6) AS a, round(b, 6) AS b, round(d, 6) AS d FROM p')
 def j7_pivot_pairs(spark, sf):
-    return _pairs(spark, sf).select("case", *[F.round(c, 4).alias(c) for c in "abd"])
+    return _pairs(spark, sf).select("case", *[F.round(c, 6).alias(c) for c in "abd"])
 
 
 @query(f"WITH {_PAIR} SELECT count(*) AS n_pairs, count(*) FILTER (WHERE d > 0) AS up, count(*) FILTER (WHERE d < 0) AS down, count(*) FILTER (WHERE d = 0) AS tie FROM p")
@@ -115,7 +116,7 @@ def j14_majority(spark, sf):
     return study.majority(_t(spark, sf, "events"), "user_id", F.col("value") > 50)
 
 
-@query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS n_large FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)""")
+@query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 150000) AS n_large FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)""")
 def j16_crosstab(spark, sf):
     return _t(spark, sf, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("o_totalprice") > 150000, 1).otherwise(0)).alias("n_large"))
 

@@ -32,7 +32,7 @@ def _tokens(spark, sf):
 
 _TOK = r"""pieces AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM documents),
 x AS (SELECT doc_id, unnest(p) AS p, unnest(range(len(p))) AS pos FROM pieces),
-tok AS (SELECT doc_id, pos, sum(length(p)) OVER w AS e, sum(length(p)) OVER w - length(ltrim(p, ' ' || chr(10) || chr(9) || chr(13))) AS s, max(pos) OVER (PARTITION BY doc_id) + 1 AS n FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+tok AS (SELECT doc_id, pos, (sum(length(p)) OVER w)::BIGINT AS e, (sum(length(p)) OVER w)::BIGINT - length(ltrim(p, ' ' || chr(10) || chr(9) || chr(13))) AS s, max(pos) OVER (PARTITION BY doc_id) + 1 AS n FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 
 
 @query(f"WITH {_TOK} SELECT doc_id, pos, s, e FROM tok")
@@ -83,7 +83,7 @@ def f15_invariant_violations(spark, sf):
 
 
 _LINES = """l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
-lines AS (SELECT doc_id, line_no, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM l0),
+lines AS (SELECT doc_id, line_no, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM l0),
 seg AS (SELECT *, char_start + length(text) AS char_end FROM lines)"""
 
 
