@@ -25,7 +25,7 @@ from spanwright.llm.common import WORD_CLASS, stored, without
 GROUP_ROWS = 512
 OPEN_ROWS = 32
 #: Groups that meet in one node of the tree, and in its root.
-FAN_IN = 64
+FAN_IN = 8
 ROOT_GROUPS = 4
 EPS = 1e-12
 
