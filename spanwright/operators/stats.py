@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def midrank(value: str, parts: list[str]) -> Column:
-    """Average rank of ties."""
-    return F.rank().over(Window.partitionBy(*parts).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*parts, value)) - 1) / 2.0
+def _with_midrank(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts`` (keys, value, n) plus ``midrank``, the average rank of the rows of a value.
+
+    The running total is over different values, not over rows.
+    """
+    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("midrank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2.0)
+
+
+def midranks(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value, n, midrank): one row a value; ties share their average rank."""
+    return _with_midrank(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), keys, value)
 
 
 def holm(df: DataFrame, p: str, order: str, family: list[str]) -> DataFrame:
@@ -28,10 +37,12 @@ def signed_rank(df: DataFrame, diff: str, keys: list[str]) -> DataFrame:
 
     ``p`` is the two-sided normal approximation with tie correction (null where n is 0).
     """
-    d = df.filter((F.col(diff) != 0) & F.col(diff).isNotNull()).withColumn("_abs", F.abs(diff))
-    r = d.withColumn("_r", midrank("_abs", keys)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_abs")))
-    plus, minus = F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0))
-    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    d = df.filter((F.col(diff) != 0) & F.col(diff).isNotNull())
+    counts = d.groupBy(*keys, F.abs(diff).alias("_abs")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(diff) > 0).alias("_up"))
+    r = _with_midrank(counts, keys, "_abs")
+    plus, minus = F.sum(F.col("_up") * F.col("midrank")), F.sum((F.col("n") - F.col("_up")) * F.col("midrank"))
+    ties = F.sum(F.col("n") * (F.col("n") * F.col("n") - 1))
+    out = r.groupBy(*keys).agg(F.sum("n").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), ties.alias("_ties"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("_ties") / 48.0
     z = (F.least("w_plus", "w_minus") - F.col("n") * (F.col("n") + 1) / 4.0) / F.sqrt(var)
     return out.withColumn("rank_biserial", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))).withColumn("p", two_sided(z)).drop("_ties")
@@ -39,12 +50,21 @@ def signed_rank(df: DataFrame, diff: str, keys: list[str]) -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """U of the first group, group sizes and rank-biserial 2U/(n1 n2) - 1."""
-    r = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()).withColumn("_r", midrank(value, []))
-    a = r.agg(F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2"), F.sum(F.when(F.col(group) == first, F.col("_r"))).alias("rank_sum"))
+    both = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    counts = both.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group) == first).alias("_first"))
+    a = _with_midrank(counts, [], value).agg(F.sum("_first").alias("n1"), F.sum(F.col("n") - F.col("_first")).alias("n2"), F.sum(F.col("_first") * F.col("midrank")).alias("rank_sum"))
     u = a.withColumn("u", F.col("rank_sum") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     return u.select("n1", "n2", "u", (2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("rank_biserial"))
 
 
+def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """n and the correlation of midranks, for groups of four rows or more."""
+    rx = midranks(df, x, keys).select(*keys, x, F.col("midrank").alias("_x"))
+    ry = midranks(df, y, keys).select(*keys, y, F.col("midrank").alias("_y"))
+    both = df.select(*keys, x, y).join(rx, [*keys, x]).join(ry, [*keys, y])
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("_x", "_y"), 9).alias("rho")).filter("n >= 4")
+
+
 @F.pandas_udf(DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal."""
@@ -100,12 +120,16 @@ def rank_sensitivity(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def icc21(df: DataFrame, target: str, rater: str, value: str) -> DataFrame:
-    """Two-way random, absolute agreement, single rater; complete tables only."""
-    w = lambda *k: Window.partitionBy(*k)
-    d = df.select(target, rater, F.col(value).cast("double").alias("x"), F.avg(value).over(w(target)).alias("row"), F.avg(value).over(w(rater)).alias("col"), F.avg(value).over(w()).alias("all"))
-    s = d.agg(F.countDistinct(target).alias("n"), F.countDistinct(rater).alias("k"), F.sum((F.col("row") - F.col("all")) ** 2).alias("rows"), F.sum((F.col("col") - F.col("all")) ** 2).alias("cols"), F.sum((F.col("x") - F.col("row") - F.col("col") + F.col("all")) ** 2).alias("rest"))
+    """Two-way random, absolute agreement, single rater; complete tables only. Sums of rows, columns and squares."""
+    x = df.select(target, rater, F.col(value).cast("double").alias("x"))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    rows = x.groupBy(target).agg(F.sum("x").alias("s")).agg(F.count(F.lit(1)).alias("n"), square("s").alias("rr"), F.sum("s").alias("g"))
+    cols = x.groupBy(rater).agg(F.sum("x").alias("s"), square("x").alias("q")).agg(F.count(F.lit(1)).alias("k"), square("s").alias("cc"), F.sum("q").alias("xx"))
+    s = rows.join(cols, F.lit(True))  # one row by one row
     n, k = F.col("n"), F.col("k")
-    msr, msc, mse = F.col("rows") / (n - 1), F.col("cols") / (k - 1), F.col("rest") / ((n - 1) * (k - 1))
+    mean2 = F.col("g") * F.col("g") / (n * k)
+    ssr, ssc = F.col("rr") / k - mean2, F.col("cc") / n - mean2
+    msr, msc, mse = ssr / (n - 1), ssc / (k - 1), (F.col("xx") - mean2 - ssr - ssc) / ((n - 1) * (k - 1))
     return s.select("n", "k", F.round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 9).alias("icc"))
 
 

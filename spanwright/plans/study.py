@@ -137,7 +137,8 @@ def k3_holm(spark, sf):
 
 @query("SELECT doc_id, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS midrank FROM documents")
 def k4_midrank(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", stats.midrank("n_chars", ["lang"]).alias("midrank"))
+    d = _t(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return d.join(stats.midranks(d, "n_chars", ["lang"]), ["lang", "n_chars"]).select("doc_id", "midrank")
 
 
 _SIGNED = """d AS (SELECT lang, (n_chars - 2000) % 500 AS d FROM documents WHERE (n_chars - 2000) % 500 <> 0), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d),
@@ -174,8 +175,7 @@ def k8_mwu_u(spark, sf):
 SELECT g, count(*) AS n, round(corr(x, y), 9) AS rho FROM r GROUP BY g HAVING count(*) >= 4""")
 def k9_spearman(spark, sf):
     li = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), "l_quantity", "l_extendedprice")
-    r = li.select("g", stats.midrank("l_quantity", ["g"]).alias("x"), stats.midrank("l_extendedprice", ["g"]).alias("y"))
-    return r.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 9).alias("rho")).filter("n >= 4")
+    return stats.spearman(li, "l_quantity", "l_extendedprice", ["g"])
 
 
 @query("""WITH d AS (SELECT vec_id, i AS rater, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 6) t(i)), m AS (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS r, avg(x) OVER (PARTITION BY rater) AS c, avg(x) OVER () AS a FROM d),
