@@ -280,13 +280,13 @@ def o5_citations(spark, sf):
     return _docs(spark, sf, "source").select("doc_id", tx.snippet(F.col("text"), 40).alias("snippet"), tx.unit_token(F.col("source")).alias("unit"))
 
 
-@query("""WITH c AS (SELECT DISTINCT ON (u) page_id, u FROM (SELECT page_id, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(www\\.|m\\.)?', '')) AS u FROM pages) ORDER BY u, page_id) SELECT page_id, u AS canonical, 'alo_' || lpad((row_number() OVER (ORDER BY u) - 1)::VARCHAR, 4, '0') AS new_id FROM c""".replace("lpad((row_number() OVER (ORDER BY u) - 1)::VARCHAR, 4, '0')", "printf('%04d', row_number() OVER (ORDER BY u) - 1)"))
+@query("""WITH c AS (SELECT DISTINCT ON (u) page_id, u FROM (SELECT page_id, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(www\\.|m\\.)?', '')) AS u FROM pages) ORDER BY u, page_id) SELECT page_id, u AS canonical, 'q_' || lpad((row_number() OVER (ORDER BY u) - 1)::VARCHAR, 4, '0') AS new_id FROM c""".replace("lpad((row_number() OVER (ORDER BY u) - 1)::VARCHAR, 4, '0')", "printf('%04d', row_number() OVER (ORDER BY u) - 1)"))
 def m3_first_by_url(spark, sf):
     """The first page of each canonical URL, then ids in URL order."""
     u = F.lower(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^https?://(www\.|m\.)?", ""))
     first = _t(spark, sf, "pages").select("page_id", u.alias("canonical")).groupBy("canonical").agg(F.min("page_id").alias("page_id"))
     n = F.row_number().over(Window.orderBy("canonical")) - 1
-    return first.select("page_id", "canonical", F.format_string("alo_%04d", n).alias("new_id"))
+    return first.select("page_id", "canonical", F.format_string("q_%04d", n).alias("new_id"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, contains(html, 'track(') AND contains(html, '<article') AS served FROM pages""")
