@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import WORD_CLASS, stored, without
+from spanwright.llm.common import WORD_CLASS, stored
 
 #: Rows of a group in which pairs are formed, and rows that a group leaves open.
 GROUP_ROWS = 512
