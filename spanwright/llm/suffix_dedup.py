@@ -1,19 +1,25 @@
 """Suffix-array dedup by a distributed difference cover, to the depth that the match length asks for.
 
-Positions whose residue modulo 3 is 1 or 2 are sampled. Their triples of words (a third of
-half the match length each) are sorted and named in order; a round of recursion names pairs
-of names, so a name stands for a long prefix of the sampled suffix. The remaining suffixes
-are merged through the cover: of any two positions there is a shift of 0, 1 or 2 that takes
-both to sampled ones, so a suffix is known by the bytes of the shift, the name behind it and
-the bytes that complete the match length. Equal prefixes of neighbours in that order, that
-is, rows of one key, are repeats, and the smallest document of a key is the one that keeps it.
-
-Before the sort, two Bloom filters over the sampled triples (see ``twice_filter``) leave out those
-that one document alone has: a repeat has both its triples in two documents, so none is lost.
+Copies are collapsed first, so that the sort sees each shared stretch once. Texts are cut where a
+local hash minimum stands, which is decided by the bytes nearby alone; a *piece* is the bytes
+of all strings of the match length that start between two cuts. Equal pieces are grouped: of the documents
+of a group, the smallest keeps all its starts so far and all others lose theirs, and the one piece
+stands for the group from there on. That is done with wide cuts and, on what is left, with narrow ones.
+Two Bloom filters (see ``twice_filter``) leave out starts whose string one text alone has.
+
+What remains are strings around the edges of shared passages. Their positions of residue 1 and 2
+modulo 3 are sampled. The triples of words there (a third of half the match length each) are
+sorted and named in order; a round of recursion names pairs of names, so a name stands for a
+long prefix of the sampled suffix. The other suffixes are merged through the cover: of any two
+positions there is a shift of 0, 1 or 2 that takes both to sampled ones, so a suffix is known
+by the bytes of the shift, the name behind it and the bytes that complete the match length. Equal
+prefixes of neighbours in that order, that is, rows of one key, are repeats, and the smallest
+document of a key is the one that keeps it. Results go back from pieces to documents by their digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +31,20 @@ from pyspark.sql import types as T
 from spanwright.llm.common import stored, without
 from spanwright.llm.twice_filter import bits_for, contains, seen_twice
 
-#: Sampled suffixes that a task hands on at a time.
-BATCH = 1 << 16
-
-
-def _windows(data: bytes, width: int, at: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), width)[at]
+#: Half the least distance of two cuts, level by level.
+CUTS = (32, 5)
+#: Bytes of a word that the cuts of a text are hashed from.
+CUT_WORD = 12
+#: A list of removed stretches up to so many bytes is broadcast to the texts; a larger one is joined.
+MAX_BROADCAST = 32 << 20
+#: Rows that a task hands on at a time.
+BATCH = 1 << 14
 
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
     """A rolling 64-bit hash of every window of ``width`` bytes."""
+    if len(data) < width:
+        return np.array([], np.uint64)
     b = np.frombuffer(data, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD1B54A32D192ED03)
     b ^= b >> np.uint64(29)
     base, size, h, out, done = np.uint64(0xBF58476D1CE4E5B9), 1, b, None, 0
@@ -50,38 +60,112 @@ def _hashes(data: bytes, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def _cover(n_bytes: int, prefix: int) -> np.ndarray:
-    """Sampled positions that a whole prefix follows: those of residue 1 and 2 modulo 3."""
-    at = np.arange(max(0, n_bytes - prefix + 1))
-    return at[at % 3 != 0]
+def _lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every window of ``width`` values."""
+    n, size = len(x) - width + 1, 1
+    if n <= 0:
+        return x[:0]
+    while size * 2 <= width:
+        x, size = np.minimum(x[: len(x) - size], x[size:]), size * 2
+    return np.minimum(x[:n], x[width - size : width - size + n])
+
+
+def _marks(data: bytes, length: int, sparse: bool) -> np.ndarray:
+    """A key for each start of a string of ``length`` bytes, decided by the string alone: its hash or, if
+    ``sparse``, the least hash of the words of half its length in it, which neighbours mostly share."""
+    if len(data) < length:
+        return np.array([], np.uint64)
+    if not sparse:
+        return _hashes(data, length)
+    word = length // 2
+    with np.errstate(over="ignore"):
+        least = _lowest(_hashes(data, word), length - word + 1) * np.uint64(0xD6E8FEB86659FD93)
+    return least ^ (least >> np.uint64(32))
+
+
+def _suspects(data: bytes, length: int, sparse: bool, words: np.ndarray) -> np.ndarray:
+    """For each start, whether another text may have its string."""
+    marks = _marks(data, length, sparse)
+    if not len(marks):
+        return np.zeros(0, np.bool_)
+    new = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1])))
+    return np.repeat(contains(words, marks[new]), np.diff(np.append(new, len(marks))))
+
+
+def _cuts(data: bytes, reach: int) -> np.ndarray:
+    """Positions whose hash is below those of ``reach`` positions before and not above those of as many behind."""
+    x = _hashes(data, CUT_WORD)
+    low = _lowest(x, reach)
+    if len(x) < 2 * reach + 1:
+        return np.array([], np.int64)
+    own = x[reach : len(x) - reach]
+    return np.flatnonzero((own < low[: len(own)]) & (own <= low[reach + 1 : reach + 1 + len(own)])) + reach
+
+
+def _split(length: int, reach: int, sparse: bool, shared):
+    """mapInArrow: (owner, id, data) -> pieces (owner, id, start, n starts, digest, data) of its suspected starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["owner", "id", "start", "n", "key", "data"]
+        for batch in batches:
+            id_type = batch.column(1).type
+            kinds = (pa.binary(), id_type, pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            out: list[list] = [[] for _ in kinds]
+            for owner, id_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = data.as_py() or b""
+                ok = _suspects(data, length, sparse, shared.value)
+                if not ok.any():
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False])).astype(np.int8)))
+                cuts = _cuts(data, reach)
+                cuts = cuts[cuts < len(ok)]
+                cuts = cuts[ok[cuts]]
+                starts = np.union1d(edge[::2], cuts)
+                ends = np.minimum(np.append(starts[1:], len(data)), edge[1::2][np.searchsorted(edge[1::2], starts, "right")])
+                for a, b in zip(starts.tolist(), ends.tolist()):
+                    piece = data[a : b + length - 1]
+                    for column, value in zip(out, (owner, id_, a, b - a, hashlib.md5(piece).digest(), piece)):
+                        column.append(value)
+                    if len(out[0]) >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+                        out = [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+
+    return run
 
 
 def _sampled(length: int, prefix: int, shared):
-    """mapInArrow: (id, h, text) -> sampled suffixes with their two triples and what completes a match."""
+    """mapInArrow: (owner, id, data) -> sampled suffixes of suspected starts with their two triples and what completes a match.
+
+    ``wanted`` has bit d set if the string that starts d bytes before the sampled position is suspected.
+    """
     tail = length - 2 * prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, h, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                data = (text.as_py() or "").encode("utf-8")
-                if len(data) < length:
+            for owner, key, data in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data = data.as_py() or b""
+                ok = _suspects(data, length, False, shared.value)
+                if not ok.any():
                     continue
-                twice = np.zeros(len(data), np.bool_)
-                cover = _cover(len(data), prefix)
-                twice[cover] = contains(shared.value, _hashes(data, prefix)[cover])
-                pos = _cover(len(data), 2 * prefix)
-                pos = pos[twice[pos] & twice[pos + prefix]]
+                wanted = np.zeros(len(ok) + 2, np.int8)
+                for d in range(3):
+                    wanted[d : d + len(ok)] |= ok.astype(np.int8) << d
+                pos = np.flatnonzero(wanted)
+                pos = pos[pos % 3 != 0]
                 padded = b"\0\0" + data + bytes(tail)
+                view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(padded, np.uint8), length + 2)
                 for i in range(0, len(pos), BATCH):
                     at = pos[i : i + BATCH]
+                    rows = view[at]  # two bytes before the position, then as many as a match has
 
                     def cut(start: int, width: int) -> pa.Array:
-                        view = np.ascontiguousarray(_windows(padded, width, at + start + 2))
-                        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(view)]).cast(pa.binary())
+                        part = np.ascontiguousarray(rows[:, start + 2 : start + 2 + width])
+                        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(part)]).cast(pa.binary())
 
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(key, len(at)), pa.repeat(h, len(at)), pa.array(at, pa.int32()), pa.array(np.full(len(at), len(data)), pa.int32()), cut(0, prefix), cut(prefix, prefix), cut(-2, 2), cut(2 * prefix, tail)],
-                        names=["id", "h", "pos", "size", "one", "two", "before", "after"],
+                        [pa.repeat(owner, len(at)), pa.repeat(key, len(at)), pa.array(at, pa.int32()), pa.array(wanted[at], pa.int8()), cut(0, prefix), cut(prefix, prefix), cut(-2, 2), cut(2 * prefix, tail)],
+                        names=["owner", "id", "pos", "wanted", "one", "two", "before", "after"],
                     )
 
     return run
@@ -93,41 +177,61 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return stored(ordered.withColumn(name, F.monotonically_increasing_id()), name)
 
 
-def repeated_starts(docs: DataFrame, length: int, *, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 29) -> DataFrame:
-    """(id, h, start): byte positions at which a string of ``length`` bytes starts that also starts in a
-    document of smaller id. ``h`` is the hash of the text, which tells rows of one id apart."""
-    if length < 8:
-        raise ValueError("length is 8 at least")
+def _filter_of(pieces: DataFrame, length: int, sparse: bool, max_filter_bits: int):
+    """The filter of marks that two rows of ``pieces`` have."""
+    n_bytes = pieces.select(F.sum(F.greatest(F.octet_length("data") - length + 1, F.lit(0)))).first()[0] or 0
+    keys = n_bytes * 2 // (length - length // 2 + 2) if sparse else n_bytes
+    return seen_twice(pieces.select("data"), lambda data: np.unique(_marks(data or b"", length, sparse)), bits_for(keys, max_filter_bits))
+
+
+def _by_cover(pieces: DataFrame, length: int, max_filter_bits: int) -> DataFrame:
+    """(owner, runs) of ``pieces`` (owner, id, data) by the difference cover."""
     prefix = (length - 2) // 6 * 3  # a multiple of 3, so that the shift by it stays in the cover
     tail = length - 2 * prefix
-    id_type = docs.schema[id_col].dataType
-    fields = [("id", id_type), ("h", T.LongType()), ("pos", T.IntegerType()), ("size", T.IntegerType())] + [(n, T.BinaryType()) for n in ("one", "two", "before", "after")]
-    text = F.col(text_col).cast("string")
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-
-    def keys_of(text: str | None) -> np.ndarray:
-        data = (text or "").encode("utf-8")
-        return np.unique(_hashes(data, prefix)[_cover(len(data), prefix)]) if len(data) >= length else np.array([], np.uint64)
-
-    n_bytes = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    shared = seen_twice(docs.select(text.alias("text")), keys_of, bits_for(n_bytes * 2 // 3, max_filter_bits))
-    rows = stored(source.mapInArrow(_sampled(length, prefix, shared), T.StructType([T.StructField(*f) for f in fields])), "suffixes")
+    fields = [("owner", T.BinaryType()), ("id", pieces.schema["id"].dataType), ("pos", T.IntegerType()), ("wanted", T.ByteType())] + [(n, T.BinaryType()) for n in ("one", "two", "before", "after")]
+    shared = _filter_of(pieces, length, False, max_filter_bits)
+    rows = stored(pieces.mapInArrow(_sampled(length, prefix, shared), T.StructType([T.StructField(*f) for f in fields])), "suffixes")
     first = _named(rows.select(F.explode(F.array("one", "two")).alias("triple")), ["triple"], "name")
     names = rows.join(first.select(F.col("triple").alias("one"), F.col("name").alias("name")), "one").join(first.select(F.col("triple").alias("two"), F.col("name").alias("next")), "two")
     pairs = stored(names.drop("one", "two"), "suffix-pairs")
     second = _named(pairs, ["name", "next"], "rank")
-    ranked = pairs.join(second, ["name", "next"]).select("id", "h", "pos", "size", "rank", "before", "after")
+    ranked = pairs.join(second, ["name", "next"]).select("owner", "id", "pos", "wanted", "rank", "before", "after")
     shifted = [
         F.struct(F.lit(d).cast("byte").alias("shift"), (F.col("pos") - d).alias("start"), F.concat(F.substring("before", 3 - d, d), F.substring("after", 1, tail - d)).alias("rest"))
         for d in range(3)
     ]
-    keyed = ranked.select("id", "h", "size", "rank", F.inline(F.array(*shifted))).filter((F.col("start") >= 0) & (F.col("start") + length <= F.col("size")))
+    keyed = stored(ranked.select("owner", "id", "wanted", "rank", F.inline(F.array(*shifted))).filter(F.expr("shiftright(wanted, shift) & 1") == 1).drop("wanted"), "suffix-keys")
     keys = ["shift", "rank", "rest"]
     firsts = stored(keyed.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")), "suffix-firsts")
-    return keyed.join(firsts, keys).filter(F.col("id") > F.col("first")).select("id", "h", "start").distinct()
+    gone = keyed.join(firsts, keys).filter(F.col("id") > F.col("first"))
+    return gone.groupBy("owner").agg(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))).alias("runs"))
+
+
+def repeated_runs(pieces: DataFrame, length: int, *, cuts: tuple[int, ...] = CUTS, sparse: bool = True, max_filter_bits: int = 1 << 29) -> DataFrame:
+    """(owner, runs) of ``pieces`` (owner, id, data): ``runs`` are the stretches [a, b) of byte positions
+    at which a string of ``length`` bytes starts that also starts in a row of smaller id.
+
+    ``owner`` is binary and tells rows of different data or id apart. ``cuts`` are the levels at
+    which equal pieces are collapsed before the difference cover; none gives the same result.
+    """
+    if length < 8:
+        raise ValueError("length is 8 at least")
+    if not cuts:
+        return _by_cover(pieces, length, max_filter_bits)
+    shared = _filter_of(pieces, length, sparse, max_filter_bits)
+    fields = [("owner", T.BinaryType()), ("id", pieces.schema["id"].dataType), ("start", T.IntegerType()), ("n", T.IntegerType()), ("key", T.BinaryType()), ("data", T.BinaryType())]
+    parts = stored(pieces.mapInArrow(_split(length, cuts[0], sparse, shared), T.StructType([T.StructField(*f) for f in fields])), f"pieces-{cuts[0]}")
+    groups = stored(parts.groupBy("key", "data").agg(F.min("id").alias("first"), F.max("id").alias("last")), f"groups-{cuts[0]}")
+    inner = repeated_runs(groups.select(F.col("key").alias("owner"), F.col("first").alias("id"), "data"), length, cuts=cuts[1:], sparse=False, max_filter_bits=max_filter_bits)
+    known = groups.select("key", "first", "last").join(inner.withColumnRenamed("owner", "key"), "key", "left")
+    repeated = stored(known.filter((F.col("first") < F.col("last")) | F.col("runs").isNotNull()).drop("last"), f"repeated-{cuts[0]}")
+    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
+    gone = parts.drop("data").join(repeated, "key").select("owner", F.inline(F.when(F.col("id") > F.col("first"), whole).otherwise(moved)))
+    return gone.groupBy("owner").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
 
 
-def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """``docs`` plus ``kept`` (bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Removed is every byte covered by a string of ``length`` bytes that also starts in a document
@@ -137,9 +241,13 @@ def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", t
     named as the new ones are replaced.
     """
     docs = without(docs, ["kept", "n_bytes", "n_removed", "n_spans"])
-    starts = repeated_starts(docs, length, id_col=id_col, text_col=text_col).groupBy("id", "h").agg(F.collect_list("start").alias("starts"))
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    joined = left.join(starts, ["id", "h"], "left").select("row", "starts")
+    text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
+    owner = F.unhex(F.md5(F.concat_ws("\0", id_.cast("string"), F.coalesce(text, F.lit("")))))
+    texts = docs.filter(id_.isNotNull() & (F.octet_length(text) >= length)).select(owner.alias("owner"), id_.alias("id"), text.cast("binary").alias("data"))
+    runs = stored(repeated_runs(texts, length, cuts=cuts), "removed-runs")
+    n_bytes = runs.select(F.sum(F.lit(48) + 8 * F.size("runs"))).first()[0] or 0
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(id_.isNotNull(), owner).alias("owner"))
+    joined = left.join(F.broadcast(runs) if n_bytes <= MAX_BROADCAST else runs, "owner", "left").select("row", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +257,8 @@ def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", t
                 data = (text.as_py() or "").encode("utf-8")
                 step = np.zeros(len(data) + 1, np.int64)
                 if own.is_valid:
-                    at = own.values.to_numpy()
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + length, -1)
+                    np.add.at(step, own.values.field("a").to_numpy(), 1)
+                    np.add.at(step, own.values.field("b").to_numpy() + length - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 edges = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].any())
                 out.append((np.frombuffer(data, np.uint8)[~gone].tobytes(), len(data), int(gone.sum()), edges))
