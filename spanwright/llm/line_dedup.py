@@ -52,7 +52,7 @@ def repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, i
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     lines = texts.select(F.sum(F.coalesce(newlines, F.lit(0)) + 1)).first()[0] or 0
-    hashes = lambda text: np.array([xxhash.xxh64_intdigest(k) for k in _doc_keys(text, min_chars)], np.uint64)
+    hashes = lambda column: (np.array([xxhash.xxh64_intdigest(k) for k in _doc_keys(text.as_py(), min_chars)], np.uint64) for text in column)
     shared = seen_twice(texts, hashes, bits_for(lines, max_filter_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,15 +37,16 @@ CUTS = (32, 5)
 CUT_WORD = 12
 #: A list of removed stretches up to so many bytes is broadcast to the texts; a larger one is joined.
 MAX_BROADCAST = 32 << 20
-#: Rows that a task hands on at a time.
+#: Bytes of rows that a task works on at a time (a longer row is one piece of work), and rows it hands on.
+CHUNK = 1 << 19
 BATCH = 1 << 14
 
 
-def _hashes(data: bytes, width: int) -> np.ndarray:
+def _hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A rolling 64-bit hash of every window of ``width`` bytes."""
     if len(data) < width:
         return np.array([], np.uint64)
-    b = np.frombuffer(data, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD1B54A32D192ED03)
+    b = data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD1B54A32D192ED03)
     b ^= b >> np.uint64(29)
     base, size, h, out, done = np.uint64(0xBF58476D1CE4E5B9), 1, b, None, 0
     with np.errstate(over="ignore"):
@@ -70,7 +71,7 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-def _marks(data: bytes, length: int, sparse: bool) -> np.ndarray:
+def _marks(data: np.ndarray, length: int, sparse: bool) -> np.ndarray:
     """A key for each start of a string of ``length`` bytes, decided by the string alone: its hash or, if
     ``sparse``, the least hash of the words of half its length in it, which neighbours mostly share."""
     if len(data) < length:
@@ -83,53 +84,85 @@ def _marks(data: bytes, length: int, sparse: bool) -> np.ndarray:
     return least ^ (least >> np.uint64(32))
 
 
-def _suspects(data: bytes, length: int, sparse: bool, words: np.ndarray) -> np.ndarray:
-    """For each start, whether another text may have its string."""
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of its first row, bytes, offsets) of runs of rows of about ``CHUNK`` bytes, so that array work spans many short rows."""
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if offs[-1] == offs[0]:
+        return
+    data, lo = np.frombuffer(column.buffers()[2], np.uint8), 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK, "right")) - 1)
+        yield lo, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        lo = hi
+
+
+def _starts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every byte, and whether a string of ``length`` bytes that starts there ends in its row."""
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    at = np.arange(max(0, len(data) - length + 1))
+    return row, at + length <= offs[1:][row[: len(at)]]
+
+
+def _keys_of(length: int, sparse: bool):
+    """Column -> the different marks of each row, many rows at a time."""
+
+    def run(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, data, offs in _chunks(column):
+            row, inside = _starts(data, offs, length)
+            at = np.flatnonzero(inside)
+            marks, row = _marks(data, length, sparse)[at], row[at]
+            at = np.flatnonzero(np.concatenate(([True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])))[: len(marks)])
+            marks, row = marks[at], row[at]
+            order = np.argsort(marks, kind="stable")
+            marks, row = marks[order], row[order]
+            yield marks[np.concatenate(([True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])))[: len(marks)]]
+
+    return run
+
+
+def _suspects(data: np.ndarray, inside: np.ndarray, length: int, sparse: bool, words: np.ndarray) -> np.ndarray:
+    """For each start, whether another row may have its string."""
     marks = _marks(data, length, sparse)
-    if not len(marks):
-        return np.zeros(0, np.bool_)
+    if not inside.any():
+        return inside
     new = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1])))
-    return np.repeat(contains(words, marks[new]), np.diff(np.append(new, len(marks))))
+    return np.repeat(contains(words, marks[new]), np.diff(np.append(new, len(marks)))) & inside
 
 
-def _cuts(data: bytes, reach: int) -> np.ndarray:
-    """Positions whose hash is below those of ``reach`` positions before and not above those of as many behind."""
+def _cuts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, reach: int) -> np.ndarray:
+    """Positions whose hash is below those of ``reach`` positions before and not above those of as many behind, all in one row."""
     x = _hashes(data, CUT_WORD)
-    low = _lowest(x, reach)
     if len(x) < 2 * reach + 1:
         return np.array([], np.int64)
-    own = x[reach : len(x) - reach]
-    return np.flatnonzero((own < low[: len(own)]) & (own <= low[reach + 1 : reach + 1 + len(own)])) + reach
+    low, own = _lowest(x, reach), x[reach : len(x) - reach]
+    at = np.flatnonzero((own < low[: len(own)]) & (own <= low[reach + 1 : reach + 1 + len(own)])) + reach
+    return at[(at - reach >= offs[row[at]]) & (at + reach + CUT_WORD <= offs[1:][row[at]])]
 
 
 def _split(length: int, reach: int, sparse: bool, shared):
     """mapInArrow: (owner, id, data) -> pieces (owner, id, start, n starts, digest, data) of its suspected starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["owner", "id", "start", "n", "key", "data"]
         for batch in batches:
-            id_type = batch.column(1).type
-            kinds = (pa.binary(), id_type, pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            out: list[list] = [[] for _ in kinds]
-            for owner, id_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = data.as_py() or b""
-                ok = _suspects(data, length, sparse, shared.value)
+            for lo, data, offs in _chunks(batch.column(2)):
+                row, inside = _starts(data, offs, length)
+                ok = _suspects(data, inside, length, sparse, shared.value)
                 if not ok.any():
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False])).astype(np.int8)))
-                cuts = _cuts(data, reach)
+                cuts = _cuts(data, offs, row, reach)
                 cuts = cuts[cuts < len(ok)]
-                cuts = cuts[ok[cuts]]
-                starts = np.union1d(edge[::2], cuts)
+                starts = np.union1d(edge[::2], cuts[ok[cuts]])
                 ends = np.minimum(np.append(starts[1:], len(data)), edge[1::2][np.searchsorted(edge[1::2], starts, "right")])
-                for a, b in zip(starts.tolist(), ends.tolist()):
-                    piece = data[a : b + length - 1]
-                    for column, value in zip(out, (owner, id_, a, b - a, hashlib.md5(piece).digest(), piece)):
-                        column.append(value)
-                    if len(out[0]) >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
-                        out = [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+                raw, own = data.tobytes(), row[starts]
+                pieces = [raw[a:b] for a, b in zip(starts.tolist(), (ends + length - 1).tolist())]
+                keys = [hashlib.md5(x).digest() for x in pieces]
+                from_ = pa.array(own + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(from_), batch.column(1).take(from_), pa.array((starts - offs[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(keys, pa.binary()), pa.array(pieces, pa.binary())],
+                    names=["owner", "id", "start", "n", "key", "data"],
+                )
 
     return run
 
@@ -143,28 +176,28 @@ def _sampled(length: int, prefix: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, key, data in zip(batch.column(0), batch.column(1), batch.column(2)):
-                data = data.as_py() or b""
-                ok = _suspects(data, length, False, shared.value)
+            for lo, data, offs in _chunks(batch.column(2)):
+                row, inside = _starts(data, offs, length)
+                ok = _suspects(data, inside, length, False, shared.value)
                 if not ok.any():
                     continue
                 wanted = np.zeros(len(ok) + 2, np.int8)
                 for d in range(3):
                     wanted[d : d + len(ok)] |= ok.astype(np.int8) << d
                 pos = np.flatnonzero(wanted)
-                pos = pos[pos % 3 != 0]
-                padded = b"\0\0" + data + bytes(tail)
-                view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(padded, np.uint8), length + 2)
+                pos = pos[(pos - offs[row[pos]]) % 3 != 0]
+                view = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(2, np.uint8), data, np.zeros(tail, np.uint8)]), length + 2)
                 for i in range(0, len(pos), BATCH):
                     at = pos[i : i + BATCH]
                     rows = view[at]  # two bytes before the position, then as many as a match has
+                    from_ = pa.array(row[at] + lo)
 
                     def cut(start: int, width: int) -> pa.Array:
                         part = np.ascontiguousarray(rows[:, start + 2 : start + 2 + width])
                         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(part)]).cast(pa.binary())
 
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(owner, len(at)), pa.repeat(key, len(at)), pa.array(at, pa.int32()), pa.array(wanted[at], pa.int8()), cut(0, prefix), cut(prefix, prefix), cut(-2, 2), cut(2 * prefix, tail)],
+                        [batch.column(0).take(from_), batch.column(1).take(from_), pa.array((at - offs[row[at]]).astype(np.int32)), pa.array(wanted[at]), cut(0, prefix), cut(prefix, prefix), cut(-2, 2), cut(2 * prefix, tail)],
                         names=["owner", "id", "pos", "wanted", "one", "two", "before", "after"],
                     )
 
@@ -181,7 +214,7 @@ def _filter_of(pieces: DataFrame, length: int, sparse: bool, max_filter_bits: in
     """The filter of marks that two rows of ``pieces`` have."""
     n_bytes = pieces.select(F.sum(F.greatest(F.octet_length("data") - length + 1, F.lit(0)))).first()[0] or 0
     keys = n_bytes * 2 // (length - length // 2 + 2) if sparse else n_bytes
-    return seen_twice(pieces.select("data"), lambda data: np.unique(_marks(data or b"", length, sparse)), bits_for(keys, max_filter_bits))
+    return seen_twice(pieces.select("data"), _keys_of(length, sparse), bits_for(keys, max_filter_bits))
 
 
 def _by_cover(pieces: DataFrame, length: int, max_filter_bits: int) -> DataFrame:

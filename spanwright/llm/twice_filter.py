@@ -8,7 +8,7 @@ that two documents share can be missing from the merged *twice* filter.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ def contains(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _get(words, pos[0]) & _get(words, pos[1])
 
 
-def _fill(bits: int, keys_of: Callable[[str | None], np.ndarray]):
+def _fill(bits: int, keys_of: Callable[[pa.Array], Iterable[np.ndarray]]):
     """mapInArrow: texts of a task -> the non-empty segments of its two filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,8 +59,8 @@ def _fill(bits: int, keys_of: Callable[[str | None], np.ndarray]):
 
         for batch in batches:
             held, size = [], 0
-            for text in batch.column(0):
-                held.append(keys_of(text.as_py()))
+            for keys in keys_of(batch.column(0)):
+                held.append(keys)
                 size += len(held[-1])
                 if size > 1 << 20:
                     put(np.concatenate(held))
@@ -89,10 +89,10 @@ def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"seg": pd.Series([*kept], dtype="int32"), "twice": [zlib.compress(x[1].tobytes(), 1) for x in kept.values()]})
 
 
-def seen_twice(texts: DataFrame, keys_of: Callable[[str | None], np.ndarray], bits: int):
+def seen_twice(texts: DataFrame, keys_of: Callable[[pa.Array], Iterable[np.ndarray]], bits: int):
     """A broadcast of the merged *twice* filter (``bits`` / 8 bytes) of the one text column of ``texts``.
 
-    ``keys_of`` gives the different key hashes of a document.
+    ``keys_of`` gives arrays of key hashes for a column; a document's keys are different and in one array.
     """
     spark = texts.sparkSession
     parts = texts.mapInArrow(_fill(bits, keys_of), "seg int, once binary, twice binary")
