@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwright.llm.common import stored, without
+from spanwright.llm.common import stored as stored_as
+from spanwright.llm.common import without
 from spanwright.llm.twice_filter import bits_for, contains, seen_twice
 
 #: Half the least distance of two cuts, level by level.
@@ -42,6 +43,11 @@ CHUNK = 1 << 19
 BATCH = 1 << 14
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Stored with the codec that keeps pieces of text smallest."""
+    return stored_as(df, name, "zstd")
+
+
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A rolling 64-bit hash of every window of ``width`` bytes."""
     if len(data) < width:
@@ -73,12 +79,12 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
 
 def _marks(data: np.ndarray, length: int, sparse: bool) -> np.ndarray:
     """A key for each start of a string of ``length`` bytes, decided by the string alone: its hash or, if
-    ``sparse``, the least hash of the words of half its length in it, which neighbours mostly share."""
+    ``sparse``, the least hash of the words of three quarters of its length in it, which neighbours often share."""
     if len(data) < length:
         return np.array([], np.uint64)
     if not sparse:
         return _hashes(data, length)
-    word = length // 2
+    word = length * 3 // 4
     with np.errstate(over="ignore"):
         least = _lowest(_hashes(data, word), length - word + 1) * np.uint64(0xD6E8FEB86659FD93)
     return least ^ (least >> np.uint64(32))
@@ -213,7 +219,7 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 def _filter_of(pieces: DataFrame, length: int, sparse: bool, max_filter_bits: int):
     """The filter of marks that two rows of ``pieces`` have."""
     n_bytes = pieces.select(F.sum(F.greatest(F.octet_length("data") - length + 1, F.lit(0)))).first()[0] or 0
-    keys = n_bytes * 2 // (length - length // 2 + 2) if sparse else n_bytes
+    keys = n_bytes * 2 // (length - length * 3 // 4 + 2) if sparse else n_bytes
     return seen_twice(pieces.select("data"), _keys_of(length, sparse), bits_for(keys, max_filter_bits))
 
 
@@ -221,7 +227,7 @@ def _by_cover(pieces: DataFrame, length: int, max_filter_bits: int) -> DataFrame
     """(owner, runs) of ``pieces`` (owner, id, data) by the difference cover."""
     prefix = (length - 2) // 6 * 3  # a multiple of 3, so that the shift by it stays in the cover
     tail = length - 2 * prefix
-    fields = [("owner", T.BinaryType()), ("id", pieces.schema["id"].dataType), ("pos", T.IntegerType()), ("wanted", T.ByteType())] + [(n, T.BinaryType()) for n in ("one", "two", "before", "after")]
+    fields = [("owner", pieces.schema["owner"].dataType), ("id", pieces.schema["id"].dataType), ("pos", T.IntegerType()), ("wanted", T.ByteType())] + [(n, T.BinaryType()) for n in ("one", "two", "before", "after")]
     shared = _filter_of(pieces, length, False, max_filter_bits)
     rows = stored(pieces.mapInArrow(_sampled(length, prefix, shared), T.StructType([T.StructField(*f) for f in fields])), "suffixes")
     first = _named(rows.select(F.explode(F.array("one", "two")).alias("triple")), ["triple"], "name")
@@ -244,7 +250,7 @@ def repeated_runs(pieces: DataFrame, length: int, *, cuts: tuple[int, ...] = CUT
     """(owner, runs) of ``pieces`` (owner, id, data): ``runs`` are the stretches [a, b) of byte positions
     at which a string of ``length`` bytes starts that also starts in a row of smaller id.
 
-    ``owner`` is binary and tells rows of different data or id apart. ``cuts`` are the levels at
+    ``owner`` tells rows of different data or id apart (a digest of texts, a number of pieces). ``cuts`` are the levels at
     which equal pieces are collapsed before the difference cover; none gives the same result.
     """
     if length < 8:
@@ -252,11 +258,12 @@ def repeated_runs(pieces: DataFrame, length: int, *, cuts: tuple[int, ...] = CUT
     if not cuts:
         return _by_cover(pieces, length, max_filter_bits)
     shared = _filter_of(pieces, length, sparse, max_filter_bits)
-    fields = [("owner", T.BinaryType()), ("id", pieces.schema["id"].dataType), ("start", T.IntegerType()), ("n", T.IntegerType()), ("key", T.BinaryType()), ("data", T.BinaryType())]
+    fields = [("owner", pieces.schema["owner"].dataType), ("id", pieces.schema["id"].dataType), ("start", T.IntegerType()), ("n", T.IntegerType()), ("key", T.BinaryType()), ("data", T.BinaryType())]
     parts = stored(pieces.mapInArrow(_split(length, cuts[0], sparse, shared), T.StructType([T.StructField(*f) for f in fields])), f"pieces-{cuts[0]}")
-    groups = stored(parts.groupBy("key", "data").agg(F.min("id").alias("first"), F.max("id").alias("last")), f"groups-{cuts[0]}")
-    inner = repeated_runs(groups.select(F.col("key").alias("owner"), F.col("first").alias("id"), "data"), length, cuts=cuts[1:], sparse=False, max_filter_bits=max_filter_bits)
-    known = groups.select("key", "first", "last").join(inner.withColumnRenamed("owner", "key"), "key", "left")
+    grouped = parts.groupBy("key", "data").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    groups = stored(grouped.withColumn("number", F.monotonically_increasing_id()), f"groups-{cuts[0]}")
+    inner = repeated_runs(groups.select(F.col("number").alias("owner"), F.col("first").alias("id"), "data"), length, cuts=cuts[1:], sparse=False, max_filter_bits=max_filter_bits)
+    known = groups.select("number", "key", "first", "last").join(inner.withColumnRenamed("owner", "number"), "number", "left").drop("number")
     repeated = stored(known.filter((F.col("first") < F.col("last")) | F.col("runs").isNotNull()).drop("last"), f"repeated-{cuts[0]}")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
