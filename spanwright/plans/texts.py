@@ -327,4 +327,10 @@ def h16_near_dup(spark, sf):
     return segment.jaccard_pairs(_docs(spark, sf, "n_chars").filter("n_chars between 20 and 400"), 0.9)
 
 
+@query()
+def h16_near_dup_all(spark, sf):
+    """The same over documents of every length: classes of equal word sets, then pairs of classes."""
+    return segment.jaccard_classes(_docs(spark, sf), 0.9)
+
+
 QUERIES, ORACLES = Q, O

@@ -1,12 +1,14 @@
 """Literal cases of the operators."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
 from spanwright.operators import chunk, metrics, segment, stats, study, vector
+from spanwright.plans import texts
 
 
 def rows(df):
@@ -141,3 +143,23 @@ def test_mixed_model_recovers_slope(spark):
 
 def test_nfc(spark):
     assert one(spark, "é", tx.nfc) == "é"
+
+
+def test_near_dup_of_every_length(spark):
+    """Classes and their pairs give all pairs of word sets, also of texts beyond 400 characters."""
+    rows = [(r.doc_id, set(re.sub("[^a-z0-9]+", " ", r.text.lower()).split())) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null").collect()]
+    long = {f"w{i}" for i in range(200)}
+    extra = [(10_000 + i, long - {f"w{i // 2}"}) for i in range(6)] + [(10_010, long | {f"x{i}" for i in range(50)})]
+    sets = {i: s for i, s in rows + extra if s}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.9}
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], "doc_id long, text string")
+    got = segment.jaccard_classes(docs, 0.9).collect()
+    name = {r.b: r.a for r in got if r.jaccard == 1}
+    linked = {(r.a, r.b): r.jaccard for r in got if r.jaccard < 1}
+    classes = {i: name.get(i, i) for i in sets}
+    pairs = {(a, b): 1.0 if classes[a] == classes[b] else linked.get(tuple(sorted((classes[a], classes[b]))), 0) for a in sets for b in sets if a < b}
+    assert {k: v for k, v in pairs.items() if v} == pytest.approx(want)
+    assert len(got) == len(name) + len(linked)
+    full = texts.h16_near_dup_all(spark, "/root/testdata/sf0.001").collect()
+    assert {r.b for r in full if r.jaccard == 1} == {i for i in name if i < 10_000}
