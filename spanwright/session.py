@@ -1,8 +1,12 @@
-"""The session that tests and benchmarks use; on a cluster the submitter's own settings hold."""
+"""The session that tests and benchmarks use, and the folder that a session's machines share.
+
+On a cluster the submitter's own settings hold.
+"""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +27,19 @@ def local_session(cpus: str | int = "*", app: str = "spanwright") -> SparkSessio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local session that names none gets a temporary folder, since one machine is all there is; on a
+    cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-local-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")

@@ -6,18 +6,17 @@ the same plans run continuously with another trigger.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import matched_keywords
+from spanwright.session import shared_dir
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
 
 def _source(spark: SparkSession, path: str) -> DataFrame:
