@@ -61,15 +61,19 @@ WITH parts AS (
   SELECT p.page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
   FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
   GROUP BY p.page_id
+), f(name, verdict, n, pattern) AS (
+  VALUES ('||m.*.html|', 'block', 8, '^[^:/?#]+://([^/?#]*\.)?m\..*\.html$'),
+         ('||ads.', 'block', 4, '^[^:/?#]+://([^/?#]*\.)?ads\.'), ('||adserver.', 'block', 9, '^[^:/?#]+://([^/?#]*\.)?adserver\.'),
+         ('||banner.', 'block', 7, '^[^:/?#]+://([^/?#]*\.)?banner\.'), ('||tracker.', 'block', 8, '^[^:/?#]+://([^/?#]*\.)?tracker\.'),
+         ('||pixel.', 'block', 6, '^[^:/?#]+://([^/?#]*\.)?pixel\.'), ('||casino.', 'block', 7, '^[^:/?#]+://([^/?#]*\.)?casino\.'),
+         ('/pixel.gif^', 'block', 11, '/pixel\.gif([^a-z0-9_.%-]|$)'), ('/ads/', 'block', 5, '/ads/'), ('/banner/', 'block', 8, '/banner/'),
+         ('/casino/', 'block', 8, '/casino/'), ('@@/ads/txt/', 'allow', 9, '/ads/txt/')
+), pat AS (
+  SELECT page_id, arg_max(verdict, (n, name)) AS verdict FROM pages JOIN f ON regexp_matches(url, '(?is)' || pattern) GROUP BY page_id
 )
 SELECT p.page_id, p.host, p.path, fit.rule,
-       coalesce(fit.verdict, CASE
-         WHEN regexp_matches(p.host, '^m\.') AND regexp_matches(p.path, '^/[^\n]*\.html$')
-           OR regexp_matches(p.host, '(^|[.])ads[.]')
-           OR regexp_matches(p.path, '^(.*/)?pixel(/|\.gif|$)')
-           OR regexp_matches(lower(p.host || chr(10) || p.path), '(^|[^a-z0-9])casino([^a-z0-9]|$)')
-         THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN fit USING (page_id)
+       coalesce(fit.verdict, pat.verdict, 'allow') AS verdict
+FROM p LEFT JOIN fit USING (page_id) LEFT JOIN pat USING (page_id)
 """
 
 OP9 = r"""

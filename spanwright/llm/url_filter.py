@@ -1,9 +1,9 @@
 """URL filters: rules indexed by their rarest literal token, candidates fetched by URL tokens.
 
-Every rule has one regular expression and the literal tokens that any URL it fits must
-have. The corpus decides which token of a rule is rarest; the rule is indexed under that
-token alone. A URL fetches the rules under its own tokens and only those expressions run.
-All of it is joins and SQL functions; URLs that repeat are judged once.
+Every rule has regular expressions and the literal tokens that any URL it fits must
+have, which are read off its own text. The corpus decides which token of a rule is rarest; the
+rule is indexed under that token alone. A URL fetches the rules under its own tokens and only
+their expressions run. All of it is joins and SQL functions; URLs that repeat are judged once.
 """
 
 from __future__ import annotations
@@ -22,25 +22,47 @@ BROADCAST_RULES = 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``rank`` orders the rules that fit one URL (largest first, then ``name``)."""
+    """``rank`` orders the rules that fit one URL (largest first, then ``name``).
+
+    A rule fits if each of its expressions is found: ``host`` and ``path`` in those parts, ``url`` in
+    the whole; an empty one is found anywhere.
+    """
 
     name: str
     verdict: str
     tokens: tuple[str, ...]
-    pattern: str
     rank: int
     listed: bool
+    host: str = ""
+    path: str = ""
+    url: str = ""
 
 
 def prefix_rule(verdict: str, host: str, path: str) -> Rule:
     """Fits ``host`` and its subdomains where the path starts with ``path``; longer rules win."""
-    tokens = tuple(re.findall(r"[a-z0-9]+", host)) + tuple(t[:-1] for t in re.findall(r"[A-Za-z0-9]+[^A-Za-z0-9]", path))
-    return Rule(host + path, verdict, tuple(t.lower() for t in tokens), rf"^([^\n]*\.)?{re.escape(host)}\n{re.escape(path)}", 1_000_000 + len(host + path), True)
+    tokens = tuple(re.findall(r"[a-z0-9]+", host)) + tuple(t[:-1].lower() for t in re.findall(r"[A-Za-z0-9]+[^A-Za-z0-9]", path))
+    return Rule(host + path, verdict, tokens, 1_000_000 + len(host + path), True, host=rf"(?s)^(.*\.)?{re.escape(host)}\z", path=rf"(?s)^{re.escape(path)}")
 
 
-def pattern_rule(verdict: str, name: str, tokens: tuple[str, ...], pattern: str) -> Rule:
-    """A regular expression over ``host + '\\n' + path``; ranks below every prefix rule."""
-    return Rule(name, verdict, tokens, pattern, len(pattern), False)
+def filter_rule(line: str) -> Rule:
+    """A line of the common filter syntax of ad blockers, ranked below every prefix rule.
+
+    ``||`` is the start of a host or of one of its labels, ``|`` an end of the URL, ``^`` a separator or the
+    end, ``*`` anything; letters match in both cases. ``@@`` in front allows, all else blocks; of the
+    rules that fit, the longest wins. Options, comments and element rules are refused, as are
+    lines without a literal token, that is, letters and digits with a delimiter at both sides.
+    """
+    body = line.removeprefix("@@")
+    if not body or body[0] in "![" or "$" in body or "##" in body:
+        raise ValueError(f"not a URL pattern: {line}")
+    start, end = re.match(r"\|{0,2}", body)[0], "|" if body.endswith("|") else ""
+    core = body[len(start) : len(body) - len(end)].lower()
+    pieces = {"*": ".*", "^": "([^a-z0-9_.%-]|$)"}
+    pattern = {"": "", "|": "^", "||": r"^[^:/?#]+://([^/?#]*\.)?"}[start] + "".join(pieces.get(c) or re.escape(c) for c in core) + ("$" if end else "")
+    # a token has to end within the pattern, or the URL may go on with more letters
+    fenced = (" " if start else "*") + core + (" " if end else "*")
+    tokens = tuple(re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", fenced))
+    return Rule(line, "allow" if line.startswith("@@") else "block", tokens, len(core), False, url=f"(?is){pattern}")
 
 
 #: Default list: (verdict, host, path).
@@ -52,13 +74,9 @@ PREFIX_RULES = (
     prefix_rule("block", "net", "/fr/"),
 )
 
-#: Default patterns, for URLs that no prefix rule fits: mirrors of mobile sites and plain trackers.
-PATTERN_RULES = (
-    pattern_rule("block", "mobile-html", ("m", "html"), r"^m\.[^\n]*\n/[^\n]*\.html$"),
-    pattern_rule("block", "ad-server", ("ads",), r"(^|[.])ads[.][^\n]*\n"),
-    pattern_rule("block", "tracking-pixel", ("pixel",), r"\n(.*/)?pixel(/|\.gif|$)"),
-    pattern_rule("block", "casino", ("casino",), r"(^|[^a-z0-9])casino([^a-z0-9]|$)"),
-)
+#: Default patterns, for URLs that no prefix rule fits: mirrors of mobile sites, advertisements, trackers and gambling.
+FILTER_LINES = ("||m.*.html|", "||ads.", "||adserver.", "||banner.", "||tracker.", "||pixel.", "/pixel.gif^", "/ads/", "/banner/", "||casino.", "/casino/", "@@/ads/txt/")
+PATTERN_RULES = tuple(map(filter_rule, FILTER_LINES))
 
 
 def url_parts(url):
@@ -80,10 +98,11 @@ def _tokens(subject):
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = PREFIX_RULES + PATTERN_RULES, *, default: str = "allow", url_col: str = "url") -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule`` (a listed rule or null), ``pattern`` and ``verdict``.
 
-    Of the rules that fit, the largest rank decides; without any, ``default`` holds. Null
-    and malformed URLs have empty host and path, fit no rule and get the default. Repeated
-    rows are all judged; columns named as the new ones are replaced; an empty table stays
-    empty. A rule without a literal token is refused, since nothing could fetch it.
+    Of the rules that fit, the largest rank decides, of equal ones the larger name; without any,
+    ``default`` holds. Null and malformed URLs have empty host and path, fit no prefix rule and get the
+    default where no pattern fits. URLs are read whole, line feeds and all. Repeated rows are all
+    judged; columns named as the new ones are replaced; an empty table stays empty. A rule without a
+    literal token is refused, since nothing could fetch it.
     """
     if bare := [r.name for r in rules if not r.tokens]:
         raise ValueError(f"rules without a literal token: {bare}")
@@ -92,18 +111,20 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = PREFIX_RULES + PATTER
     urls = pages.select(F.col(url_col).alias("url")).filter(F.col("url").isNotNull()).distinct()
     host, path = url_parts(F.col("url"))
     urls = urls.select("url", host.alias("host"), path.alias("path"))
-    words = urls.select("url", "host", "path", F.explode(_tokens(F.concat_ws("\n", "host", "path"))).alias("token"))
-    listed = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.rank, r.listed, t) for i, r in enumerate(rules) for t in r.tokens], "no int, name string, verdict string, pattern string, rank int, listed boolean, token string")
+    words = urls.select("url", "host", "path", F.explode(_tokens(F.col("url"))).alias("token"))
+    rows = [(i, r.name, r.verdict, r.host, r.path, r.url, r.rank, r.listed, t) for i, r in enumerate(rules) for t in r.tokens]
+    listed = spark.createDataFrame(rows, "no int, name string, verdict string, in_host string, in_path string, in_url string, rank int, listed boolean, token string")
     small = len(rules) <= BROADCAST_RULES
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     seen = words.join(sized(listed.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     index = (
         listed.join(sized(seen), "token", "left")
-        .groupBy("no", "name", "verdict", "pattern", "rank", "listed")
+        .groupBy("no", "name", "verdict", "in_host", "in_path", "in_url", "rank", "listed")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
-        .select("name", "verdict", "pattern", "rank", "listed", F.col("rarest.token").alias("token"))
+        .drop("no")
+        .withColumn("token", F.col("rarest.token"))
     )
-    fits = words.join(sized(index), "token").filter(F.expr("concat_ws('\n', host, path) rlike pattern"))
+    fits = words.join(sized(index), "token").filter(F.expr("host rlike in_host and path rlike in_path and url rlike in_url"))
     best = fits.groupBy("url").agg(F.max(F.struct("rank", "name", "verdict", "listed")).alias("__best"))
     judged = pages.join(best.withColumnRenamed("url", "__url"), F.col(url_col) == F.col("__url"), "left")
     host, path = url_parts(F.col(url_col))
