@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.session import shared_dir
+
 #: The six ASCII blanks \x20 and \x09-\x0D, as a character class and as text.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -19,19 +20,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine) a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; the application id groups what one run leaves."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -49,6 +37,16 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add (its own win over clashing ones)."""
     taken = {n.lower() for n in names}

@@ -24,6 +24,8 @@ from spanwright.llm.common import WORD_CLASS, stored
 #: Rows of a group in which pairs are formed, and rows that a group leaves open.
 GROUP_ROWS = 512
 OPEN_ROWS = 32
+#: Equal rows (same id, source and size) that one task numbers at a time.
+TWIN_ROWS = 1 << 16
 #: Groups that meet in one node of the tree, and in its root.
 FAN_IN = 8
 ROOT_GROUPS = 4
@@ -65,30 +67,35 @@ def _move(p: float, a: float, q: float, b: float, u: float) -> tuple[float, floa
 
 
 def pair_up(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int) -> np.ndarray:
-    """Settles fractions in order until ``leave`` at most are open."""
+    """Settles fractions in order until ``leave`` at most are open; the sum of p * size stays.
+
+    One open row is carried along and meets the next ones in turn; where both rows of a pair
+    end at once, the row after them is carried on.
+    """
     p = p.copy()
     todo = np.flatnonzero((p > 0) & (p < 1))
-    if len(todo) <= leave:
-        return p
-    i, k = todo[0], len(todo)
-    for j, u in zip(todo[1:], rng.random(len(todo))):
-        if k <= leave:
+    still, carried = len(todo), -1
+    for j, u in zip(todo, rng.random(len(todo))):
+        if carried < 0:
+            carried = j
+            continue
+        if still <= leave:
             break
+        i = carried
         p[i], p[j] = _move(p[i], size[i], p[j], size[j], u)
-        ended = [x in (0.0, 1.0) for x in (p[i], p[j])]
-        k -= sum(ended)
-        if ended[0]:
-            i = j
-        if all(ended):  # both ended: the next open one takes over
-            rest = todo[todo > j]
-            if not len(rest):
-                break
-            i = rest[0]
+        open_ = [x for x in (i, j) if 0 < p[x] < 1]
+        still -= 2 - len(open_)
+        carried = open_[0] if open_ else -1
     return p
 
 
 def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds what is open from the largest to the smallest document; each error moves to smaller ones."""
+    """Rounds what is open from the largest to the smallest document; each error moves to smaller ones.
+
+    Where the smaller ones cannot take an error whole, the one or two settled documents whose turning
+    brings the sum nearest to where it was are turned.
+    """
+    aim, settled = float((p * size).sum()), np.flatnonzero((p > 0) & (p < 1))
     p = p.copy()
     todo = [i for i in np.lexsort((np.arange(len(p)), -size)) if 0 < p[i] < 1]
     for k, (i, u) in enumerate(zip(todo, rng.random(len(todo)))):
@@ -104,9 +111,29 @@ def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
         p[i] = float(one)
         if len(rest):
             p[rest] = p[rest] * (1 - min(give, mass) / mass if mass else 0.0) if one else 1 - (1 - p[rest]) * (1 - min(take, room) / room if room else 0.0)
+    want = aim - float((p * size).sum())
+    step = np.append(np.where(p[settled] > 0.5, -1, 1) * size[settled], 0.0)  # the last one turns nothing
+    order = np.argsort(step, kind="stable")
+    at = np.searchsorted(step[order], want - step)
+    turns = [(abs(want - step[i] - step[j]), i, int(j)) for i in range(len(step)) for j in order[max(0, at[i] - 2) : at[i] + 2] if i != j]
+    left, *pair = min(turns, default=(abs(want),))
+    if left < abs(want) - EPS:
+        turned = settled[[k for k in pair if k < len(settled)]]
+        p[turned] = 1 - p[turned]
     return p
 
 
+def numbered(counted: DataFrame) -> DataFrame:
+    """Rows with a count ``n`` -> each ``n`` times with ``nth`` = 0, 1, ...: equal rows are told apart
+    without a window over them, and a row of a large count is dealt to many tasks first."""
+    step = F.lit(TWIN_ROWS).cast("long")
+    few, many = counted.filter(F.col("n") <= step), counted.filter(F.col("n") > step)
+    many = many.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)))
+    many = many.repartition(*[c for c in counted.columns if c != "n"], "low")
+    runs = few.withColumn("low", F.lit(0).cast("long")).unionByName(many)
+    return runs.withColumn("nth", F.explode(F.sequence("low", F.least(F.col("low") + step, "n") - 1))).drop("n", "low")
+
+
 def _seed(*parts) -> np.random.Generator:
     return np.random.default_rng(xxhash.xxh64_intdigest(repr(parts).encode()))
 
@@ -117,12 +144,15 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_copies:
     ``size`` is the number of words (null text: 0), ``copies`` how often the mix takes the
     document (0 to ``max_copies``), ``taken`` = size * copies. A source's taken words differ from
     its target by about the size of its smallest documents. Null sources are one source;
-    documents without words are never taken; repeated rows are rounded one by one; reruns on
-    the same rows agree whatever their order. An empty table gives an empty result.
+    documents without words are never taken; repeated rows are numbered and rounded one by one,
+    so rows without an id spread over the groups like others; reruns on the same rows agree
+    whatever their order. An empty table gives an empty result; only the three columns named
+    are read, whatever others are called.
     """
     spark = docs.sparkSession
     size = word_count(F.col(text_col))
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    each = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    rows = stored(numbered(each.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))), "mix-sizes")
     rows = rows.withColumn("cls", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
     cells = rows.groupBy("source", "cls").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     goals = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
@@ -137,15 +167,19 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_copies:
     dealt = (
         rows.alias("r")
         .join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.cls") == F.col("p.cls")))
-        .select("id", "r.source", "size", "r.cls", "source_size", "target", F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.col("salts")).alias("salt"), copies.alias("c"))
+        .select("id", "nth", "r.source", "size", "r.cls", "source_size", "target", F.pmod(F.xxhash64("id", "size", "nth", F.lit(seed)), F.col("salts")).alias("salt"), copies.alias("c"))
         .withColumns({"base": F.floor("c"), "p": F.col("c") - F.floor("c")})
         .drop("c")
     )
     schema = dealt.schema
 
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = [xxhash.xxh64_intdigest(f"{seed}/{i}/{s}/{n}") for i, s, n in zip(pdf["id"], pdf["size"], pdf["nth"])]
+        return pdf.assign(h=h).sort_values(["h", "size"], kind="stable").drop(columns="h")
+
     def stage(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.assign(h=[xxhash.xxh64_intdigest(f"{seed}/{i}/{s}") for i, s in zip(pdf["id"], pdf["size"])]).sort_values(["h", "size"], kind="stable").drop(columns="h")
+            pdf = in_order(pdf)
             first = pdf.iloc[0]
             rng = _seed(seed, level, first["source"], int(first["cls"]), int(first["salt"]))
             return pdf.assign(p=pair_up(pdf["p"].to_numpy(), pdf["size"].to_numpy(float), rng, OPEN_ROWS))
@@ -153,7 +187,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_copies:
         return run
 
     def root(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(h=[xxhash.xxh64_intdigest(f"{seed}/{i}/{s}") for i, s in zip(pdf["id"], pdf["size"])]).sort_values(["h", "size"], kind="stable").drop(columns="h")
+        pdf = in_order(pdf)
         return pdf.assign(p=settle(pdf["p"].to_numpy(), pdf["size"].to_numpy(float), _seed(seed, "root", pdf.iloc[0]["source"])))
 
     done, open_ = [], dealt

@@ -189,6 +189,34 @@ def test_targets_cap_and_reshare(spark):
     assert got["b"] == pytest.approx(970 * 2 / 7) and got[None] == pytest.approx(970 * 5 / 7)
 
 
+@pytest.mark.parametrize("p", [1 / 2, 1 / 3, 1 / 4])
+def test_pairs_keep_the_sum_and_are_unbiased(p):
+    size, taken = np.full(300, 10.0), []
+    for seed in range(200):
+        got = mixing.pair_up(np.full(300, p), size, np.random.default_rng(seed), 0)
+        assert (got * size).sum() == pytest.approx(3000 * p, abs=1e-6)
+        assert np.isin(got, (0, 1)).sum() >= 299
+        taken.append(got[:20])
+    assert np.mean(taken) == pytest.approx(p, abs=0.03)
+
+
+def test_mix_of_equal_rows_ends_at_the_target(spark):
+    d = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    got = mixing.mix(d, weights=(3, 1)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 5 for r in got)
+
+
+def test_mix_spreads_rows_without_an_id(spark):
+    d = spark.range(300_000).selectExpr("CAST(null AS long) AS doc_id", "'one two three' AS text", "'a' AS source", "0 AS size", "0 AS copies", "id AS target")
+    d = d.unionByName(spark.range(1000).selectExpr("id AS doc_id", "'one two three' AS text", "'b' AS source", "0 AS size", "0 AS copies", "id AS target"))
+    mixed = mixing.mix(d, weights=(1, 1))
+    assert mixed.columns.count("size") == 1 and mixed.count() == 301_000
+    by = {r.source: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(r.taken - r.target) <= 2 for r in by.values())
+    counted = spark.createDataFrame([("x", 200_001)], "k string, n long")
+    assert [tuple(r) for r in mixing.numbered(counted).agg(F.count("nth"), F.min("nth"), F.max("nth"), F.countDistinct("nth")).collect()] == [(200_001, 0, 200_000, 200_001)]
+
+
 def test_mix_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
@@ -263,15 +291,37 @@ def test_size_range_never_prunes_a_match():
 
 def test_urls(spark):
     urls = ["https://a.example.com/en/1", "http://www.EXAMPLE.com/en/", "https://x.com", "ftp://y.com/?q", "https://b.net/fr/x#y", "http://m.q.org/a.html", "no scheme", None, "https://notexample.com/en/", "http://c.org/Casino/x", "https://a.example.com/en/1"]
+    urls += ["http://x\ny.com/a", "http://x.org/" + "y" * 100_000 + "/ads/txt/z", "http://com\n/a", "http://roads.org/x/ads/y", "http://ads.net/", "http://x.org/pixel.gift", "http://x.org/PIXEL.gif?u"]
     pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
     assert len(got) == len(urls)
-    want = [("example.com/en/", "block"), ("www.example.com/en/", "allow"), (None, "allow"), ("com/", "allow"), ("net/fr/", "block"), (None, "block"), (None, "allow"), (None, "allow"), ("com/", "allow"), (None, "allow"), ("example.com/en/", "block")]
+    want = [("example.com/en/", "block"), ("www.example.com/en/", "allow"), (None, "allow"), ("com/", "allow"), ("net/fr/", "block"), (None, "block"), (None, "allow"), (None, "allow"), ("com/", "allow"), (None, "block"), ("example.com/en/", "block")]
+    want += [("com/", "allow"), (None, "allow"), (None, "allow"), (None, "block"), (None, "block"), (None, "allow"), (None, "block")]
     assert [(got[i].rule, got[i].verdict) for i in range(len(urls))] == want
     assert (got[1].host, got[1].path, got[6].host, got[7].path) == ("www.example.com", "/en/", "", "")
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        url_filter.judge_urls(pages, (url_filter.pattern_rule("block", "bare", (), "x"),))
+        url_filter.judge_urls(pages, (url_filter.filter_rule("*x*"),))
+
+
+def test_filter_lines_and_their_tokens():
+    rule = url_filter.filter_rule
+    assert rule("||m.*.html|").tokens == ("m", "html") and rule("/pixel.gif^").tokens == ("pixel", "gif")
+    assert rule("||ads").tokens == () and rule("@@ads.net^").verdict == "allow" and rule("ads.net^").tokens == ("net",)
+    for line in ("", "! comment", "x$script", "a##b"):
+        with pytest.raises(ValueError):
+            rule(line)
+
+
+def test_urls_like_their_sql(spark, tmp_path):
+    from spanwright.llm.registry import ORACLES, QUERIES
+    from tests.compare import compare
+
+    urls = ["http://x\ny.com/a", "http://x\n.com", "https://m.a.org/x.HTML", "https://a.org/ads/txt/1", "https://ads.org/ads/txt/1", "x", None, "", "://", "a://b://c.com/d", "https://tracker.a.com/", "https://tracker.a.de/"] * 2
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    assert compare(spark, str(tmp_path), QUERIES["op6_url_filter"], ORACLES["op6_url_filter"]) == ""
 
 
 # WARC

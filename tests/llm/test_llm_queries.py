@@ -100,7 +100,7 @@ def test_op8_targets(spark, documents):
         capped |= over
     for n in names:
         assert all(r.target == pytest.approx(want[n]) for r in by[n])
-        assert abs(sum(r.taken for r in by[n]) - want[n]) <= max(r.size for r in by[n])
+        assert abs(sum(r.taken for r in by[n]) - want[n]) <= sorted(r.size for r in by[n])[len(by[n]) // 4]  # ten documents a source
     assert sorted(map(tuple, got)) == sorted(map(tuple, result(spark, "op8_mixing")))
 
 
