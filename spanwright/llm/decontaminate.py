@@ -1,165 +1,298 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
-
-Texts are word sequences. A CGK walk reads the token under its cursor at every step and
-moves on by one or by nothing, as a random function of step and token says; two windows a
-few edits apart soon walk in step again, so their walks agree on most coordinates. A hash
-of a few sampled coordinates is looked up among the hashes of the benchmark's own windows,
-and repeated with other walks and samples. Every item is hashed at all its offsets while a
-document is hashed at every few words only, so an occurrence is tried several times and never
-missed for its alignment. What is found is verified by the edit distance between the whole
-item and the place in the document.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit check.
+
+Texts are character sequences. A CGK walk over a window of n characters takes 3 n steps; at every step
+it reads the character under its cursor and moves on by one or by nothing, as a random function of step and
+character says. Two windows a few edits apart soon walk in step again, so their edit distance
+becomes a Hamming distance of the walks, and a hash of sampled coordinates is often equal. The
+benchmark's items are hashed at all their offsets, documents at every few characters, so an
+occurrence is tried many times and none is missed for its alignment. Window and stride follow
+the item's size (see ``window_of``): whole items would differ in too many coordinates at the error
+rates that count. How many walks are needed is measured: sampled items are edited at the design error
+until ``target_recall`` of them are found. What is found is verified by the edit distance
+between the whole item and the place in the document.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import random
+import string
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwright.llm.common import without
+from spanwright.llm.common import stored, without
+
+#: Bytes of item texts in one pass over the documents; a larger benchmark takes several passes.
+BLOCK_BYTES = 2 << 20
+#: Items of a size that are edited to measure recall, and walks of a size at most. Where these do not reach the target,
+#: ``repeats_for`` raises.
+TRIAL_ITEMS, MOST_REPEATS = 64, 64
+#: Characters that one step of the vectorised search holds, if no single text is longer.
+STEP_CHARS = 1 << 20
+#: Candidates of one item that start within so many characters are verified at once.
+NEAR = 32
+SAMPLES = 16
+BLANK = 32
+
+
+@functools.cache
+def _symbols() -> np.ndarray:
+    """Code point -> a symbol of one byte, 0 where no word character is (``str.isalnum`` or an underscore)."""
+    points = np.arange(0x110000, dtype=np.uint32)
+    word = np.frombuffer(bytes(chr(i).isalnum() or i == 95 for i in range(0x110000)), np.bool_)
+    mixed = np.where(points < 128, points, 128 + (points * np.uint32(0x9E3779B1) >> np.uint32(25)))
+    return np.where(word, mixed, 0).astype(np.uint8)
+
+
+def normal_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, begin of each text and the end): lower-case words, one blank behind each."""
+    raw = [(t or "").lower().encode("utf-32-le", "replace") for t in texts]
+    codes = np.frombuffer(b"".join(raw), np.uint32)
+    ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
+    word = _symbols()[codes] != 0
+    last = np.zeros(len(codes), np.bool_)
+    last[ends[1:][np.diff(ends) > 0] - 1] = True
+    # the first character behind a word stands for its blank; a word that ends its text gets one more
+    keep = word.copy()
+    keep[1:] |= word[:-1] & ~last[:-1]
+    times = keep.astype(np.int8) + (word & last)
+    out = np.repeat(np.where(word, codes, np.uint32(BLANK)), times)
+    begins = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])[ends]
+    out[begins[1:][np.diff(begins) > 0] - 1] = BLANK
+    return out, begins
+
+
+def normal_text(text: str | None) -> str:
+    """Lower-case words between single blanks."""
+    return normal_codes([text])[0].tobytes().decode("utf-32-le").rstrip(" ")
+
 
-WORD = re.compile(r"\w+")
-#: Items of one pass over the documents; a larger benchmark takes several passes.
-BLOCK_ITEMS = 20_000
-PAD = 64
-STEP_WORDS = 1 << 18
+class Item:
+    """A normalised item, prepared for comparisons."""
 
+    def __init__(self, text: str):
+        self.text, self.masks = text, {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, digits and underscores."""
-    return WORD.findall((text or "").lower())
+    def distance(self, text: str) -> int:
+        """Smallest edit distance between the item and any substring of ``text`` (bit-parallel)."""
+        n = len(self.text)
+        if self.text in text:
+            return 0
+        full, top = (1 << n) - 1, 1 << (n - 1)
+        pv, mv, score, best = full, 0, n, n
+        for c in text:
+            eq = self.masks.get(c, 0)
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | (full & ~(xh | pv)), pv & xh
+            score += bool(ph & top) - bool(mh & top)
+            best = min(best, score)
+            ph, mh = ph << 1 & full, mh << 1 & full
+            pv, mv = mh | (full & ~(eq | mv | ph)), ph & (eq | mv)
+        return best
 
 
 def edit_distance_within(item: str, text: str) -> int:
-    """Smallest edit distance between ``item`` and any substring of ``text`` (bit-parallel)."""
-    n = len(item)
-    if item in text or not n:
-        return 0
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    at: dict[str, int] = {}
-    for i, c in enumerate(item):
-        at[c] = at.get(c, 0) | 1 << i
-    pv, mv, score, best = full, 0, n, n
-    for c in text:
-        eq = at.get(c, 0)
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | (full & ~(xh | pv)), pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        best = min(best, score)
-        ph, mh = ph << 1 & full, mh << 1 & full
-        pv, mv = mh | (full & ~(eq | mv | ph)), ph & (eq | mv)
-    return best
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    """64-bit token hashes, ``PAD`` zeros behind."""
-    if not words:
-        return np.zeros(PAD, np.uint64)
-    coded = pa.array(words, pa.string()).dictionary_encode()
-    own = np.array([xxhash.xxh64_intdigest(w.as_py()) | 1 for w in coded.dictionary], np.uint64)
-    return np.concatenate([own[coded.indices.to_numpy()], np.zeros(PAD, np.uint64)])
-
-
-def window_length(n: int) -> int:
-    """Window size for an item of ``n`` words: about half of it, a power of two.
-
-    An item has at least as many windows as the stride, so each occurrence is tried once or more.
-    """
-    half, most = 1 << (max(1, n // 2).bit_length() - 1), 1 << (max(1, (n + 1) * 2 // 3).bit_length() - 1)
-    return min(PAD, max(half, min(8, most)))
+    return Item(item).distance(text)
+
+
+def window_of(n: int) -> tuple[int, int]:
+    """(window, stride) for an item of ``n`` characters: several windows lie within any occurrence."""
+    if n >= 128:
+        return 16, 12
+    if n >= 64:
+        return 16, 6
+    if n >= 32:
+        return 12, 3
+    return max(1, n // 2), max(1, n // 8)
 
 
 class Walks:
-    """The random walks and sampled coordinates of one window size, for ``repeats`` tables."""
-
-    def __init__(self, length: int, repeats: int, samples: int, seed: int):
-        rng = np.random.default_rng([seed, length])
-        self.length, self.stride, walk = length, max(1, length // 2), length + length // 4
-        self.steps = rng.integers(0, 1 << 63, (repeats, walk), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        cuts = np.linspace(0, walk, min(walk, samples) + 1).astype(int)  # one coordinate of each part of the walk
-        self.coords = [{int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])} for _ in range(repeats)]
-
-    def embed(self, tokens: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
-        at, last, out = starts.copy(), starts + (self.length - 1), np.full(len(starts), table + 1, np.uint64)
-        for t in range(max(self.coords[table]) + 1):
-            token = tokens[at]
-            if t in self.coords[table]:
-                out = (out ^ token) * np.uint64(0x9E3779B97F4A7C15)
+    """``repeats`` random walks over windows of ``length`` characters with the coordinates that are sampled."""
+
+    def __init__(self, length: int, repeats: int, seed: int):
+        self.length, steps = length, 3 * length
+        self.moves, self.coords = [], []
+        for r in range(repeats):
+            rng = np.random.default_rng([seed, length, r])
+            self.moves.append(rng.integers(0, 2, (steps, 256), dtype=np.uint8))
+            cuts = np.linspace(0, steps, min(steps, SAMPLES) + 1).astype(int)  # one coordinate of each part of the walk
+            self.coords.append({int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])})
+
+    def embed(self, symbols: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
+        """A hash of the sampled coordinates for each start; the cursor stops at the window's last character."""
+        at, last, out = starts.astype(np.int32), (starts + (self.length - 1)).astype(np.int32), np.full(len(starts), table + 1, np.uint64)
+        moves, coords = self.moves[table], self.coords[table]
+        for t in range(max(coords) + 1):
+            symbol = symbols[at]
+            if t in coords:
+                out = (out ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
                 out ^= out >> np.uint64(29)
-            at += ((token * self.steps[table, t]) >> np.uint64(63)).astype(np.int64)
+            at += moves[t][symbol]
             np.minimum(at, last, out=at)
         return out
 
 
-class Benchmark:
-    """A block of items with the hash tables of all their windows."""
+def _padded(codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([_symbols()[codes], np.zeros(64, np.uint8)])
+
+
+def _edited(text: str, rate: float, rng: random.Random) -> str:
+    """``text`` with a share of its characters replaced, left out or doubled by others."""
+    out = list(text)
+    for i in rng.sample(range(len(text)), int(rate * len(text))):
+        kind = rng.random()
+        out[i] = rng.choice(string.ascii_lowercase) if kind < 0.6 else "" if kind < 0.8 else out[i] + rng.choice(string.ascii_lowercase)
+    return "".join(out)
+
 
-    def __init__(self, items: list[tuple[object, str]], repeats: int, samples: int, seed: int, max_error: float):
-        self.items = [(k, w, " ".join(w)) for k, t in items if (w := words_of(t))]
-        self.max_error, self.repeats = max_error, repeats
-        by_size: dict[int, list[int]] = {}
-        for i, (_, w, _) in enumerate(self.items):
-            by_size.setdefault(window_length(len(w)), []).append(i)
+def repeats_for(items: list[str], window: int, stride: int, rate: float, target: float, seed: int) -> int:
+    """Walks with which ``target`` of a sample of items, edited at ``rate``, share a hash with themselves."""
+    rng = random.Random(seed)
+    trial = [(x, _edited(x, rate, rng)) for x in rng.sample(items, min(len(items), TRIAL_ITEMS)) for _ in range(max(1, TRIAL_ITEMS // len(items)))]
+    plain, other = ([_padded(normal_codes([x])[0]) for x in side] for side in zip(*trial))
+    found = np.zeros(len(trial), np.bool_)
+    walks = Walks(window, MOST_REPEATS, seed)
+    for r in range(MOST_REPEATS):
+        for i in np.flatnonzero(~found):
+            own = walks.embed(plain[i], np.arange(max(1, len(plain[i]) - 64 - window)), r)
+            found[i] = np.isin(walks.embed(other[i], np.arange(i % stride, max(i % stride + 1, len(other[i]) - 64 - window), stride), r), own).any()
+        if found.mean() >= target:
+            return r + 1
+    raise ValueError(f"{MOST_REPEATS} walks find {found.mean():.2f} of the items of {window}-character windows, {target} is asked for")
+
+
+@dataclass
+class Block:
+    """Items (different normalised texts, each with its ids) and what is needed to search for them.
+
+    A block travels to the executors as texts and numbers; the hash tables are built there, once a worker.
+    """
+
+    items: list[tuple[str, list]]
+    repeats: dict[tuple[int, int], int]
+    max_error: float
+    seed: int
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+class Tables:
+    """The hash tables of a block: for each window size and walk the sorted hashes of all windows of all items."""
+
+    held: tuple[str, Tables] | None = None
+
+    @classmethod
+    def of(cls, block: Block) -> Tables:
+        if cls.held is None or cls.held[0] != block.key:
+            cls.held = block.key, cls(block)
+        return cls.held[1]
+
+    def __init__(self, block: Block):
+        self.block = block
+        self.lengths = np.array([len(t) for t, _ in block.items])
+        self.prepared = functools.lru_cache(maxsize=10_000)(lambda i: Item(block.items[i][0]))
         self.sizes = []
-        for length, own in sorted(by_size.items()):
-            walks, tables = Walks(length, repeats, samples, seed), []
-            tokens = [_hashes(self.items[i][1]) for i in own]
+        for (window, stride), repeats in block.repeats.items():
+            own = [i for i, (t, _) in enumerate(block.items) if window_of(len(t)) == (window, stride)]
+            codes = [normal_codes([block.items[i][0]])[0][:-1] for i in own]
+            begins = np.cumsum([0, *map(len, codes)])
+            symbols = _padded(np.concatenate(codes))
+            at = np.concatenate([np.arange(b, b + len(c) - window + 1) for b, c in zip(begins, codes)])
+            part = np.searchsorted(begins, at, "right") - 1
+            item, offset = np.array(own)[part], at - begins[part]
+            walks, tables = Walks(window, repeats, block.seed), []
             for r in range(repeats):
-                keys = [walks.embed(t, np.arange(len(self.items[i][1]) - length + 1), r) for i, t in zip(own, tokens)]
-                key = np.concatenate(keys)
-                order = np.argsort(key, kind="stable")
-                item, offset = np.repeat(own, [len(k) for k in keys]), np.concatenate([np.arange(len(k)) for k in keys])
+                keys = walks.embed(symbols, at, r)
+                order = np.argsort(keys, kind="stable")
                 seen = np.zeros(1 << 20, np.bool_)
-                seen[key & np.uint64((1 << 20) - 1)] = True
-                tables.append((seen, key[order], item[order], offset[order]))
-            self.sizes.append((walks, tables))
-
-    def candidates(self, tokens: np.ndarray, n_words: int) -> set[tuple[int, int]]:
-        """(item, word at which it would start) in a text of ``n_words`` words."""
-        found: set[tuple[int, int]] = set()
-        for walks, tables in self.sizes:
-            for low in range(0, n_words, STEP_WORDS):
-                starts = np.arange(low, min(n_words, low + STEP_WORDS), walks.stride)
-                for r, (seen, keys, item, offset) in enumerate(tables):
-                    h = walks.embed(tokens, starts, r)
-                    hit = np.flatnonzero(seen[h & np.uint64((1 << 20) - 1)])
-                    a, b = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-                    for s, i, j in zip(starts[hit[b > a]], a[b > a], b[b > a]):
-                        found.update((int(item[x]), int(s - offset[x])) for x in range(i, j))
-        return found
-
-    def leaks(self, words: list[str], found: set[tuple[int, int]]) -> list[dict]:
-        """The verified items of a text, each at its best place."""
-        best: dict[int, tuple[int, int]] = {}
-        for i, start in sorted(found):
-            _, w, item = self.items[i]
-            most = int(self.max_error * len(item))
-            if best.get(i, (most + 1,))[0] == 0:
+                seen[keys & np.uint64((1 << 20) - 1)] = True
+                tables.append((seen, keys[order], item[order].astype(np.int32), offset[order].astype(np.int32)))
+            self.sizes.append((walks, stride, tables))
+
+    def candidates(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Rows (text, item, start of the item in the text) in order, one for starts that are ``NEAR`` each other."""
+        symbols, lens = _padded(codes), np.diff(begins)
+        parts = [np.zeros((0, 3), np.int64)]
+        for walks, stride, tables in self.sizes:
+            per = -(-lens // stride)
+            text = np.repeat(np.arange(len(lens)), per)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+            starts = begins[text] + nth * stride
+            for r, (seen, keys, item, offset) in enumerate(tables):
+                h = walks.embed(symbols, starts, r)
+                hit = np.flatnonzero(seen[h & np.uint64((1 << 20) - 1)])
+                low, high = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+                hit, low, many = hit[high > low], low[high > low], (high - low)[high > low]
+                which = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                place = np.repeat(nth[hit] * stride, many) - offset[which]
+                parts.append(np.unique(np.stack([np.repeat(text[hit], many), item[which], place // NEAR], axis=1), axis=0))
+        return np.unique(np.concatenate(parts), axis=0)
+
+    def leaks(self, texts: list[str | None]) -> dict[int, list[dict]]:
+        """Number of a text -> the verified items in it, each at its best place."""
+        codes, begins = normal_codes(texts)
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for text, i, place in self.candidates(codes, begins).tolist():
+            n = int(self.lengths[i])
+            most = int(self.block.max_error * n)
+            if best.get((text, i), (most + 1,))[0] == 0:
                 continue
-            slack = int(self.max_error * len(w)) + 1
-            d = edit_distance_within(item, " ".join(words[max(0, start - slack) : max(0, start + len(w) + slack)]))
-            if d <= most and d < best.get(i, (most + 1,))[0]:
-                best[i] = (d, max(0, start))
-        return [{"item_id": self.items[i][0], "distance": d, "similarity": 1 - d / len(self.items[i][2]), "word": s} for i, (d, s) in sorted(best.items())]
+            begin, end = int(begins[text]), int(begins[text + 1]) - 1
+            low = max(begin, begin + place * NEAR - most - 1)
+            near = codes[low : max(low, min(end, begin + (place + 1) * NEAR + n + most + 1))].tobytes().decode("utf-32-le")
+            d = self.prepared(i).distance(near)
+            if d <= most and d < best.get((text, i), (most + 1,))[0]:
+                exact = near.find(self.block.items[i][0])
+                start = low + exact if exact >= 0 else max(begin, begin + place * NEAR)
+                best[text, i] = d, int(np.count_nonzero(codes[begin:start] == BLANK))
+        out: dict[int, list[dict]] = {}
+        for (text, i), (d, word) in sorted(best.items()):
+            out.setdefault(text, []).extend({"item_id": k, "distance": d, "similarity": 1 - d / int(self.lengths[i]), "word": word} for k in self.block.items[i][1])
+        return out
+
+
+def blocks_of(benchmark: DataFrame, max_error: float, design_error: float, target_recall: float, seed: int, item_id: str, item_text: str) -> Iterator[Block]:
+    """The benchmark in blocks of ``BLOCK_BYTES``; texts that are equal when normalised are one item."""
+    held: dict[str, list] = {}
+
+    def block() -> Block:
+        sizes: dict[tuple[int, int], list[str]] = {}
+        for text in held:
+            sizes.setdefault(window_of(len(text)), []).append(text)
+        return Block(list(held.items()), {k: repeats_for(v, *k, design_error, target_recall, seed) for k, v in sorted(sizes.items())}, max_error, seed)
+
+    rows, size = benchmark.select(F.col(item_id).alias("k"), F.col(item_text).cast("string").alias("t")).filter("t is not null"), 0
+    for row in rows.toLocalIterator():
+        if text := normal_text(row.t):
+            size += 0 if text in held else len(text)
+            held.setdefault(text, []).append(row.k)
+        if size > BLOCK_BYTES:
+            yield block()
+            held, size = {}, 0
+    if held:
+        yield block()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = 0.2, repeats: int = 6, samples: int = 7, seed: int = 11, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = 0.2, design_error: float = 0.1, target_recall: float = 0.95, seed: int = 11, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` plus ``leaks``, an array of (item_id, distance, similarity, word).
 
     An item is in a document if some place of the normalised text (lower-case words, single
     blanks) is within an edit distance of ``max_error`` times the item's length, that is, a
-    similarity of ``1 - max_error`` or more; ``word`` is the number of the word at which it
-    starts. Each item is reported once a document, at its best place. The hash tables find
-    all exact occurrences, and edited ones with a recall that grows with ``repeats``; the
+    similarity of ``1 - max_error`` or more; ``word`` is the number of the word at or near which it
+    starts. Each item is reported once a document, at its best place. All exact occurrences are
+    found, and ``target_recall`` of those in which ``design_error`` of the characters are edited; the
     distance is exact. Null, empty and word-less texts and items match nothing; no row is
-    lost; a column named ``leaks`` is replaced. The benchmark is the query set: it is
-    broadcast in blocks of ``BLOCK_ITEMS`` items, one pass over the documents for each.
+    lost; repeated rows are judged one by one, repeated items all reported; a column named
+    ``leaks`` is replaced. The benchmark is the query set: it is broadcast in blocks of
+    ``BLOCK_BYTES``, one pass over the documents and one stored table for each.
     """
     docs = without(docs, ["leaks"])
     spark, id_type = docs.sparkSession, benchmark.schema[item_id].dataType
@@ -169,36 +302,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = 0.2,
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = shared.value
+            tables = Tables.of(shared.value)
             for batch in batches:
-                words = [words_of(t.as_py()) for t in batch.column(at)]
-                # one token array for the batch, with padding behind each text: every hash step runs over all
-                flat = [w for ws in words for w in (*ws, *[""] * PAD)]
-                tokens = _hashes(flat)
-                tokens[[i for i, w in enumerate(flat) if not w]] = 0
-                ends = np.cumsum([len(w) + PAD for w in words])
-                begins = ends - np.array([len(w) + PAD for w in words], np.int64) if words else ends
-                by_doc: dict[int, set[tuple[int, int]]] = {}
-                for i, s in bench.candidates(tokens, len(flat)):
-                    d = int(np.searchsorted(ends, s + len(bench.items[i][1]) // 2, "right")) if s >= 0 else 0
-                    if d < len(words):
-                        by_doc.setdefault(d, set()).add((i, s - int(begins[d])))
-                old = batch.column(batch.num_columns - 1)
-                leaks = [[*(x.as_py() or []), *(bench.leaks(words[d], by_doc[d]) if d in by_doc else [])] for d, x in enumerate(old)]
+                texts, old = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
+                leaks, low, size = old.to_pylist(), 0, 0
+                for i, text in enumerate([*texts, None]):
+                    if i == len(texts) or size + len(text or "") > STEP_CHARS:
+                        for k, more in tables.leaks(texts[low:i]).items():
+                            leaks[low + k] = [*(leaks[low + k] or []), *more]
+                        low, size = i, 0
+                    size += len(text or "")
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, old.type)], schema=batch.schema)
 
         return run
 
-    def blocks() -> Iterator[list[tuple]]:
-        block: list[tuple] = []
-        for row in benchmark.select(F.col(item_id).alias("k"), F.col(item_text).cast("string").alias("t")).filter("t is not null").toLocalIterator():
-            block.append((row.k, row.t))
-            if len(block) == BLOCK_ITEMS:
-                yield block
-                block = []
-        if block:
-            yield block
-
-    for block in blocks():
-        out = out.mapInArrow(scan(spark.sparkContext.broadcast(Benchmark(block, repeats, samples, seed, max_error))), schema)
+    first = True
+    for block in blocks_of(benchmark, max_error, design_error, target_recall, seed, item_id, item_text):
+        out = (out if first else stored(out, "leaks")).mapInArrow(scan(spark.sparkContext.broadcast(block)), schema)
+        first = False
     return out

@@ -271,6 +271,51 @@ def test_leaks(spark):
     assert none.filter(F.size("leaks") > 0).count() == 0
 
 
+def test_leaks_odd_tables(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away from it at once"
+    rows = [(1, "x " * 300_000 + item), (2, item), (2, item), (None, item + "?"), (3, "")]
+    table = docs(spark, rows).withColumn("leaks", F.lit("old"))
+    items = spark.createDataFrame([(7, item), (8, item.upper()), (9, "")], "item_id long, text string")
+    got = decontaminate.find_leaks(table, items)
+    assert got.columns == ["doc_id", "text", "leaks"]
+    found = sorted(((r.doc_id, sorted((x.item_id, x.distance, x.word) for x in r.leaks)) for r in got.collect()), key=repr)
+    both = [(7, 0, 0), (8, 0, 0)]
+    assert found == sorted([(1, [(7, 0, 300_000), (8, 0, 300_000)]), (2, both), (2, both), (None, both), (3, [])], key=repr)
+    assert decontaminate.find_leaks(table.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("n_words", [6, 9, 14, 24, 40, 80, 200])
+def test_recall_of_edited_items(n_words):
+    rnd = random.Random(n_words)
+    syllables = ["th", "er", "in", "ou", "an", "re", "st", "ly", "ed", "on", "ti", "a", "ing", "he", "wh", "ble"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4)))
+    items = [" ".join(word() for _ in range(n_words)) for _ in range(150)]
+
+    def letters(text):
+        out = list(text)
+        for i in rnd.sample(range(len(out)), len(out) // 10):
+            out[i] = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+        return "".join(out)
+
+    def words(text):
+        out = text.split()
+        for i in rnd.sample(range(len(out)), max(1, round(0.15 * len(out)))):
+            out[i] = rnd.choice(["", word(), out[i] + " " + word()])
+        return " ".join(out)
+
+    sizes = {}
+    for x in items:
+        sizes.setdefault(decontaminate.window_of(len(x)), []).append(x)
+    repeats = {k: decontaminate.repeats_for(v, *k, 0.1, 0.95, 11) for k, v in sizes.items()}
+    tables = decontaminate.Tables(decontaminate.Block([(x, [i]) for i, x in enumerate(items)], repeats, 0.2, 11))
+    for edit in (letters, words):
+        texts = [" ".join([*(word() for _ in range(50)), edit(x), *(word() for _ in range(50))]) for x in items]
+        got = tables.leaks(texts)
+        within = [i for i, x in enumerate(items) if decontaminate.edit_distance_within(x, decontaminate.normal_text(texts[i])) <= int(0.2 * len(x))]
+        assert len(within) > 60
+        assert sum(any(y["item_id"] == i for y in got.get(i, [])) for i in within) >= 0.9 * len(within)
+
+
 # licences, URLs
 
 
