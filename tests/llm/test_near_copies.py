@@ -58,11 +58,10 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, docs), "").collect()} == {1, 3}
 
 
-@pytest.mark.parametrize("paired", [256, 3])
-def test_keep_one_similar_matches_all_pairs(spark, monkeypatch, paired):
-    """Also with every larger group of keys going through pivots."""
-    monkeypatch.setattr(near_copies, "PAIRED_KEY", paired)
-    monkeypatch.setattr(near_copies, "PIVOTS", 2)
+@pytest.mark.parametrize("meet", [512, 5])
+def test_keep_one_similar_matches_all_pairs(spark, monkeypatch, meet):
+    """Also with most keys going through shards and blocks."""
+    monkeypatch.setattr(near_copies, "MEET", meet)
     docs = varied(12, 12)
     assert {r.doc_id for r in near_copies.keep_one_similar(frame(spark, docs)).collect()} == plain(docs)
 

@@ -4,7 +4,6 @@ import re
 from collections import Counter
 
 import pytest
-import xxhash
 
 import corpus_pipeline
 from spanwright.llm.decontaminate import edit_distance_within
@@ -12,11 +11,9 @@ from spanwright.llm.decontaminate import edit_distance_within
 SF = "/root/testdata/sf0.001"
 
 
-def fingerprint(text):
+def shingles(text):
     w = text.encode().lower().split()
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    return frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)])
 
 
 def plain(docs, benchmark):
@@ -25,7 +22,7 @@ def plain(docs, benchmark):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
     seen = Counter(k for t in kept.values() for k in {key(x) for x in t.split("\n")} if k)
     kept = {i: "\n".join(x for x in t.split("\n") if seen[key(x)] < 10) for i, t in kept.items()}
-    fps = {i: fingerprint(t) for i, t in kept.items()}
+    sets = {i: shingles(t) for i, t in kept.items()}
     root = {}
     for i in sorted(kept):
         if i in root:
@@ -34,7 +31,7 @@ def plain(docs, benchmark):
         while todo:
             j = todo.pop()
             root[j] = i
-            todo += [k for k in kept if k not in root and k not in todo and (fps[j] ^ fps[k]).bit_count() <= 2]
+            todo += [k for k in kept if k not in root and k not in todo and len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k])]
     kept = {i: t for i, t in kept.items() if root[i] == i}
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     items = [words(t) for t in benchmark]
