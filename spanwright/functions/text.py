@@ -185,3 +185,33 @@ def first_json(c: Column, schema: str) -> Column:
 def section(c: Column, heading: str) -> Column:
     """What stands between a ``## heading`` and the next ``## `` or the end."""
     return F.regexp_extract(c, rf"(?is)##\s*{heading}\s*\n(.*?)(?=\n##\s|\z)", 1)
+
+
+def leading_marker(c: Column, markers: list[str]) -> Column:
+    """The first of ``markers`` that a line begins with once blanks and bullets are off, or null."""
+    bare = F.regexp_replace(c, r"^[\s•*-]+", "")
+    return F.coalesce(*[F.when(F.startswith(bare, F.lit(m)), F.lit(m)) for m in markers])
+
+
+def encoder_input(enriched: Column, heading: Column, text: Column) -> Column:
+    """The heading and a line feed in front of the text where a chunk is enriched and has a heading."""
+    return F.when(enriched & (F.coalesce(heading, F.lit("")) != ""), F.concat(heading, F.lit("\n"), text)).otherwise(text)
+
+
+def ordinal(c: Column, values: dict) -> Column:
+    """A category's value, null where the dictionary has none."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[c]
+
+
+def verdict_is(c: Column, words: list[str]) -> Column:
+    """Whether a cell, without blanks around and in lower case, is one of ``words``."""
+    return F.lower(F.trim(c)).isin(words)
+
+
+def request_status(k: Column, question: Column, most: int) -> Column:
+    return F.when(~k.between(1, most), f"k outside of 1 to {most}").when(F.trim(question) == "", "blank question").otherwise("ok")
+
+
+def page_range(first: Column, last: Column) -> Column:
+    """``a–b``, or ``a`` for a single page."""
+    return F.when(first == last, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("–"), last.cast("string")))

@@ -159,3 +159,72 @@ def worksheet(lines: DataFrame, key: str, head: str, field: str) -> DataFrame:
     value = F.when(F.col("_f"), F.regexp_extract("text", field, 2)).otherwise(F.trim("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", value.alias("v")))), lambda x: x["v"]), " ")
     return e.groupBy(key, "entry", "field").agg(joined.alias("value"))
+
+
+def by_header(cells: DataFrame, names: dict[str, str], *, fuzzy: bool = False) -> DataFrame:
+    """Cells (sheet, row, col, value) -> a row a row below row 0, with a column for each of ``names`` by its header.
+
+    ``fuzzy`` takes the header that holds the name, in any case; of several the leftmost.
+    """
+    heads = cells.filter("row = 0")
+    hit = lambda name: F.contains(F.lower("value"), F.lit(name.lower())) if fuzzy else F.trim("value") == name
+    at = heads.groupBy("sheet").agg(*[F.min(F.when(hit(name), F.col("col"))).alias(f"_{field}") for field, name in names.items()])
+    body = cells.filter("row > 0").join(at, "sheet")
+    return body.groupBy("sheet", "row").agg(*[F.max(F.when(F.col("col") == F.col(f"_{field}"), F.col("value"))).alias(field) for field in names])
+
+
+def answers_below(cells: DataFrame, number_col: int, answer_col: int) -> DataFrame:
+    """(sheet, item, answer): the cell one row below each whole number of ``number_col``, in ``answer_col``."""
+    number = F.expr("try_cast(value as double)")
+    items = cells.filter(F.col("col") == number_col).select("sheet", (F.col("row") + 1).alias("row"), number.alias("x")).filter("x = floor(x)")
+    answers = cells.filter(F.col("col") == answer_col).select("sheet", "row", F.col("value").alias("answer"))
+    return items.join(answers, ["sheet", "row"], "left").select("sheet", F.col("x").cast("long").alias("item"), "answer")
+
+
+def sealed_entries(df: DataFrame, key: str, sealed: str) -> DataFrame:
+    """(key, needle, replacement) of JSON maps; needles that begin with an underscore are notes."""
+    entries = F.explode(F.map_filter(F.from_json(sealed, "map<string,string>"), lambda k, v: ~F.startswith(k, F.lit("_"))))
+    return df.select(key, entries.alias("needle", "replacement"))
+
+
+def index_record(df: DataFrame, keys: list[str], id_col: str, vec_col: str) -> DataFrame:
+    """What an index holds and whether it can be built: one dimension, and as many ids as vectors."""
+    n, ids, dim = F.count(F.lit(1)), F.countDistinct(id_col), F.max(F.size(vec_col))
+    return df.groupBy(*keys).agg(n.alias("n_vectors"), ids.alias("n_ids"), dim.alias("dim"), (F.min(F.size(vec_col)) == dim).alias("one_dim"), (n == ids).alias("unique_ids"), (n * dim * 4).alias("flat_bytes"))
+
+
+def restricted(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """(name, n, unknown) of the names asked for; the filter reaches the scan."""
+    found = df.filter(F.col(column).isin(names)).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("k"))
+    asked = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return asked.join(found, "name", "left").select("name", F.coalesce("k", F.lit(0)).alias("n"), F.col("k").isNull().alias("unknown"))
+
+
+def rederived(recorded: DataFrame, derived: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, problem) of what was derived anew and is not recorded, or not so; of several fields the first."""
+    both = derived.alias("d").join(recorded.alias("r"), key, "left")
+    problem = F.when(F.col(f"r.{fields[0]}").isNull(), "not recorded")
+    for f in fields:
+        problem = problem.when(F.abs(F.col(f"d.{f}") - F.col(f"r.{f}")) > 1e-9, f"{f} differs")
+    return both.select(key, problem.alias("problem")).filter("problem is not null")
+
+
+def freeze(df: DataFrame, strata: list[str], n: int, risk: Column, order: Column, key: str) -> DataFrame:
+    """A draw of ``n`` a stratum with all risk cases beside it, dealt in turn to two raters and both orders of conditions.
+
+    Risk cases beyond the draw are marked ``by_risk``. The numbering runs within a stratum.
+    """
+    placed = df.withColumn("_k", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))).withColumn("_risk", risk)
+    odd = F.col("_k") % 2 == 1
+    kept = placed.filter((F.col("_k") <= n) | F.col("_risk"))
+    return kept.select(*df.columns, (F.col("_risk") & (F.col("_k") > n)).alias("by_risk"), F.when(odd, "r1").otherwise("r2").alias("rater"), F.when(odd, "with-without").otherwise("without-with").alias("crossover"))
+
+
+def against_winner(df: DataFrame, system: str, item: str, value: str) -> DataFrame:
+    """Mean difference and signs of every system to the one of largest mean, over the items that both have."""
+    means = df.groupBy(system).agg(F.round(F.avg(value), 9).alias("m"))
+    best = means.agg(F.max_by(system, F.struct("m", system)).alias("_best"))
+    marked = df.crossJoin(F.broadcast(best))  # one row
+    own = marked.filter(F.col(system) == F.col("_best")).select(item, F.col(value).alias("_v"))
+    d = marked.filter(F.col(system) != F.col("_best")).join(own, item).withColumn("_d", F.col(value) - F.col("_v"))
+    return d.groupBy(system).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.count_if(F.col("_d") > 0).alias("up"), F.count_if(F.col("_d") < 0).alias("down"))

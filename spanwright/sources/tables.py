@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,14 @@ SCHEMAS = {
 }
 
 
+def new_folder(*parts: str) -> str:
+    """A path that nothing has used yet."""
+    return "/".join([*parts[:-1], f"{parts[-1]}-{uuid.uuid4().hex}"])
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One record a line; ``schema`` is DDL or a name of ``SCHEMAS``. Blank lines are skipped."""
-    return spark.read.schema(SCHEMAS.get(schema, schema)).option("mode", "DROPMALFORMED").json(path)
+    """One record a line; ``schema`` is DDL or a name of ``SCHEMAS``. Blank lines are skipped, a broken line is an error."""
+    return spark.read.schema(SCHEMAS.get(schema, schema)).option("mode", "FAILFAST").json(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,3 +58,10 @@ def write_jsonl(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
 def write_partitioned(df: DataFrame, path: str, by: str, *, overwrite: bool = False) -> None:
     """Parquet, one folder a configuration, so that a reader's filter on it prunes files."""
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(by).parquet(path)
+
+
+def write_csv_with_bom(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
+    """CSV files with a header whose first name begins with a byte order mark, for spreadsheets."""
+    first, *rest = df.columns
+    marked = df.withColumnRenamed(first, "\ufeff" + first)
+    marked.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
