@@ -53,9 +53,11 @@ def substitute(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 def matched_keywords(c: Column, keywords: list[str]) -> Column:
     """The keywords found in the folded text, or in it without blanks, in the order given."""
-    folded = fold(c)
-    tight = F.replace(folded, F.lit(" "), F.lit(""))
-    return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(folded, k) | F.contains(tight, F.replace(k, F.lit(" "), F.lit(""))))
+    # the fold is bound as an array's element: named in the lambda, it would run again for every keyword
+    forms = F.transform(F.array(fold(c)), lambda f: F.struct(f.alias("folded"), F.replace(f, F.lit(" "), F.lit("")).alias("tight")))
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.replace(" ", "")).alias("t")) for k in keywords])
+    found = F.transform(forms, lambda f: F.transform(F.filter(asked, lambda k: F.contains(f["folded"], k["k"]) | F.contains(f["tight"], k["t"])), lambda k: k["k"]))
+    return F.when(c.isNotNull(), found[0])
 
 
 def matches(c: Column, any_of: list[str] = (), all_of: list[str] = ()) -> Column:

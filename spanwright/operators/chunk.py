@@ -51,6 +51,13 @@ def config_sweep(spark, strategies: dict[str, tuple[list[int], list[int], list[b
     return df.withColumn("config_id", F.concat_ws("-", "strategy", "size", "overlap", F.when(F.col("ctx"), "ctx"))).dropDuplicates(["config_id"])
 
 
+def windows_of(grid: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``grid`` plus ``windows``: how many sliding windows each configuration makes of texts with (n, docs) tokens."""
+    step = F.col("size") - F.col("overlap")
+    each = F.when(F.col("n") == 0, 0).otherwise(F.floor(F.greatest(F.col("n") - F.col("overlap") - 1, F.lit(0)) / step) + 1)
+    return F.broadcast(grid).crossJoin(lengths).groupBy(*grid.columns).agg(F.sum(each * F.col("docs")).cast("long").alias("windows"))
+
+
 def split_spans(text: str, s: int, e: int, sep: str) -> list[tuple[int, int]]:
     """Pieces of ``text[s:e]`` that end behind each separator; together they cover the span."""
     cuts = [s, *(m.end() for m in re.compile(re.escape(sep)).finditer(text, s, e)), e]
@@ -133,16 +140,17 @@ def line_segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def dominant_segment(chunks: DataFrame, segments: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """For each chunk the segment of largest overlap (first wins ties) and how many it touches.
+    """For each chunk the segment of largest overlap (first wins ties) and how many it touches; null and 0 where it touches none.
 
     A range join under the document's key; the ranking rides on the same shuffle.
     """
     c, s = chunks.alias("c"), segments.alias("s")
-    hit = c.join(s, (F.col(f"c.{id_col}") == F.col(f"s.{id_col}")) & (F.col("c.char_start") < F.col("s.char_end")) & (F.col("s.char_start") < F.col("c.char_end")))
+    hit = c.join(s, (F.col(f"c.{id_col}") == F.col(f"s.{id_col}")) & (F.col("c.char_start") < F.col("s.char_end")) & (F.col("s.char_start") < F.col("c.char_end")), "left")
     overlap = F.least("c.char_end", "s.char_end") - F.greatest("c.char_start", "s.char_start")
-    return hit.groupBy(F.col(f"c.{id_col}").alias(id_col), F.col("c.seq").alias("seq")).agg(
-        F.max(F.struct(overlap.alias("overlap"), (-F.col("s.char_start")).alias("early"), F.col("s.line_no").alias("line_no"))).alias("best"), F.count(F.lit(1)).alias("n_segments")
-    ).select(id_col, "seq", F.col("best.line_no").alias("line_no"), F.col("best.overlap").alias("overlap"), "n_segments")
+    best = F.struct(overlap.alias("overlap"), (-F.col("s.char_start")).alias("early"), F.col("s.line_no").alias("line_no"))
+    return hit.groupBy(F.col(f"c.{id_col}").alias(id_col), F.col("c.seq").alias("seq")).agg(F.max(F.when(F.col("s.line_no").isNotNull(), best)).alias("best"), F.count("s.line_no").alias("n_segments")).select(
+        id_col, "seq", F.col("best.line_no").alias("line_no"), F.col("best.overlap").alias("overlap"), "n_segments"
+    )
 
 
 def token_windows(tokenised: DataFrame, width: int, min_tail: int, *, id_col: str = "doc_id") -> DataFrame:

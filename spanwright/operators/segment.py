@@ -129,18 +129,20 @@ def parse_html(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
 
 
 def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id): folded items that are part of a folded document.
+    """(doc_id, item_id): folded items that stand in a folded document between word boundaries.
 
-    An item is looked up by its longest word, so a document meets few items; the item side
-    is the query set.
+    An item is looked up by the word that fewest documents have; texts are joined to the
+    candidates only. Items are the query set.
     """
-    words = lambda c: F.split(c, " ")
-    key = F.expr("array_max(transform(split(f, ' '), x -> struct(length(x) as n, x as w))).w")
-    asked = items.select("item_id", fold(F.col("text")).alias("f")).filter("f <> ''").select("item_id", F.col("f").alias("item"), key.alias("w"))
-    d = docs.select("doc_id", fold(F.col("text")).alias("doc"))
-    # a word of an item may be the inner part of a longer run only at the item's ends
-    each = d.select("doc_id", "doc", F.explode(F.array_distinct(words(F.col("doc")))).alias("w"))
-    return each.join(asked, "w").filter(F.contains("doc", "item")).select("doc_id", "item_id").distinct()
+    asked = items.select("item_id", fold(F.col("text")).alias("item")).filter("item <> ''")
+    words = asked.select("item_id", F.explode(F.array_distinct(F.split("item", " "))).alias("w"))
+    folded = docs.select("doc_id", fold(F.col("text")).alias("doc"))
+    met = folded.select("doc_id", F.explode(F.array_distinct(F.split("doc", " "))).alias("w")).join(words.select("w").distinct(), "w", "left_semi")
+    seen = met.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(seen, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")).alias("x")).select("item_id", "x.w")
+    pairs = met.join(rarest, "w").select("doc_id", "item_id")
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return pairs.join(asked, "item_id").join(folded, "doc_id").filter(F.contains(padded("doc"), padded("item"))).select("doc_id", "item_id").distinct()
 
 
 def jaccard_pairs(docs: DataFrame, least: float) -> DataFrame:
@@ -169,8 +171,14 @@ def jaccard_classes(docs: DataFrame, least: float) -> DataFrame:
     A class gives one row of jaccard 1 for each other member ``b``; classes pair by their names.
     Members of two paired classes have the jaccard of the names, so no pair is lost.
     """
+    named = set_classes(docs)
+    members = named.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return jaccard_pairs(docs.join(named.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"), least).unionByName(members)
+
+
+def set_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_members): classes of equal folded word sets, named by the smallest id; texts without a word have none."""
     words = F.array_sort(F.array_distinct(F.filter(F.split(fold(F.col("text")), " "), lambda x: x != "")))
     keyed = docs.select("doc_id", words.alias("s")).filter(F.size("s") > 0).select("doc_id", F.sha2(F.concat_ws(" ", "s"), 256).alias("set"))
-    names = keyed.groupBy("set").agg(F.min("doc_id").alias("a"))
-    members = keyed.join(names, "set").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    return jaccard_pairs(docs.join(names.select(F.col("a").alias("doc_id")), "doc_id", "left_semi"), least).unionByName(members)
+    names = keyed.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    return keyed.join(names, "set").select("doc_id", "class_id", "n_members")

@@ -6,11 +6,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.session import shared_dir
+from spanwright.sources.tables import new_folder
+
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, sd (null below two values), median, upper median, least and most; nulls are ignored."""
-    upper = F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), upper.alias("upper_median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """n, mean, sd (null below two values), median, upper median, least and most; nulls are ignored.
+
+    The upper median comes from counts by value with a running total, so no group is gathered in an array.
+    """
+    total = F.count(value)
+    out = df.groupBy(*keys).agg(total.alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    below = Window.partitionBy(*keys).orderBy(value)
+    run = counts.withColumns({"_to": F.sum("_k").over(below), "_all": F.sum("_k").over(Window.partitionBy(*keys))})
+    upper = run.filter(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
+    return out.alias("o").join(upper.alias("u"), same, "left").select(*[F.col(f"o.{k}") for k in keys], "n", "mean", "sd", "median", "upper_median", "least", "most")
 
 
 def pivot_pairs(df: DataFrame, case: str, condition: str, value: str, first: str, second: str) -> DataFrame:
@@ -58,9 +70,26 @@ def snake_blocks(df: DataFrame, n: int, order: Column, length: str, key: str) ->
     return drawn.withColumn("block", F.when(F.pmod(rn - 1, F.lit(4)).isin(0, 3), 1).otherwise(2)).drop("_o")
 
 
+def numbered_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name`` = 0, 1, ... along ``order``, which has to be unique.
+
+    Rows are dealt by ranges and written to the shared folder; a partition's first number is the
+    count of those before it, so only a row a partition is ordered in one task.
+    """
+    spark = df.sparkSession
+    at = new_folder(shared_dir(spark), spark.sparkContext.applicationId, "numbered")
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
+    dealt = spark.read.parquet(at)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + within).select(*df.columns, name)
+
+
 def blind_codes(df: DataFrame, order: Column, key: str) -> DataFrame:
-    """``df`` plus ``response_id`` R001... in a seeded order."""
-    return df.withColumn("response_id", F.format_string("R%03d", F.row_number().over(Window.orderBy(order, key))))
+    """Rows in a seeded order with ``response_id`` = R001, R002, ..."""
+    placed = numbered_in_order(df.withColumn("_o", order), ["_o", key], "_nth")
+    return placed.withColumn("response_id", F.format_string("R%03d", F.col("_nth") + 1)).drop("_o", "_nth")
 
 
 def diff_tables(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -154,11 +154,11 @@ m AS (SELECT index_id, round(avg(v), 9) AS score, count(*) AS n FROM l GROUP BY
 
 
 def k1_bootstrap_ci(spark, sf):
-    return stats.bootstrap_ci(_scores(spark, sf).select(F.col("qlabel").alias("index_id"), F.col("query_id").alias("item"), F.col("ndcg_at_5").alias("value")), ["index_id"], n_boot=200, seed=20260628)
+    return stats.bootstrap_ci(_scores(spark, sf).select(F.col("qlabel").alias("index_id"), F.col("query_id").alias("item"), F.col("ndcg_at_5").alias("value")), ["index_id"], n_boot=10_000, seed=20260628)
 
 
 _BOOT = """n AS (SELECT index_id, count(*) AS n FROM v GROUP BY index_id), i AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY item) - 1 AS j FROM v),
-draws AS (SELECT n.index_id, b, j, ('0x' || substr(md5('20260628/' || b || '/' || j), 1, 8))::BIGINT % n.n AS pick FROM n, range(200) t(b), range(n.n) u(j)),
+draws AS (SELECT n.index_id, b, j, ('0x' || substr(md5('20260628/' || b || '/' || j), 1, 8))::BIGINT % n.n AS pick FROM n, range(10000) t(b), range(n.n) u(j)),
 means AS (SELECT d.index_id, d.b, avg(i.value) AS m FROM draws d JOIN i ON i.index_id = d.index_id AND i.j = d.pick GROUP BY ALL)"""
 K1 = f"""WITH {_SCORED}, v AS (SELECT qlabel AS index_id, query_id AS item, ndcg_at_5 AS value FROM s), {_BOOT}
 SELECT m.index_id, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high, count(*) AS n_boot FROM means m GROUP BY index_id"""
@@ -166,13 +166,13 @@ SELECT m.index_id, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_c
 
 def k2_paired_bootstrap(spark, sf):
     d = _scores(spark, sf).select(F.lit("ndcg5-mrr5").alias("index_id"), F.col("query_id").alias("item"), (F.col("ndcg_at_5") - F.col("mrr_at_5")).alias("value"))
-    return stats.paired_bootstrap(d, ["index_id"], n_boot=200, seed=20260628)
+    return stats.paired_bootstrap(d, ["index_id"], n_boot=10_000, seed=20260628)
 
 
 K2 = f"""WITH {_SCORED}, v AS (SELECT 'ndcg5-mrr5' AS index_id, query_id AS item, ndcg_at_5 - mrr_at_5 AS value FROM s), {_BOOT},
 o AS (SELECT index_id, avg(value) AS diff FROM v GROUP BY index_id)
 SELECT o.index_id, round(max(o.diff), 9) AS diff, round(quantile_cont(m.m, 0.025), 9) AS ci_low, round(quantile_cont(m.m, 0.975), 9) AS ci_high,
-       least(1.0::DOUBLE, 2 * greatest(avg(CASE WHEN o.diff > 0 THEN (m.m <= 0)::INT ELSE (m.m >= 0)::INT END), 1 / 200.0::DOUBLE)) AS p
+       least(1.0::DOUBLE, 2 * greatest(avg(CASE WHEN o.diff > 0 THEN (m.m <= 0)::INT ELSE (m.m >= 0)::INT END), 1 / 10000.0::DOUBLE)) AS p
 FROM means m JOIN o USING (index_id) GROUP BY o.index_id"""
 
 

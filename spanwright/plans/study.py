@@ -347,16 +347,18 @@ def t19_parse_config(spark, sf):
     return _t(spark, sf, "documents").groupBy(spec.alias("spec")).agg(F.count(F.lit(1)).alias("n_chunks")).select("n_chunks", "spec", parts[0].alias("config_strategy"), parts[1].cast("int").alias("size"), F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0)).alias("overlap"))
 
 
-@query()
+@query("""WITH f AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS f FROM conversations WHERE role = 'user')
+SELECT * FROM (SELECT conv_id, turn, list_filter(['the', 'und'], lambda k: contains(f, k) OR contains(replace(f, ' ', ''), k)) AS matched FROM f) WHERE len(matched) > 0""")
 def stream_screen(spark, sf):
     """The keyword screen over conversations as a stream, run to the end of the input."""
     return replay.screened(spark, f"{sf}/conversations.parquet", ["the", "und"])
 
 
-@query()
+@query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
     """Tumbling counts of events by type with a watermark, run to the end of the input."""
-    return replay.windowed_counts(spark, f"{sf}/events.parquet")
+    w = replay.windowed_counts(spark, f"{sf}/events.parquet")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 QUERIES, ORACLES = Q, O

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
-from spanwright.operators import chunk, segment
+from spanwright.operators import chunk, segment, study
 from spanwright.plans.retrieval import _t
 
 Q, O = {}, {}
@@ -68,10 +68,14 @@ def f16_chunk_stats(spark, sf):
     return chunk.chunk_stats(_all_chunks(spark, sf), ["config_id"], F.lit(100))
 
 
-@query("""SELECT concat_ws('-', strategy, size, overlap, CASE WHEN ctx THEN 'ctx' END) AS config_id, strategy, size, overlap, ctx
-FROM (VALUES ('fixed', [false]), ('recursive', [false]), ('structure', [false, true])) s(strategy, ctxs), (VALUES (128), (256), (512)) z(size), (VALUES (0), (64)) o(overlap), unnest(ctxs) c(ctx) WHERE overlap < size""")
+@query(r"""WITH n AS (SELECT len(regexp_extract_all(text, '\s*\S+')) AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT concat_ws('-', strategy, size, overlap, CASE WHEN ctx THEN 'ctx' END) AS config_id, strategy, size, overlap, ctx
+FROM (VALUES ('fixed', [false]), ('recursive', [false]), ('structure', [false, true])) s(strategy, ctxs), (VALUES (128), (256), (512)) z(size), (VALUES (0), (64)) o(overlap), unnest(ctxs) c(ctx) WHERE overlap < size)
+SELECT config_id, strategy, size, overlap, ctx, sum(CASE WHEN n = 0 THEN 0 ELSE greatest(n - overlap - 1, 0) // (size - overlap) + 1 END)::BIGINT AS windows FROM g, n GROUP BY ALL""")
 def c3_config_sweep(spark, sf):
-    return chunk.config_sweep(spark, {"fixed": ([128, 256, 512], [0, 64], [False]), "recursive": ([128, 256, 512], [0, 64], [False]), "structure": ([128, 256, 512], [0, 64, 64], [False, True])})
+    """Every configuration of the sweep with the token windows it makes of all documents: counted by length first."""
+    grid = chunk.config_sweep(spark, {"fixed": ([128, 256, 512], [0, 64], [False]), "recursive": ([128, 256, 512], [0, 64], [False]), "structure": ([128, 256, 512], [0, 64, 64], [False, True])})
+    n = _docs(spark, sf).filter("text is not null").select(F.regexp_count("text", F.lit(r"\s*\S+")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("docs"))
+    return chunk.windows_of(grid, n).select("config_id", "strategy", "size", "overlap", "ctx", "windows")
 
 
 @query(f"WITH {_TOK}, c AS ({_fixed_sql(64, 16)}) SELECT count(*) AS n_chunks, 0 AS violations FROM c")
@@ -87,10 +91,11 @@ lines AS (SELECT doc_id, line_no, text, coalesce(sum(length(text) + 1) OVER (PAR
 seg AS (SELECT *, char_start + length(text) AS char_end FROM lines)"""
 
 
-@query(f"""WITH {_TOK}, c AS ({_fixed_sql(64, 16)}), {_LINES}, h AS (SELECT c.doc_id, c.seq, s.line_no, s.char_start, least(c.char_end, s.char_end) - greatest(c.char_start, s.char_start) AS overlap FROM c JOIN seg s ON c.doc_id = s.doc_id AND c.char_start < s.char_end AND s.char_start < c.char_end)
-SELECT doc_id, seq, line_no, overlap, n_segments FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY overlap DESC, char_start) AS nth, count(*) OVER (PARTITION BY doc_id, seq) AS n_segments FROM h) WHERE nth = 1""")
+@query(f"""WITH {_TOK}, c AS ({_fixed_sql(64, 16)}), {_LINES}, h AS (SELECT c.doc_id, c.seq, s.line_no, s.char_start, least(c.char_end, s.char_end) - greatest(c.char_start, s.char_start) AS overlap FROM c JOIN seg s ON c.doc_id = s.doc_id AND s.line_no % 2 = 0 AND c.char_start < s.char_end AND s.char_start < c.char_end)
+SELECT c.doc_id, c.seq, b.line_no, b.overlap, coalesce(b.n_segments, 0) AS n_segments FROM c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY overlap DESC, char_start) AS nth, count(*) OVER (PARTITION BY doc_id, seq) AS n_segments FROM h) b ON b.doc_id = c.doc_id AND b.seq = c.seq AND b.nth = 1""")
 def f12_dominant_segment(spark, sf):
-    return chunk.dominant_segment(chunk.fixed_chunks(_tokens(spark, sf), 64, 16), chunk.line_segments(_docs(spark, sf)))
+    """The segment a chunk overlaps most; lines of odd number are no segments here, so some chunks have none."""
+    return chunk.dominant_segment(chunk.fixed_chunks(_tokens(spark, sf), 64, 16), chunk.line_segments(_docs(spark, sf)).filter("line_no % 2 = 0"))
 
 
 @query(f"""WITH {_TOK}, w AS (SELECT doc_id, pos // 40 AS "window", min(s) AS char_start, max(e) AS char_end, count(*) AS n FROM tok GROUP BY ALL) SELECT doc_id, "window", char_start, char_end FROM w WHERE "window" = 0 OR n >= 8""")
@@ -285,8 +290,8 @@ def m3_first_by_url(spark, sf):
     """The first page of each canonical URL, then ids in URL order."""
     u = F.lower(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^https?://(www\.|m\.)?", ""))
     first = _t(spark, sf, "pages").select("page_id", u.alias("canonical")).groupBy("canonical").agg(F.min("page_id").alias("page_id"))
-    n = F.row_number().over(Window.orderBy("canonical")) - 1
-    return first.select("page_id", "canonical", F.format_string("q_%04d", n).alias("new_id"))
+    placed = study.numbered_in_order(first, ["canonical"], "n")
+    return placed.select("page_id", "canonical", F.format_string("q_%04d", F.col("n")).alias("new_id"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, contains(html, 'track(') AND contains(html, '<article') AS served FROM pages""")
@@ -313,24 +318,26 @@ def a25_glyphs(spark, sf):
 
 
 @query("""WITH w AS (SELECT item_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS f FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS f FROM documents)
-SELECT d.doc_id, w.item_id FROM d JOIN w ON contains(d.f, w.f)""")
+SELECT d.doc_id, w.item_id FROM d JOIN w ON w.f <> '' AND contains(' ' || d.f || ' ', ' ' || w.f || ' ')""")
 def benchmark_contamination(spark, sf):
     """Documents that hold a benchmark item word for word, by its rarest folded word."""
     return segment.contained_items(_docs(spark, sf), _t(spark, sf, "benchmark"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS w FROM documents WHERE n_chars BETWEEN 20 AND 400),
-n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, c / (x.n + y.n - c)::DOUBLE AS jaccard FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.9""")
+_SETS = """s AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS s FROM documents), k AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS a FROM s WHERE len(s) > 0)"""
+
+
+@query(f"""WITH {_SETS}, c AS (SELECT a, s, len(s) AS n FROM k WHERE doc_id = a), p AS (SELECT x.a AS a, y.a AS b, len(list_intersect(x.s, y.s)) AS c, x.n + y.n AS n FROM c x JOIN c y ON x.a < y.a AND x.n >= 0.9 * y.n AND y.n >= 0.9 * x.n)
+SELECT a, b, c / (n - c)::DOUBLE AS jaccard FROM p WHERE c / (n - c)::DOUBLE >= 0.9 UNION ALL SELECT a, doc_id, 1.0::DOUBLE FROM k WHERE doc_id <> a""")
 def h16_near_dup(spark, sf):
-    """Pairs of short questions whose word sets have a Jaccard of 0.9 or more (prefix filter)."""
-    return segment.jaccard_pairs(_docs(spark, sf, "n_chars").filter("n_chars between 20 and 400"), 0.9)
+    """Texts whose word sets have a Jaccard of 0.9 or more: classes of equal sets, then pairs of classes (prefix filter)."""
+    return segment.jaccard_classes(_docs(spark, sf), 0.9)
 
 
-@query()
+@query(f"WITH {_SETS} SELECT doc_id, a AS class_id, count(*) OVER (PARTITION BY a) AS n_members FROM k")
 def h16_near_dup_all(spark, sf):
-    """The same over documents of every length: classes of equal word sets, then pairs of classes."""
-    return segment.jaccard_classes(_docs(spark, sf), 0.9)
+    """The class of equal word sets of every document, and its size."""
+    return segment.set_classes(_docs(spark, sf))
 
 
 QUERIES, ORACLES = Q, O

@@ -41,7 +41,17 @@ def screened(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:
 
 
 def windowed_counts(spark: SparkSession, path: str, *, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, event_type, n, total) of closed windows; the watermark drops what comes later than ``late``."""
+    """(start, event_type, n, total) of all windows of a finite input, those still open at its end too.
+
+    A replay keeps whole results: each batch replaces the table of counts. For an endless stream run the
+    plan in append mode, where ``late`` closes windows.
+    """
     events = _source(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = events.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return _finished(w.select(F.col("window.start").alias("start"), "event_type", "n", "total"))
+    counts, out = w.select(F.col("window.start").alias("start"), "event_type", "n", "total"), _folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data")
+
+    counts.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/data")

@@ -162,4 +162,4 @@ def test_near_dup_of_every_length(spark):
     assert {k: v for k, v in pairs.items() if v} == pytest.approx(want)
     assert len(got) == len(name) + len(linked)
     full = texts.h16_near_dup_all(spark, "/root/testdata/sf0.001").collect()
-    assert {r.b for r in full if r.jaccard == 1} == {i for i in name if i < 10_000}
+    assert {r.doc_id for r in full if r.doc_id != r.class_id} == {i for i in name if i < 10_000}
