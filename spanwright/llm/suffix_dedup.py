@@ -1,20 +1,23 @@
 """Suffix-array dedup by a distributed difference cover, to the depth that the match length asks for.
 
-Copies are collapsed first, so that the sort sees each shared stretch once. Texts are cut where a
-local hash minimum stands, which is decided by the bytes nearby alone; a *piece* is the bytes
-of all strings of the match length that start between two cuts. Equal pieces are grouped: of the documents
-of a group, the smallest keeps all its starts so far and all others lose theirs, and the one piece
-stands for the group from there on. That is done with wide cuts and, on what is left, with narrow ones.
-Two Bloom filters (see ``twice_filter``) leave out starts whose string one text alone has.
-
-What remains are strings around the edges of shared passages. Their positions of residue 1 and 2
-modulo 3 are sampled. The triples of words there (a third of half the match length each) are
-sorted and named in order; a round of recursion names pairs of names, so a name stands for a
-long prefix of the sampled suffix. The other suffixes are merged through the cover: of any two
-positions there is a shift of 0, 1 or 2 that takes both to sampled ones, so a suffix is known
-by the bytes of the shift, the name behind it and the bytes that complete the match length. Equal
-prefixes of neighbours in that order, that is, rows of one key, are repeats, and the smallest
-document of a key is the one that keeps it. Results go back from pieces to documents by their digests.
+What is sorted are the suffixes that can be repeats. Fingerprints of all strings of the match length are
+compared first, and starts whose string one document alone has are left out. What is left are
+stretches of text; they are cut where a local hash minimum stands, which the bytes nearby decide, and
+equal pieces enter the sort as one string that knows its smallest and its largest document.
+
+The sort is a difference cover modulo 3 over those strings:
+
+1. Sampled positions (1 and 2 modulo 3) have a triple of words. Triples are dealt by ranges, sorted, and named in order.
+2. Names recurse: three names in a row make a triple of their own, sorted and named again, until a name stands
+   for the match length but for the bytes that a shift needs. Then names are ranks of sampled suffixes.
+3. The remaining suffixes are merged in: those that start at 0 modulo 3 are sorted by their first byte and the rank
+   behind it, and their place among the sampled ones follows from comparing one byte and the next rank,
+   or two bytes and the rank after them.
+4. Adjacent prefixes of the merged order are compared; neighbours that agree on the match length are one class,
+   whose smallest document keeps the string.
+
+All but the first step ships positions and ranks; arrays travel packed, a blob for each source chunk and
+target range. Range limits come from a bounded sample and decide nothing but balance.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanwright.llm.common import dropped, without
 from spanwright.llm.common import stored as stored_as
-from spanwright.llm.common import without
-from spanwright.llm.twice_filter import bits_for, contains, seen_twice
+from spanwright.llm.twice_filter import bits_for, contains, filter_of
 
 #: Half the least distance of two cuts, level by level.
 CUTS = (32, 5)
@@ -38,9 +41,14 @@ CUTS = (32, 5)
 CUT_WORD = 12
 #: A list of removed stretches up to so many bytes is broadcast to the texts; a larger one is joined.
 MAX_BROADCAST = 32 << 20
-#: Bytes of rows that a task works on at a time (a longer row is one piece of work), and rows it hands on.
-CHUNK = 1 << 19
-BATCH = 1 << 14
+#: Bytes of rows that a task works on at a time; a longer row is one piece of work.
+CHUNK = 1 << 20
+#: Suffixes of one range of the sort, ranges at most, pieces that range limits are drawn from.
+RANGE_ROWS, MOST_RANGES, SAMPLE_PIECES = 1 << 19, 4096, 4000
+#: Bits that a name has within its range.
+NAME_BITS = 40
+#: Bits of a fingerprint, and fingerprints that a task holds before it hands them on.
+MARK_BITS, HELD_MARKS = 40, 1 << 22
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -78,16 +86,16 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _marks(data: np.ndarray, length: int, sparse: bool) -> np.ndarray:
-    """A key for each start of a string of ``length`` bytes, decided by the string alone: its hash or, if
-    ``sparse``, the least hash of the words of three quarters of its length in it, which neighbours often share."""
+    """A fingerprint for each start of a string of ``length`` bytes, decided by the string alone: of its hash or, if
+    ``sparse``, of the least hash of the words of three quarters of its length in it, which neighbours often share."""
     if len(data) < length:
         return np.array([], np.uint64)
     if not sparse:
-        return _hashes(data, length)
+        return _hashes(data, length) >> np.uint64(64 - MARK_BITS)
     word = length * 3 // 4
     with np.errstate(over="ignore"):
         least = _lowest(_hashes(data, word), length - word + 1) * np.uint64(0xD6E8FEB86659FD93)
-    return least ^ (least >> np.uint64(32))
+    return (least ^ (least >> np.uint64(32))) >> np.uint64(64 - MARK_BITS)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -127,13 +135,112 @@ def _keys_of(length: int, sparse: bool):
     return run
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Integers byte by byte, lowest bytes first, compressed: bytes that hardly change take no room."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpack(blobs: pa.ChunkedArray, counts: np.ndarray, kind: str) -> np.ndarray:
+    """The integers of all ``blobs``, ``counts`` in each, one after the other."""
+    width = np.dtype(kind).itemsize
+    out = []
+    for blob, n in zip(blobs, counts.tolist()):
+        raw = np.frombuffer(pa.decompress(blob.as_buffer(), n * width, codec="zstd"), np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel())
+    return np.concatenate(out) if out else np.zeros(0, kind)
+
+
+class Packed:
+    """Columns of integers that travel as blobs: a row (part, n, a blob a column) for each source and target part."""
+
+    def __init__(self, **kinds: str):
+        self.kinds = kinds
+        self.schema = "part int, n int, " + ", ".join(f"{c} binary" for c in kinds)
+
+    def rows(self, part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """One row for each value of ``part``; within it the order stays."""
+        order = np.argsort(part, kind="stable")
+        parts, starts = np.unique(part[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        blobs = [[pack(c[order[a:b]].astype(k, copy=False)) for a, b in zip(starts, ends)] for c, k in zip(columns, self.kinds.values())]
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array((ends - starts).astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["part", "n", *self.kinds])
+
+    def columns(self, table: pa.Table) -> list[np.ndarray]:
+        n = table.column("n").to_numpy()
+        return [unpack(table.column(c), n, k) for c, k in self.kinds.items()]
+
+
+MARKS = Packed(mark="<u8", again="|u1")
+NAMES = Packed(number="<i8", pos="<i4", name="<u8")
+NAMED = Packed(number="<i8", pos="<i4", n0="<u8", n1="<u8", n2="<u8")
+SUFFIXES = Packed(number="<i8", pos="<i4", kind="|u1", head="<u2", tail="<u4", ra="<u8", rb="<u8", first="<i8", last="<i8")
+CLASSES = Packed(number="<i8", pos="<i4", least="<i8")
+
+
+def _repeated_marks(pieces: DataFrame, length: int, sparse: bool, max_filter_bits: int):
+    """A broadcast filter of the fingerprints that two rows of ``pieces`` have.
+
+    Every task hands on its different fingerprints, sorted and as differences; a range of them meets in one
+    place. Missing none is certain; fingerprints that only look repeated cost work, not results.
+    """
+    spark = pieces.sparkSession
+    n_bytes = pieces.select(F.sum(F.octet_length("data"))).first()[0] or 0
+    bits = min(10, max(2, int(n_bytes // (1 << 24)).bit_length()))
+    keys_of = _keys_of(length, sparse)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            marks, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (marks >> np.uint64(MARK_BITS - bits)).astype(np.int32)
+            step = np.diff(marks, prepend=np.uint64(0))
+            begins = np.flatnonzero(np.diff(part, prepend=-1))
+            step[begins] = marks[begins]
+            return MARKS.rows(part, step, (n > 1).astype(np.uint8))
+
+        for batch in batches:
+            for marks in keys_of(batch.column(0)):
+                held.append(marks)
+                size += len(marks)
+                if size > HELD_MARKS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        step, again = MARKS.columns(table)
+        n = table.column("n").to_numpy()
+        begins = np.concatenate([[0], np.cumsum(n)[:-1]])
+        total = np.cumsum(step, dtype=np.uint64)
+        marks = total - np.repeat(total[begins] - step[begins], n)
+        order = np.argsort(marks, kind="stable")
+        marks, again = marks[order], again[order]
+        twice = (again > 0) | np.append(marks[1:] == marks[:-1], False)
+        return pa.table({"marks": pa.array([np.unique(marks[twice]).tobytes()], pa.binary())})
+
+    found = pieces.select("data").mapInArrow(fill, MARKS.schema).groupBy("part").applyInArrow(meet, "marks binary")
+    found = stored(found, "marks")
+    total = found.select(F.sum(F.octet_length("marks"))).first()[0] or 0
+    words = filter_of((_mixed(np.frombuffer(r.marks, np.uint64)) for r in found.toLocalIterator()), bits_for(2 * (total // 8), max_filter_bits))
+    dropped(found)
+    return spark.sparkContext.broadcast(words)
+
+
+def _mixed(marks: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = marks * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 def _suspects(data: np.ndarray, inside: np.ndarray, length: int, sparse: bool, words: np.ndarray) -> np.ndarray:
     """For each start, whether another row may have its string."""
     marks = _marks(data, length, sparse)
     if not inside.any():
         return inside
     new = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1])))
-    return np.repeat(contains(words, marks[new]), np.diff(np.append(new, len(marks)))) & inside
+    return np.repeat(contains(words, _mixed(marks[new])), np.diff(np.append(new, len(marks)))) & inside
 
 
 def _cuts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, reach: int) -> np.ndarray:
@@ -147,13 +254,14 @@ def _cuts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, reach: int) -> np
 
 
 def _split(length: int, reach: int, sparse: bool, shared):
-    """mapInArrow: (owner, id, data) -> pieces (owner, id, start, n starts, digest, data) of its suspected starts."""
+    """mapInArrow: (owner, first, last, data) -> pieces (owner, first, last, start, n starts, digest, data) of the starts that can be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offs in _chunks(batch.column(2)):
+            several = batch.column(1).to_numpy() < batch.column(2).to_numpy()
+            for lo, data, offs in _chunks(batch.column(3)):
                 row, inside = _starts(data, offs, length)
-                ok = _suspects(data, inside, length, sparse, shared.value)
+                ok = _suspects(data, inside, length, sparse, shared.value) | (inside & several[row[: len(inside)] + lo])
                 if not ok.any():
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False])).astype(np.int8)))
@@ -166,109 +274,259 @@ def _split(length: int, reach: int, sparse: bool, shared):
                 keys = [hashlib.md5(x).digest() for x in pieces]
                 from_ = pa.array(own + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(from_), batch.column(1).take(from_), pa.array((starts - offs[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(keys, pa.binary()), pa.array(pieces, pa.binary())],
-                    names=["owner", "id", "start", "n", "key", "data"],
+                    [*(batch.column(i).take(from_) for i in range(3)), pa.array((starts - offs[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(keys, pa.binary()), pa.array(pieces, pa.binary())],
+                    names=["owner", "first", "last", "start", "n", "key", "data"],
                 )
 
     return run
 
 
-def _sampled(length: int, prefix: int, shared):
-    """mapInArrow: (owner, id, data) -> sampled suffixes of suspected starts with their two triples and what completes a match.
+class Cover:
+    """Widths of the sort for a match length: a word, a triple of them, and the names that recursion puts side by side."""
 
-    ``wanted`` has bit d set if the string that starts d bytes before the sampled position is suspected.
-    """
-    tail = length - 2 * prefix
+    def __init__(self, length: int):
+        self.length, self.word = length, min(8, (length - 2) // 3)
+        self.triple = self.reach = 3 * self.word
+        self.rounds: list[tuple[int, int]] = []  # distances of the second and the third name; multiples of 3 stay in the cover
+        while (more := min(2 * self.reach, (length - 2 - self.reach) // 3 * 3)) > 0:
+            self.rounds.append((min(self.reach, more), more))
+            self.reach += more
+        self.tail = length - self.reach  # bytes that complete the match behind a ranked prefix
+
+
+def _prefixes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)
+    return np.ascontiguousarray(view[at]).view(f"S{width}").ravel()
+
+
+def _positions(offs: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, position in its row) of every byte that ``width`` bytes of its row begin at."""
+    at = np.arange(len(row))
+    at = at[at + width <= offs[1:][row]]
+    return at, at - offs[row[at]]
+
+
+def _limits(pieces: DataFrame, ranges: int, cover: Cover) -> np.ndarray:
+    """Triples that cut the order into ``ranges`` of about one size, from a bounded sample of pieces."""
+    sample = pieces.orderBy(F.xxhash64("number")).limit(SAMPLE_PIECES).select("data").collect()
+    some = [_prefixes(np.frombuffer(r.data, np.uint8), np.arange(0, max(1, len(r.data) - cover.triple), 3), cover.triple) for r in sample]
+    some = np.sort(np.concatenate(some)) if some else np.zeros(0, f"S{cover.triple}")
+    return np.unique(some[np.linspace(0, len(some) - 1, ranges + 1).astype(int)[1:-1]]) if len(some) else some
+
+
+def _triples(cover: Cover, limits: np.ndarray, kinds: Packed):
+    """mapInArrow: (number, data) -> the triples of sampled positions, dealt by ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offs in _chunks(batch.column(2)):
-                row, inside = _starts(data, offs, length)
-                ok = _suspects(data, inside, length, False, shared.value)
-                if not ok.any():
-                    continue
-                wanted = np.zeros(len(ok) + 2, np.int8)
-                for d in range(3):
-                    wanted[d : d + len(ok)] |= ok.astype(np.int8) << d
-                pos = np.flatnonzero(wanted)
-                pos = pos[(pos - offs[row[pos]]) % 3 != 0]
-                view = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(2, np.uint8), data, np.zeros(tail, np.uint8)]), length + 2)
-                for i in range(0, len(pos), BATCH):
-                    at = pos[i : i + BATCH]
-                    rows = view[at]  # two bytes before the position, then as many as a match has
-                    from_ = pa.array(row[at] + lo)
-
-                    def cut(start: int, width: int) -> pa.Array:
-                        part = np.ascontiguousarray(rows[:, start + 2 : start + 2 + width])
-                        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(part)]).cast(pa.binary())
-
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(from_), batch.column(1).take(from_), pa.array((at - offs[row[at]]).astype(np.int32)), pa.array(wanted[at]), cut(0, prefix), cut(prefix, prefix), cut(-2, 2), cut(2 * prefix, tail)],
-                        names=["owner", "id", "pos", "wanted", "one", "two", "before", "after"],
-                    )
+            numbers = batch.column(0).to_numpy()
+            for lo, data, offs in _chunks(batch.column(1)):
+                row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+                at, pos = _positions(offs, row, cover.triple)
+                at, pos = at[pos % 3 > 0], pos[pos % 3 > 0]
+                triple = _prefixes(data, at, cover.triple)
+                order = np.argsort(triple, kind="stable")
+                at, pos, triple = at[order], pos[order], triple[order]
+                yield kinds.rows(np.searchsorted(limits, triple, "right"), numbers[row[at] + lo], pos, triple)
+
+    return run
+
+
+def _in_order(part: int, same: np.ndarray) -> np.ndarray:
+    """Names along an order in which ``same`` marks rows equal to the one before: the range, then a running number."""
+    return (np.uint64(part) << np.uint64(NAME_BITS)) + np.cumsum(~same).astype(np.uint64)
+
+
+def _bucket(number: np.ndarray, buckets: int) -> np.ndarray:
+    return (number % buckets).astype(np.int32)
+
+
+def _by_position(number: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by number and position, keys in that order): a key plus a distance is the key of the position behind."""
+    order = np.lexsort((pos, number))
+    new = np.diff(number[order], prepend=-1) != 0
+    return order, (np.cumsum(new).astype(np.int64) << 32) + pos[order]
+
+
+def _name_triples(ranges: int, kinds: Packed):
+    def run(table: pa.Table) -> pa.Table:
+        number, pos, triple = kinds.columns(table)
+        order = np.argsort(triple, kind="stable")
+        triple = triple[order]
+        name = _in_order(table.column("part")[0].as_py(), np.append(False, triple[1:] == triple[:-1])[: len(triple)])
+        number, pos = number[order], pos[order]
+        back = _by_position(number, pos)[0]
+        return pa.Table.from_batches([NAMES.rows(_bucket(number[back], ranges), number[back], pos[back], name[back])])
+
+    return run
+
+
+def _triples_of_names(distances: tuple[int, int]):
+    """Names of one bucket of pieces -> three names side by side, dealt by the range of the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, pos, name = NAMES.columns(table)
+        order, key = _by_position(number, pos)
+        number, pos, name = number[order], pos[order], name[order]
+        behind = [np.searchsorted(key, key + d) for d in distances]
+        ok = np.logical_and.reduce([(b < len(key)) & (key[np.minimum(b, len(key) - 1)] == key + d) for b, d in zip(behind, distances)])
+        n0, (n1, n2) = name[ok], (name[b[ok]] for b in behind)
+        n2 = n2 if distances[0] != distances[1] else np.zeros_like(n2)
+        return pa.Table.from_batches([NAMED.rows((n0 >> np.uint64(NAME_BITS)).astype(np.int32), number[ok], pos[ok], n0, n1, n2)])
+
+    return run
+
+
+def _name_names(ranges: int):
+    def run(table: pa.Table) -> pa.Table:
+        number, pos, n0, n1, n2 = NAMED.columns(table)
+        order = np.lexsort((n2, n1, n0))
+        same = np.append(False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (n0, n1, n2)]))[: len(order)]
+        name, number, pos = _in_order(table.column("part")[0].as_py(), same), number[order], pos[order]
+        back = _by_position(number, pos)[0]
+        return pa.Table.from_batches([NAMES.rows(_bucket(number[back], ranges), number[back], pos[back], name[back])])
+
+    return run
+
+
+def _suffixes(cover: Cover, limits: np.ndarray):
+    """Pieces and ranks of a bucket -> every start with what places it in the order, dealt by the ranges of triples."""
+
+    def run(ranks: pa.Table, pieces: pa.Table) -> pa.Table:
+        number, pos, rank = NAMES.columns(ranks)
+        order, out = np.lexsort((pos, number)), []
+        number, pos, rank = number[order], pos[order], rank[order]
+        pieces = pieces.sort_by("number").combine_chunks()
+        for lo, data, offs in _chunks(pieces.column("data").combine_chunks() if isinstance(pieces.column("data"), pa.ChunkedArray) else pieces.column("data")):
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+            own, first, last = (pieces.column(c).to_numpy()[lo : lo + len(offs) - 1] for c in ("number", "first", "last"))
+            part = slice(*np.searchsorted(number, [own[0], own[-1] + 1]))
+            held = np.zeros(len(data) + 4, np.uint64)
+            held[offs[np.searchsorted(own, number[part])] + pos[part]] = rank[part]
+            at, p = _positions(offs, row, cover.length)
+            kind = (p % 3).astype(np.uint8)
+            ra = np.where(kind == 0, held[at + 1], held[at])
+            rb = np.where(kind == 1, held[at + 1], held[at + 2])
+            wide = np.concatenate([data, np.zeros(8, np.uint8)])
+            head = wide[at].astype(np.uint16) << 8 | wide[at + 1]
+            tail = np.zeros(len(at), np.uint32)
+            for k in range(cover.tail):
+                tail = tail << np.uint32(8) | wide[at + cover.reach + k]
+            range_ = (ra >> np.uint64(NAME_BITS)).astype(np.int32)
+            zero = np.flatnonzero(kind == 0)
+            range_[zero] = np.searchsorted(limits, _prefixes(data, at[zero], cover.triple), "right")
+            out.append(SUFFIXES.rows(range_, own[row[at]], p, kind, head, tail, ra, rb, first[row[at]], last[row[at]]))
+        return pa.Table.from_batches(out, schema=SUFFIXES.rows(*[np.zeros(0, np.int64)] * 10).schema)
+
+    return run
+
+
+def merged_order(cover: Cover, kind: np.ndarray, head: np.ndarray, tail: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes by their first ``length`` bytes, whether each agrees with the one before on all of them).
+
+    Sampled suffixes (``kind`` 1 and 2) are in order by their rank and what completes it. The others are sorted by one
+    byte and the next rank, and merged: against kind 1 by that, against kind 2 by two bytes and the rank after them.
+    """
+    tail = tail.astype(np.uint64)
+    sampled, zero, one, two = kind > 0, kind == 0, kind == 1, kind == 2
+    ranks = np.unique(np.concatenate([ra, rb]))
+    a, b = (np.searchsorted(ranks, x).astype(np.uint64) for x in (ra, rb))
+    cut = lambda d: tail & np.uint64((1 << 8 * (cover.tail - d)) - 1)
+    own = a << np.uint64(32) | tail
+    by_one = head.astype(np.uint64) >> np.uint64(8) << np.uint64(56) | np.where(one, b, a) << np.uint64(24) | cut(1)
+    by_two = head.astype(np.uint64) << np.uint64(48) | b << np.uint64(16) | cut(2)
+    first = np.flatnonzero(sampled)[np.argsort(own[sampled], kind="stable")]
+    rest = np.flatnonzero(zero)[np.argsort(by_one[zero], kind="stable")]
+    before = np.searchsorted(by_one[first[one[first]]], by_one[rest]) + np.searchsorted(by_two[first[two[first]]], by_two[rest])
+    order = np.empty(len(kind), np.int64)
+    at = np.arange(len(rest)) + before
+    free = np.ones(len(kind), np.bool_)
+    free[at] = False
+    order[at], order[free] = rest, first
+    x, y = order[:-1], order[1:]
+    same = np.where(sampled[x] & sampled[y], own[x] == own[y], np.where(two[x] | two[y], by_two[x] == by_two[y], by_one[x] == by_one[y]))
+    return order, np.append(False, same)[: len(order)]
+
+
+def _classes(cover: Cover, ranges: int):
+    """Suffixes of a range -> (number, pos, smallest document of its class), where the class has a larger one too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, pos, kind, head, tail, ra, rb, first, last = SUFFIXES.columns(table)
+        order, same = merged_order(cover, kind, head, tail, ra, rb)
+        begins = np.flatnonzero(~same)
+        least, most = np.minimum.reduceat(first[order], begins), np.maximum.reduceat(last[order], begins)
+        at, which = order, np.cumsum(~same) - 1
+        keep = least[which] < most[which]
+        number, pos, least = number[at[keep]], pos[at[keep]], least[which[keep]]
+        back = _by_position(number, pos)[0]
+        return pa.Table.from_batches([CLASSES.rows(_bucket(number[back], ranges), number[back], pos[back], least[back])])
 
     return run
 
 
-def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The different keys in order, each with a number that grows along the order."""
-    ordered = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), name)
-
-
-def _filter_of(pieces: DataFrame, length: int, sparse: bool, max_filter_bits: int):
-    """The filter of marks that two rows of ``pieces`` have."""
-    n_bytes = pieces.select(F.sum(F.greatest(F.octet_length("data") - length + 1, F.lit(0)))).first()[0] or 0
-    keys = n_bytes * 2 // (length - length * 3 // 4 + 2) if sparse else n_bytes
-    return seen_twice(pieces.select("data"), _keys_of(length, sparse), bits_for(keys, max_filter_bits))
-
-
-def _by_cover(pieces: DataFrame, length: int, max_filter_bits: int) -> DataFrame:
-    """(owner, runs) of ``pieces`` (owner, id, data) by the difference cover."""
-    prefix = (length - 2) // 6 * 3  # a multiple of 3, so that the shift by it stays in the cover
-    tail = length - 2 * prefix
-    fields = [("owner", pieces.schema["owner"].dataType), ("id", pieces.schema["id"].dataType), ("pos", T.IntegerType()), ("wanted", T.ByteType())] + [(n, T.BinaryType()) for n in ("one", "two", "before", "after")]
-    shared = _filter_of(pieces, length, False, max_filter_bits)
-    rows = stored(pieces.mapInArrow(_sampled(length, prefix, shared), T.StructType([T.StructField(*f) for f in fields])), "suffixes")
-    first = _named(rows.select(F.explode(F.array("one", "two")).alias("triple")), ["triple"], "name")
-    names = rows.join(first.select(F.col("triple").alias("one"), F.col("name").alias("name")), "one").join(first.select(F.col("triple").alias("two"), F.col("name").alias("next")), "two")
-    pairs = stored(names.drop("one", "two"), "suffix-pairs")
-    second = _named(pairs, ["name", "next"], "rank")
-    ranked = pairs.join(second, ["name", "next"]).select("owner", "id", "pos", "wanted", "rank", "before", "after")
-    shifted = [
-        F.struct(F.lit(d).cast("byte").alias("shift"), (F.col("pos") - d).alias("start"), F.concat(F.substring("before", 3 - d, d), F.substring("after", 1, tail - d)).alias("rest"))
-        for d in range(3)
-    ]
-    keyed = stored(ranked.select("owner", "id", "wanted", "rank", F.inline(F.array(*shifted))).filter(F.expr("shiftright(wanted, shift) & 1") == 1).drop("wanted"), "suffix-keys")
-    keys = ["shift", "rank", "rest"]
-    firsts = stored(keyed.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")), "suffix-firsts")
-    gone = keyed.join(firsts, keys).filter(F.col("id") > F.col("first"))
-    return gone.groupBy("owner").agg(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))).alias("runs"))
+RUNS = "array<struct<a:int,b:int,least:long>>"
+
+
+def _runs(table: pa.Table) -> pa.Table:
+    """(number, runs): stretches of starts of a piece with one smallest document."""
+    number, pos, least = CLASSES.columns(table)
+    order = np.lexsort((pos, number))
+    number, pos, least = number[order], pos[order], least[order]
+    begins = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1]))[: len(pos)])
+    ends = np.append(begins[1:], len(pos))
+    runs = pa.StructArray.from_arrays([pa.array(pos[begins]), pa.array(pos[ends - 1] + np.int32(1)), pa.array(least[begins])], names=["a", "b", "least"])
+    of, at = np.unique(number[begins], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(begins)).astype(np.int32)), runs)
+    return pa.table({"number": pa.array(of), "runs": lists})
+
+
+def _by_cover(pieces: DataFrame, length: int) -> DataFrame:
+    """(number, runs) of ``pieces`` (number, first, last, data) by the difference cover; see the module's text."""
+    cover = Cover(length)
+    n = pieces.select(F.sum(F.octet_length("data") - length + 1)).first()[0] or 0
+    ranges = int(min(MOST_RANGES, max(4, n // RANGE_ROWS)))
+    limits = pieces.sparkSession.sparkContext.broadcast(_limits(pieces, ranges, cover)).value
+    kinds = Packed(number="<i8", pos="<i4", triple=f"S{cover.triple}")
+    dealt = pieces.select("number", "data").mapInArrow(_triples(cover, limits, kinds), kinds.schema)
+    names = dealt.groupBy("part").applyInArrow(_name_triples(ranges, kinds), NAMES.schema)
+    for distances in cover.rounds:
+        beside = names.groupBy("part").applyInArrow(_triples_of_names(distances), NAMED.schema)
+        names = beside.groupBy("part").applyInArrow(_name_names(ranges), NAMES.schema)
+    dealt = pieces.select((F.col("number") % ranges).cast("int").alias("part"), "number", "first", "last", "data")
+    suffixes = names.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_suffixes(cover, limits), SUFFIXES.schema)
+    classes = suffixes.groupBy("part").applyInArrow(_classes(cover, ranges), CLASSES.schema)
+    return classes.groupBy("part").applyInArrow(_runs, f"number long, runs {RUNS}")
 
 
 def repeated_runs(pieces: DataFrame, length: int, *, cuts: tuple[int, ...] = CUTS, sparse: bool = True, max_filter_bits: int = 1 << 29) -> DataFrame:
-    """(owner, runs) of ``pieces`` (owner, id, data): ``runs`` are the stretches [a, b) of byte positions
-    at which a string of ``length`` bytes starts that also starts in a row of smaller id.
+    """(owner, runs) of ``pieces`` (owner, first, last, data), strings that the documents ``first`` to ``last`` have:
+    stretches [a, b) of byte positions at which a string of ``length`` bytes starts that documents of several
+    ids have, with the ``least`` of those ids. Documents of larger ids lose them.
 
-    ``owner`` tells rows of different data or id apart (a digest of texts, a number of pieces). ``cuts`` are the levels at
-    which equal pieces are collapsed before the difference cover; none gives the same result.
+    ``owner`` tells rows apart. ``cuts`` are the levels at which strings that can be repeats are cut out and equal
+    ones become one; with none the sort has all suffixes, and the result is the same.
     """
     if length < 8:
         raise ValueError("length is 8 at least")
     if not cuts:
-        return _by_cover(pieces, length, max_filter_bits)
-    shared = _filter_of(pieces, length, sparse, max_filter_bits)
-    fields = [("owner", pieces.schema["owner"].dataType), ("id", pieces.schema["id"].dataType), ("start", T.IntegerType()), ("n", T.IntegerType()), ("key", T.BinaryType()), ("data", T.BinaryType())]
-    parts = stored(pieces.mapInArrow(_split(length, cuts[0], sparse, shared), T.StructType([T.StructField(*f) for f in fields])), f"pieces-{cuts[0]}")
-    grouped = parts.groupBy("key", "data").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    groups = stored(grouped.withColumn("number", F.monotonically_increasing_id()), f"groups-{cuts[0]}")
-    inner = repeated_runs(groups.select(F.col("number").alias("owner"), F.col("first").alias("id"), "data"), length, cuts=cuts[1:], sparse=False, max_filter_bits=max_filter_bits)
-    known = groups.select("number", "key", "first", "last").join(inner.withColumnRenamed("owner", "number"), "number", "left").drop("number")
-    repeated = stored(known.filter((F.col("first") < F.col("last")) | F.col("runs").isNotNull()).drop("last"), f"repeated-{cuts[0]}")
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
-    gone = parts.drop("data").join(repeated, "key").select("owner", F.inline(F.when(F.col("id") > F.col("first"), whole).otherwise(moved)))
-    return gone.groupBy("owner").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+        numbered = pieces if isinstance(pieces.schema["owner"].dataType, T.LongType) else stored(pieces.withColumn("number", F.monotonically_increasing_id()), "cover-pieces")
+        if numbered is pieces:
+            return stored(_by_cover(pieces.withColumnRenamed("owner", "number"), length), "cover-runs").withColumnRenamed("number", "owner")
+        found = stored(_by_cover(numbered.select("number", "first", "last", "data"), length), "cover-runs")
+        return numbered.select("owner", "number", "last").join(found, "number").select("owner", F.filter("runs", lambda r: r["least"] < F.col("last")).alias("runs"))
+    shared = _repeated_marks(pieces, length, sparse, max_filter_bits)
+    fields = [("owner", pieces.schema["owner"].dataType), ("first", T.LongType()), ("last", T.LongType()), ("start", T.IntegerType()), ("n", T.IntegerType()), ("key", T.BinaryType()), ("data", T.BinaryType())]
+    parts = stored(pieces.select("owner", "first", "last", "data").mapInArrow(_split(length, cuts[0], sparse, shared), T.StructType([T.StructField(*f) for f in fields])), f"pieces-{cuts[0]}")
+    groups = parts.groupBy("key", "data").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    groups = stored(groups.withColumn("owner", F.monotonically_increasing_id()), f"groups-{cuts[0]}")
+    inner = repeated_runs(groups.select("owner", "first", "last", "data"), length, cuts=cuts[1:], sparse=False, max_filter_bits=max_filter_bits)
+    known = stored(groups.select("owner", "key").join(inner, "owner").drop("owner"), f"repeated-{cuts[0]}")
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b"), r["least"].alias("least")))
+    found = parts.drop("data").join(known, "key").select("owner", F.filter(moved, lambda r: r["least"] < F.col("last")).alias("runs"))
+    result = stored(found.filter(F.size("runs") > 0).groupBy("owner").agg(F.flatten(F.collect_list("runs")).alias("runs")), f"runs-{cuts[0]}")
+    dropped(parts, groups, inner, known)
+    return result
 
 
 def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[int, ...] = CUTS) -> DataFrame:
@@ -277,15 +535,16 @@ def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", t
     Removed is every byte covered by a string of ``length`` bytes that also starts in a document
     of smaller id; strings are judged on the input and never cross documents. ``kept`` is what
     stays (a cut may fall inside a character). Null texts are empty; rows without an id
-    neither lose nor cause anything; rows that share an id do not remove each other. Columns
-    named as the new ones are replaced.
+    neither lose nor cause anything; rows that share an id do not remove each other. Ids are whole
+    numbers. Columns named as the new ones are replaced.
     """
     docs = without(docs, ["kept", "n_bytes", "n_removed", "n_spans"])
     text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
     owner = F.unhex(F.md5(F.concat_ws("\0", id_.cast("string"), F.coalesce(text, F.lit("")))))
-    texts = docs.filter(id_.isNotNull() & (F.octet_length(text) >= length)).select(owner.alias("owner"), id_.alias("id"), text.cast("binary").alias("data"))
-    runs = stored(repeated_runs(texts, length, cuts=cuts), "removed-runs")
-    n_bytes = runs.select(F.sum(F.lit(48) + 8 * F.size("runs"))).first()[0] or 0
+    texts = docs.filter(id_.isNotNull() & (F.octet_length(text) >= length)).select(owner.alias("owner"), id_.cast("long").alias("first"), id_.cast("long").alias("last"), text.cast("binary").alias("data"))
+    found = repeated_runs(texts, length, cuts=cuts)
+    runs = stored(found.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "removed-runs")
+    n_bytes = runs.select(F.sum(F.lit(48) + 16 * F.size("runs"))).first()[0] or 0
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(id_.isNotNull(), owner).alias("owner"))
     joined = left.join(F.broadcast(runs) if n_bytes <= MAX_BROADCAST else runs, "owner", "left").select("row", "runs")
 

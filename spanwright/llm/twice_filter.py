@@ -102,3 +102,11 @@ def seen_twice(texts: DataFrame, keys_of: Callable[[pa.Array], Iterable[np.ndarr
     for row in merged.toLocalIterator():
         twice[row.seg * step : (row.seg + 1) * step] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
     return spark.sparkContext.broadcast(twice)
+
+
+def filter_of(keys: Iterable[np.ndarray], bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits of all key hashes."""
+    words = np.zeros(bits // 8, np.uint8)
+    for k in keys:
+        _set(words, _positions(k, bits).ravel())
+    return words

@@ -141,17 +141,38 @@ def brute_repeats(texts, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length", [8, 11, 50])
-def test_repeats_against_brute_force(spark, length):
+@pytest.mark.parametrize("cuts", [suffix_dedup.CUTS, ()])
+@pytest.mark.parametrize("length", [8, 10, 11, 50, 131])
+def test_repeats_against_brute_force(spark, length, cuts):
     rnd = random.Random(length)
     parts = ["".join(rnd.choice("abé \n") for _ in range(rnd.randrange(1, 70))) for _ in range(12)]
     texts = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(5)))) for i in range(30)]
     texts += [(40, None), (None, parts[0] * 3), (3, "".join(parts[:3])), (41, texts[2][1]), (41, texts[2][1]), (42, "a" * 500), (43, "a" * 130)]
-    got = suffix_dedup.drop_repeats(docs(spark, texts), length=length)
+    got = suffix_dedup.drop_repeats(docs(spark, texts).withColumn("kept", F.lit(1)), length=length, cuts=cuts)
     rows = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got.collect()]
     assert sorted(rows, key=repr) == brute_repeats(texts, length)
 
 
+@pytest.mark.parametrize("length", [8, 9, 10, 17, 50, 100, 131])
+def test_suffixes_are_sorted(length):
+    """The merged order is that of the first ``length`` bytes of every suffix, and neighbours that agree are found."""
+    rnd = random.Random(length)
+    cover = suffix_dedup.Cover(length)
+    text = b"".join(rnd.choice([b"ab", b"a", b"ba", b"abcabc"]) for _ in range(400))
+    sampled = [q for q in range(len(text) - cover.reach + 1) if q % 3]
+    ranked = {x: i for i, x in enumerate(sorted({text[q : q + cover.reach] for q in sampled}))}
+    rank = np.zeros(len(text) + 4, np.uint64)
+    rank[sampled] = [ranked[text[q : q + cover.reach]] for q in sampled]
+    p = np.arange(len(text) - length + 1)
+    kind = (p % 3).astype(np.uint8)
+    head = np.array([text[i] << 8 | text[i + 1] for i in p], np.uint16)
+    tail = np.array([int.from_bytes(text[i + cover.reach : i + length], "big") for i in p], np.uint32)
+    order, same = suffix_dedup.merged_order(cover, kind, head, tail, np.where(kind == 0, rank[p + 1], rank[p]), np.where(kind == 1, rank[p + 1], rank[p + 2]))
+    got = [text[i : i + length] for i in order]
+    assert got == sorted(text[i : i + length] for i in p)
+    assert same.tolist() == [i > 0 and got[i] == got[i - 1] for i in range(len(got))]
+
+
 def test_repeats_empty_table_and_short_length(spark):
     d = docs(spark, [(1, "abc")])
     assert suffix_dedup.drop_repeats(d.limit(0)).count() == 0
