@@ -38,9 +38,13 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables that ``stored`` wrote, once nothing reads them any more."""
+    """Deletes the files of tables that ``stored`` wrote, once nothing reads them any more.
+
+    The exchange files behind them go with the driver's next garbage collection, which is asked for.
+    """
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
+        jvm.System.gc()
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)

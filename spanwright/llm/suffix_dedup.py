@@ -36,7 +36,7 @@ from spanwright.llm.common import stored as stored_as
 from spanwright.llm.twice_filter import bits_for, contains, filter_of
 
 #: Half the least distance of two cuts, level by level.
-CUTS = (32, 5)
+CUTS = (64, 32)
 #: Bytes of a word that the cuts of a text are hashed from.
 CUT_WORD = 12
 #: A list of removed stretches up to so many bytes is broadcast to the texts; a larger one is joined.
@@ -118,21 +118,14 @@ def _starts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     return row, at + length <= offs[1:][row[: len(at)]]
 
 
-def _keys_of(length: int, sparse: bool):
-    """Column -> the different marks of each row, many rows at a time."""
-
-    def run(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, data, offs in _chunks(column):
-            row, inside = _starts(data, offs, length)
-            at = np.flatnonzero(inside)
-            marks, row = _marks(data, length, sparse)[at], row[at]
-            at = np.flatnonzero(np.concatenate(([True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])))[: len(marks)])
-            marks, row = marks[at], row[at]
-            order = np.argsort(marks, kind="stable")
-            marks, row = marks[order], row[order]
-            yield marks[np.concatenate(([True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])))[: len(marks)]]
-
-    return run
+def _marks_by_row(column: pa.Array, length: int, sparse: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(fingerprints of a run of rows, the row of each); neighbours that are equal are one."""
+    for lo, data, offs in _chunks(column):
+        row, inside = _starts(data, offs, length)
+        at = np.flatnonzero(inside)
+        marks, row = _marks(data, length, sparse)[at], row[at] + lo
+        new = np.concatenate(([True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])))[: len(marks)]
+        yield marks[new], row[new]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -186,26 +179,32 @@ def _repeated_marks(pieces: DataFrame, length: int, sparse: bool, max_filter_bit
     spark = pieces.sparkSession
     n_bytes = pieces.select(F.sum(F.octet_length("data"))).first()[0] or 0
     bits = min(10, max(2, int(n_bytes // (1 << 24)).bit_length()))
-    keys_of = _keys_of(length, sparse)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, rows_before, size = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            marks, n = np.unique(np.concatenate(held), return_counts=True)
+            marks, row = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(marks)
+            marks, row = marks[order], row[order]
+            begins = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+            again = np.minimum.reduceat(row, begins) < np.maximum.reduceat(row, begins)
+            marks = marks[begins]
             part = (marks >> np.uint64(MARK_BITS - bits)).astype(np.int32)
             step = np.diff(marks, prepend=np.uint64(0))
-            begins = np.flatnonzero(np.diff(part, prepend=-1))
-            step[begins] = marks[begins]
-            return MARKS.rows(part, step, (n > 1).astype(np.uint8))
+            firsts = np.flatnonzero(np.diff(part, prepend=-1))
+            step[firsts] = marks[firsts]
+            return MARKS.rows(part, step, again.astype(np.uint8))
 
         for batch in batches:
-            for marks in keys_of(batch.column(0)):
-                held.append(marks)
-                size += len(marks)
+            for marks, row in _marks_by_row(batch.column(0), length, sparse):
+                if len(marks):
+                    held.append((marks, row + rows_before))
+                    size += len(marks)
                 if size > HELD_MARKS:
                     yield flush()
                     held, size = [], 0
+            rows_before += len(batch)
         if size:
             yield flush()
 
@@ -421,6 +420,16 @@ def _suffixes(cover: Cover, limits: np.ndarray):
     return run
 
 
+def _in_32_bits(ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks as numbers of 32 bits in the same order: range and running number side by side, or renumbered where these are too long."""
+    low = np.uint64((1 << NAME_BITS) - 1)
+    bits = int(max((x & low).max(initial=0) for x in (ra, rb))).bit_length()
+    if bits + int(max((x >> np.uint64(NAME_BITS)).max(initial=0) for x in (ra, rb))).bit_length() <= 32:
+        return tuple((x >> np.uint64(NAME_BITS) << np.uint64(bits)) | (x & low) for x in (ra, rb))
+    ranks = np.unique(np.concatenate([ra, rb]))
+    return tuple(np.searchsorted(ranks, x).astype(np.uint64) for x in (ra, rb))
+
+
 def merged_order(cover: Cover, kind: np.ndarray, head: np.ndarray, tail: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the suffixes by their first ``length`` bytes, whether each agrees with the one before on all of them).
 
@@ -429,14 +438,13 @@ def merged_order(cover: Cover, kind: np.ndarray, head: np.ndarray, tail: np.ndar
     """
     tail = tail.astype(np.uint64)
     sampled, zero, one, two = kind > 0, kind == 0, kind == 1, kind == 2
-    ranks = np.unique(np.concatenate([ra, rb]))
-    a, b = (np.searchsorted(ranks, x).astype(np.uint64) for x in (ra, rb))
+    a, b = _in_32_bits(ra, rb)
     cut = lambda d: tail & np.uint64((1 << 8 * (cover.tail - d)) - 1)
     own = a << np.uint64(32) | tail
     by_one = head.astype(np.uint64) >> np.uint64(8) << np.uint64(56) | np.where(one, b, a) << np.uint64(24) | cut(1)
     by_two = head.astype(np.uint64) << np.uint64(48) | b << np.uint64(16) | cut(2)
-    first = np.flatnonzero(sampled)[np.argsort(own[sampled], kind="stable")]
-    rest = np.flatnonzero(zero)[np.argsort(by_one[zero], kind="stable")]
+    first = np.flatnonzero(sampled)[np.argsort(own[sampled])]
+    rest = np.flatnonzero(zero)[np.argsort(by_one[zero])]
     before = np.searchsorted(by_one[first[one[first]]], by_one[rest]) + np.searchsorted(by_two[first[two[first]]], by_two[rest])
     order = np.empty(len(kind), np.int64)
     at = np.arange(len(rest)) + before
@@ -539,14 +547,23 @@ def drop_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", t
     numbers. Columns named as the new ones are replaced.
     """
     docs = without(docs, ["kept", "n_bytes", "n_removed", "n_spans"])
-    text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
-    owner = F.unhex(F.md5(F.concat_ws("\0", id_.cast("string"), F.coalesce(text, F.lit("")))))
-    texts = docs.filter(id_.isNotNull() & (F.octet_length(text) >= length)).select(owner.alias("owner"), id_.cast("long").alias("first"), id_.cast("long").alias("last"), text.cast("binary").alias("data"))
+    text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    long = id_.isNotNull() & (F.octet_length(text) >= length)
+    owner = F.unhex(F.md5(text))
+    # whole copies lose everything to the document of smallest id, which alone goes on
+    whole = docs.filter(long).select(owner.alias("owner"), id_.alias("id")).groupBy("owner").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    copies = stored(whole.filter("n > 1").drop("n"), "copies")
+    small = lambda df, row_bytes: F.broadcast(df) if df.count() * row_bytes <= MAX_BROADCAST else df
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), id_.alias("id"), F.when(long, owner).alias("owner")).join(small(copies, 64), "owner", "left")
+    alone = F.col("owner").isNotNull() & (F.col("least").isNull() | (F.col("id") == F.col("least")))
+    texts = keyed.filter(alone).select("owner", F.col("id").alias("first"), F.col("id").alias("last"), F.col("text").cast("binary").alias("data"))
     found = repeated_runs(texts, length, cuts=cuts)
-    runs = stored(found.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "removed-runs")
+    runs = stored(found.groupBy("owner").agg(F.flatten(F.collect_list("runs")).alias("runs")), "removed-runs")
+    dropped(found)
     n_bytes = runs.select(F.sum(F.lit(48) + 16 * F.size("runs"))).first()[0] or 0
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(id_.isNotNull(), owner).alias("owner"))
-    joined = left.join(F.broadcast(runs) if n_bytes <= MAX_BROADCAST else runs, "owner", "left").select("row", "runs")
+    all_ = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("text") - length + 1).alias("b"), F.col("least")))
+    left = keyed.withColumn("whole", F.when(F.col("id") > F.col("least"), all_.cast(RUNS)))
+    joined = left.join(F.broadcast(runs) if n_bytes <= MAX_BROADCAST else runs, "owner", "left").select("row", F.coalesce("whole", "runs").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
