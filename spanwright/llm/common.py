@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import uuid
 
@@ -40,15 +41,16 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``stored`` wrote, once nothing reads them any more.
 
-    The exchange files behind them go with the driver's next garbage collection, which is asked for.
+    The exchange files of finished jobs go with the driver's next garbage collection, which is asked for.
     """
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        jvm.System.gc()
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        context = df.sparkSession.sparkContext
         for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

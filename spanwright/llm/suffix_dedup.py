@@ -497,10 +497,13 @@ def _by_cover(pieces: DataFrame, length: int) -> DataFrame:
     limits = pieces.sparkSession.sparkContext.broadcast(_limits(pieces, ranges, cover)).value
     kinds = Packed(number="<i8", pos="<i4", triple=f"S{cover.triple}")
     dealt = pieces.select("number", "data").mapInArrow(_triples(cover, limits, kinds), kinds.schema)
-    names = dealt.groupBy("part").applyInArrow(_name_triples(ranges, kinds), NAMES.schema)
+    # a round is written before the next begins, so that the exchanges of only one are on disk
+    names = stored(dealt.groupBy("part").applyInArrow(_name_triples(ranges, kinds), NAMES.schema), "names")
     for distances in cover.rounds:
         beside = names.groupBy("part").applyInArrow(_triples_of_names(distances), NAMED.schema)
-        names = beside.groupBy("part").applyInArrow(_name_names(ranges), NAMES.schema)
+        longer = stored(beside.groupBy("part").applyInArrow(_name_names(ranges), NAMES.schema), "names")
+        dropped(names)
+        names = longer
     dealt = pieces.select((F.col("number") % ranges).cast("int").alias("part"), "number", "first", "last", "data")
     suffixes = names.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_suffixes(cover, limits), SUFFIXES.schema)
     classes = suffixes.groupBy("part").applyInArrow(_classes(cover, ranges), CLASSES.schema)
@@ -528,12 +531,14 @@ def repeated_runs(pieces: DataFrame, length: int, *, cuts: tuple[int, ...] = CUT
     parts = stored(pieces.select("owner", "first", "last", "data").mapInArrow(_split(length, cuts[0], sparse, shared), T.StructType([T.StructField(*f) for f in fields])), f"pieces-{cuts[0]}")
     groups = parts.groupBy("key", "data").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     groups = stored(groups.withColumn("owner", F.monotonically_increasing_id()), f"groups-{cuts[0]}")
+    places = stored(parts.drop("data"), f"places-{cuts[0]}")
+    dropped(parts)
     inner = repeated_runs(groups.select("owner", "first", "last", "data"), length, cuts=cuts[1:], sparse=False, max_filter_bits=max_filter_bits)
     known = stored(groups.select("owner", "key").join(inner, "owner").drop("owner"), f"repeated-{cuts[0]}")
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b"), r["least"].alias("least")))
-    found = parts.drop("data").join(known, "key").select("owner", F.filter(moved, lambda r: r["least"] < F.col("last")).alias("runs"))
+    found = places.join(known, "key").select("owner", F.filter(moved, lambda r: r["least"] < F.col("last")).alias("runs"))
     result = stored(found.filter(F.size("runs") > 0).groupBy("owner").agg(F.flatten(F.collect_list("runs")).alias("runs")), f"runs-{cuts[0]}")
-    dropped(parts, groups, inner, known)
+    dropped(places, groups, inner, known)
     return result
 
 
