@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spanwright.llm.common import without
 
 GRAMS = 1 << 16
-#: Letters that one step of the vectorised inference holds at a time (longer texts go alone).
+#: Letters that one step of the vectorised inference holds at a time with eight languages, fewer with more (longer texts go alone).
 STEP_CHARS = 1 << 20
 
 
@@ -102,8 +102,9 @@ def _em(p: np.ndarray, w: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np
     return pi, like
 
 
-def infer(codes: list[np.ndarray], probs: np.ndarray, *, max_set: int = 3, penalty: float = 4.0, rounds: int = 8) -> np.ndarray:
-    """Proportions (documents x languages) of padded code arrays."""
+def infer(codes: list[np.ndarray], probs: np.ndarray, *, max_set: int | None = None, penalty: float = 4.0, rounds: int = 8) -> np.ndarray:
+    """Proportions (documents x languages) of padded code arrays; a set grows while the penalised likelihood does, up to
+    ``max_set`` languages or all."""
     lens = np.array([len(c) - 2 for c in codes])
     doc = np.repeat(np.arange(len(codes), dtype=np.int64), lens)
     key, w = np.unique(doc * GRAMS + np.concatenate([_grams(c) for c in codes]), return_counts=True)
@@ -115,7 +116,7 @@ def infer(codes: list[np.ndarray], probs: np.ndarray, *, max_set: int = 3, penal
     best = (rank == 0).astype(float)
     _, like = _em(p, w, doc, starts, n, best + 1e-12, 0)
     open_ = np.arange(len(codes))
-    for k in range(2, min(max_set, probs.shape[1]) + 1):
+    for k in range(2, min(max_set or probs.shape[1], probs.shape[1]) + 1):
         pick = np.isin(doc, open_)
         at = np.searchsorted(open_, doc[pick])
         start = np.where(rank[open_] < k, np.maximum(pi[open_], 1e-6), 0.0)
@@ -157,7 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
             size = 0
             for i, text in enumerate(batch.column(at)):
                 if m.langs and (c := _padded(text.as_py())) is not None:
-                    if size + len(c) > STEP_CHARS:
+                    if size + len(c) > STEP_CHARS * 8 // max(8, len(m.langs)):
                         settle()
                         size = 0
                     held.append((i, c))

@@ -1,4 +1,4 @@
-"""Licence scans: normalised lines and texts against templates by Dice over word bigrams.
+"""Licence scans: normalised lines, paragraphs and texts against templates by Dice over word bigrams.
 
 Dice(A, B) = 2 |A & B| / (|A| + |B|) over sets of bigrams can only reach ``least`` if the sizes
 are within a factor of (2 - least) / least, so every template has a range of sizes, and a
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Templates are part of the plan; longer lists belong in several calls.
 MOST_TEMPLATES = 2_000
+#: What divides paragraphs: a line end and one or more lines without letters and digits.
+PARAGRAPHS = r"\n([^\p{L}\p{N}\n]*\n)+"
 
 
 @dataclass(frozen=True)
@@ -93,8 +95,10 @@ def _unit_bigrams(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, *, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, unit, license_id, template, dice): the units of each document that are a licence text.
 
-    Units are the lines of the whole text (``unit`` counts from 1) and, where there are
-    several lines, the text as one (``unit`` 0). A unit is a licence if its best template
+    Units are the lines of the whole text (``unit`` counts from 1), where there are
+    several lines the text as one (``unit`` 0), and where lines without letters and digits divide it the
+    paragraphs of several lines (``unit`` -1, -2, ... along all paragraphs), so a notice that is
+    wrapped, or framed as a comment, is found. A unit is a licence if its best template
     reaches ``least``; ties go to the larger template, then to the smaller licence and template
     name. Null, empty and one-word units have no bigram and match nothing; repeated rows are
     scanned one by one. Templates without a bigram are refused.
@@ -114,7 +118,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     low, high = min(size_range(len(s), least)[0] for _, s in sets), max(size_range(len(s), least)[1] for _, s in sets)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("unit"), x.alias("body")))
-    units = F.when(F.contains(text, F.lit("\n")), F.concat(F.array(F.struct(F.lit(0).alias("unit"), text.alias("body"))), lines)).otherwise(lines)
+    blocks = F.transform(F.split(text, PARAGRAPHS), lambda x, i: F.struct((-i - 1).alias("unit"), x.alias("body")))
+    blocks = F.when(text.rlike(PARAGRAPHS), F.filter(blocks, lambda u: F.contains(u["body"], F.lit("\n")))).otherwise(F.array().cast("array<struct<unit:int,body:string>>"))
+    units = F.when(F.contains(text, F.lit("\n")), F.concat(F.array(F.struct(F.lit(0).alias("unit"), text.alias("body"))), lines, blocks)).otherwise(lines)
     # a set of ``low`` bigrams takes ``2 * low + 1`` characters at least
     long = F.filter(units, lambda u: F.length(u["body"]) > 2 * low)
     sets_of = F.transform(long, lambda u: F.struct(u["unit"].alias("unit"), _unit_bigrams(u["body"]).alias("grams")))

@@ -14,6 +14,10 @@ WITH t AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS unit FROM documents
 ), units AS (
   SELECT doc_id, unit, body FROM lines UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, unit, body FROM (
+    SELECT doc_id, unnest(string_split_regex(text, '\n([^\p{{L}}\p{{N}}\n]*\n)+')) AS body, -unnest(range(1, len(string_split_regex(text, '\n([^\p{{L}}\p{{N}}\n]*\n)+')) + 1)) AS unit
+    FROM documents WHERE regexp_matches(text, '\n([^\p{{L}}\p{{N}}\n]*\n)+')
+  ) WHERE contains(body, chr(10))
 ), u AS (
   SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
   FROM (SELECT doc_id, unit, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM units)

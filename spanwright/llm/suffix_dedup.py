@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwright.llm.common import dropped, without
+from spanwright.llm.common import dropped, released, without
 from spanwright.llm.common import stored as stored_as
 from spanwright.llm.twice_filter import bits_for, contains, filter_of
 
@@ -499,6 +499,7 @@ def _by_cover(pieces: DataFrame, length: int) -> DataFrame:
     dealt = pieces.select("number", "data").mapInArrow(_triples(cover, limits, kinds), kinds.schema)
     # a round is written before the next begins, so that the exchanges of only one are on disk
     names = stored(dealt.groupBy("part").applyInArrow(_name_triples(ranges, kinds), NAMES.schema), "names")
+    released(pieces.sparkSession)
     for distances in cover.rounds:
         beside = names.groupBy("part").applyInArrow(_triples_of_names(distances), NAMED.schema)
         longer = stored(beside.groupBy("part").applyInArrow(_name_names(ranges), NAMES.schema), "names")

@@ -258,6 +258,34 @@ def test_language_mixture(spark):
     assert {m.lang for m in got[3].lang_mix} == {"x", "y"} and got[3].score == pytest.approx(0.6, abs=0.15)
 
 
+def test_language_mixture_of_four(spark):
+    rnd = random.Random(4)
+    make = lambda syl, n: " ".join("".join(rnd.choice(syl) for _ in range(3)) for _ in range(n))
+    kinds = {"a": ["ka", "lo", "mi"], "b": ["stré", "ung", "öch"], "c": ["wex", "jub", "zyf"], "d": ["pho", "qui", "dva"]}
+    rows = [(i, make(s, 40), k) for k, s in kinds.items() for i in range(30)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    twice = [(1, " ".join(make(s, 60) for s in kinds.values())), (1, make(kinds["a"], 9)), (1, make(kinds["a"], 9))]
+    got = language_id.identify(docs(spark, twice), model).collect()
+    assert sorted(len(r.lang_mix) for r in got) == [1, 1, 4]
+    assert language_id.identify(docs(spark, twice).limit(0), model).count() == 0
+
+
+def test_language_proportions_against_plain_em(spark):
+    """The shares of two known languages are those of expectation-maximisation written out, document by document."""
+    rnd = random.Random(6)
+    probs = np.random.default_rng(1).dirichlet(np.full(language_id.GRAMS, 0.05), 2).T + 1e-9
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(n)) + "x" for n in (30, 200, 1000)]
+    codes = [language_id._padded(t) for t in texts]
+    got = language_id.infer(codes, probs, penalty=-1e9, rounds=8)
+    for c, row in zip(codes, got):
+        p = probs[language_id._grams(c)]
+        pi = np.full(2, 0.5)
+        for _ in range(12):  # eight rounds, then four from there for the set of both
+            q = p * pi / (p * pi).sum(axis=1, keepdims=True)
+            pi = q.mean(axis=0)
+        assert row / row.sum() == pytest.approx(pi, abs=1e-4)
+
+
 def test_language_without_training(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     got = language_id.identify(docs(spark, [(1, "word")]), language_id.fit(empty)).first()
@@ -349,6 +377,17 @@ def test_license_units(spark):
     assert licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_license_paragraphs_and_odd_rows(spark):
+    words = licenses.TEMPLATES[2].text.split()
+    framed = "\n".join(" * " + " ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    code = "\n".join(f"x = {i}" for i in range(60))
+    rows = [(1, f"{code}\n/*\n{framed}\n */\n{code}"), (1, f"{code}\n\n{framed}"), (2, "word " * 300_000 + "\n\nReleased under the MIT License."), (2, "Licensed under CC BY 4.0."), (2, "Licensed under CC BY 4.0.")]
+    d = docs(spark, rows).withColumn("dice", F.lit("kept elsewhere"))
+    got = sorted((r.doc_id, r.unit, r.license_id, r.template, r.dice) for r in licenses.scan_licenses(d).collect())
+    assert [g[:4] for g in got] == [(1, -2, "MIT", "permission"), (1, -2, "MIT", "permission"), (2, 1, "CC-BY-4.0", "notice"), (2, 1, "CC-BY-4.0", "notice"), (2, 3, "MIT", "notice")]
+    assert all(g[4] == 1 for g in got)
+
+
 def test_size_range_never_prunes_a_match():
     for n in range(1, 60):
         low, high = licenses.size_range(n, 0.8)
