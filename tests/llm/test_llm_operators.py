@@ -381,7 +381,7 @@ def test_license_paragraphs_and_odd_rows(spark):
     words = licenses.TEMPLATES[2].text.split()
     framed = "\n".join(" * " + " ".join(words[i : i + 12]) for i in range(0, len(words), 12))
     code = "\n".join(f"x = {i}" for i in range(60))
-    rows = [(1, f"{code}\n/*\n{framed}\n */\n{code}"), (1, f"{code}\n\n{framed}"), (2, "word " * 300_000 + "\n\nReleased under the MIT License."), (2, "Licensed under CC BY 4.0."), (2, "Licensed under CC BY 4.0.")]
+    rows = [(1, f"{code}\n/*\n{framed}\n */\n{code}"), (1, f"{code}\n\n{framed}"), (2, " ".join(f"w{i}" for i in range(200_000)) + "\n\nReleased under the MIT License."), (2, "Licensed under CC BY 4.0."), (2, "Licensed under CC BY 4.0.")]
     d = docs(spark, rows).withColumn("dice", F.lit("kept elsewhere"))
     got = sorted((r.doc_id, r.unit, r.license_id, r.template, r.dice) for r in licenses.scan_licenses(d).collect())
     assert [g[:4] for g in got] == [(1, -2, "MIT", "permission"), (1, -2, "MIT", "permission"), (2, 1, "CC-BY-4.0", "notice"), (2, 1, "CC-BY-4.0", "notice"), (2, 3, "MIT", "notice")]
