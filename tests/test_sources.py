@@ -31,3 +31,17 @@ def test_partitioned_folders_prune(spark, tmp_path):
     one = spark.read.parquet(f"{tmp_path}/c").filter("config_id = 'a'")
     assert [r.n for r in one.collect()] == [1]
     assert len(one.inputFiles()) <= 2
+
+
+def test_broken_line_is_an_error(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"x": 1}\n\n{"x": 2\n{"x": 3}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_jsonl(spark, f"{tmp_path}/b.jsonl", "x int").collect()
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("a", 'b, "c"'), ("d", None)], "id string, note string")
+    tables.write_csv_with_bom(df.coalesce(1), f"{tmp_path}/e")
+    part = next((tmp_path / "e").glob("part-*.csv"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,note")
+    assert tables.read_csv(spark, f"{tmp_path}/e", "id string, note string").count() == 2
