@@ -345,7 +345,8 @@ def calibrated(classes: DataFrame, asked: DataFrame, n: int, dim: int, k: int, t
     at = {r[0]: i for i, r in enumerate(sample)}
     x, v, which = np.array([r[1] for r in sample], dtype=np.float64), np.array([r["vec"] for r in near], dtype=np.float64), np.array([at[r["q"]] for r in near])
     tried = []
-    for bits in range(2, max(3, (n // BUCKET_ROWS).bit_length()) + 1):
+    finest = max(3, (n // BUCKET_ROWS).bit_length())
+    for bits in range(2 + finest % 2, finest + 1, 2):
         index = layout(bits)
         probes, share = _measured(index, x, v, which, others, target)
         if probes:

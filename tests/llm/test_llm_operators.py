@@ -493,6 +493,57 @@ def test_nearest_recall_with_unequal_norms(spark):
     assert hit / 750 >= 0.9
 
 
+def test_probes_are_the_best_buckets_of_all_rotations():
+    index = ann.CrossPolytope(6, 1.0, False, 2, 10, 3)
+    assert index.width == 8 and index.parts == [4, 4, 2]
+    x = np.random.default_rng(1).normal(size=(40, 6))
+    for table in (0, 1):
+        a, b, c = index._axes(index._wide(x, True), table)
+        sums = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(len(x), -1)
+        got = index.order(x, table, 50)
+        assert np.allclose(np.take_along_axis(sums, got, axis=1), -np.sort(-sums, axis=1)[:, :50])
+        assert np.array_equal(np.sort(index.order(x, table, 1 << 10), axis=1), np.tile(np.arange(1 << 10), (40, 1)))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.array_equal(index.buckets(unit)[:, 1], index.order(x, 1, 1)[:, 0])
+
+
+@pytest.mark.parametrize(("bits", "probes"), [(4, 3), (9, 40), (11, 120)])
+def test_nearest_with_layouts_of_several_rotations(spark, monkeypatch, bits, probes):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(60, 1, 8)) + 0.15 * rng.normal(size=(60, 40, 8))).reshape(-1, 8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "calibrated", lambda *a: (a[-1](bits), probes))
+    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    got = {}
+    for r in ann.nearest(d, F.col("vec_id") % 20 == 0, k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-12)
+    assert len(got) == 120 and all(len(v) == 10 for v in got.values())
+    assert sum(len(got[q] & set([i for i in np.argsort(-(x @ x[q])) if i != q][:10])) for q in got) / 1200 >= 0.9
+
+
+def test_nearest_falls_back_on_all_rows_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "calibrated", lambda *a: (a[-1](12), 1))  # hardly any query finds ten neighbours
+    monkeypatch.setattr(ann, "SHARD_ROWS", 70)
+    got = {}
+    for r in ann.nearest(d, F.col("vec_id") % 2 == 0, k=10, tables=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    exact = sum([v for _, v in sorted(got[q])] == [i for i in np.argsort(-(x @ x[q])) if i != q][:10] for q in got)
+    assert len(got) == 250 and exact >= 245
+
+
+def test_nearest_keeps_ties_of_equal_vectors_by_id(spark):
+    x = np.random.default_rng(8).normal(size=(30, 4))
+    d = spark.createDataFrame([(i, x[i % 30].tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    for q in ann.nearest(d, F.col("vec_id") == 60, k=20).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect():
+        best = int(np.argmax(x @ x[0]))
+        assert sorted(q.v) == [i for i in range(best, 3000, 30) if i != 60][:20]
+
+
 def test_nearest_few_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(d, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 4.0)]
