@@ -28,7 +28,7 @@ from spanwright.llm.common import stored
 #: Vectors, and queries, of one group that one task compares; more are dealt to shards.
 SHARD_ROWS = 16384
 #: Scored pairs that a task holds before it cuts them to the best of each query.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 18
 #: Query classes and other classes that calibrate the layout.
 SAMPLE_QUERIES, SAMPLE_ROWS = 64, 4096
 #: Largest number of probes tried; layouts of up to as many buckets can be probed whole.
@@ -141,16 +141,22 @@ def _top(q: np.ndarray, cids: np.ndarray, scores: np.ndarray, k: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(q[start].astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(cids.astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(scores.astype(np.float64)))], names=["q", "cids", "scores"])
 
 
-def _pairs(q: np.ndarray, qids: np.ndarray, v: np.ndarray, cids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Flat (q, cid, score) of the k best and all ties with the k-th, some queries at a time."""
+def _pairs(q: np.ndarray, qids: np.ndarray, v: np.ndarray, cids: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Flat (q, cid, score) of the k best and all ties with the k-th, some queries at a time.
+
+    ``least`` holds for every number of ``qids`` a score that k rows reach already: smaller ones are left out,
+    and the k-th best of these rows raises it.
+    """
     step = max(1, (1 << 21) // max(1, len(v)))
     for i in range(0, len(q), step):
         scores = q[i : i + step] @ v.T
         if len(v) > k:
             kth = np.partition(scores, len(v) - k, axis=1)[:, len(v) - k]
-            row, col = np.nonzero(scores >= kth[:, None])
+            if least is not None:
+                kth = least[qids[i : i + step]] = np.maximum(least[qids[i : i + step]], kth)
         else:
-            row, col = (a.ravel() for a in np.indices(scores.shape))
+            kth = np.full(len(scores), -np.inf) if least is None else least[qids[i : i + step]]
+        row, col = np.nonzero(scores >= kth[:, None])
         yield qids[i : i + step][row], cids[col], scores[row, col]
 
 
@@ -215,6 +221,18 @@ def _all_rows(classes: DataFrame, asked: DataFrame, n: int, dim: int, k: int) ->
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(compare, FOUND)
 
 
+def _cut(parts: list[tuple], least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat (q, cid, score) cut to the k best of each query, whose ``least`` rises to its k-th."""
+    q, cids, scores = (np.concatenate(c) for c in zip(*parts))
+    near = scores >= least[q]
+    best = _top(q[near], cids[near], scores[near], k)
+    q, cids, scores = _flat(best)
+    size = best.column(1).value_lengths().to_numpy()
+    full = size == k
+    least[best.column(0).to_numpy()[full]] = scores[np.cumsum(size) - 1][full]
+    return q, cids, scores
+
+
 def _candidates(classes: DataFrame, asked: DataFrame, index: CrossPolytope, probes: int, n: int, dim: int, k: int) -> DataFrame:
     """FOUND rows of the queries against the buckets that they probe: the best of each group and shard."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
@@ -264,15 +282,19 @@ def _candidates(classes: DataFrame, asked: DataFrame, index: CrossPolytope, prob
             who, what = np.repeat(np.arange(len(q)), bs.value_lengths().to_numpy()), bs.flatten().to_numpy()
             by = np.argsort(what, kind="stable")
             who, what = who[by], what[by]
+            least = np.full(len(q), -np.inf)  # by query, a score that k rows of the group reach already
             for one in np.intersect1d(b, what):
                 (i, j), (m, n) = np.searchsorted(b, [one, one + 1]), np.searchsorted(what, [one, one + 1])
-                for part in _pairs(q[who[m:n]], qids[who[m:n]], v[i:j], cids[i:j], k):
-                    parts.append(part)
-                    size += len(part[0])
+                for at, cid, score in _pairs(q[who[m:n]], who[m:n], v[i:j], cids[i:j], k, least):
+                    parts.append((at, cid, score))
+                    size += len(at)
                     if size > limit:
-                        parts = [_flat(_joined(parts, k))]
+                        parts = [_cut(parts, least, k)]
                         size = len(parts[0][0])
                         limit = max(HELD_PAIRS, 2 * size)
+            if parts:
+                at, cid, score = _cut(parts, least, k)
+                parts = [(qids[at], cid, score)]
         return pa.Table.from_batches([_joined(parts, k)])
 
     keys = ["t", "g", "row", "ask"]
