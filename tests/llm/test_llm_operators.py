@@ -548,6 +548,8 @@ def test_nearest_few_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(d, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 4.0)]
     assert ann.nearest(d.limit(0), F.col("vec_id") == 0).count() == 0
+    assert ann.nearest(d, F.col("vec_id") == 9).count() == 0 and ann.nearest(d, F.lit(None).cast("boolean")).count() == 0
+    assert ann.nearest(d.limit(1), F.lit(True)).count() == 0
 
 
 def test_shared_folder_is_the_sessions(spark):
