@@ -97,3 +97,37 @@ SELECT k.doc_id, count(*) AS n_lines, count(bad.key) AS n_dropped,
 FROM k LEFT JOIN bad ON k.key = bad.key
 GROUP BY k.doc_id
 """
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), total AS (
+  SELECT lang, count(*) AS n FROM starts GROUP BY lang
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, range(1, 5) AS t(k) WHERE i + k - 1 <= len(w))
+  GROUP BY lang, k, phrase HAVING count(*) >= 30
+), long AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM long) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS over
+  FROM long, range(2, 4) AS t(s), range(1, 4) AS u(i) WHERE s < k AND i + s - 1 <= k GROUP BY ALL
+), left_over AS (
+  SELECT s.* FROM scored AS s LEFT JOIN inner_phrases AS p USING (lang, phrase)
+  WHERE p.over IS NULL OR 100::HUGEINT * p.over < 80::HUGEINT * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.llm.ann import nearest
+from spanwright.llm.collocations import collocations
 from spanwright.llm.common import shared_path, table
 from spanwright.llm.decontaminate import find_leaks
 from spanwright.llm.language_id import fit, held_out, identify
@@ -14,8 +15,11 @@ from spanwright.llm.line_dedup import drop_repeated_lines
 from spanwright.llm.mixing import mix
 from spanwright.llm.simhash import near_duplicates
 from spanwright.llm.suffix_dedup import drop_repeats
+from spanwright.llm.token_counts import count_tokens
 from spanwright.llm.url_filter import judge_urls
 from spanwright.llm.warc import read_warc, write_pages
+from spanwright.llm.whitening import fit as fit_whitening
+from spanwright.llm.whitening import identity_error, whiten
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(vectors, components=8, scale=1024, offset=100_000)
+    explained = F.array(*[F.lit(float(v) / model.trace if model.trace else 0.0) for v in model.values]).cast("array<double>")
+    rows = whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.element_at(explained, F.col("at") + 1).alias("explained"),
+        F.lit(identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -16,6 +16,9 @@ QUERIES = {
     "op8_mixing": queries.op8_mixing,
     "op9_line_dedup": queries.op9_line_dedup,
     "op10_suffix_dedup": queries.op10_suffix_dedup,
+    "op11_whitening": queries.op11_whitening,
+    "op12_token_counts": queries.op12_token_counts,
+    "op13_collocations": queries.op13_collocations,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op3_warc": oracles.OP3,
     "op6_url_filter": oracles.OP6,
     "op9_line_dedup": oracles.OP9,
+    "op13_collocations": oracles.OP13,
 }
