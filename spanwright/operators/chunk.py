@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,35 +16,83 @@ from pyspark.sql import types as T
 TOKEN = re.compile(r"\S+")
 #: Separators of recursive splitting, from paragraphs to characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
-
-
-def with_token_offsets(docs: DataFrame, *, text_col: str = "text", pattern: str = TOKEN.pattern) -> DataFrame:
-    """``docs`` plus ``tokens``, the (s, e) spans of the tokens of the text. Narrow: no shuffle."""
-    find, at = re.compile(pattern), docs.columns.index(text_col)
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+#: Characters of texts that are cut into tokens at a time.
+BLOCK_CHARS = 1 << 22
+#: White space by code point; no code point above the last entry is any.
+_BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+
+
+def _token_blocks(texts: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, texts, tokens before each text and in all, starts, ends) of blocks of rows; positions are within the text."""
+    first, held, size = 0, [], 0
+    for row, text in enumerate(texts):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size > BLOCK_CHARS or row == len(texts) - 1:
+            codes = np.frombuffer("\n".join(held).encode("utf-32-le"), np.uint32)
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[np.minimum(codes, len(_BLANK) - 1)], [True]])))
+            bases = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])
+            starts, ends = edges[::2], edges[1::2]
+            before = np.searchsorted(starts, bases)
+            shift = np.repeat(bases[:-1], np.diff(before))
+            yield first, held, before, (starts - shift).astype(np.int32), (ends - shift).astype(np.int32)
+            first, held, size = row + 1, [], 0
+
+
+def with_token_offsets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``docs`` plus ``tokens``, the (s, e) spans of the runs without white space of the text. Narrow: no shuffle."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"s": m.start(), "e": m.end()} for m in find.finditer(t.as_py() or "")] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "tokens"])
+            for first, held, before, starts, ends in _token_blocks(batch.column(at)):
+                spans = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], names=["s", "e"]))
+                part = batch.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([*part.columns, spans], names=[*batch.schema.names, "tokens"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))])
     return docs.mapInArrow(run, schema)
 
 
-def fixed_chunks(tokenised: DataFrame, size: int, overlap: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, seq, char_start, char_end, n_tokens, text): windows of ``size`` tokens, ``overlap`` shared.
+def chunk_sweep(docs: DataFrame, configs: list[tuple[str, int, int]], *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """(config_id, id, seq, char_start, char_end, n_tokens, text): windows of tokens under each (config_id, size, overlap).
+
+    ``with_text=False`` leaves the texts null where only the spans are asked for.
 
-    The last window is the first that reaches the last token; token-less texts have none.
+    Texts are cut into tokens once for all configurations. The last window is the first that reaches the last token; texts
+    without a token have none.
     """
-    if not 0 <= overlap < size:
-        raise ValueError("overlap is 0 or more and less than size")
-    step, n = size - overlap, F.size("tokens")
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = tokenised.select(id_col, text_col, "tokens", F.posexplode(starts).alias("seq", "at"))
-    last = F.least(F.col("at") + size, n)
-    spans = rows.select(id_col, text_col, "seq", F.col("tokens")[F.col("at")]["s"].alias("char_start"), F.col("tokens")[last - 1]["e"].alias("char_end"), (last - F.col("at")).alias("n_tokens"))
-    return spans.select(id_col, "seq", "char_start", "char_end", "n_tokens", F.expr(f"substring({text_col}, char_start + 1, char_end - char_start)").alias("text"))
+    for _, size, overlap in configs:
+        if not 0 <= overlap < size:
+            raise ValueError("overlap is 0 or more and less than size")
+    if len({c for c, _, _ in configs}) < len(configs):
+        raise ValueError("configurations of one name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, held, before, starts, ends in _token_blocks(batch.column(1)):
+                n = np.diff(before)
+                ids = batch.column(0).slice(first, len(held))
+                for name, size, overlap in configs:
+                    step = size - overlap
+                    windows = np.where(n > 0, np.maximum(n - overlap - 1, 0) // step + 1, 0)
+                    row = np.repeat(np.arange(len(held)), windows)
+                    seq = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                    at = before[row] + seq * step
+                    stop = np.minimum(at + size, before[row + 1])
+                    s, e = starts[at], ends[stop - 1]
+                    texts = [held[r][i:j] for r, i, j in zip(row.tolist(), s.tolist(), e.tolist())] if with_text else [None] * len(row)
+                    columns = [pa.array([name] * len(row), pa.string()), ids.take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (seq, s, e, stop - at)), pa.array(texts, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["config_id", id_col, "seq", "char_start", "char_end", "n_tokens", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"config_id string, `{id_col}` {kind}, seq int, char_start int, char_end int, n_tokens int, text string")
+
+
+def fixed_chunks(docs: DataFrame, size: int, overlap: int, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """(id, seq, char_start, char_end, n_tokens, text): windows of ``size`` tokens, ``overlap`` shared."""
+    return chunk_sweep(docs, [("", size, overlap)], id_col=id_col, text_col=text_col, with_text=with_text).drop("config_id")
 
 
 def config_sweep(spark, strategies: dict[str, tuple[list[int], list[int], list[bool]]]) -> DataFrame:
@@ -58,43 +109,57 @@ def windows_of(grid: DataFrame, lengths: DataFrame) -> DataFrame:
     return F.broadcast(grid).crossJoin(lengths).groupBy(*grid.columns).agg(F.sum(each * F.col("docs")).cast("long").alias("windows"))
 
 
+class Tokens:
+    """The tokens of a text; how many of them a span touches, without looking at the text again."""
+
+    def __init__(self, text: str):
+        _, _, _, starts, ends = next(_token_blocks(pa.array([text])))
+        self.starts, self.ends = starts.tolist(), ends.tolist()
+
+    def range(self, s: int, e: int) -> tuple[int, int]:
+        return bisect_right(self.ends, s), bisect_left(self.starts, e)
+
+    def count(self, s: int, e: int) -> int:
+        a, b = self.range(s, e)
+        return max(0, b - a)
+
+
 def split_spans(text: str, s: int, e: int, sep: str) -> list[tuple[int, int]]:
     """Pieces of ``text[s:e]`` that end behind each separator; together they cover the span."""
     cuts = [s, *(m.end() for m in re.compile(re.escape(sep)).finditer(text, s, e)), e]
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def leaves(text: str, s: int, e: int, size: int, count: Callable[[str], int], seps: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
-    """Spans of at most ``size`` tokens where some separator allows it, split top down."""
-    if count(text[s:e]) <= size or not seps:
-        return [(s, e)]
-    head, *rest = seps
-    if head == "":
-        spans = [(s + m.start(), s + m.end()) for m in TOKEN.finditer(text[s:e])]
-        groups = [spans[i : i + size] for i in range(0, len(spans), size)]
-        starts = [s, *(g[0][0] for g in groups[1:])]
-        return list(zip(starts, [*starts[1:], e]))
-    pieces = split_spans(text, s, e, head)
-    return [x for a, b in pieces for x in leaves(text, a, b, size, count, tuple(rest))]
+def leaves(text: str, tokens: Tokens, s: int, e: int, size: int, seps: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """Spans of at most ``size`` tokens where some separator allows it: every piece that is too large is split at the next separator."""
+    done, work = [], [(s, e, 0)]
+    while work:
+        a, b, level = work.pop()
+        if tokens.count(a, b) <= size or level == len(seps):
+            done.append((a, b))
+        elif seps[level]:
+            work += [(x, y, level + 1) for x, y in reversed(split_spans(text, a, b, seps[level]))]
+        else:  # every ``size`` tokens begin a piece
+            first, last = tokens.range(a, b)
+            cuts = [a, *(tokens.starts[i] for i in range(first + size, last, size)), b]
+            done += list(zip(cuts, cuts[1:]))
+    return done
 
 
 def pack(parts: list[tuple[int, int]], counts: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
-    """Neighbouring leaves joined greedily up to ``size`` tokens; the next chunk steps back over
-    leaves of at least ``overlap`` tokens, and always gets further."""
-    out, i = [], 0
-    while i < len(parts):
-        j, total = i + 1, counts[i]
-        while j < len(parts) and total + counts[j] <= size:
-            total += counts[j]
-            j += 1
-        out.append((parts[i][0], parts[j - 1][1]))
-        if j >= len(parts):
+    """Chunks of neighbouring leaves, as many as have ``size`` tokens together, one at least. The next chunk begins at the last
+    leaf that leaves ``overlap`` tokens or more to both, and behind the first leaf of the chunk before.
+
+    Both places are searches in the running totals of the counts.
+    """
+    total = [0, *accumulate(counts)]
+    out, begin, n = [], 0, len(parts)
+    while begin < n:
+        end = max(begin + 1, bisect_right(total, total[begin] + size) - 1)
+        out.append((parts[begin][0], parts[end - 1][1]))
+        if end == n:
             break
-        back, shared = j, 0
-        while overlap and back > i + 1 and shared < overlap:
-            back -= 1
-            shared += counts[back]
-        i = back
+        begin = max(begin + 1, bisect_right(total, total[end] - overlap, 0, end) - 1) if overlap else end
     return out
 
 
@@ -106,17 +171,14 @@ def recursive_chunks(docs: DataFrame, size: int, overlap: int, *, id_col: str =
     """
     whole = re.compile(atomic) if atomic else None
 
-    def count(t: str) -> int:
-        return sum(1 for _ in TOKEN.finditer(t))
-
     def spans(text: str) -> list[tuple[int, int]]:
-        out = []
+        out, tokens = [], Tokens(text)
         for s, e in split_spans(text, 0, len(text), "\n") if by_line else [(0, len(text))]:
-            if by_line and (count(text[s:e]) <= size or (whole and whole.search(text[s:e]))):
+            if by_line and (tokens.count(s, e) <= size or (whole and whole.search(text[s:e]))):
                 out.append((s, e))
             else:
-                parts = leaves(text, s, e, size, count)
-                out += pack(parts, [count(text[a:b]) for a, b in parts], size, overlap)
+                parts = leaves(text, tokens, s, e, size)
+                out += pack(parts, [tokens.count(a, b) for a, b in parts], size, overlap)
         return [(a, b) for a, b in out if text[a:b].strip()]
 
     kind = pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32())]))
@@ -132,25 +194,72 @@ def recursive_chunks(docs: DataFrame, size: int, overlap: int, *, id_col: str =
 
 
 def line_segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, char_start, char_end, text): lines with running offsets into the text."""
-    parts = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "text"))
-    before = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
-    return parts.withColumn("char_start", start).withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
+    """(id, line_no, char_start, char_end, text): lines with running offsets into the text; a null text is one empty line. Narrow: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                part = batch.slice(first, 512)
+                lines = [(t.as_py() or "").split("\n") for t in part.column(1)]
+                row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+                flat = [x for own in lines for x in own]
+                size = np.fromiter(map(len, flat), np.int64, len(flat))
+                stop = np.cumsum(size + 1) - 1
+                begins = np.flatnonzero(np.diff(row, prepend=-1))
+                shift = np.repeat(np.append(0, stop[begins[1:] - 1] + 1), np.diff(np.append(begins, len(row))))
+                no = np.arange(len(row)) - np.repeat(begins, np.diff(np.append(begins, len(row))))
+                columns = [part.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (no, stop - size - shift, stop - shift)), pa.array(flat, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "line_no", "char_start", "char_end", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, line_no int, char_start int, char_end int, text string")
+
+
+#: Widths of the offset bins, as powers of two: a span lies in one or two bins of the first width that is not below its length.
+BIN_BITS = (10, 14, 18, 22, 26, 31)
+
+
+def _placed(spans: DataFrame, name: str, id_col: str) -> DataFrame:
+    """``spans`` (struct ``name``) under the bins of their own width."""
+    start, last = F.col(f"{name}.char_start"), F.greatest(F.col(f"{name}.char_start"), F.col(f"{name}.char_end") - 1)
+    bits = F.lit(BIN_BITS[-1])
+    for b in reversed(BIN_BITS[:-1]):
+        bits = F.when(last - start < (1 << b), b).otherwise(bits)
+    binned = spans.withColumn("_bits", bits)
+    bins = F.expr(f"sequence(shiftright({name}.char_start, _bits), shiftright(greatest({name}.char_start, {name}.char_end - 1), _bits))")
+    return binned.select(F.col(f"{name}.{id_col}").alias("_doc"), "_bits", F.explode(bins).alias("_bin"), name)
+
+
+def _asked(spans: DataFrame, name: str, id_col: str) -> DataFrame:
+    """``spans`` under every bin of every width that they touch: a few each, as the widths grow by sixteen."""
+    of = lambda b: F.expr(f"transform(sequence(shiftright({name}.char_start, {b}), shiftright(greatest({name}.char_start, {name}.char_end - 1), {b})), x -> struct({b} as bits, x as bin))")
+    return spans.select(F.col(f"{name}.{id_col}").alias("_doc"), name, F.explode(F.concat(*[of(b) for b in BIN_BITS])).alias("_b")).select("_doc", F.col("_b.bits").alias("_bits"), F.col("_b.bin").alias("_bin"), name)
+
+
+def interval_join(left: DataFrame, right: DataFrame, *, id_col: str = "doc_id", how: str = "inner") -> DataFrame:
+    """(l, r): structs of the rows of ``left`` and ``right`` whose spans [char_start, char_end) in one document overlap.
+
+    An interval index: right spans lie in bins of a width that fits them, left spans ask the bins they touch, and both join on
+    (document, width, bin), so a document of any number of spans spreads over the tasks. A pair is reported in the bin of
+    the larger start only, hence once. With ``how="left"`` a left row may come with a null ``r`` besides its pairs: callers group by it.
+    An empty span overlaps what it lies strictly inside of.
+    """
+    a = _asked(left.select(F.struct("*").alias("l")), "l", id_col).alias("a")
+    b = _placed(right.select(F.struct("*").alias("r")), "r", id_col).alias("b")
+    once = F.expr("shiftright(greatest(a.l.char_start, b.r.char_start), a._bits) = a._bin")
+    met = (F.col("a._doc") == F.col("b._doc")) & (F.col("a._bits") == F.col("b._bits")) & (F.col("a._bin") == F.col("b._bin"))
+    over = (F.col("a.l.char_start") < F.col("b.r.char_end")) & (F.col("b.r.char_start") < F.col("a.l.char_end"))
+    return a.join(b, met & over & once, how).select("l", "r")
 
 
 def dominant_segment(chunks: DataFrame, segments: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """For each chunk the segment of largest overlap (first wins ties) and how many it touches; null and 0 where it touches none.
-
-    A range join under the document's key; the ranking rides on the same shuffle.
-    """
-    c, s = chunks.alias("c"), segments.alias("s")
-    hit = c.join(s, (F.col(f"c.{id_col}") == F.col(f"s.{id_col}")) & (F.col("c.char_start") < F.col("s.char_end")) & (F.col("s.char_start") < F.col("c.char_end")), "left")
-    overlap = F.least("c.char_end", "s.char_end") - F.greatest("c.char_start", "s.char_start")
-    best = F.struct(overlap.alias("overlap"), (-F.col("s.char_start")).alias("early"), F.col("s.line_no").alias("line_no"))
-    return hit.groupBy(F.col(f"c.{id_col}").alias(id_col), F.col("c.seq").alias("seq")).agg(F.max(F.when(F.col("s.line_no").isNotNull(), best)).alias("best"), F.count("s.line_no").alias("n_segments")).select(
-        id_col, "seq", F.col("best.line_no").alias("line_no"), F.col("best.overlap").alias("overlap"), "n_segments"
-    )
+    """For each chunk the segment of largest overlap (first wins ties) and how many it touches; null and 0 where it touches none."""
+    spans = [id_col, "char_start", "char_end"]
+    hit = interval_join(chunks.select(*spans, "seq"), segments.select(*spans, "line_no"), id_col=id_col, how="left")
+    overlap = F.least("l.char_end", "r.char_end") - F.greatest("l.char_start", "r.char_start")
+    best = F.struct(overlap.alias("overlap"), (-F.col("r.char_start")).alias("early"), F.col("r.line_no").alias("line_no"))
+    found = hit.groupBy(F.col(f"l.{id_col}").alias(id_col), F.col("l.seq").alias("seq")).agg(F.max(F.when(F.col("r").isNotNull(), best)).alias("best"), F.count("r").alias("n_segments"))
+    return found.select(id_col, "seq", F.col("best.line_no").alias("line_no"), F.col("best.overlap").alias("overlap"), "n_segments")
 
 
 def token_windows(tokenised: DataFrame, width: int, min_tail: int, *, id_col: str = "doc_id") -> DataFrame:
@@ -164,12 +273,12 @@ def token_windows(tokenised: DataFrame, width: int, min_tail: int, *, id_col: st
 
 def span_overlap(chunks: DataFrame, gold: DataFrame, threshold: float, denominator: str, *, id_col: str = "doc_id") -> DataFrame:
     """(gold_id, id, seq, fraction): chunks that overlap a gold span by ``threshold`` or more of the denominator."""
-    c, g = chunks.alias("c"), gold.alias("g")
-    hit = c.join(g, (F.col(f"c.{id_col}") == F.col(f"g.{id_col}")) & (F.col("c.char_start") < F.col("g.char_end")) & (F.col("g.char_start") < F.col("c.char_end")))
-    clen, glen = F.col("c.char_end") - F.col("c.char_start"), F.col("g.char_end") - F.col("g.char_start")
+    spans = [id_col, "char_start", "char_end"]
+    hit = interval_join(chunks.select(*spans, "seq"), gold.select(*spans, "gold_id"), id_col=id_col)
+    clen, glen = F.col("l.char_end") - F.col("l.char_start"), F.col("r.char_end") - F.col("r.char_start")
     base = {"shorter": F.least(clen, glen), "gold": glen, "chunk": clen}[denominator]
-    fraction = (F.least("c.char_end", "g.char_end") - F.greatest("c.char_start", "g.char_start")) / base
-    return hit.withColumn("fraction", fraction).filter(F.col("fraction") >= threshold).select("g.gold_id", F.col(f"c.{id_col}").alias(id_col), "c.seq", "fraction")
+    fraction = (F.least("l.char_end", "r.char_end") - F.greatest("l.char_start", "r.char_start")) / base
+    return hit.withColumn("fraction", fraction).filter(F.col("fraction") >= threshold).select("r.gold_id", F.col(f"l.{id_col}").alias(id_col), "l.seq", "fraction")
 
 
 def chunk_stats(chunks: DataFrame, keys: list[str], size: Column) -> DataFrame:

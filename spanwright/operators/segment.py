@@ -143,42 +143,3 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     pairs = met.join(rarest, "w").select("doc_id", "item_id")
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     return pairs.join(asked, "item_id").join(folded, "doc_id").filter(F.contains(padded("doc"), padded("item"))).select("doc_id", "item_id").distinct()
-
-
-def jaccard_pairs(docs: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) of folded word sets at ``least`` or more.
-
-    Sets are ordered by how rare their words are; similar sets share a word among the first
-    ``n - ceil(least * n) + 1``, so only those are joined.
-    """
-    sets = docs.select("doc_id", F.array_distinct(F.filter(F.split(fold(F.col("text")), " "), lambda x: x != "")).alias("s")).filter(F.size("s") > 0)
-    each = sets.select("doc_id", F.explode("s").alias("w"))
-    rare = each.join(each.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w")
-    ordered = rare.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("s"))
-    reach = F.size("s") - F.ceil(F.size("s") * least).cast("int") + 1
-    head = ordered.select("doc_id", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), reach)).alias("w"))
-    a, b = head.alias("a"), head.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n")))
-    x, y = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-    pairs = met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct().join(x, "a").join(y, "b")
-    scored = pairs.select("a", "b", (F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= least)
-
-
-def jaccard_classes(docs: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) over classes of equal folded word sets, each named by its smallest id.
-
-    A class gives one row of jaccard 1 for each other member ``b``; classes pair by their names.
-    Members of two paired classes have the jaccard of the names, so no pair is lost.
-    """
-    named = set_classes(docs)
-    members = named.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    return jaccard_pairs(docs.join(named.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"), least).unionByName(members)
-
-
-def set_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_members): classes of equal folded word sets, named by the smallest id; texts without a word have none."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(fold(F.col("text")), " "), lambda x: x != "")))
-    keyed = docs.select("doc_id", words.alias("s")).filter(F.size("s") > 0).select("doc_id", F.sha2(F.concat_ws(" ", "s"), 256).alias("set"))
-    names = keyed.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
-    return keyed.join(names, "set").select("doc_id", "class_id", "n_members")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
-from spanwright.operators import chunk, segment, study
+from spanwright.operators import chunk, segment, similarity, study
 from spanwright.plans.retrieval import _t
 
 Q, O = {}, {}
@@ -47,17 +47,12 @@ def _fixed_sql(size, over):
 
 @query(f"WITH {_TOK}, c AS ({_fixed_sql(64, 16)}) SELECT c.*, md5(substring(d.text, char_start::INT + 1, (char_end - char_start)::INT)) AS digest FROM c JOIN documents d USING (doc_id)")
 def f5_fixed_chunks(spark, sf):
-    return chunk.fixed_chunks(_tokens(spark, sf), 64, 16).select("doc_id", "seq", "char_start", "char_end", "n_tokens", F.md5("text").alias("digest"))
+    return chunk.fixed_chunks(_docs(spark, sf), 64, 16).select("doc_id", "seq", "char_start", "char_end", "n_tokens", F.md5("text").alias("digest"))
 
 
 def _all_chunks(spark, sf):
     """Every configuration in one plan over one tokenised scan."""
-    tokens, out = _tokens(spark, sf), None
-    for size in (64, 128):
-        for over in (0, 16):
-            part = chunk.fixed_chunks(tokens, size, over).withColumn("config_id", F.lit(f"fixed-{size}-{over}")).withColumn("size", F.lit(size))
-            out = part if out is None else out.unionByName(part)
-    return out
+    return chunk.chunk_sweep(_docs(spark, sf), [(f"fixed-{size}-{over}", size, over) for size in (64, 128) for over in (0, 16)], with_text=False)
 
 
 _SWEEP = " UNION ALL ".join(f"SELECT 'fixed-{s}-{o}' AS config_id, {s} AS size, * FROM ({_fixed_sql(s, o)})" for s in (64, 128) for o in (0, 16))
@@ -80,7 +75,7 @@ def c3_config_sweep(spark, sf):
 
 @query(f"WITH {_TOK}, c AS ({_fixed_sql(64, 16)}) SELECT count(*) AS n_chunks, 0 AS violations FROM c")
 def f15_invariant_violations(spark, sf):
-    c = chunk.fixed_chunks(_tokens(spark, sf), 64, 16)
+    c = chunk.fixed_chunks(_docs(spark, sf), 64, 16)
     d = _docs(spark, sf).select("doc_id", F.col("text").alias("whole"))
     bad = F.expr("text <> substring(whole, char_start + 1, char_end - char_start)")
     return c.join(d, "doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(bad).cast("int").alias("violations"))
@@ -95,7 +90,7 @@ seg AS (SELECT *, char_start + length(text) AS char_end FROM lines)"""
 SELECT c.doc_id, c.seq, b.line_no, b.overlap, coalesce(b.n_segments, 0) AS n_segments FROM c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY overlap DESC, char_start) AS nth, count(*) OVER (PARTITION BY doc_id, seq) AS n_segments FROM h) b ON b.doc_id = c.doc_id AND b.seq = c.seq AND b.nth = 1""")
 def f12_dominant_segment(spark, sf):
     """The segment a chunk overlaps most; lines of odd number are no segments here, so some chunks have none."""
-    return chunk.dominant_segment(chunk.fixed_chunks(_tokens(spark, sf), 64, 16), chunk.line_segments(_docs(spark, sf)).filter("line_no % 2 = 0"))
+    return chunk.dominant_segment(chunk.fixed_chunks(_docs(spark, sf), 64, 16, with_text=False), chunk.line_segments(_docs(spark, sf)).filter("line_no % 2 = 0"))
 
 
 @query(f"""WITH {_TOK}, w AS (SELECT doc_id, pos // 40 AS "window", min(s) AS char_start, max(e) AS char_end, count(*) AS n FROM tok GROUP BY ALL) SELECT doc_id, "window", char_start, char_end FROM w WHERE "window" = 0 OR n >= 8""")
@@ -116,8 +111,8 @@ def f11_structure_chunks(spark, sf):
 @query(f"""WITH {_TOK}, a AS ({_fixed_sql(64, 0)}), b AS ({_fixed_sql(32, 0)}), i AS (SELECT doc_id, char_end AS pos FROM (SELECT *, max(char_end) OVER (PARTITION BY doc_id) AS top FROM a) WHERE char_end < top)
 SELECT doc_id, count(*) AS n_inner, count(*) FILTER (WHERE met) AS n_met, count(*) FILTER (WHERE met) / count(*) AS agreement FROM (SELECT i.doc_id, i.pos, EXISTS (SELECT 1 FROM b WHERE b.doc_id = i.doc_id AND abs(b.char_end - i.pos) <= 5) AS met FROM i) GROUP BY doc_id""")
 def f19_boundary_agreement(spark, sf):
-    t = _tokens(spark, sf)
-    return chunk.boundary_agreement(chunk.fixed_chunks(t, 64, 0), chunk.fixed_chunks(t, 32, 0), 5)
+    both = chunk.chunk_sweep(_docs(spark, sf), [("a", 64, 0), ("b", 32, 0)], with_text=False)
+    return chunk.boundary_agreement(both.filter("config_id = 'a'"), both.filter("config_id = 'b'"), 5)
 
 
 def _gold(spark, sf):
@@ -131,7 +126,7 @@ def _overlap(kind, base):
     h AS (SELECT gold_id, c.doc_id, c.seq, (least(c.char_end, g.char_end) - greatest(c.char_start, g.char_start)) / ({base})::DOUBLE AS fraction FROM c JOIN g ON c.doc_id = g.doc_id AND c.char_start < g.char_end AND g.char_start < c.char_end) SELECT * FROM h WHERE fraction >= 0.5"""
 
     def run(spark, sf):
-        return chunk.span_overlap(chunk.fixed_chunks(_tokens(spark, sf), 64, 16), _gold(spark, sf), 0.5, kind)
+        return chunk.span_overlap(chunk.fixed_chunks(_docs(spark, sf), 64, 16, with_text=False), _gold(spark, sf), 0.5, kind)
 
     run.__name__ = f"h1_span_overlap_{kind}"
     query(sql)(run)
@@ -330,14 +325,14 @@ _SETS = """s AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split
 @query(f"""WITH {_SETS}, c AS (SELECT a, s, len(s) AS n FROM k WHERE doc_id = a), p AS (SELECT x.a AS a, y.a AS b, len(list_intersect(x.s, y.s)) AS c, x.n + y.n AS n FROM c x JOIN c y ON x.a < y.a AND x.n >= 0.9 * y.n AND y.n >= 0.9 * x.n)
 SELECT a, b, c / (n - c)::DOUBLE AS jaccard FROM p WHERE c / (n - c)::DOUBLE >= 0.9 UNION ALL SELECT a, doc_id, 1.0::DOUBLE FROM k WHERE doc_id <> a""")
 def h16_near_dup(spark, sf):
-    """Texts whose word sets have a Jaccard of 0.9 or more: classes of equal sets, then pairs of classes (prefix filter)."""
-    return segment.jaccard_classes(_docs(spark, sf), 0.9)
+    """Texts whose word sets have a Jaccard of 0.9 or more: classes of equal sets, then pairs of classes (prefix, position, part and parity filters)."""
+    return similarity.jaccard_classes(_docs(spark, sf), 0.9)
 
 
 @query(f"WITH {_SETS} SELECT doc_id, a AS class_id, count(*) OVER (PARTITION BY a) AS n_members FROM k")
 def h16_near_dup_all(spark, sf):
     """The class of equal word sets of every document, and its size."""
-    return segment.set_classes(_docs(spark, sf))
+    return similarity.set_classes(_docs(spark, sf))
 
 
 QUERIES, ORACLES = Q, O

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "spanwright") -> SparkSession:
@@ -43,3 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-local-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder: computed once, with true sizes, and independent of any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

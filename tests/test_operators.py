@@ -1,13 +1,14 @@
 """Literal cases of the operators."""
 
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
-from spanwright.operators import chunk, metrics, segment, stats, study, vector
+from spanwright.operators import chunk, metrics, segment, similarity, stats, study, vector
 from spanwright.plans import texts
 
 
@@ -107,6 +108,55 @@ def test_chunks_cover_and_keep_offsets(spark):
         chunk.fixed_chunks(d, 4, 4)
 
 
+def test_packing_from_the_definition():
+    rng = random.Random(3)
+    for _ in range(300):
+        counts = [rng.choice([0, 1, 1, 2, 3, 9]) for _ in range(rng.randint(1, 12))]
+        parts = [(i, i + 1) for i in range(len(counts))]
+        size, overlap = rng.randint(2, 8), rng.choice([0, 1, 2])
+        got = chunk.pack(parts, counts, size, overlap)
+        assert got[0][0] == 0 and got[-1][1] == len(parts)
+        for a, b in got:
+            assert sum(counts[a:b]) <= size or b == a + 1
+            assert b == len(parts) or sum(counts[a : b + 1]) > size
+        for (a, b), (c, _) in zip(got, got[1:]):
+            assert a < c <= b
+            shared = sum(counts[c:b])
+            assert (shared >= overlap and (c == b or sum(counts[c + 1 : b]) < overlap)) or c == a + 1
+
+
+def test_tokens_of_odd_texts(spark):
+    texts = ["a b", "", None, "  x\u3000y\u00a0z\u200bq\n", "\U0001f600 é", " ", "end"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    for r in chunk.with_token_offsets(d).collect():
+        assert [(t.s, t.e) for t in r.tokens] == [m.span() for m in re.finditer(r"\S+", r.text or "")]
+    chunks = chunk.chunk_sweep(d, [("one", 1, 0), ("two", 2, 1)]).collect()
+    for r in chunks:
+        assert r.text == texts[r.doc_id][r.char_start : r.char_end] and len(r.text.split()) == r.n_tokens
+    assert sum(r.config_id == "one" for r in chunks) == sum(len(re.findall(r"\S+", t or "")) for t in texts)
+    for r in chunk.line_segments(d).collect():
+        assert (texts[r.doc_id] or "").split("\n")[r.line_no] == r.text == (texts[r.doc_id] or "")[r.char_start : r.char_end]
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(4)
+    spans = lambda n: [(rng.choice(["a", "b", None]), i, s, s + rng.choice([0, 1, 30, 1024, 1025, 20_000, 300_000, 70_000_000])) for i, s in enumerate(rng.choices(range(0, 60_000, 512), k=n))]
+    left, right = spans(60), spans(80)
+    schema = "doc_id string, no long, char_start int, char_end int"
+    got = chunk.interval_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).select("l.no", F.col("r.no").alias("other")).collect()
+    want = sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[0] and x[2] < y[3] and y[2] < x[3])
+    assert sorted(map(tuple, got)) == want
+
+
+def test_a_document_of_many_spans_spreads(spark):
+    n = 100_000
+    one = spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("seq"), (F.col("id") * 50).cast("int").alias("char_start"), (F.col("id") * 50 + 80).cast("int").alias("char_end"))
+    parts = chunk.interval_join(one, one.withColumnRenamed("seq", "line_no")).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 3 * n - 2
+    plan = chunk._placed(one.select(F.struct("*").alias("r")), "r", "doc_id").groupBy("_doc", "_bits", "_bin").count().agg(F.max("count"), F.count("*")).first()
+    assert plan[0] <= 50 and plan[1] > 4000  # no key of the join holds more than what lies in one bin
+
+
 def test_topk_unique_ids(spark):
     v = spark.createDataFrame([("big", 1, [1.0, 0.0]), ("big", 2, [0.9, 0.1]), ("c", 3, [0.5, 0.5])], "name string, vec_id long, embedding array<float>")
     v = v.withColumn("chunk", F.when(F.col("name") == "big", 1).otherwise(3))
@@ -154,7 +204,7 @@ def test_near_dup_of_every_length(spark):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
     want = {k: v for k, v in want.items() if v >= 0.9}
     docs = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], "doc_id long, text string")
-    got = segment.jaccard_classes(docs, 0.9).collect()
+    got = similarity.jaccard_classes(docs, 0.9).collect()
     name = {r.b: r.a for r in got if r.jaccard == 1}
     linked = {(r.a, r.b): r.jaccard for r in got if r.jaccard < 1}
     classes = {i: name.get(i, i) for i in sets}
