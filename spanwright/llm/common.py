@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import string
 import uuid
 
@@ -38,12 +37,6 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Asks the driver for a garbage collection, with which the exchange files of finished jobs go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``stored`` wrote, once nothing reads them any more."""
     for df in tables:
@@ -51,8 +44,6 @@ def dropped(*tables: DataFrame) -> None:
         for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        released(tables[0].sparkSession)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwright.llm.common import dropped, released, without
+from spanwright.llm.common import dropped, without
 from spanwright.llm.common import stored as stored_as
 from spanwright.llm.twice_filter import bits_for, contains, filter_of
 
@@ -43,17 +43,27 @@ CUT_WORD = 12
 MAX_BROADCAST = 32 << 20
 #: Bytes of rows that a task works on at a time; a longer row is one piece of work.
 CHUNK = 1 << 20
-#: Suffixes of one range of the sort, ranges at most, pieces that range limits are drawn from.
-RANGE_ROWS, MOST_RANGES, SAMPLE_PIECES = 1 << 19, 4096, 4000
+#: Suffixes of one range of the sort; pieces that range limits are drawn from (one for each range at least), and bytes of each.
+RANGE_ROWS, SAMPLE_PIECES, SAMPLE_BYTES = 1 << 19, 4000, 2048
 #: Bits that a name has within its range.
 NAME_BITS = 40
 #: Bits of a fingerprint, and fingerprints that a task holds before it hands them on.
 MARK_BITS, HELD_MARKS = 40, 1 << 22
 
 
+#: Spark deletes the exchange files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Stored with the codec that keeps pieces of text smallest."""
-    return stored_as(df, name, "zstd")
+    """Stored with the codec that keeps pieces of text smallest. The exchange files of a written round go at once: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return stored_as(df, name, "zstd")
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -306,8 +316,9 @@ def _positions(offs: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def _limits(pieces: DataFrame, ranges: int, cover: Cover) -> np.ndarray:
-    """Triples that cut the order into ``ranges`` of about one size, from a bounded sample of pieces."""
-    sample = pieces.orderBy(F.xxhash64("number")).limit(SAMPLE_PIECES).select("data").collect()
+    """Triples that cut the order into ``ranges`` of about one size, from slices of a sample of pieces: it has a few kilobytes for each range."""
+    at = F.pmod(F.xxhash64(F.col("number") + 1), F.greatest(F.lit(1), F.octet_length("data") - SAMPLE_BYTES)).cast("int") + 1
+    sample = pieces.orderBy(F.xxhash64("number")).limit(max(SAMPLE_PIECES, ranges)).select(F.substring("data", at, F.lit(SAMPLE_BYTES)).alias("data")).collect()
     some = [_prefixes(np.frombuffer(r.data, np.uint8), np.arange(0, max(1, len(r.data) - cover.triple), 3), cover.triple) for r in sample]
     some = np.sort(np.concatenate(some)) if some else np.zeros(0, f"S{cover.triple}")
     return np.unique(some[np.linspace(0, len(some) - 1, ranges + 1).astype(int)[1:-1]]) if len(some) else some
@@ -493,13 +504,12 @@ def _by_cover(pieces: DataFrame, length: int) -> DataFrame:
     """(number, runs) of ``pieces`` (number, first, last, data) by the difference cover; see the module's text."""
     cover = Cover(length)
     n = pieces.select(F.sum(F.octet_length("data") - length + 1)).first()[0] or 0
-    ranges = int(min(MOST_RANGES, max(4, n // RANGE_ROWS)))
+    ranges = int(max(4, n // RANGE_ROWS))
     limits = pieces.sparkSession.sparkContext.broadcast(_limits(pieces, ranges, cover)).value
     kinds = Packed(number="<i8", pos="<i4", triple=f"S{cover.triple}")
     dealt = pieces.select("number", "data").mapInArrow(_triples(cover, limits, kinds), kinds.schema)
     # a round is written before the next begins, so that the exchanges of only one are on disk
     names = stored(dealt.groupBy("part").applyInArrow(_name_triples(ranges, kinds), NAMES.schema), "names")
-    released(pieces.sparkSession)
     for distances in cover.rounds:
         beside = names.groupBy("part").applyInArrow(_triples_of_names(distances), NAMED.schema)
         longer = stored(beside.groupBy("part").applyInArrow(_name_names(ranges), NAMES.schema), "names")
