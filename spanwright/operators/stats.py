@@ -1,9 +1,11 @@
-"""Statistics as windows and grouped aggregates; p-values by normal approximation in a small UDF."""
+"""Statistics as windows and grouped aggregates; exact or approximate p-values in small Arrow functions."""
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,20 +34,62 @@ def holm(df: DataFrame, p: str, order: str, family: list[str]) -> DataFrame:
     return df.withColumn("_step", step).withColumn("p_holm", F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def signed_rank(df: DataFrame, diff: str, keys: list[str]) -> DataFrame:
-    """W+, W-, n and the rank-biserial correlation of differences; zeros are dropped.
+#: Groups of so many differences at most, none of them zero or tied, get the exact p; above it the normal approximation is as good.
+EXACT_UP_TO = 50
 
-    ``p`` is the two-sided normal approximation with tie correction (null where n is 0).
+
+@lru_cache(maxsize=4096)
+def _null_sums(ranks: tuple[int, ...]) -> np.ndarray:
+    """How many of the 2^n sign patterns give a sum of positive ranks of s or less, for all s: one rank after the other."""
+    ways = np.zeros(sum(ranks) + 1, np.int64)
+    ways[0] = 1
+    for r in ranks:
+        ways[r:] += ways[: len(ways) - r].copy()
+    return np.cumsum(ways)
+
+
+@F.pandas_udf(DoubleType())
+def exact_signed_rank_p(doubled: pd.Series, least: pd.Series) -> pd.Series:
+    """Two-sided p of the smaller rank sum under all sign patterns; ranks and sum are doubled, so that midranks are whole."""
+
+    def p(ranks, w) -> float | None:
+        if ranks is None or w is None or math.isnan(w):
+            return None
+        below = _null_sums(tuple(sorted(int(r) for r in ranks)))
+        return min(1.0, 2.0 * int(below[int(w)]) / 2.0 ** len(ranks))
+
+    return pd.Series([p(r, w) for r, w in zip(doubled, least)], dtype="float64")
+
+
+def signed_rank(df: DataFrame, diff: str, keys: list[str], *, exact_up_to: int = EXACT_UP_TO, exact_ties: bool = False) -> DataFrame:
+    """(keys, n, w_plus, w_minus, rank_biserial, p, method): Wilcoxon's signed ranks of differences; zeros and nulls are dropped.
+
+    ``p`` is two-sided. ``exact``: from the distribution over all sign patterns, for ``exact_up_to`` differences or less without ties
+    (with ``exact_ties`` also with them: the distribution given the midranks). ``normal``: the approximation with tie correction.
+    A group of zeros only is ``identical``: n 0, p 1 and rank-biserial 0; a group of nulls only is left out.
     """
-    d = df.filter((F.col(diff) != 0) & F.col(diff).isNotNull())
-    counts = d.groupBy(*keys, F.abs(diff).alias("_abs")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(diff) > 0).alias("_up"))
-    r = _with_midrank(counts, keys, "_abs")
+    if exact_up_to > 60:
+        raise ValueError("exact counts of more than 60 differences do not fit 64 bits")
+    kept = df.filter(F.col(diff).isNotNull())
+    counts = kept.groupBy(*keys, F.abs(diff).alias("_abs")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(diff) > 0).alias("_up"))
+    groups = counts.groupBy(*keys).agg(F.lit(1).alias("_one"))
+    r = _with_midrank(counts.filter("_abs <> 0"), keys, "_abs")
     plus, minus = F.sum(F.col("_up") * F.col("midrank")), F.sum((F.col("n") - F.col("_up")) * F.col("midrank"))
     ties = F.sum(F.col("n") * (F.col("n") * F.col("n") - 1))
-    out = r.groupBy(*keys).agg(F.sum("n").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), ties.alias("_ties"))
-    var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("_ties") / 48.0
-    z = (F.least("w_plus", "w_minus") - F.col("n") * (F.col("n") + 1) / 4.0) / F.sqrt(var)
-    return out.withColumn("rank_biserial", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))).withColumn("p", two_sided(z)).drop("_ties")
+    # as many values as a group with an exact p can have; larger groups hold an empty list
+    few = r.groupBy(*keys).agg(F.sum("n").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), ties.alias("_ties"))
+    exact = (F.col("n") <= exact_up_to) & ((F.col("_ties") == 0) | F.lit(exact_ties))
+    small = r.withColumnRenamed("n", "_times").join(few.filter(exact).select(*keys), keys, "left_semi")
+    ranks = small.select(*keys, F.explode(F.array_repeat((2 * F.col("midrank")).cast("long"), F.col("_times").cast("int"))).alias("_rank")).groupBy(*keys).agg(F.collect_list("_rank").alias("_ranks"))
+    out = groups.join(few, keys, "left").join(ranks, keys, "left").drop("_one")
+    n, low = F.coalesce("n", F.lit(0)), F.least("w_plus", "w_minus")
+    var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
+    z = (low - n * (n + 1) / 4.0) / F.sqrt(var)
+    p = F.when(n == 0, 1.0).when(F.col("_ranks").isNotNull(), exact_signed_rank_p("_ranks", (2 * low).cast("double"))).otherwise(two_sided(z))
+    method = F.when(n == 0, "identical").when(F.col("_ranks").isNotNull(), "exact").otherwise("normal")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    side = (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))
+    return out.select(*keys, n.alias("n"), zero("w_plus").alias("w_plus"), zero("w_minus").alias("w_minus"), zero(side).alias("rank_biserial"), p.alias("p"), method.alias("method"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:

@@ -160,9 +160,24 @@ def k6_wilcoxon_w(spark, sf):
     return _signed(spark, sf).select("lang", "n", "w_plus", "w_minus")
 
 
-@query()
+# the null distribution by n: a list of how many sign patterns give each rank sum; the error function by its series
+_WILCOXON = """WITH RECURSIVE dist AS (SELECT 0 AS n, [1::DOUBLE] AS c UNION ALL
+SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda w: coalesce(c[w + 1], 0) + CASE WHEN w > n THEN coalesce(c[w - n], 0) ELSE 0 END) FROM dist WHERE n < 50),
+e AS (SELECT lang, coalesce(source, '') || '/' || doc_id % 3 AS part, (n_chars - 2000) % 500 AS d FROM documents WHERE n_chars IS NOT NULL),
+r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY lang, part, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY lang, part, abs(d)) AS t FROM e WHERE d <> 0 WINDOW w AS (PARTITION BY lang, part ORDER BY abs(d))),
+s AS (SELECT lang, part, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, sum(t * t - 1) AS ties FROM r GROUP BY ALL),
+x AS (SELECT s.*, abs(w - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) / sqrt(2::DOUBLE) AS x FROM s),
+p AS (SELECT x.lang, x.part, x.n, CASE WHEN x.ties = 0 AND x.n <= 50 THEN 'exact' ELSE 'normal' END AS method, CASE WHEN x.ties = 0 AND x.n <= 50 THEN least(1, 2 * list_sum(dist.c[1:(w + 1)::BIGINT]) / 2::DOUBLE ** x.n) WHEN x = 0 THEN 1 WHEN x > 6 THEN 0
+  ELSE greatest(0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda k: exp(-x * x + 2 * k * ln(2::DOUBLE) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2))))) END AS p FROM x LEFT JOIN dist ON dist.n = x.n)
+SELECT g.lang, g.part, coalesce(p.n, 0) AS n, coalesce(p.method, 'identical') AS method, round(coalesce(p.p, 1), 9) AS p FROM (SELECT DISTINCT lang, part FROM e) g LEFT JOIN p ON g.lang = p.lang AND g.part = p.part"""
+
+
+@query(_WILCOXON)
 def k6_wilcoxon_p(spark, sf):
-    return _signed(spark, sf).select("lang", "n", "p")
+    """Small groups without ties by the exact distribution, the others by the normal approximation."""
+    part = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id") % 3)
+    d = _t(spark, sf, "documents").select("lang", part.alias("part"), ((F.col("n_chars") - 2000) % 500).alias("d"))
+    return stats.signed_rank(d, "d", ["lang", "part"]).select("lang", "part", "n", "method", F.round("p", 9).alias("p"))
 
 
 @query("""WITH r AS (SELECT lang, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS r FROM documents WHERE lang IN ('en', 'de')), a AS (SELECT count(*) FILTER (WHERE lang = 'en') AS n1, count(*) FILTER (WHERE lang = 'de') AS n2, sum(r) FILTER (WHERE lang = 'en') AS s FROM r)

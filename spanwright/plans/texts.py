@@ -173,14 +173,62 @@ def e16_overrides(spark, sf):
     return segment.override_types(lines, rules, ["doc_id", "line_no"], ("override",), 300).select("doc_id", "line_no", "content_type", "atomic")
 
 
-@query()
+_HEADING, _TOPIC, _MARKER = r"^.{1,24}$", r"^(The|Der|Le|La|El) ?([^.,]{0,12})[.,]", r"^(Licensed|Copyright|SPDX|Contact)"
+
+# the walk as a state machine, one line of every document a step
+_WALK = rf"""l0 AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
+k AS (SELECT doc_id, coalesce(source, '') AS unit, line_no, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat,
+  CASE WHEN regexp_matches(text, '{_TOPIC}') THEN 'T' WHEN regexp_matches(text, '{_MARKER}') THEN 'M' WHEN regexp_matches(text, '{_HEADING}') THEN 'H' ELSE 'B' END AS kind,
+  upper(regexp_extract(text, '{_TOPIC}', 1)) AS name, nullif(trim(regexp_replace(regexp_extract(text, '{_TOPIC}', 2), '\s+', ' ', 'g')), '') AS inline
+  FROM l0 WHERE regexp_matches(text, '\S')),
+w AS (
+  SELECT doc_id, i, 0 AS seg_no, CASE WHEN kind = 'T' THEN name END AS topic, CASE WHEN kind = 'T' THEN inline END AS title, CASE kind WHEN 'M' THEN left(flat, 80) WHEN 'H' THEN flat END AS sub,
+    kind = 'T' AND inline IS NULL AS pending, kind IN ('M', 'B') AS has_body FROM k WHERE i = 1
+  UNION ALL
+  SELECT k.doc_id, k.i, w.seg_no + CASE WHEN k.kind IN ('T', 'M') OR (k.kind = 'H' AND w.has_body) THEN 1 ELSE 0 END,
+    CASE WHEN k.kind = 'T' THEN k.name ELSE w.topic END,
+    CASE WHEN k.kind = 'T' THEN k.inline WHEN k.kind = 'H' AND w.pending AND NOT w.has_body THEN k.flat ELSE w.title END,
+    CASE WHEN k.kind = 'T' THEN NULL WHEN k.kind = 'M' THEN left(k.flat, 80) WHEN k.kind = 'B' OR (w.pending AND NOT w.has_body) THEN w.sub WHEN w.has_body THEN k.flat ELSE concat_ws(' ', w.sub, k.flat) END,
+    CASE WHEN k.kind = 'T' THEN k.inline IS NULL WHEN k.kind IN ('B', 'M') OR NOT w.has_body THEN false ELSE w.pending END,
+    CASE WHEN k.kind = 'T' THEN false WHEN k.kind = 'H' THEN false ELSE true END
+  FROM w JOIN k ON k.doc_id = w.doc_id AND k.i = w.i + 1
+)"""
+
+
+@query(f"""WITH RECURSIVE {_WALK} SELECT doc_id, seg_no, max_by(struct_pack(x := topic), i).x AS topic, max_by(struct_pack(x := title), i).x AS title, max_by(struct_pack(x := sub), i).x AS sub,
+arg_max(concat_ws(' > ', nullif(unit, ''), CASE WHEN title IS NULL THEN topic ELSE topic || ': ' || title END, sub), i) AS heading_path, min(line_no) AS first_line, max(line_no) AS last_line, sum(length(text) + 2) - 2 AS n_chars
+FROM (SELECT doc_id, unit, i, line_no, text FROM k) JOIN (SELECT doc_id, i, seg_no, topic, title, sub FROM w) USING (doc_id, i) GROUP BY doc_id, seg_no""")
 def e8_walk(spark, sf):
-    return segment.walk(chunk.line_segments(_docs(spark, sf)), heading=r"^.{1,24}$", topic=r"^(The|Der|Le|La) ")
+    """The outline of every document: topics with titles, marker lines, headings; sources are the units."""
+    return segment.walk(_docs(spark, sf, "source"), heading=_HEADING, topic=_TOPIC, marker=_MARKER, unit_col="source")
 
 
-@query()
+def _segments(spark, sf):
+    """Lines as segments in an array: length, length without blanks, kind, unit (ten lines) and whether they are atomic."""
+    one = lambda x, i: F.struct(F.length(x).alias("n"), F.length(tx.strip(x)).alias("bare"), F.when(x.rlike("[0-9]"), "numeric").when(F.length(x) < 60, "short").otherwise("long").alias("kind"), F.floor(i / 10).alias("unit"), (F.length(x) <= 200).alias("atomic"))
+    return _docs(spark, sf).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), one).alias("segs"))
+
+
+_SEGS = r"""l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
+s AS (SELECT doc_id, line_no, length(text) AS n, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS bare, CASE WHEN regexp_matches(text, '[0-9]') THEN 'numeric' WHEN length(text) < 60 THEN 'short' ELSE 'long' END AS kind, line_no // 10 AS unit, length(text) <= 200 AS atomic FROM l0)"""
+
+
+@query(f"""WITH RECURSIVE {_SEGS}, f AS (SELECT doc_id, line_no, 0 AS seg_no, n AS held, kind, unit, atomic FROM s WHERE line_no = 0 UNION ALL
+SELECT s.doc_id, s.line_no, f.seg_no + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN f.held + 2 + s.n ELSE s.n END, s.kind, s.unit, s.atomic
+FROM f JOIN s ON s.doc_id = f.doc_id AND s.line_no = f.line_no + 1, LATERAL (SELECT s.atomic AND f.atomic AND s.kind = f.kind AND s.unit = f.unit AND f.held + 2 + s.n <= 400 AS joins))
+SELECT doc_id, seg_no, min(line_no) AS first_line, max(line_no) AS last_line, max(held) AS n_chars FROM f GROUP BY doc_id, seg_no""")
 def e12_merge_folds(spark, sf):
-    return segment.merge_small(chunk.line_segments(_docs(spark, sf)), smallest=120)
+    return segment.merge_atomic(_segments(spark, sf), 400)
+
+
+@query(f"""WITH RECURSIVE {_SEGS}, f AS (SELECT doc_id, line_no, 0 AS seg_no FROM s WHERE line_no = 0 UNION ALL
+SELECT s.doc_id, s.line_no, f.seg_no + CASE WHEN s.bare < 120 THEN 0 ELSE 1 END FROM f JOIN s ON s.doc_id = f.doc_id AND s.line_no = f.line_no + 1),
+g AS (SELECT f.*, s.n, s.bare, max(seg_no) OVER (PARTITION BY f.doc_id) AS most, count(*) FILTER (WHERE seg_no = 0) OVER (PARTITION BY f.doc_id) AS c0,
+  sum(CASE WHEN seg_no = 0 THEN s.n + 2 ELSE 0 END) OVER (PARTITION BY f.doc_id) - 2 AS n0, first_value(s.bare) OVER (PARTITION BY f.doc_id ORDER BY f.line_no) AS b0 FROM f JOIN s USING (doc_id, line_no)),
+h AS (SELECT *, CASE WHEN most > 0 AND (CASE WHEN c0 = 1 THEN b0 ELSE n0 END) < 120 THEN greatest(seg_no - 1, 0) ELSE seg_no END AS seg FROM g)
+SELECT doc_id, seg AS seg_no, min(line_no) AS first_line, max(line_no) AS last_line, (sum(n + 2) - 2)::BIGINT AS n_chars FROM h GROUP BY doc_id, seg""")
+def e13_merge_tiny(spark, sf):
+    return segment.merge_tiny(_segments(spark, sf), 120)
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words FROM documents")

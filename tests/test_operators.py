@@ -1,5 +1,6 @@
 """Literal cases of the operators."""
 
+import itertools
 import math
 import random
 import re
@@ -165,12 +166,62 @@ def test_topk_unique_ids(spark):
     assert vector.topk_inner_product(v, q.limit(0), 5).count() == 0
 
 
-def test_walk_and_merge(spark):
-    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(["HEAD", "SUB", "body one", "body two", "Topic A", "NEXT", "more"])], "doc_id string, line_no int, text string")
-    got = rows(segment.walk(lines, heading="^[A-Z]+$", topic="^Topic").orderBy("seg_no"))
-    assert got == [("d", 0, None, "HEAD SUB", 2, 2), ("d", 1, "Topic A", "NEXT", 6, 1)]
-    merged = rows(segment.merge_small(lines, smallest=6).orderBy("seg_no"))
-    assert [m[2:4] for m in merged] == [(0, 1), (2, 2), (3, 3), (4, 6)]
+def by_enumeration(d):
+    d = [x for x in d if x]
+    rank = {x: sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2 for x in d}
+    sums = [sum(r for r, up in zip((rank[x] for x in d), signs) if up) for signs in itertools.product([0, 1], repeat=len(d))]
+    low = min(sum(rank[x] for x in d if x > 0), sum(rank[x] for x in d if x < 0))
+    return min(1.0, 2 * sum(s <= low for s in sums) / len(sums))
+
+
+def test_exact_wilcoxon_against_enumeration(spark):
+    rng = random.Random(8)
+    groups = {f"g{k}": [rng.choice([1, -1]) * x for x in rng.sample(range(1, 40), k)] for k in range(1, 11)}
+    groups |= {"ties": [1, 1, -1, 2, 2, 3, -3, 5], "zeros": [0, 0], "some": [0, 4, -2, 7, None], "all up": [1, 2, 3, 4, 5]}
+    df = spark.createDataFrame([(g, x) for g, d in groups.items() for x in d], "g string, d int")
+    got = {r.g: r for r in stats.signed_rank(df, "d", ["g"], exact_ties=True).collect()}
+    for g, d in groups.items():
+        d = [x for x in d if x is not None]
+        assert got[g].p == pytest.approx(by_enumeration(d) if any(d) else 1.0, abs=1e-12), g
+    assert got["zeros"].method == "identical" and got["all up"].p == 2 / 2**5 and got["all up"].rank_biserial == 1
+    methods = {r.g: r.method for r in stats.signed_rank(df, "d", ["g"], exact_up_to=5).collect()}
+    assert methods["ties"] == methods["g6"] == "normal" and methods["g5"] == "exact"
+    assert {r.g: r.method for r in stats.signed_rank(df, "d", ["g"]).collect()}["ties"] == "normal"
+    large = spark.range(1, 49).select(F.lit("x").alias("g"), F.when(F.col("id") % 3 == 0, -F.col("id")).otherwise(F.col("id")).cast("int").alias("d"))
+    exact, normal = (stats.signed_rank(large, "d", ["g"], exact_up_to=n).first().p for n in (50, 10))
+    assert exact == pytest.approx(normal, rel=0.1)  # the approximation is close by then
+
+
+def outline(spark, *lines):
+    d = spark.createDataFrame([("d", "\n".join(lines), "U1")], "doc_id string, text string, unit string")
+    got = segment.walk(d, heading="^[A-Z]+$", topic=r"^Topic (\w+):?(.*)$", marker="^Note", unit_col="unit").orderBy("seg_no").collect()
+    return [(r.heading_path, r.first_line, r.last_line) for r in got]
+
+
+def test_walk(spark):
+    assert outline(spark, "HEAD", "SUB", "body one", "", "body two", "Topic a: own  title", "NEXT", "MORE", "x", "Note this", "y", "LAST") == [
+        ("U1 > HEAD SUB", 0, 4), ("U1 > A: own title > NEXT MORE", 5, 8), ("U1 > A: own title > Note this", 9, 10), ("U1 > A: own title > LAST", 11, 11),
+    ]
+    assert outline(spark, "body", "Topic b", "TITLE", "SUB", "x", "Topic c", "Topic d", "y", "Z") == [
+        ("U1", 0, 0), ("U1 > B: TITLE > SUB", 1, 4), ("U1 > C", 5, 5), ("U1 > D", 6, 7), ("U1 > D > Z", 8, 8),
+    ]
+    assert outline(spark, "", "  ") == [] and outline(spark, "Note " + "x" * 100)[0][0] == "U1 > Note " + "x" * 75
+    none = spark.createDataFrame([(None, None, None), ("e", "x", None)], "doc_id string, text string, unit string")
+    got = segment.walk(none, heading="^[A-Z]+$", topic=r"^T(a)(b)", marker="^Note", unit_col="unit").collect()
+    assert [(r.doc_id, r.heading_path) for r in got] == [("e", "")]
+
+
+def test_merges(spark):
+    kind = "doc_id string, segs array<struct<n:int,bare:int,kind:string,unit:int,atomic:boolean>>"
+    seg = lambda n, kind="a", unit=1, atomic=True, bare=None: (n, n if bare is None else bare, kind, unit, atomic)
+    d = spark.createDataFrame([("d", [seg(40), seg(40), seg(16), seg(1), seg(3, "b"), seg(3, "b", 2), seg(3, "b", 2, False), seg(3, "b", 2, False), seg(500), seg(1)]), ("e", None), ("f", [])], kind)
+    got = segment.merge_atomic(d, 100).orderBy("seg_no").collect()
+    assert [(r.first_line, r.last_line, r.n_chars) for r in got] == [(0, 2, 100), (3, 3, 1), (4, 4, 3), (5, 5, 3), (6, 6, 3), (7, 7, 3), (8, 8, 500), (9, 9, 1)]
+    tiny = lambda *n: [(r.first_line, r.last_line) for r in segment.merge_tiny(spark.createDataFrame([("d", [seg(x) for x in n])], kind), 10).orderBy("seg_no").collect()]
+    assert tiny(20, 1, 9, 10, 3) == [(0, 2), (3, 4)]
+    assert tiny(3, 20, 1, 30) == [(0, 2), (3, 3)]
+    assert tiny(3, 3, 3, 20) == [(0, 2), (3, 3)]  # three tiny ones are large enough together
+    assert tiny(3, 2) == [(0, 1)] and tiny(5) == [(0, 0)]
 
 
 def test_html(spark):
