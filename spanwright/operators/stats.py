@@ -122,7 +122,8 @@ def _resampled(df: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFr
     """
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     items = df.withColumn("j", F.row_number().over(Window.partitionBy(*keys).orderBy("item")) - 1)
-    rounds = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    each = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*keys, "b")  # so that rounds are drawn all over the cluster
+    rounds = each.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     h = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "b", "draw")), 1, 8), 16, 10).cast("long")
     picks = rounds.withColumn("j", F.pmod(h, F.col("n")).cast("int")).select(*keys, "b", "j")
     return picks.join(items.select(*keys, "j", "value"), [*keys, "j"]).groupBy(*keys, "b").agg(F.avg("value").alias("m"))

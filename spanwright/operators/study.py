@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.operators.order import numbered_within, quantiles
 from spanwright.session import shared_dir
 from spanwright.sources.tables import new_folder
 
@@ -13,16 +14,31 @@ from spanwright.sources.tables import new_folder
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, sd (null below two values), median, upper median, least and most; nulls are ignored.
 
-    The upper median comes from counts by value with a running total, so no group is gathered in an array.
+    Both medians are exact and come from counts dealt by ranges, so no group is gathered in one task.
     """
-    total = F.count(value)
-    out = df.groupBy(*keys).agg(total.alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    below = Window.partitionBy(*keys).orderBy(value)
-    run = counts.withColumns({"_to": F.sum("_k").over(below), "_all": F.sum("_k").over(Window.partitionBy(*keys))})
-    upper = run.filter(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
-    return out.alias("o").join(upper.alias("u"), same, "left").select(*[F.col(f"o.{k}") for k in keys], "n", "mean", "sd", "median", "upper_median", "least", "most")
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = quantiles(df, keys, value, {"median": 0.5}, more={"upper_median": F.floor(F.col("n") / 2)}).drop("n")
+    return null_safe(out, middle, keys).select(*keys, "n", "mean", "sd", "median", "upper_median", "least", "most")
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which null keys meet."""
+    met = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] or [F.lit(True)]  # without keys: one row by one row
+    return left.alias("l").join(right.alias("r"), met, "left").select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
+
+
+def block_decomposition(df: DataFrame, block: str, condition: str, value: str, first: str, second: str) -> DataFrame:
+    """(block, gap, beyond_baseline): each block's difference of medians of two conditions, and what it has beyond that of all blocks.
+
+    Medians are exact; the whole table's, too, come from counts dealt by ranges. A block without one of the conditions has no gap.
+    """
+    two = df.filter(F.col(condition).isin(first, second))
+    side = F.when(F.col("condition") == first, F.col("median"))
+    gap = F.max(side) - F.max(F.when(F.col("condition") == second, F.col("median")))
+    named = two.select(F.col(block).alias("block"), F.col(condition).alias("condition"), F.col(value).alias("v"))
+    each = quantiles(named, ["block", "condition"], "v", {"median": 0.5}).groupBy("block").agg(gap.alias("gap"))
+    base = quantiles(named, ["condition"], "v", {"median": 0.5}).agg(gap.alias("base"))
+    return each.join(F.broadcast(base), F.lit(True)).select(F.col("block").alias(block), "gap", (F.col("gap") - F.col("base")).alias("beyond_baseline"))  # one row
 
 
 def pivot_pairs(df: DataFrame, case: str, condition: str, value: str, first: str, second: str) -> DataFrame:
@@ -143,15 +159,17 @@ def mixed_model(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
 
 def paired_report(df: DataFrame, keys: list[str], d: str) -> DataFrame:
     """n, mean, median, sd, t and dz of differences, for groups of five or more that are not all zero."""
-    out = df.filter(F.col(d).isNotNull()).groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("median"), F.stddev_samp(d).alias("sd"), F.count_if(F.col(d) != 0).alias("_other"))
+    out = df.filter(F.col(d).isNotNull()).groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.count_if(F.col(d) != 0).alias("_other"))
     out = out.filter((F.col("n") >= 5) & (F.col("_other") > 0)).drop("_other")
+    out = null_safe(out, quantiles(df, keys, d, {"median": 0.5}).drop("n"), keys)
     return out.withColumns({"t": F.col("mean") / (F.nullif("sd", F.lit(0.0)) / F.sqrt("n")), "dz": F.col("mean") / F.nullif("sd", F.lit(0.0))})
 
 
 def deal(df: DataFrame, strata: list[str], raters: list[str], order: Column, key: str, start: Column) -> DataFrame:
     """Items of each stratum in a seeded order, dealt to raters in turn from an offset of the stratum."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, key)) - 1
-    return df.withColumn("rater", F.element_at(F.array(*map(F.lit, raters)), (F.pmod(place + start, F.lit(len(raters))) + 1).cast("int")))
+    placed = numbered_within(df.withColumn("_o", order), strata, ["_o", key], "_place")
+    turn = F.pmod(F.col("_place") - 1 + start, F.lit(len(raters))) + 1
+    return placed.withColumn("rater", F.element_at(F.array(*map(F.lit, raters)), turn.cast("int"))).drop("_o", "_place")
 
 
 def workload(df: DataFrame, rater: str, raters: list[str], heavy: Column) -> DataFrame:
@@ -241,9 +259,9 @@ def rederived(recorded: DataFrame, derived: DataFrame, key: str, fields: list[st
 def freeze(df: DataFrame, strata: list[str], n: int, risk: Column, order: Column, key: str) -> DataFrame:
     """A draw of ``n`` a stratum with all risk cases beside it, dealt in turn to two raters and both orders of conditions.
 
-    Risk cases beyond the draw are marked ``by_risk``. The numbering runs within a stratum.
+    Risk cases beyond the draw are marked ``by_risk``. The numbering runs within a stratum, over ranges of it.
     """
-    placed = df.withColumn("_k", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))).withColumn("_risk", risk)
+    placed = numbered_within(df.withColumn("_o", order), strata, ["_o", key], "_k").withColumn("_risk", risk)
     odd = F.col("_k") % 2 == 1
     kept = placed.filter((F.col("_k") <= n) | F.col("_risk"))
     return kept.select(*df.columns, (F.col("_risk") & (F.col("_k") > n)).alias("by_risk"), F.when(odd, "r1").otherwise("r2").alias("rater"), F.when(odd, "with-without").otherwise("without-with").alias("crossover"))
@@ -257,3 +275,9 @@ def against_winner(df: DataFrame, system: str, item: str, value: str) -> DataFra
     own = marked.filter(F.col(system) == F.col("_best")).select(item, F.col(value).alias("_v"))
     d = marked.filter(F.col(system) != F.col("_best")).join(own, item).withColumn("_d", F.col(value) - F.col("_v"))
     return d.groupBy(system).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.count_if(F.col("_d") > 0).alias("up"), F.count_if(F.col("_d") < 0).alias("down"))
+
+
+def worklists(df: DataFrame, rater: Column, order: list[str], shared: Column) -> DataFrame:
+    """``df`` with ``rater``, ``position`` (1, 2, ... along ``order`` in the rater's list) and ``shared``. ``order`` is unique within a rater."""
+    marked = df.withColumns({"rater": rater, "shared": shared})
+    return numbered_within(marked, ["rater"], order, "position")

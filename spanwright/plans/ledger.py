@@ -267,9 +267,7 @@ def j22_rater_benefit(spark, sf):
 SELECT block, round(b.gap, 4) AS gap, round(b.gap - base.gap, 4) AS beyond_baseline FROM b, base""")
 def k18_block_decomposition(spark, sf):
     """A block's difference of medians, and what is left of it beyond that of all blocks."""
-    gap = F.expr("median(v) FILTER (WHERE condition = 'F') - median(v) FILTER (WHERE condition = 'O')")
-    r = _ratings(spark, sf)
-    return r.groupBy("block").agg(gap.alias("gap")).crossJoin(r.agg(gap.alias("base"))).select("block", F.round("gap", 4).alias("gap"), F.round(F.col("gap") - F.col("base"), 4).alias("beyond_baseline"))
+    return study.block_decomposition(_ratings(spark, sf), "block", "condition", "v", "F", "O").select("block", F.round("gap", 4).alias("gap"), F.round("beyond_baseline", 4).alias("beyond_baseline"))
 
 
 @query(f"""WITH {_RATER}, d AS (SELECT block, round(avg(v), 6) AS mean, count(*) AS n FROM r GROUP BY block), w AS (SELECT block, CASE WHEN block = '1-URGENT' THEN mean + 1 ELSE mean END AS mean, CASE WHEN block = '5-LOW' THEN n + 1 ELSE n END AS n FROM d WHERE block <> '2-HIGH')
@@ -387,10 +385,8 @@ _LIST = """w AS (SELECT o_custkey % 12 AS rater, o_orderkey AS response, row_num
 @query(f"""WITH {_LIST} SELECT rater, position, response, o_orderstatus AS condition, o_custkey AS case_id, o_custkey % 5 = 0 AS shared FROM w JOIN orders ON o_orderkey = response""")
 def t12_worklists(spark, sf):
     """Worklists read with their positions (T11), the blind key decoded and shared cases marked."""
-    o = _t(spark, sf, "orders")
-    lists = o.groupBy((F.col("o_custkey") % 12).alias("rater")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("order"))
-    placed = lists.select("rater", F.posexplode("order").alias("at", "response"))
-    return placed.join(o, placed["response"] == o["o_orderkey"]).select("rater", (F.col("at") + 1).alias("position"), "response", F.col("o_orderstatus").alias("condition"), F.col("o_custkey").alias("case_id"), (F.col("o_custkey") % 5 == 0).alias("shared"))
+    placed = study.worklists(_t(spark, sf, "orders"), F.col("o_custkey") % 12, ["o_orderdate", "o_orderkey"], F.col("o_custkey") % 5 == 0)
+    return placed.select("rater", "position", F.col("o_orderkey").alias("response"), F.col("o_orderstatus").alias("condition"), F.col("o_custkey").alias("case_id"), "shared")
 
 
 @query("""SELECT o_custkey AS case_id, count(*) AS n_contexts, count(*) FILTER (WHERE o_totalprice > 200000) AS n_full, count(*) FILTER (WHERE o_totalprice <= 200000) AS n_light, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS packet FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY o_custkey""")
