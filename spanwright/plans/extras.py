@@ -58,12 +58,16 @@ def d13_strip_tags(spark, sf):
     return _t(spark, sf, "pages").select("page_id", tx.collapse(F.replace(F.regexp_replace("html", "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" "))).alias("plain"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS n FROM conversations")
+_SIGNED_OFF = "regexp_replace(text, '[A-Z]', 'x', 'g') || CASE turn % 3 WHEN 0 THEN ' nama saya Budi Santoso, halo' WHEN 1 THEN ' my name is Cahya. Mr. Tan, halo' ELSE ' halo' END"
+_NAMED = r"\b((?:[Nn]ama saya|[Ss]aya bernama|[Dd]r\.|[Bb]apak|[Ii]bu|[Mm]y name is|[Mm]r\.|[Mm]rs\.)\s+)((?:[A-Z][\w''-]+)(?:\s+[A-Z][\w''-]+)?)"
+
+
+@query(rf"SELECT conv_id, turn, regexp_replace(t, '{_NAMED}', '\1[nama]', 'g') AS text, len(regexp_extract_all(t, '{_NAMED}')) AS n FROM (SELECT conv_id, turn, {_SIGNED_OFF} AS t FROM conversations)")
 def d15_redact_names(spark, sf):
-    """Names after an introduction are taken out; every second turn gets one."""
-    t = F.concat(F.regexp_replace("text", "[A-Z]", "x"), F.when(F.col("turn") % 2 == 0, " nama saya Budi Santoso, halo").otherwise(" halo"))
-    r = _t(spark, sf, "conversations").select("conv_id", "turn", tx.redact_names(t).alias("r"))
-    return r.select("conv_id", "turn", F.when(F.contains("r.text", F.lit("Budi")), -1).otherwise(F.col("r.n")).alias("n"))
+    """Names after an introduction or a title are taken out of texts that are signed in three ways."""
+    end = F.when(F.col("turn") % 3 == 0, " nama saya Budi Santoso, halo").when(F.col("turn") % 3 == 1, " my name is Cahya. Mr. Tan, halo").otherwise(" halo")
+    r = _t(spark, sf, "conversations").select("conv_id", "turn", tx.redact_names(F.concat(F.regexp_replace("text", "[A-Z]", "x"), end)).alias("r"))
+    return r.select("conv_id", "turn", "r.text", "r.n")
 
 
 _BRIEF = "'## Summary' || chr(10) || text || chr(10) || '## Referral' || chr(10) || 'see [1] and [' || (turn + 1) || ']' || chr(10) || '## End'"

@@ -65,3 +65,47 @@ def write_csv_with_bom(df: DataFrame, path: str, *, overwrite: bool = False) ->
     first, *rest = df.columns
     marked = df.withColumnRenamed(first, "\ufeff" + first)
     marked.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+
+
+def distinct_names(df: DataFrame, column: str, most: int) -> list[str]:
+    """The different non-null values of ``column`` in order, for use as column names; more than ``most`` are an error."""
+    found = [str(r[0]) for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} different values: too many for columns")
+    return sorted(found)
+
+
+def score_columns(scores: DataFrame, metric: str, *, item: str = "question_id", system: str = "index_id", most: int = 1000) -> DataFrame:
+    """(item, one double column a system): the chosen metric of every item, null where a system has none or no number.
+
+    Two passes: the systems first, as a bounded list, then one aggregation by item. An item scored twice by one system is an error.
+    """
+    systems = distinct_names(scores, system, most)
+    value = F.expr(f"try_cast(`{metric}` as double)")
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"an item has two rows of one {system}"))).otherwise(F.max("_v"))
+    return scores.select(item, system, value.alias("_v")).groupBy(item).pivot(system, systems).agg(once)
+
+
+def keys_in_order(rows: DataFrame, fields: str, order: str, *, most: int = 1000) -> list[str]:
+    """The keys of the map column ``fields`` in the order in which rows first have them (by ``order``, then by place in the map)."""
+    each = rows.select(F.col(order).alias("_o"), F.posexplode(F.map_keys(fields)).alias("_at", "_key"))
+    first = each.groupBy("_key").agg(F.min(F.struct("_o", "_at")).alias("_first")).orderBy("_first").limit(most + 1)
+    found = [r["_key"] for r in first.collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} different keys: too many for columns")
+    return found
+
+
+def write_union_csv(rows: DataFrame, fields: str, order: str, path: str, *, most: int = 1000, overwrite: bool = False) -> list[str]:
+    """Rows of a map column as CSV under the union of their keys, first-seen order, blank where a row has none; returns the header.
+
+    Without rows the result is one empty file. Rows are written in ``order`` within ranges of it.
+    """
+    mode = "overwrite" if overwrite else "errorifexists"
+    header = keys_in_order(rows, fields, order, most=most)
+    if not header:
+        rows.sparkSession.createDataFrame([("",)], "value string").coalesce(1).filter("false").write.mode(mode).text(path)
+        return []
+    wide = rows.repartitionByRange(order).sortWithinPartitions(order)
+    wide.select(*[F.coalesce(F.col(fields)[k].cast("string"), F.lit("")).alias(k) for k in header]).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return header
