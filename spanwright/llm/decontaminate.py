@@ -7,9 +7,9 @@ becomes a Hamming distance of the walks, and a hash of sampled coordinates is of
 benchmark's items are hashed at all their offsets, documents at every few characters, so an
 occurrence is tried many times and none is missed for its alignment. Window and stride follow
 the item's size (see ``window_of``): whole items would differ in too many coordinates at the error
-rates that count. How many walks are needed is measured: sampled items are edited at the design error
+rates that count. How many walks are needed is measured: sampled items are edited as much as is allowed
 until ``target_recall`` of them are found. What is found is verified by the edit distance
-between the whole item and the place in the document.
+between the whole item and the place in the document, first part by part for all candidates at once.
 """
 
 from __future__ import annotations
@@ -31,14 +31,15 @@ from spanwright.llm.common import stored, without
 
 #: Bytes of item texts in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 2 << 20
-#: Items of a size that are edited to measure recall, and walks of a size at most. Where these do not reach the target,
-#: ``repeats_for`` raises.
+#: Items of a size that are edited to measure recall, and walks of a size at most. Where these do not reach the target, pieces of
+#: the items are looked up instead, which miss nothing.
 TRIAL_ITEMS, MOST_REPEATS = 64, 64
 #: Characters that one step of the vectorised search holds, if no single text is longer.
 STEP_CHARS = 1 << 20
 #: Candidates of one item that start within so many characters are verified at once.
 NEAR = 32
-SAMPLES = 16
+#: Sampled coordinates of a walk; parts of items that are compared at once.
+SAMPLES, PARTS_AT_ONCE = 10, 1 << 13
 BLANK = 32
 
 
@@ -106,10 +107,8 @@ def edit_distance_within(item: str, text: str) -> int:
 
 def window_of(n: int) -> tuple[int, int]:
     """(window, stride) for an item of ``n`` characters: several windows lie within any occurrence."""
-    if n >= 128:
-        return 16, 12
     if n >= 64:
-        return 16, 6
+        return 16, 8
     if n >= 32:
         return 12, 3
     return max(1, n // 2), max(1, n // 8)
@@ -132,15 +131,49 @@ class Walks:
         at, last, out = starts.astype(np.int32), (starts + (self.length - 1)).astype(np.int32), np.full(len(starts), table + 1, np.uint64)
         moves, coords = self.moves[table], self.coords[table]
         for t in range(max(coords) + 1):
-            symbol = symbols[at]
+            symbol = symbols.take(at, mode="clip")
             if t in coords:
                 out = (out ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
                 out ^= out >> np.uint64(29)
-            at += moves[t][symbol]
-            np.minimum(at, last, out=at)
+            at += moves[t].take(symbol)
+            if t + 1 >= self.length:  # no cursor is beyond the window before
+                np.minimum(at, last, out=at)
         return out
 
 
+class Plain:
+    """A hash of ``length`` characters as they are."""
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def embed(self, symbols: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
+        out = np.full(len(starts), self.length, np.uint64)
+        for t in range(self.length):
+            out = (out ^ symbols[np.minimum(starts + t, len(symbols) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+
+def _least_distances(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, masks: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row the smallest edit distance of a pattern of up to 64 symbols to any stretch of ``symbols[low:high]``, by Myers' bit vectors."""
+    one, zero = np.uint64(1), np.uint64(0)
+    pv, mv = np.full(len(low), ~zero), np.zeros(len(low), np.uint64)
+    top = (size - 1).astype(np.uint64)
+    score, best = size.astype(np.int64), size.astype(np.int64)
+    for t in range(int((high - low).max(initial=0))):
+        at = low + t
+        eq = np.where(at < high, masks[own, symbols[np.minimum(at, len(symbols) - 1)]], zero)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
+        np.minimum(best, score, out=best)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return best
+
+
 def _padded(codes: np.ndarray) -> np.ndarray:
     return np.concatenate([_symbols()[codes], np.zeros(64, np.uint8)])
 
@@ -155,7 +188,7 @@ def _edited(text: str, rate: float, rng: random.Random) -> str:
 
 
 def repeats_for(items: list[str], window: int, stride: int, rate: float, target: float, seed: int) -> int:
-    """Walks with which ``target`` of a sample of items, edited at ``rate``, share a hash with themselves."""
+    """Walks with which ``target`` of a sample of items, edited at ``rate``, share a hash with themselves; 0 where ``MOST_REPEATS`` are too few."""
     rng = random.Random(seed)
     trial = [(x, _edited(x, rate, rng)) for x in rng.sample(items, min(len(items), TRIAL_ITEMS)) for _ in range(max(1, TRIAL_ITEMS // len(items)))]
     plain, other = ([_padded(normal_codes([x])[0]) for x in side] for side in zip(*trial))
@@ -167,7 +200,7 @@ def repeats_for(items: list[str], window: int, stride: int, rate: float, target:
             found[i] = np.isin(walks.embed(other[i], np.arange(i % stride, max(i % stride + 1, len(other[i]) - 64 - window), stride), r), own).any()
         if found.mean() >= target:
             return r + 1
-    raise ValueError(f"{MOST_REPEATS} walks find {found.mean():.2f} of the items of {window}-character windows, {target} is asked for")
+    return 0
 
 
 @dataclass
@@ -199,9 +232,13 @@ class Tables:
         self.block = block
         self.lengths = np.array([len(t) for t, _ in block.items])
         self.prepared = functools.lru_cache(maxsize=10_000)(lambda i: Item(block.items[i][0]))
+        self.masks = functools.lru_cache(maxsize=10_000)(self._masks)
         self.sizes = []
         for (window, stride), repeats in block.repeats.items():
             own = [i for i, (t, _) in enumerate(block.items) if window_of(len(t)) == (window, stride)]
+            if not repeats:
+                self._exact_pieces(own)
+                continue
             codes = [normal_codes([block.items[i][0]])[0][:-1] for i in own]
             begins = np.cumsum([0, *map(len, codes)])
             symbols = _padded(np.concatenate(codes))
@@ -217,6 +254,63 @@ class Tables:
                 tables.append((seen, keys[order], item[order].astype(np.int32), offset[order].astype(np.int32)))
             self.sizes.append((walks, stride, tables))
 
+    def _exact_pieces(self, own: list[int]) -> None:
+        """Tables without chance, for items that the walks find too rarely: of d + 1 pieces of an item one has none of d edits."""
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i in own:
+            n = int(self.lengths[i])
+            most = int(self.block.max_error * n)
+            size = n // (most + 1)
+            pieces.setdefault(size, []).extend((i, k * size) for k in range(most + 1))
+        for size, at in sorted(pieces.items()):
+            symbols = {i: _padded(normal_codes([self.block.items[i][0]])[0]) for i, _ in at}
+            plain = Plain(size)
+            keys = np.concatenate([plain.embed(symbols[i], np.array([o]), 0) for i, o in at])
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << 20, np.bool_)
+            seen[keys & np.uint64((1 << 20) - 1)] = True
+            item, offset = (np.array([a[k] for a in at], np.int32)[order] for k in (0, 1))
+            self.sizes.append((plain, 1, [(seen, keys[order], item, offset)]))
+
+    def near_enough(self, codes: np.ndarray, begins: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which candidates can be within their item's distance at all. None that is gets lost.
+
+        An item is cut into parts of at most 64 characters. Where the item is within its distance, one part is within its own share of it,
+        near its place. All parts of all candidates are compared side by side, a character a step (bit-parallel, one word a part).
+        """
+        if not len(found):
+            return np.zeros(0, np.bool_)
+        n = self.lengths[found[:, 1]]
+        most = (self.block.max_error * n).astype(np.int64)
+        count = -(-n // 64)
+        which = np.repeat(np.arange(len(found)), count)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        first, stop = nth * n[which] // count[which], (nth + 1) * n[which] // count[which]
+        size = stop - first
+        begin, end = begins[found[which, 0]], begins[found[which, 0] + 1]
+        place = begin + found[which, 2] * NEAR + first
+        low, high = np.maximum(begin, place - most[which] - 1), np.minimum(end, place + NEAR + size + most[which] + 1)
+        share = most[which] * size // n[which]
+        part, own = np.unique(found[which, 1] << 24 | nth, return_inverse=True)
+        masks = np.zeros((len(part), 256), np.uint64)
+        for k, key in enumerate(part.tolist()):
+            masks[k] = self.masks(key)
+        symbols, ok = _padded(codes), np.zeros(len(found), np.bool_)
+        order = np.argsort(high - low, kind="stable")
+        for job in np.split(order, range(PARTS_AT_ONCE, len(order), PARTS_AT_ONCE)):
+            ok[which[job[_least_distances(symbols, low[job], high[job], masks, own[job], size[job]) <= share[job]]]] = True
+        return ok
+
+    def _masks(self, key: int) -> np.ndarray:
+        """For each symbol the places it has in a part of an item."""
+        item, nth = key >> 24, key & 0xFFFFFF
+        n = int(self.lengths[item])
+        count = -(-n // 64)
+        codes = normal_codes([self.block.items[item][0]])[0][nth * n // count : (nth + 1) * n // count]
+        out = np.zeros(256, np.uint64)
+        np.bitwise_or.at(out, _symbols()[codes], np.uint64(1) << np.arange(len(codes), dtype=np.uint64))
+        return out
+
     def candidates(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Rows (text, item, start of the item in the text) in order, one for starts that are ``NEAR`` each other."""
         symbols, lens = _padded(codes), np.diff(begins)
@@ -240,7 +334,8 @@ class Tables:
         """Number of a text -> the verified items in it, each at its best place."""
         codes, begins = normal_codes(texts)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, i, place in self.candidates(codes, begins).tolist():
+        found = self.candidates(codes, begins)
+        for text, i, place in found[self.near_enough(codes, begins, found)].tolist():
             n = int(self.lengths[i])
             most = int(self.block.max_error * n)
             if best.get((text, i), (most + 1,))[0] == 0:
@@ -259,7 +354,7 @@ class Tables:
         return out
 
 
-def blocks_of(benchmark: DataFrame, max_error: float, design_error: float, target_recall: float, seed: int, item_id: str, item_text: str) -> Iterator[Block]:
+def blocks_of(benchmark: DataFrame, max_error: float, target_recall: float, seed: int, item_id: str, item_text: str) -> Iterator[Block]:
     """The benchmark in blocks of ``BLOCK_BYTES``; texts that are equal when normalised are one item."""
     held: dict[str, list] = {}
 
@@ -267,7 +362,7 @@ def blocks_of(benchmark: DataFrame, max_error: float, design_error: float, targe
         sizes: dict[tuple[int, int], list[str]] = {}
         for text in held:
             sizes.setdefault(window_of(len(text)), []).append(text)
-        return Block(list(held.items()), {k: repeats_for(v, *k, design_error, target_recall, seed) for k, v in sorted(sizes.items())}, max_error, seed)
+        return Block(list(held.items()), {k: repeats_for(v, *k, max_error, target_recall, seed) for k, v in sorted(sizes.items())}, max_error, seed)
 
     rows, size = benchmark.select(F.col(item_id).alias("k"), F.col(item_text).cast("string").alias("t")).filter("t is not null"), 0
     for row in rows.toLocalIterator():
@@ -281,14 +376,14 @@ def blocks_of(benchmark: DataFrame, max_error: float, design_error: float, targe
         yield block()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = 0.2, design_error: float = 0.1, target_recall: float = 0.95, seed: int = 11, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = 0.2, target_recall: float = 0.95, seed: int = 11, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` plus ``leaks``, an array of (item_id, distance, similarity, word).
 
     An item is in a document if some place of the normalised text (lower-case words, single
     blanks) is within an edit distance of ``max_error`` times the item's length, that is, a
     similarity of ``1 - max_error`` or more; ``word`` is the number of the word at or near which it
     starts. Each item is reported once a document, at its best place. All exact occurrences are
-    found, and ``target_recall`` of those in which ``design_error`` of the characters are edited; the
+    found, and ``target_recall`` of those in which ``max_error`` of the characters are edited, more of closer ones; the
     distance is exact. Null, empty and word-less texts and items match nothing; no row is
     lost; repeated rows are judged one by one, repeated items all reported; a column named
     ``leaks`` is replaced. The benchmark is the query set: it is broadcast in blocks of
@@ -317,7 +412,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = 0.2,
         return run
 
     first = True
-    for block in blocks_of(benchmark, max_error, design_error, target_recall, seed, item_id, item_text):
+    for block in blocks_of(benchmark, max_error, target_recall, seed, item_id, item_text):
         out = (out if first else stored(out, "leaks")).mapInArrow(scan(spark.sparkContext.broadcast(block)), schema)
         first = False
     return out

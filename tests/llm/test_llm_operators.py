@@ -340,11 +340,14 @@ def test_recall_of_edited_items(n_words):
     word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4)))
     items = [" ".join(word() for _ in range(n_words)) for _ in range(150)]
 
-    def letters(text):
-        out = list(text)
-        for i in rnd.sample(range(len(out)), len(out) // 10):
-            out[i] = rnd.choice("abcdefghijklmnopqrstuvwxyz")
-        return "".join(out)
+    def letters(share):
+        def edit(text):
+            out = list(text)
+            for i in rnd.sample([i for i, c in enumerate(out) if c != " "], int(share * len(out))):
+                out[i] = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+            return "".join(out)
+
+        return edit
 
     def words(text):
         out = text.split()
@@ -355,9 +358,9 @@ def test_recall_of_edited_items(n_words):
     sizes = {}
     for x in items:
         sizes.setdefault(decontaminate.window_of(len(x)), []).append(x)
-    repeats = {k: decontaminate.repeats_for(v, *k, 0.1, 0.95, 11) for k, v in sizes.items()}
+    repeats = {k: decontaminate.repeats_for(v, *k, 0.2, 0.95, 11) for k, v in sizes.items()}
     tables = decontaminate.Tables(decontaminate.Block([(x, [i]) for i, x in enumerate(items)], repeats, 0.2, 11))
-    for edit in (letters, words):
+    for edit in (letters(0.10), letters(0.15), letters(0.19), words):
         texts = [" ".join([*(word() for _ in range(50)), edit(x), *(word() for _ in range(50))]) for x in items]
         got = tables.leaks(texts)
         within = [i for i, x in enumerate(items) if decontaminate.edit_distance_within(x, decontaminate.normal_text(texts[i])) <= int(0.2 * len(x))]
@@ -365,6 +368,54 @@ def test_recall_of_edited_items(n_words):
         assert sum(any(y["item_id"] == i for y in got.get(i, [])) for i in within) >= 0.9 * len(within)
 
 
+def random_texts(rnd, n, words, letters="abcdefgh"):
+    return [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(words)) for _ in range(n)]
+
+
+def test_parts_lose_no_candidate():
+    rnd = random.Random(7)
+    items = [*random_texts(rnd, 20, 3), *random_texts(rnd, 20, 12), *random_texts(rnd, 10, 60)]
+    tables = decontaminate.Tables(decontaminate.Block([(x, [i]) for i, x in enumerate(items)], {}, 0.2, 11))
+    texts, places = [], []
+    for x in items:
+        head, edited = random_texts(rnd, 1, rnd.randint(1, 20))[0], decontaminate._edited(x, 0.2, rnd)
+        texts.append(f"{head} {edited} {random_texts(rnd, 1, 9)[0]}")
+        places.append((len(head) + 1) // decontaminate.NEAR)
+    codes, begins = decontaminate.normal_codes(texts)
+    found = np.array([(i, j, places[i]) for i in range(len(items)) for j in range(len(items))])
+    ok = {(i, j) for (i, j, _), good in zip(found.tolist(), tables.near_enough(codes, begins, found)) if good}
+    for i, x in enumerate(items):
+        if decontaminate.edit_distance_within(x, decontaminate.normal_text(texts[i])) <= int(0.2 * len(x)):
+            assert (i, i) in ok
+    assert sum(i != j for i, j in ok) < len(items) * len(items) // 4
+
+
+def test_pieces_where_walks_do_not_reach(monkeypatch):
+    rnd = random.Random(8)
+    items = sorted(set(random_texts(rnd, 60, 2, "abcdefghijklmnopqrstuvwxyz") + random_texts(rnd, 60, 4, "abcdefghijklmnopqrstuvwxyz")))
+    monkeypatch.setattr(decontaminate, "MOST_REPEATS", 1)
+    assert decontaminate.repeats_for(items[:20], 6, 1, 0.2, 1.01, 11) == 0
+    sizes = {decontaminate.window_of(len(x)): 0 for x in items}
+    tables = decontaminate.Tables(decontaminate.Block([(x, [i]) for i, x in enumerate(items)], sizes, 0.2, 11))
+    texts = [f"{random_texts(rnd, 1, 5)[0]} {decontaminate._edited(x, 0.2, rnd)} {random_texts(rnd, 1, 5)[0]}" for x in items]
+    got = tables.leaks(texts)
+    for i, x in enumerate(items):
+        within = decontaminate.edit_distance_within(x, decontaminate.normal_text(texts[i])) <= int(0.2 * len(x))
+        assert any(y["item_id"] == i for y in got.get(i, [])) == within
+
+
+def test_a_benchmark_of_several_blocks(spark, monkeypatch):
+    rnd = random.Random(9)
+    items = [(i, t) for i, t in enumerate(random_texts(rnd, 12, 20))]
+    rows = [(i, f"{random_texts(rnd, 1, 9)[0]} {t} {items[(i + 5) % 12][1]}") for i, t in items] + [(99, None)]
+    table, asked = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted((r.doc_id, sorted(x.item_id for x in r.leaks)) for r in decontaminate.find_leaks(table, asked).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    assert len(list(decontaminate.blocks_of(asked, 0.2, 0.95, 11, "item_id", "text"))) >= 3
+    assert sorted((r.doc_id, sorted(x.item_id for x in r.leaks)) for r in decontaminate.find_leaks(table, asked).collect()) == one
+    assert one == [(i, sorted([i, (i + 5) % 12])) for i in range(12)] + [(99, [])]
+
+
 # licences, URLs
 
 
