@@ -281,6 +281,13 @@ def span_overlap(chunks: DataFrame, gold: DataFrame, threshold: float, denominat
     return hit.withColumn("fraction", fraction).filter(F.col("fraction") >= threshold).select("r.gold_id", F.col(f"l.{id_col}").alias(id_col), "l.seq", "fraction")
 
 
+def offset_violations(chunks: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``chunks`` with ``violates``: their text is not what stands at their offsets in the document, or the document is not there."""
+    whole = docs.select(id_col, F.col(text_col).alias("_whole"))
+    there = F.expr("substring(_whole, char_start + 1, char_end - char_start)")
+    return chunks.join(whole, id_col, "left").withColumn("violates", ~F.coalesce(there == F.col("text"), F.lit(False))).drop("_whole")
+
+
 def chunk_stats(chunks: DataFrame, keys: list[str], size: Column) -> DataFrame:
     """Number, least, mean and most tokens, and the share of chunks over ``size``."""
     over = F.count_if(F.col("n_tokens") > size)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import fold
+from spanwright.session import materialised
 
 
 def regions(lines: DataFrame, marker: Column, reference: Column, *, id_col: str = "doc_id") -> DataFrame:
@@ -214,7 +215,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     asked = items.select("item_id", fold(F.col("text")).alias("item")).filter("item <> ''")
     words = asked.select("item_id", F.explode(F.array_distinct(F.split("item", " "))).alias("w"))
-    folded = docs.select("doc_id", fold(F.col("text")).alias("doc"))
+    folded = materialised(docs.select("doc_id", fold(F.col("text")).alias("doc")), "folded")  # read twice
     met = folded.select("doc_id", F.explode(F.array_distinct(F.split("doc", " "))).alias("w")).join(words.select("w").distinct(), "w", "left_semi")
     seen = met.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rarest = words.join(seen, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")).alias("x")).select("item_id", "x.w")

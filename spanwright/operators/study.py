@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.operators import stats
 from spanwright.operators.order import numbered_within, quantiles
-from spanwright.session import shared_dir
+from spanwright.session import materialised, shared_dir
 from spanwright.sources.tables import new_folder
 
 
@@ -281,3 +282,46 @@ def worklists(df: DataFrame, rater: Column, order: list[str], shared: Column) ->
     """``df`` with ``rater``, ``position`` (1, 2, ... along ``order`` in the rater's list) and ``shared``. ``order`` is unique within a rater."""
     marked = df.withColumns({"rater": rater, "shared": shared})
     return numbered_within(marked, ["rater"], order, "position")
+
+
+def primary_analysis(df: DataFrame, case: str, condition: str, dimension: str, value: str, first: str, second: str, primary: str) -> DataFrame:
+    """(dimension, n, mean, median, sd, t, dz, w_plus, w_minus, rank_biserial, p, method, p_holm): every dimension's paired analysis in one plan.
+
+    A case's ratings under a condition are averaged first; cases with both conditions are pairs. ``primary`` is reported as it is, ``p_holm`` adjusts
+    the p of all other dimensions as one family. Dimensions of fewer than five pairs, or of equal pairs only, have no report.
+    """
+    side = lambda c: F.avg(F.when(F.col(condition) == c, F.col(value)))
+    pairs = df.groupBy(F.col(dimension).alias("dimension"), case).agg((side(first) - side(second)).alias("d")).filter("d is not null")
+    pairs = materialised(pairs.select("dimension", "d"), "pairs")  # read by each of the three reports
+    report = paired_report(pairs, ["dimension"], "d")
+    signed = stats.signed_rank(pairs, "d", ["dimension"]).drop("n")
+    both = report.join(signed, "dimension")
+    holm = stats.holm(both.filter(F.col("dimension") != primary).select("dimension", "p", F.lit(0).alias("_family")), "p", "dimension", ["_family"])
+    return both.join(holm.select("dimension", "p_holm"), "dimension", "left")
+
+
+def inter_rater(df: DataFrame, item: str, rater: str, dimension: str, value: str, raters: tuple[str, str]) -> DataFrame:
+    """(dimension, n, icc): ICC(2,1) of two raters on the items that both rated, by dimension; null below two items or without any variance.
+
+    Only sums of pairs are gathered; several ratings of one rater are averaged.
+    """
+    one = lambda r: F.avg(F.when(F.col(rater) == r, F.col(value)))
+    w = df.groupBy(F.col(dimension).alias("dimension"), item).agg(one(raters[0]).alias("a"), one(raters[1]).alias("b")).dropna(subset=["a", "b"])
+    # around the first rater's mean, so that large values do not cancel
+    mid = w.groupBy("dimension").agg(F.avg("a").alias("_m"))
+    c = w.join(F.broadcast(mid), "dimension").select("dimension", (F.col("a") - F.col("_m")).alias("a"), (F.col("b") - F.col("_m")).alias("b"))
+    s = c.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("q"), F.sum((F.col("a") + F.col("b")) * (F.col("a") + F.col("b"))).alias("r"))
+    n = F.col("n")
+    grand = (F.col("sa") + F.col("sb")) * (F.col("sa") + F.col("sb")) / (2 * n)
+    rows, columns = F.col("r") / 2 - grand, (F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb")) / n - grand
+    msr, mse = rows / (n - 1), (F.col("q") - grand - rows - columns) / (n - 1)
+    icc = (msr - mse) / F.nullif(msr + mse + 2 * (columns - mse) / n, F.lit(0.0))
+    return s.select("dimension", "n", F.when(n >= 2, icc).alias("icc"))
+
+
+def assign_raters(df: DataFrame, strata: list[str], shared: Column, raters: list[str], order: Column, key: str, start: Column) -> DataFrame:
+    """``df`` with ``rater``: of each stratum the first ``shared`` in a seeded order go to ``both``, the others are dealt in turn from ``start``."""
+    placed = numbered_within(df.withColumn("_o", order), strata, ["_o", key], "_place")
+    turn = F.pmod(F.col("_place") - shared - 1 + start, F.lit(len(raters))) + 1
+    who = F.when(F.col("_place") <= shared, "both").otherwise(F.element_at(F.array(*map(F.lit, raters)), turn.cast("int")))
+    return placed.withColumn("rater", who).drop("_o", "_place")

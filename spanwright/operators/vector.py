@@ -75,14 +75,17 @@ def _scan(block, k: int, skip_self: bool):
             scores = q @ v.T
             if skip_self:
                 scores[qids[:, None] == ids[None, :]] = -np.inf
-            out = []
-            for qid, row in zip(qids, scores):
-                # an id may own several vectors: rank its best one, and keep k different ids
-                order = np.lexsort((ids, -row))
-                _, first = np.unique(ids[order], return_index=True)
-                at = order[np.sort(first)[:k]]
-                at = at[np.isfinite(row[at])]
-                out.append((np.full(len(at), qid), ids[at], row[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query_id", "id", "score"])
+            # an id may own several vectors: its best one counts
+            order = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order][:1] - 1))
+            scores, own = np.maximum.reduceat(scores[:, order], starts, axis=1), ids[order][starts]
+            n = min(k, len(own))
+            least = np.partition(scores, -n, axis=1)[:, -n]
+            of, at = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            order = np.lexsort((at, -scores[of, at], of))  # of equal scores the smaller id, as ids are in order
+            of, at = of[order], at[order]
+            kept = np.arange(len(of)) - np.searchsorted(of, of) < n
+            of, at = of[kept], at[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[of]), pa.array(own[at]), pa.array(scores[of, at])], names=["query_id", "id", "score"])
 
     return run

@@ -96,14 +96,14 @@ def a26_sample_labels(spark, sf):
 # folders
 
 
-@query("""SELECT l_returnflag || '-' || l_linestatus AS config_id, count(*) AS n FROM lineitem GROUP BY 1""")
+@query("""SELECT DISTINCT l_returnflag || '-' || l_linestatus AS config_id, true AS filled FROM lineitem""")
 def a12_discovery(spark, sf):
-    """Configurations found by the folders that hold them."""
+    """Configurations found by the folders that hold their files: a listing, no file is opened."""
     at = _written(spark, "configs")
     li = _t(spark, sf, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("config_id"), "l_orderkey")
     tables.write_partitioned(li, at, "config_id")
-    name = F.regexp_extract(F.col("_metadata.file_path"), "config_id=([^/]+)/", 1)
-    return spark.read.schema("l_orderkey long").option("recursiveFileLookup", True).parquet(at).groupBy(name.alias("config_id")).agg(F.count(F.lit(1)).alias("n"))
+    found = tables.discover(spark, at, "*.parquet").groupBy(F.regexp_extract("folder", "config_id=(.+)", 1).alias("config_id"))
+    return found.agg((F.sum("n_bytes") > 0).alias("filled"))
 
 
 @query(r"""SELECT conv_id, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY turn)) AS digest, sum(length(trim(text)))::BIGINT + 2 * (count(*) - 1) AS n_chars FROM conversations GROUP BY conv_id""")

@@ -161,15 +161,22 @@ def k6_wilcoxon_w(spark, sf):
 
 
 # the null distribution by n: a list of how many sign patterns give each rank sum; the error function by its series
-_WILCOXON = """WITH RECURSIVE dist AS (SELECT 0 AS n, [1::DOUBLE] AS c UNION ALL
+def _wilcoxon(differences: str, keys: str) -> str:
+    """CTEs that end in p (keys, n, method, p), from the CTEs ``differences`` with one named e (keys, d)."""
+    same = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    own = lambda t: ", ".join(f"{t}.{k.strip()}" for k in keys.split(","))
+    return f"""WITH RECURSIVE dist AS (SELECT 0 AS n, [1::DOUBLE] AS c UNION ALL
 SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda w: coalesce(c[w + 1], 0) + CASE WHEN w > n THEN coalesce(c[w - n], 0) ELSE 0 END) FROM dist WHERE n < 50),
-e AS (SELECT lang, coalesce(source, '') || '/' || doc_id % 3 AS part, (n_chars - 2000) % 500 AS d FROM documents WHERE n_chars IS NOT NULL),
-r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY lang, part, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY lang, part, abs(d)) AS t FROM e WHERE d <> 0 WINDOW w AS (PARTITION BY lang, part ORDER BY abs(d))),
-s AS (SELECT lang, part, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, sum(t * t - 1) AS ties FROM r GROUP BY ALL),
+{differences},
+r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {keys}, abs(d)) AS t FROM e WHERE d <> 0 WINDOW w AS (PARTITION BY {keys} ORDER BY abs(d))),
+s AS (SELECT {keys}, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, sum(t * t - 1) AS ties FROM r GROUP BY {keys}),
 x AS (SELECT s.*, abs(w - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) / sqrt(2::DOUBLE) AS x FROM s),
-p AS (SELECT x.lang, x.part, x.n, CASE WHEN x.ties = 0 AND x.n <= 50 THEN 'exact' ELSE 'normal' END AS method, CASE WHEN x.ties = 0 AND x.n <= 50 THEN least(1, 2 * list_sum(dist.c[1:(w + 1)::BIGINT]) / 2::DOUBLE ** x.n) WHEN x = 0 THEN 1 WHEN x > 6 THEN 0
-  ELSE greatest(0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda k: exp(-x * x + 2 * k * ln(2::DOUBLE) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2))))) END AS p FROM x LEFT JOIN dist ON dist.n = x.n)
-SELECT g.lang, g.part, coalesce(p.n, 0) AS n, coalesce(p.method, 'identical') AS method, round(coalesce(p.p, 1), 9) AS p FROM (SELECT DISTINCT lang, part FROM e) g LEFT JOIN p ON g.lang = p.lang AND g.part = p.part"""
+known AS (SELECT {own("x")}, x.n, CASE WHEN x.ties = 0 AND x.n <= 50 THEN 'exact' ELSE 'normal' END AS method, CASE WHEN x.ties = 0 AND x.n <= 50 THEN least(1, 2 * list_sum(dist.c[1:(w + 1)::BIGINT]) / 2::DOUBLE ** x.n) WHEN x = 0 THEN 1 WHEN x > 6 THEN 0
+  ELSE greatest(0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda k: exp(-x * x + 2 * k * ln(2::DOUBLE) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2))))) END AS p FROM x LEFT JOIN dist ON dist.n = x.n),
+p AS (SELECT {own("g")}, coalesce(known.n, 0) AS n, coalesce(known.method, 'identical') AS method, coalesce(known.p, 1) AS p FROM (SELECT DISTINCT {keys} FROM e) g LEFT JOIN known ON {same("g", "known")})"""
+
+
+_WILCOXON = _wilcoxon("e AS (SELECT lang, coalesce(source, '') || '/' || doc_id % 3 AS part, (n_chars - 2000) % 500 AS d FROM documents WHERE n_chars IS NOT NULL)", "lang, part") + " SELECT lang, part, n, method, round(p, 9) AS p FROM p"
 
 
 @query(_WILCOXON)
@@ -376,4 +383,35 @@ def stream_windows(spark, sf):
     return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+_DIMENSIONS = """e AS (SELECT dimension, d FROM (SELECT o_orderpriority AS dimension, o_custkey, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS d FROM orders GROUP BY ALL) WHERE d IS NOT NULL),
+report AS (SELECT dimension, count(*) AS n, avg(d) AS mean, quantile_cont(d, 0.5) AS median, avg(d) / stddev_samp(d) AS dz FROM e GROUP BY dimension HAVING count(*) >= 5 AND count(*) FILTER (WHERE d <> 0) > 0)"""
+
+
+@query(f"""{_wilcoxon(_DIMENSIONS, "dimension")}, f AS (SELECT report.*, p.p, p.method FROM report JOIN p USING (dimension)), m AS (SELECT dimension, p, row_number() OVER (ORDER BY p, dimension) AS i, count(*) OVER () AS n FROM f WHERE dimension <> '1-URGENT'),
+h AS (SELECT dimension, max(least(1, (n - i + 1) * p)) OVER (ORDER BY i) AS p_holm FROM m) SELECT dimension, n, round(mean, 4) AS mean, round(median, 4) AS median, round(dz, 6) AS dz, method, round(p, 9) AS p, round(p_holm, 9) AS p_holm FROM f LEFT JOIN h USING (dimension)""")
+def k14_primary_analysis(spark, sf):
+    """Every dimension's pairs with their tests; the first dimension is primary, the others one Holm family."""
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    a = study.primary_analysis(o, "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "F", "O", "1-URGENT")
+    r = lambda c, n: F.round(c, n).alias(c)
+    return a.select("dimension", "n", r("mean", 4), r("median", 4), r("dz", 6), "method", r("p", 9), r("p_holm", 9))
+
+
+@query("""WITH w AS (SELECT l_shipmode AS dimension, l_orderkey, avg(l_quantity) FILTER (WHERE l_linenumber % 2 = 0) AS a, avg(l_quantity) FILTER (WHERE l_linenumber % 2 = 1) AS b FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag AS l_shipmode FROM lineitem) GROUP BY ALL), c AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL),
+g AS (SELECT dimension, count(*) AS n, avg((a + b) / 2) AS g, avg(a) AS ma, avg(b) AS mb FROM c GROUP BY dimension), s AS (SELECT dimension, any_value(g.n) AS n, 2 * sum(((a + b) / 2 - g) ** 2) AS ssr, any_value(g.n) * any_value((ma - g) ** 2 + (mb - g) ** 2) AS ssc, sum((a - g) ** 2 + (b - g) ** 2) AS sst FROM c JOIN g USING (dimension) GROUP BY dimension),
+m AS (SELECT dimension, n, ssr / (n - 1) AS msr, ssc AS msc, (sst - ssr - ssc) / (n - 1) AS mse FROM s) SELECT dimension, n, round((msr - mse) / (msr + mse + 2 * (msc - mse) / n), 9) AS icc FROM m""")
+def k16_inter_rater(spark, sf):
+    """Agreement of two raters on the items that both rated, by dimension."""
+    li = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("dimension"), "l_quantity", F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd").alias("rater"))
+    return study.inter_rater(li, "l_orderkey", "rater", "dimension", "l_quantity", ("even", "odd")).select("dimension", "n", F.round("icc", 9).alias("icc"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY quality, toxic ORDER BY {_DRAW.format(seed='raters', key='doc_id')}, doc_id) AS k FROM labels)
+SELECT doc_id, CASE WHEN k <= 2 + toxic THEN 'both' WHEN (k - (2 + toxic) - 1 + quality) % 2 = 0 THEN 'p1' ELSE 'p2' END AS rater FROM s""")
+def l4_assign_raters(spark, sf):
+    """Shared cases drawn from each stratum, the others dealt to two raters from an offset of the stratum."""
+    labels = _t(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return study.assign_raters(labels, ["quality", "toxic"], F.lit(2) + F.col("toxic"), ["p1", "p2"], tx.draw_order("raters", F.col("doc_id")), "doc_id", F.col("quality")).select("doc_id", "rater")
+
+
 QUERIES, ORACLES = Q, O

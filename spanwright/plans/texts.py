@@ -73,12 +73,15 @@ def c3_config_sweep(spark, sf):
     return chunk.windows_of(grid, n).select("config_id", "strategy", "size", "overlap", "ctx", "windows")
 
 
-@query(f"WITH {_TOK}, c AS ({_fixed_sql(64, 16)}) SELECT count(*) AS n_chunks, 0 AS violations FROM c")
+@query(f"""WITH {_TOK}, c AS ({_fixed_sql(64, 16)}), tx AS (SELECT c.*, d.text AS whole, substring(d.text, char_start::INT + 1, (char_end - char_start)::INT) AS text FROM c JOIN documents d USING (doc_id)),
+moved AS (SELECT seq % 5 AS place, CASE WHEN seq % 5 = 0 THEN substring(whole, char_start::INT + 2, (char_end - char_start)::INT) ELSE substring(whole, char_start::INT + 1, (char_end - char_start)::INT) END AS there, text FROM tx)
+SELECT place, count(*) AS n_chunks, count(*) FILTER (WHERE there <> text) AS violations FROM moved GROUP BY place""")
 def f15_invariant_violations(spark, sf):
+    """Chunks whose text is not what stands at their offsets; every fifth offset is moved on by one, and is found unless the text reads the same there."""
     c = chunk.fixed_chunks(_docs(spark, sf), 64, 16)
-    d = _docs(spark, sf).select("doc_id", F.col("text").alias("whole"))
-    bad = F.expr("text <> substring(whole, char_start + 1, char_end - char_start)")
-    return c.join(d, "doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(bad).cast("int").alias("violations"))
+    moved = c.withColumns({"place": F.col("seq") % 5, "char_start": F.col("char_start") + (F.col("seq") % 5 == 0).cast("int"), "char_end": F.col("char_end") + (F.col("seq") % 5 == 0).cast("int")})
+    bad = chunk.offset_violations(moved, _docs(spark, sf))
+    return bad.groupBy("place").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if("violates").alias("violations"))
 
 
 _LINES = """l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),

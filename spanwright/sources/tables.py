@@ -13,6 +13,7 @@ SCHEMAS = {
     "gold_passages": "passage_id string, concept string, source_unit string, source_segment_id string, heading_path string, page_start int, page_end int, char_start int, char_end int, n_chars int, text string",
     "questions": "question_id string, question string, question_type string, difficulty string, passage_ids array<string>, reference_answer string",
     "retrieval": "index_id string, question_id string, rank int, chunk_id string, score double",
+    "chunks": "config_id string, chunk_id string, strategy string, text string, char_start int, char_end int, n_chars int, n_tokens int",
     "cells": "sheet string, row int, col int, value string",
 }
 
@@ -37,6 +38,22 @@ def read_nested(spark: SparkSession, path: str, field: str, element: str) -> Dat
     return doc.select(F.inline(field))
 
 
+def discover(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, stem, folder, n_bytes) of the files below ``path`` whose names match ``glob``: a listing, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.element_at(F.split("path", "/"), -2).alias("folder"), F.col("length").alias("n_bytes"))
+
+
+def by_id(records: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The records of ``ids`` (one column of that name), each once; an id without a record, and one with several, are an error when it is read."""
+    asked = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+    found = records.groupBy(key).agg(F.first(F.struct("*")).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    met = asked.join(found, F.col("_id") == F.col(key), "left")
+    wrong = F.when(F.col("_n").isNull(), F.concat(F.lit("no record of "), F.col("_id").cast("string"))).when(F.col("_n") > 1, F.concat(F.lit("several records of "), F.col("_id").cast("string")))
+    return met.select(F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+
+
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns that exist as doubles; what is no number becomes null."""
     return df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in columns if c in df.columns})

@@ -114,3 +114,15 @@ def test_union_csv(spark, tmp_path):
     assert all(not v for v in [open(p).read() for p in files(f"{tmp_path}/none") if "part-" in p and not p.endswith(".crc")])
     with pytest.raises(ValueError, match="too many"):
         tables.keys_in_order(df, "f", "n", most=2)
+
+
+def test_discovery_and_lookups(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c d", 4)], "k string, v int").write.partitionBy("k").parquet(f"file://{tmp_path}/t")
+    found = tables.discover(spark, f"file://{tmp_path}/t", "*.parquet").collect()
+    assert {r.folder.split("=")[1] for r in found} == {"a", "b", "c d"} and all(r.n_bytes > 0 and r.file.startswith(r.stem) for r in found)
+    records = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("c", 4)], "id string, v int")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "i string")
+    assert sorted(tuple(r) for r in tables.by_id(records, "id", ids("a", "b", "a")).collect()) == [("a", 1), ("b", 2)]
+    for bad, words in (("z", "no record of z"), ("c", "several records of c")):
+        with pytest.raises(Exception, match=words):
+            tables.by_id(records, "id", ids("a", bad)).collect()
