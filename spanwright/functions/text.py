@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -126,20 +127,28 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def _is_item(x: Column) -> Column:
+    return x.rlike(r"^(\d+[.)]|[a-zA-Z][.)]|[-•*–])\s*")
+
+
+def _put_together(lines: Column, between: Callable[[Column, Column], Column]) -> Column:
+    """Trimmed lines that are not blank in one text; what stands between two depends on both, so the work is linear."""
+    kept = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    # bound as an array's element: named in the inner lambda, the lines would be trimmed again for each of them
+    joined = F.transform(F.array(kept), lambda k: F.array_join(F.transform(k, lambda x, i: F.when(i == 0, x).otherwise(F.concat(between(F.get(k, i - 1), x), x))), ""))
+    return F.when(lines.isNotNull(), joined[0])
+
+
 def reflow(lines: Column) -> Column:
     """Soft-wrapped lines joined: a trailing hyphen glues, list items keep their line, else a blank."""
-    item = lambda x: x.rlike(r"^(\d+[.)]|[a-zA-Z][.)]|[-•*–])\s*")
-    step = lambda acc, x: F.when(acc == "", x).when(item(x), F.concat(acc, F.lit("\n"), x)).when(F.endswith(acc, F.lit("-")), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))
-    return F.aggregate(F.filter(F.transform(lines, F.trim), lambda x: x != ""), F.lit(""), step)
+    return _put_together(lines, lambda before, x: F.when(_is_item(x), "\n").when(F.endswith(before, F.lit("-")), "").otherwise(" "))
 
 
 def display_reflow(lines: Column) -> Column:
     """Lines glued for reading: only a line that starts in lower case or a digit, is no list item,
     and follows one that does not end a sentence, joins the line before it."""
-    item = lambda x: x.rlike(r"^(\d+[.)]|[a-zA-Z][.)]|[-•*–])\s*")
-    glue = lambda acc, x: ~item(x) & ~acc.rlike(r"[.;:?!]$") & x.rlike(r"^[\p{Ll}0-9]")
-    step = lambda acc, x: F.when(acc == "", x).when(glue(acc, x), F.concat(acc, F.lit(" "), x)).otherwise(F.concat(acc, F.lit("\n"), x))
-    return F.aggregate(F.filter(F.transform(lines, F.trim), lambda x: x != ""), F.lit(""), step)
+    glue = lambda before, x: ~_is_item(x) & ~before.rlike(r"[.;:?!]$") & x.rlike(r"^[\p{Ll}0-9]")
+    return _put_together(lines, lambda before, x: F.when(glue(before, x), " ").otherwise("\n"))
 
 
 def readable(c: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanwright.functions import text as tx
 from spanwright.operators import study
 from spanwright.plans.retrieval import _t
+from spanwright.plans.study import ORACLES as _STUDY_SQL
+from spanwright.plans.texts import _WRAPPED
 
 Q, O = {}, {}
 
@@ -36,7 +38,8 @@ def c1_flatten(spark, sf):
     return o.select("id", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("meta", "param") for f in o.schema[s].dataType.names])
 
 
-@query()
+@query(rf"""WITH {_WRAPPED} SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(shown, '') END AS shown FROM documents LEFT JOIN (
+SELECT doc_id, string_agg(CASE WHEN p IS NULL THEN x WHEN NOT item AND NOT regexp_matches(p, '[.;:?!]$') AND regexp_matches(x, '^[\p{{Ll}}0-9]') THEN ' ' || x ELSE chr(10) || x END, '' ORDER BY i) AS shown FROM j GROUP BY doc_id) USING (doc_id)""")
 def d9_display_reflow(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", tx.display_reflow(F.split("text", "\n")).alias("shown"))
 
@@ -172,9 +175,9 @@ def j12_shares(spark, sf):
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
 
 
-@query()
+@query(rf"""SELECT count(*) AS n, count(*) FILTER (WHERE part <> regexp_replace(part, '^\s+|\s+$', '', 'g')) AS untrimmed FROM (SELECT substr(text, char_start + 1, char_end - char_start) AS part FROM ({_STUDY_SQL['n1_gold_split']}) JOIN benchmark USING (item_id))""")
 def n2_gold_check(spark, sf):
-    """Cut spans whose text is not what stands at their offsets (none)."""
+    """Cut spans, and those whose text still has blanks at an end."""
     b = _t(spark, sf, "benchmark")
     s = study.anchored_spans(b, "item_id", "text", [". ", ", "]).join(b, "item_id")
     part = F.expr("substring(text, char_start + 1, char_end - char_start)")

@@ -284,7 +284,13 @@ def d22_citations(spark, sf):
     return c.select("conv_id", "turn", tx.citation_numbers(F.col("t")).alias("cited"))
 
 
-@query()
+_WRAPPED = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+k AS (SELECT doc_id, i, trim(t) AS x, regexp_matches(trim(t), '^(\d+[.)]|[a-zA-Z][.)]|[-•*–])\s*') AS item FROM l WHERE trim(t) <> ''),
+j AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM k)"""
+
+
+@query(rf"""WITH {_WRAPPED.replace("WHERE trim(t) <> ''", "WHERE trim(t) <> '' AND NOT regexp_full_match(trim(t), '[0-9]{1,3}')")}, o AS (SELECT doc_id, string_agg(CASE WHEN p IS NULL THEN x WHEN item THEN chr(10) || x WHEN suffix(p, '-') THEN x ELSE ' ' || x END, '' ORDER BY i) AS t FROM j GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS clean FROM documents LEFT JOIN o USING (doc_id)""")
 def d7_clean_blocks(spark, sf):
     """Blocks of a document: page numbers dropped, soft wraps undone, blanks collapsed."""
     lines = F.filter(F.split("text", "\n"), lambda x: ~F.trim(x).rlike(r"^\d{1,3}$"))
