@@ -98,9 +98,9 @@ def numbered_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
     df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
     dealt = spark.read.parquet(at)
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_rows_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + within).select(*df.columns, name)
+    return dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_rows_before") + within).select(*df.columns, name)
 
 
 def blind_codes(df: DataFrame, order: Column, key: str) -> DataFrame:

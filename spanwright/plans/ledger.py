@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
-from spanwright.operators import stats, study
+from spanwright.operators import reports, study
 from spanwright.plans.retrieval import _t
 from spanwright.session import shared_dir
 from spanwright.sources import tables
@@ -109,9 +108,8 @@ def a12_discovery(spark, sf):
 @query(r"""SELECT conv_id, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY turn)) AS digest, sum(length(trim(text)))::BIGINT + 2 * (count(*) - 1) AS n_chars FROM conversations GROUP BY conv_id""")
 def b3_canonical_text(spark, sf):
     """The parts of a unit in order, two line feeds between them: the text that all offsets refer to."""
-    part = _t(spark, sf, "conversations").select("conv_id", "turn", F.btrim("text").alias("text"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")
-    return part.groupBy("conv_id").agg(whole.alias("t")).select("conv_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n_chars"))
+    whole = reports.joined_in_order(_t(spark, sf, "conversations"), "conv_id", "turn", F.btrim("text"), "\n\n", "t")
+    return whole.select("conv_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n_chars"))
 
 
 @query("""SELECT role AS section_role, count(*) AS n, min(CASE WHEN role = 'user' THEN turn ELSE -1 END) AS first_start FROM conversations GROUP BY role""")
@@ -149,8 +147,7 @@ def b9_bom_export(spark, sf):
 @query("""SELECT event_type AS unit, row_number() OVER (ORDER BY min(event_id)) AS place, count(*) AS n_pages FROM events GROUP BY event_type""")
 def e1_units_in_order(spark, sf):
     """Units in the order in which they are first seen; one row a unit is ordered."""
-    u = _t(spark, sf, "events").groupBy(F.col("event_type").alias("unit")).agg(F.min("event_id").alias("first"), F.count(F.lit(1)).alias("n_pages"))
-    return u.select("unit", F.row_number().over(Window.orderBy("first")).alias("place"), "n_pages")
+    return reports.units_in_order(_t(spark, sf, "events").withColumnRenamed("event_type", "unit"), "unit", "event_id").select("unit", "place", F.col("n").alias("n_pages"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_no FROM documents), s AS (SELECT *, regexp_replace(line, '^[\s•*-]+', '') AS bare FROM l)
@@ -165,9 +162,8 @@ def e6_marker_hits(spark, sf):
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS place, content_type FROM (SELECT * FROM t UNION ALL SELECT * FROM f WHERE ord IS NOT NULL)""")
 def e9_figures(spark, sf):
     """A transcribed figure goes behind the last clinical segment of its unit."""
-    t = _t(spark, sf, "conversations").select("conv_id", F.col("turn").cast("double").alias("ord"), F.col("role").alias("content_type"))
-    f = t.filter("content_type = 'user'").groupBy("conv_id").agg((F.max("ord") + 0.5).alias("ord")).withColumn("content_type", F.lit("figure"))
-    return t.unionByName(f).select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("ord")).alias("place"), "content_type")
+    t = _t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("content_type"))
+    return reports.with_figures(t, t.select("conv_id"), "conv_id", "ord", "content_type", "user", "figure")
 
 
 # indexes
@@ -232,22 +228,18 @@ def c16_ordinals(spark, sf):
 @query("""WITH c AS (SELECT l_returnflag, l_orderkey, round(avg(l_discount * 20), 6) AS m FROM lineitem GROUP BY ALL) SELECT l_returnflag, count(*) AS n, avg((m < 1)::INT) AS fail_rate FROM c GROUP BY l_returnflag""")
 def j9_fail_rate(spark, sf):
     """Share of cases whose mean over raters is below 1: the case is the unit."""
-    c = _t(spark, sf, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.round(F.avg(F.col("l_discount") * 20), 6).alias("m"))
-    return c.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("m") < 1).cast("int")).alias("fail_rate"))
+    return reports.fail_rate(_t(spark, sf, "lineitem"), "l_returnflag", "l_orderkey", F.col("l_discount") * 20, 1)
 
 
 @query("""SELECT lang, count(*) AS expected, count(l.doc_id) AS scored, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang""")
 def j17_coverage(spark, sf):
-    scored = _t(spark, sf, "labels").select("doc_id", F.lit(1).alias("one")).distinct()
-    d = _t(spark, sf, "documents").select("doc_id", "lang").join(scored, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("expected"), F.count("one").alias("scored"))
-    return d.withColumn("missing", F.col("expected") - F.col("scored"))
+    return reports.coverage(_t(spark, sf, "documents").select("doc_id", "lang"), _t(spark, sf, "labels"), "doc_id", "lang")
 
 
 @query("""SELECT l_linenumber AS kind, round(avg(l_tax), 6) AS score, row_number() OVER (ORDER BY round(avg(l_tax), 6) DESC, l_linenumber) AS place FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_linenumber""")
 def j21_extract(spark, sf):
     """One index's means by type, best first; a row a type is ordered."""
-    m = _t(spark, sf, "lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_linenumber").alias("kind")).agg(F.round(F.avg("l_tax"), 6).alias("score"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "kind")))
+    return reports.means_in_order(_t(spark, sf, "lineitem").filter("l_returnflag = 'A'").withColumnRenamed("l_linenumber", "kind"), "kind", "l_tax")
 
 
 _RATER = """r AS (SELECT o_custkey % 12 AS rater, o_orderstatus AS condition, o_totalprice / 1000 AS v, o_orderpriority AS block FROM orders)"""
@@ -259,8 +251,8 @@ def _ratings(spark, sf):
 
 @query(f"""WITH {_RATER} SELECT rater, round(avg(v), 6) AS mean, round(avg(v) FILTER (WHERE condition = 'F') - avg(v) FILTER (WHERE condition = 'O'), 6) AS benefit FROM r GROUP BY rater""")
 def j22_rater_benefit(spark, sf):
-    m = lambda c: F.avg(F.when(F.col("condition") == c, F.col("v")))
-    return _ratings(spark, sf).groupBy("rater").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(m("F") - m("O"), 6).alias("benefit"))
+    r = reports.rater_benefit(_ratings(spark, sf), "rater", "condition", "v", "F", "O")
+    return r.select("rater", F.round("mean", 6).alias("mean"), F.round("benefit", 6).alias("benefit"))
 
 
 @query(f"""WITH {_RATER}, b AS (SELECT block, quantile_cont(v, 0.5) FILTER (WHERE condition = 'F') - quantile_cont(v, 0.5) FILTER (WHERE condition = 'O') AS gap FROM r GROUP BY block), base AS (SELECT quantile_cont(v, 0.5) FILTER (WHERE condition = 'F') - quantile_cont(v, 0.5) FILTER (WHERE condition = 'O') AS gap FROM r)
@@ -283,17 +275,15 @@ def k21_rederivation(spark, sf):
 k AS (SELECT rank() OVER (ORDER BY gap) + (count(*) OVER (PARTITION BY gap) - 1) / 2.0 AS a, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 AS b FROM (SELECT round(gap, 4) AS gap, round(confidence, 6) AS confidence FROM c WHERE gap IS NOT NULL AND confidence IS NOT NULL)) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM k""")
 def k22_confidence_gap(spark, sf):
     """Rank correlation over cases of two differences between conditions: rating and confidence."""
-    m = lambda c, v: F.avg(F.when(F.col("o_orderstatus") == c, v))
-    month, price = F.month("o_orderdate"), F.col("o_totalprice")
-    c = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.round(m("F", price) - m("O", price), 4).alias("gap"), F.round(m("F", month) - m("O", month), 6).alias("confidence")).dropna()
-    return stats.spearman(c, "gap", "confidence", []).select("n", F.round("rho", 6).alias("rho"))
+    r = reports.gap_correlation(_t(spark, sf, "orders"), "o_custkey", "o_orderstatus", F.col("o_totalprice"), F.month("o_orderdate"), "F", "O")
+    return r.select("n", F.round("rho", 6).alias("rho"))
 
 
 @query("""SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS likert, arg_min(value, event_id) FILTER (WHERE value BETWEEN 0 AND 10) AS first_0_10, count(*) FILTER (WHERE contains(event_type, 'ur')) AS section_rows FROM events GROUP BY user_id""")
 def k23_exit_form(spark, sf):
     """A questionnaire a rater: mean of the rated items, first answer from 0 to 10, rows of one section."""
-    first = F.min_by("value", F.when(F.col("value").between(0, 10), F.col("event_id")))
-    return _t(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6).alias("likert"), F.when(F.count_if(F.col("value").between(0, 10)) > 0, first).alias("first_0_10"), F.count_if(F.contains("event_type", F.lit("ur"))).alias("section_rows"))
+    r = reports.exit_form(_t(spark, sf, "events"), "user_id", "event_id", "value", F.col("event_type") == "click", 0, 10, F.contains("event_type", F.lit("ur")))
+    return r.select("user_id", F.round("likert", 6).alias("likert"), F.col("first_in_range").alias("first_0_10"), "section_rows")
 
 
 _HELD = f"""s AS (SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY quality ORDER BY {_DRAW.format(seed='study', key='doc_id')}, doc_id) AS k FROM labels)"""
@@ -309,22 +299,21 @@ def l6_freeze(spark, sf):
 @query(f"""WITH {_HELD} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format(seed='held', key='doc_id')}, doc_id) AS k FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE k <= 8 OR toxic = 1)) WHERE k <= 30""")
 def l9_held_out(spark, sf):
     """A draw that shares no case with the study's."""
-    left = _t(spark, sf, "labels").select("doc_id").join(l6_freeze(spark, sf).select("doc_id"), "doc_id", "left_anti")
-    return left.orderBy(tx.draw_order("held", F.col("doc_id")), "doc_id").limit(30)
+    return reports.held_out(_t(spark, sf, "labels").select("doc_id"), l6_freeze(spark, sf), "doc_id", tx.draw_order("held", F.col("doc_id")), 30)
 
 
 @query("""SELECT c_name, regexp_extract(c_name, '(\\d+)$', 1)::BIGINT AS number, (c_acctbal > 0)::INT AS positive FROM customer WHERE c_mktsegment = 'BUILDING'""".replace("\\\\", "\\"))
 def m2_numeric_suffix(spark, sf):
     """Records of one keyword in the order of the number their id ends with (T22)."""
-    c = _t(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_name", F.regexp_extract("c_name", r"(\d+)$", 1).cast("long").alias("number"), (F.col("c_acctbal") > 0).cast("int").alias("positive"))
-    return c.orderBy("number")
+    c = _t(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_name", (F.col("c_acctbal") > 0).cast("int").alias("positive"))
+    return reports.by_numeric_suffix(c, "c_name")
 
 
 @query("""SELECT verdict, count(*) AS n, verdict NOT IN ('accept', 'revise', 'reject') AS fatal FROM (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'accept' WHEN '2-HIGH' THEN 'revise' WHEN '3-MEDIUM' THEN 'reject' WHEN '5-LOW' THEN 'todo' ELSE 'unknown' END AS verdict FROM orders) GROUP BY verdict""")
 def n5_verdict_counts(spark, sf):
     """Verdicts of a worksheet; what is still to do or unknown is fatal."""
-    v = F.coalesce(tx.ordinal(F.col("o_orderpriority"), {"1-URGENT": "accept", "2-HIGH": "revise", "3-MEDIUM": "reject", "5-LOW": "todo"}), F.lit("unknown"))
-    return _t(spark, sf, "orders").groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n")).withColumn("fatal", ~F.col("verdict").isin("accept", "revise", "reject"))
+    verdict = tx.ordinal(F.col("o_orderpriority"), {"1-URGENT": "accept", "2-HIGH": "revise", "3-MEDIUM": "reject", "5-LOW": "todo"})
+    return reports.verdict_counts(_t(spark, sf, "orders"), verdict, ["accept", "revise", "reject"])
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, len(regexp_extract_all(text, '\S+')) AS n FROM conversations) SELECT conv_id, turn, unnest(list_filter([CASE WHEN n < 15 OR n > 35 THEN 'words outside of 15 to 35' END, CASE WHEN turn > 4 THEN 'long session' END, CASE WHEN (turn % 2 = 0) <> (n % 2 = 0) THEN 'cells disagree' END], lambda x: x IS NOT NULL)) AS problem FROM w""")
@@ -339,8 +328,8 @@ def n7_quality_lists(spark, sf):
 
 @query("""SELECT conv_id, left(string_agg(role || ': ' || text, chr(10) ORDER BY turn), 250) AS preview FROM conversations GROUP BY conv_id""")
 def o9_preview(spark, sf):
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
-    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.substring(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 1, 250).alias("preview"))
+    whole = reports.joined_in_order(_t(spark, sf, "conversations"), "conv_id", "turn", F.concat("role", F.lit(": "), "text"), "\n", "preview")
+    return whole.select("conv_id", F.substring("preview", 1, 250).alias("preview"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn * 5 NOT BETWEEN 1 AND 20 THEN 'k outside of 1 to 20' WHEN trim(CASE WHEN conv_id % 4 = 0 THEN '  ' ELSE text END) = '' THEN 'blank question' ELSE 'ok' END AS status FROM conversations""")
@@ -367,16 +356,17 @@ def t3_paired_lines(spark, sf):
 SELECT count(*) AS n, round(avg(a)::DOUBLE, 6) AS mean_a, round(avg(b)::DOUBLE, 6) AS mean_b, round(corr(x, y), 6) AS rho FROM k""")
 def t7_agreement(spark, sf):
     """Two scores joined on the id, without the rows of an exclusion list: means and rank correlation."""
-    j = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id").filter((F.col("doc_id") % 13 != 5) & F.col("n_chars").isNotNull())
-    j = j.select((F.col("n_chars") % 100 / 100).alias("a"), ((F.col("quality") + F.col("toxic")) / 2).alias("b"))
-    return stats.spearman(j, "a", "b", []).crossJoin(j.agg(F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg("b"), 6).alias("mean_b"))).select("n", "mean_a", "mean_b", F.round("rho", 6).alias("rho"))
+    j = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id").filter(F.col("doc_id") % 13 != 5)
+    return reports.agreement(j, F.col("n_chars") % 100 / 100, (F.col("quality") + F.col("toxic")) / 2)
 
 
 @query(f"""WITH {_RATER} SELECT rater, count(*) AS n, count(*) FILTER (WHERE block = '1-URGENT') AS influenced, list_sort(list(DISTINCT floor(v / 50)::BIGINT)) AS helpfulness, round(avg(v) FILTER (WHERE condition = 'F'), 4) AS words_with, round(avg(v) FILTER (WHERE condition = 'O'), 4) AS words_without FROM r GROUP BY rater""")
 def t8_process(spark, sf):
     """A rater's levels of helpfulness, counts of influence and words by condition."""
-    m = lambda c: F.round(F.avg(F.when(F.col("condition") == c, F.col("v"))), 4)
-    return _ratings(spark, sf).groupBy("rater").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("block") == "1-URGENT").alias("influenced"), F.sort_array(F.collect_set(F.floor(F.col("v") / 50).cast("long"))).alias("helpfulness"), m("F").alias("words_with"), m("O").alias("words_without"))
+    level = F.floor(F.col("v") / 50).cast("long")
+    r = reports.process(_ratings(spark, sf), "rater", "condition", "v", "F", "O", F.col("block") == "1-URGENT", level)
+    mean = lambda c, name: F.round(c, 4).alias(name)
+    return r.select("rater", "n", "influenced", F.col("levels").alias("helpfulness"), mean("mean_first", "words_with"), mean("mean_second", "words_without"))
 
 
 _LIST = """w AS (SELECT o_custkey % 12 AS rater, o_orderkey AS response, row_number() OVER (PARTITION BY o_custkey % 12 ORDER BY o_orderdate, o_orderkey) AS position FROM orders)"""
