@@ -173,6 +173,27 @@ def test_suffixes_are_sorted(length):
     assert same.tolist() == [i > 0 and got[i] == got[i - 1] for i in range(len(got))]
 
 
+def test_repeats_with_many_ranges_and_a_hot_beginning(spark, monkeypatch):
+    """Texts that all begin with one pad longer than a triple, under clashing names, sorted in ranges of a few suffixes."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 64)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_BYTES", 16)
+    rnd = random.Random(3)
+    pad = "=" * 60
+    texts = [(i, pad + "".join(rnd.choice(["alpha beta ", "gamma ", "é" * 9, pad]) for _ in range(8))) for i in range(25)]
+    table = spark.createDataFrame([(i, t, "own", i, b"x") for i, t in texts], "doc_id long, text string, owner string, number long, data binary")
+    for cuts in (suffix_dedup.CUTS, ()):
+        got = suffix_dedup.drop_repeats(table, length=30, cuts=cuts).collect()
+        assert {(r.owner, r.number, bytes(r.data)) for r in got} == {("own", i, b"x") for i in range(25)}
+        rows = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got]
+        assert sorted(rows, key=repr) == brute_repeats(texts, 30)
+
+
+def test_exchange_cleanup_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get(suffix_dedup.CLEANUP, None)
+    assert suffix_dedup.stored(spark.range(10).repartition(3), "kept").count() == 10
+    assert spark.conf.get(suffix_dedup.CLEANUP, None) == before
+
+
 def test_repeats_empty_table_and_short_length(spark):
     d = docs(spark, [(1, "abc")])
     assert suffix_dedup.drop_repeats(d.limit(0)).count() == 0
@@ -460,6 +481,13 @@ def test_urls(spark):
         url_filter.judge_urls(pages, (url_filter.filter_rule("*x*"),))
 
 
+def test_rules_of_equal_rank(spark):
+    own = lambda name, verdict: url_filter.Rule(name, verdict, ("ads",), 5, True, url="ads")
+    pages = spark.createDataFrame([(1, "http://x.org/ads/1"), (1, "http://x.org/ads/1")], "page_id long, url string")
+    got = url_filter.judge_urls(pages, (own("b", "allow"), own("a", "block"))).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("b", "allow")] * 2  # the larger name
+
+
 def test_filter_lines_and_their_tokens():
     rule = url_filter.filter_rule
     assert rule("||m.*.html|").tokens == ("m", "html") and rule("/pixel.gif^").tokens == ("pixel", "gif")
@@ -502,6 +530,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, path, schema="payload_bytes long").agg(F.sum("payload_bytes")).first()[0] == sum(len((h or "").encode()) for h in html) + len("<p>é</p>".encode()) + 5
 
 
+def test_warc_of_an_empty_table_and_clashing_names(spark, tmp_path):
+    pages = spark.createDataFrame([(2, "u", "<p>", "mine", 7), (1, "u", "<p>", "mine", 7)], "page_id long, url string, html string, record_type string, refers_to int")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.with_revisits(pages).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1)}
+    empty = f"file://{tmp_path}/none"
+    warc.write_pages(pages.limit(0), empty)
+    assert warc.read_warc(spark, empty, verify=True).count() == 0
+
+
 def test_warc_plain_gzip_and_minimum_size(spark, tmp_path):
     import gzip
 
