@@ -155,7 +155,7 @@ def k17_triangulation(spark, sf):
     s = d.groupBy("source", "lang").agg(F.avg("n_chars").alias("size"), F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"))
     both = s.select("lang", "size", F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("against", "v"))
     r = stats.spearman(both, "size", "v", ["against", "lang"])
-    return r.select("against", "lang", "n", F.when(~F.isnan("rho"), F.round("rho", 6)).alias("rho"))
+    return r.select("against", "lang", "n", F.round("rho", 6).alias("rho"))
 
 
 QUERIES, ORACLES = Q, O

@@ -166,6 +166,11 @@ def test_topk_unique_ids(spark):
     assert vector.topk_inner_product(v, q.limit(0), 5).count() == 0
 
 
+def test_rank_correlation_of_one_value(spark):
+    df = spark.createDataFrame([("a", i, 1) for i in range(5)] + [("b", i, -i) for i in range(5)] + [("c", 1, 1)], "g string, x int, y int")
+    assert {r.g: r.rho for r in stats.spearman(df, "x", "y", ["g"]).collect()} == {"a": None, "b": -1.0}
+
+
 def by_enumeration(d):
     d = [x for x in d if x]
     rank = {x: sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2 for x in d}
