@@ -72,3 +72,17 @@ def test_pipeline_survives_odd_rows(spark):
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "mixing"]
     assert edit_distance_within("abcd", "xxabxd") == 1
+
+
+def test_clean_documents_of_several_languages_stay(spark):
+    """Passages of three and of four languages in one document: none of them has half of it."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null and length(text) > 1500").orderBy("doc_id").collect()
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r.lang, r.text[:500])
+    langs = sorted(by_lang)
+    mixed = [(900_001, "\n".join(by_lang[x] for x in langs[:3])), (900_002, "\n".join(by_lang[x] for x in langs[:4])), (900_003, "123 456"), (900_004, None)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in mixed], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), SF).filter("doc_id > 900000").collect()}
+    assert len(langs) >= 4 and kept == {900_001, 900_002}
