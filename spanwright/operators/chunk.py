@@ -188,7 +188,10 @@ def recursive_chunks(docs: DataFrame, size: int, overlap: int, *, id_col: str =
             found = [[{"char_start": a, "char_end": b} for a, b in spans(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["id", "spans"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])))])
+    schema = T.StructType([
+        T.StructField("id", docs.schema[id_col].dataType),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])))
+    ])
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return made.select(F.col("id").alias(id_col), F.posexplode("spans").alias("seq", "x")).select(id_col, "seq", "x.char_start", "x.char_end")
 
@@ -233,7 +236,11 @@ def _placed(spans: DataFrame, name: str, id_col: str) -> DataFrame:
 def _asked(spans: DataFrame, name: str, id_col: str) -> DataFrame:
     """``spans`` under every bin of every width that they touch: a few each, as the widths grow by sixteen."""
     of = lambda b: F.expr(f"transform(sequence(shiftright({name}.char_start, {b}), shiftright(greatest({name}.char_start, {name}.char_end - 1), {b})), x -> struct({b} as bits, x as bin))")
-    return spans.select(F.col(f"{name}.{id_col}").alias("_doc"), name, F.explode(F.concat(*[of(b) for b in BIN_BITS])).alias("_b")).select("_doc", F.col("_b.bits").alias("_bits"), F.col("_b.bin").alias("_bin"), name)
+    return spans.select(
+        F.col(f"{name}.{id_col}").alias("_doc"),
+        name,
+        F.explode(F.concat(*[of(b) for b in BIN_BITS])).alias("_b")
+    ).select("_doc", F.col("_b.bits").alias("_bits"), F.col("_b.bin").alias("_bin"), name)
 
 
 def interval_join(left: DataFrame, right: DataFrame, *, id_col: str = "doc_id", how: str = "inner") -> DataFrame:

@@ -84,7 +84,13 @@ def two_metrics(df: DataFrame, screen: Column, judge: Column, surfaced: Column)
     """(n, judged_risky, in_union, surfaced, rate): the first metric on all rows, the second on rows that screen or judge calls risky."""
     union = F.coalesce(screen, F.lit(False)) | F.coalesce(judge, F.lit(False))
     n = F.count_if(union)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(judge).alias("judged_risky"), n.alias("in_union"), F.count_if(union & surfaced).alias("surfaced"), (F.count_if(union & surfaced) / F.nullif(n, F.lit(0))).alias("rate"))
+    return df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(judge).alias("judged_risky"),
+        n.alias("in_union"),
+        F.count_if(union & surfaced).alias("surfaced"),
+        (F.count_if(union & surfaced) / F.nullif(n, F.lit(0))).alias("rate")
+    )
 
 
 def sealed_key(df: DataFrame, order: Column, key: str, columns: list[str]) -> DataFrame:

@@ -107,4 +107,10 @@ def process(df: DataFrame, rater: str, condition: str, value: str, first: str, s
     ``level`` has few different values (a scale), so a rater's list of them is short.
     """
     m = lambda c: F.avg(F.when(F.col(condition) == c, F.col(value)))
-    return df.groupBy(rater).agg(F.count(F.lit(1)).alias("n"), F.count_if(influenced).alias("influenced"), F.sort_array(F.collect_set(level)).alias("levels"), m(first).alias("mean_first"), m(second).alias("mean_second"))
+    return df.groupBy(rater).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(influenced).alias("influenced"),
+        F.sort_array(F.collect_set(level)).alias("levels"),
+        m(first).alias("mean_first"),
+        m(second).alias("mean_second")
+    )

@@ -67,7 +67,14 @@ def _sketches(rarity, least: float):
             parts = np.bincount(rows * PARTS + ((h >> 40) & (PARTS - 1)), minlength=len(sizes) * PARTS)
             lists_of = lambda values, width: pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * width), pa.array(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), entries), lists_of(words, PARITIES // 64), lists_of(parts.astype(np.int32), PARTS)],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(sizes.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends), entries),
+                    lists_of(words, PARITIES // 64),
+                    lists_of(parts.astype(np.int32), PARTS)
+                ],
                 names=["id", "set", "n", "prefix", "parity", "parts"],
             )
 

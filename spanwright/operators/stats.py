@@ -132,7 +132,11 @@ def _resampled(df: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFr
 def bootstrap_ci(df: DataFrame, keys: list[str], *, n_boot: int = 10_000, seed: int = 20260628, alpha: float = 0.05) -> DataFrame:
     """(keys, ci_low, ci_high, n_boot): percentile interval of the mean of ``value`` (keys, item, value)."""
     m = _resampled(df, keys, n_boot, seed)
-    return m.groupBy(*keys).agg(F.round(F.percentile("m", F.lit(alpha / 2)), 9).alias("ci_low"), F.round(F.percentile("m", F.lit(1 - alpha / 2)), 9).alias("ci_high"), F.count(F.lit(1)).alias("n_boot"))
+    return m.groupBy(*keys).agg(
+        F.round(F.percentile("m", F.lit(alpha / 2)), 9).alias("ci_low"),
+        F.round(F.percentile("m", F.lit(1 - alpha / 2)), 9).alias("ci_high"),
+        F.count(F.lit(1)).alias("n_boot")
+    )
 
 
 def paired_bootstrap(df: DataFrame, keys: list[str], *, n_boot: int = 10_000, seed: int = 20260628) -> DataFrame:
@@ -161,7 +165,13 @@ def rank_sensitivity(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     r = df.withColumn("ra", F.row_number().over(Window.orderBy(F.desc(a), key))).withColumn("rb", F.row_number().over(Window.orderBy(F.desc(b), key)))
     n = F.count(F.lit(1))
     d2 = F.sum((F.col("ra") - F.col("rb")) * (F.col("ra") - F.col("rb")))
-    return r.agg(n.alias("n"), (1 - 6 * d2 / (n * (n * n - 1))).alias("rho"), F.max((F.col("ra") == 1) & (F.col("rb") == 1)).alias("winner_stable"), (F.count_if((F.col("ra") <= 3) & (F.col("rb") <= 3)) == 3).alias("top3_same"), F.round(F.avg(F.abs(F.col(a) - F.col(b))), 9).alias("mean_shift"))
+    return r.agg(
+        n.alias("n"),
+        (1 - 6 * d2 / (n * (n * n - 1))).alias("rho"),
+        F.max((F.col("ra") == 1) & (F.col("rb") == 1)).alias("winner_stable"),
+        (F.count_if((F.col("ra") <= 3) & (F.col("rb") <= 3)) == 3).alias("top3_same"),
+        F.round(F.avg(F.abs(F.col(a) - F.col(b))), 9).alias("mean_shift")
+    )
 
 
 def icc21(df: DataFrame, target: str, rater: str, value: str) -> DataFrame:

@@ -144,12 +144,29 @@ def mixed_model(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     are one row, and the profile likelihood of the variance ratio is evaluated as an
     aggregation over a grid of ratios, so the driver sees one row a ratio.
     """
-    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+    g = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(x).alias("sx"),
+        F.sum(y).alias("sy"),
+        F.sum(F.col(x) * F.col(x)).alias("sxx"),
+        F.sum(F.col(x) * F.col(y)).alias("sxy"),
+        F.sum(F.col(y) * F.col(y)).alias("syy")
+    )
     grid = [0.0, *np.geomspace(1e-4, 1e2, 121).tolist()]
     each = g.withColumn("t", F.explode(F.array(*map(F.lit, grid))))
     c = F.col("t") / (1 + F.col("n") * F.col("t"))
     s = lambda a, b, ab: F.sum(F.col(ab) - c * F.col(a) * F.col(b))
-    row = each.groupBy("t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), s("n", "n", "n").alias("a11"), s("n", "sx", "sx").alias("a12"), s("sx", "sx", "sxx").alias("a22"), s("n", "sy", "sy").alias("b1"), s("sx", "sy", "sxy").alias("b2"), s("sy", "sy", "syy").alias("yy"), F.sum(F.log(1 + F.col("n") * F.col("t"))).alias("logdet"))
+    row = each.groupBy("t").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("groups"),
+        s("n", "n", "n").alias("a11"),
+        s("n", "sx", "sx").alias("a12"),
+        s("sx", "sx", "sxx").alias("a22"),
+        s("n", "sy", "sy").alias("b1"),
+        s("sx", "sy", "sxy").alias("b2"),
+        s("sy", "sy", "syy").alias("yy"),
+        F.sum(F.log(1 + F.col("n") * F.col("t"))).alias("logdet")
+    )
     det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
     fit = row.withColumn("intercept", (F.col("a22") * F.col("b1") - F.col("a12") * F.col("b2")) / det).withColumn("slope", (F.col("a11") * F.col("b2") - F.col("a12") * F.col("b1")) / det)
     fit = fit.withColumn("sigma2", (F.col("yy") - F.col("intercept") * F.col("b1") - F.col("slope") * F.col("b2")) / F.col("n"))
@@ -191,7 +208,12 @@ def cell_answers(cells: DataFrame, headers: list[str]) -> DataFrame:
     ``cells`` holds sheet, row, col, value; sheets without a header have no row for it.
     """
     first = Window.partitionBy("sheet", "value").orderBy("row", "col")
-    heads = cells.filter(F.col("value").isin(*headers)).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("sheet", "row", (F.col("col") + 1).alias("col"), F.col("value").alias("header"))
+    heads = cells.filter(F.col("value").isin(*headers)).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select(
+        "sheet",
+        "row",
+        (F.col("col") + 1).alias("col"),
+        F.col("value").alias("header")
+    )
     return heads.join(cells.select("sheet", "row", "col", F.col("value").alias("answer")), ["sheet", "row", "col"], "left").select("sheet", "header", "answer")
 
 
@@ -238,7 +260,14 @@ def sealed_entries(df: DataFrame, key: str, sealed: str) -> DataFrame:
 def index_record(df: DataFrame, keys: list[str], id_col: str, vec_col: str) -> DataFrame:
     """What an index holds and whether it can be built: one dimension, and as many ids as vectors."""
     n, ids, dim = F.count(F.lit(1)), F.countDistinct(id_col), F.max(F.size(vec_col))
-    return df.groupBy(*keys).agg(n.alias("n_vectors"), ids.alias("n_ids"), dim.alias("dim"), (F.min(F.size(vec_col)) == dim).alias("one_dim"), (n == ids).alias("unique_ids"), (n * dim * 4).alias("flat_bytes"))
+    return df.groupBy(*keys).agg(
+        n.alias("n_vectors"),
+        ids.alias("n_ids"),
+        dim.alias("dim"),
+        (F.min(F.size(vec_col)) == dim).alias("one_dim"),
+        (n == ids).alias("unique_ids"),
+        (n * dim * 4).alias("flat_bytes")
+    )
 
 
 def restricted(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -265,7 +294,12 @@ def freeze(df: DataFrame, strata: list[str], n: int, risk: Column, order: Column
     placed = numbered_within(df.withColumn("_o", order), strata, ["_o", key], "_k").withColumn("_risk", risk)
     odd = F.col("_k") % 2 == 1
     kept = placed.filter((F.col("_k") <= n) | F.col("_risk"))
-    return kept.select(*df.columns, (F.col("_risk") & (F.col("_k") > n)).alias("by_risk"), F.when(odd, "r1").otherwise("r2").alias("rater"), F.when(odd, "with-without").otherwise("without-with").alias("crossover"))
+    return kept.select(
+        *df.columns,
+        (F.col("_risk") & (F.col("_k") > n)).alias("by_risk"),
+        F.when(odd, "r1").otherwise("r2").alias("rater"),
+        F.when(odd, "with-without").otherwise("without-with").alias("crossover")
+    )
 
 
 def against_winner(df: DataFrame, system: str, item: str, value: str) -> DataFrame:
@@ -310,7 +344,13 @@ def inter_rater(df: DataFrame, item: str, rater: str, dimension: str, value: str
     # around the first rater's mean, so that large values do not cancel
     mid = w.groupBy("dimension").agg(F.avg("a").alias("_m"))
     c = w.join(F.broadcast(mid), "dimension").select("dimension", (F.col("a") - F.col("_m")).alias("a"), (F.col("b") - F.col("_m")).alias("b"))
-    s = c.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("q"), F.sum((F.col("a") + F.col("b")) * (F.col("a") + F.col("b"))).alias("r"))
+    s = c.groupBy("dimension").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("a").alias("sa"),
+        F.sum("b").alias("sb"),
+        F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("q"),
+        F.sum((F.col("a") + F.col("b")) * (F.col("a") + F.col("b"))).alias("r")
+    )
     n = F.col("n")
     grand = (F.col("sa") + F.col("sb")) * (F.col("sa") + F.col("sb")) / (2 * n)
     rows, columns = F.col("r") / 2 - grand, (F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb")) / n - grand

@@ -34,7 +34,11 @@ def a2_reading_order(spark, sf):
 @query("""SELECT o_orderkey AS id, o_orderstatus AS meta_status, o_orderpriority AS meta_priority, o_custkey AS param_customer FROM orders""")
 def c1_flatten(spark, sf):
     """Nested metadata and parameters as prefixed columns."""
-    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("meta"), F.struct(F.col("o_custkey").alias("customer")).alias("param"))
+    o = _t(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("meta"),
+        F.struct(F.col("o_custkey").alias("customer")).alias("param")
+    )
     return o.select("id", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("meta", "param") for f in o.schema[s].dataType.names])
 
 
@@ -88,7 +92,12 @@ def d23_section(spark, sf):
 @query("""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, 'th')) AS with_th, sum(len(regexp_extract_all(text, 'the')))::BIGINT AS n_the, count(*) FILTER (WHERE NOT regexp_matches(text, '[.]$')) AS open_end FROM conversations GROUP BY role""")
 def d24_audit(spark, sf):
     c = _t(spark, sf, "conversations")
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike("th")).alias("with_th"), F.sum(F.regexp_count("text", F.lit("the"))).alias("n_the"), F.count_if(~F.col("text").rlike("[.]$")).alias("open_end"))
+    return c.groupBy("role").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("text").rlike("th")).alias("with_th"),
+        F.sum(F.regexp_count("text", F.lit("the"))).alias("n_the"),
+        F.count_if(~F.col("text").rlike("[.]$")).alias("open_end")
+    )
 
 
 @query("""WITH c AS (SELECT conv_id, turn, turn + 1 AS n FROM conversations UNION SELECT conv_id, turn, 1 FROM conversations), x AS (SELECT conv_id, list(role ORDER BY turn) AS ctx FROM conversations GROUP BY conv_id)
@@ -138,7 +147,15 @@ def k24_scope(spark, sf):
 @query("""SELECT conv_id, turn, CASE WHEN risky THEN '[!] ' ELSE '' END || left(text, 60) || CASE WHEN length(text) > 60 THEN ' (truncated)' ELSE '' END AS answer FROM (SELECT *, turn % 3 = 0 AS risky FROM conversations WHERE role = 'assistant')""")
 def o6_answer(spark, sf):
     a = _t(spark, sf, "conversations").filter("role = 'assistant'")
-    return a.select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, "[!] ").otherwise(""), F.substring("text", 1, 60), F.when(F.length("text") > 60, " (truncated)").otherwise("")).alias("answer"))
+    return a.select(
+        "conv_id",
+        "turn",
+        F.concat(
+            F.when(F.col("turn") % 3 == 0, "[!] ").otherwise(""),
+            F.substring("text", 1, 60),
+            F.when(F.length("text") > 60, " (truncated)").otherwise("")
+        ).alias("answer")
+    )
 
 
 @query("""SELECT event_id, CASE WHEN k = 0 THEN NULL ELSE round_even((k // 2) / k::DOUBLE, 3) END AS faithfulness FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")

@@ -29,7 +29,10 @@ def query(sql: str | None = None):
 
 def _models(spark):
     rows = [(f"{c}__{m}__mv", c, m, dim, read, "ip", m == "wide", False, True) for c, _, _ in _CONFIGS for m, dim, read in _MODELS]
-    return spark.createDataFrame(rows, "index_id string, chunk_config_id string, model string, dim int, max_seq_len int, metric string, normalized boolean, context_enriched boolean, multi_vector boolean")
+    return spark.createDataFrame(
+        rows,
+        "index_id string, chunk_config_id string, model string, dim int, max_seq_len int, metric string, normalized boolean, context_enriched boolean, multi_vector boolean"
+    )
 
 
 def _grid(spark, sf):

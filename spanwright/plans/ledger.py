@@ -39,9 +39,21 @@ def _part_cells(spark, sf):
     p = _t(spark, sf, "part")
     flip = F.col("p_size") % 2
     cell = lambda col, value: F.struct(col.cast("int").alias("col"), value.cast("string").alias("value"))
-    body = p.select((F.concat("p_brand", F.lit("/"), flip)).alias("sheet"), (F.col("p_partkey") + 1).alias("row"), F.explode(F.array(cell(1 + flip, F.col("p_partkey")), cell(2 - flip, F.col("p_type")), cell(F.lit(3), F.col("p_size")))).alias("c"))
+    body = p.select(
+        (F.concat("p_brand", F.lit("/"), flip)).alias("sheet"),
+        (F.col("p_partkey") + 1).alias("row"),
+        F.explode(F.array(cell(1 + flip, F.col("p_partkey")), cell(2 - flip, F.col("p_type")), cell(F.lit(3), F.col("p_size")))).alias("c")
+    )
     names = p.select(F.concat("p_brand", F.lit("/"), flip).alias("sheet"), flip.alias("flip")).distinct()
-    head = names.select("sheet", F.lit(0).cast("long").alias("row"), F.explode(F.array(cell(1 + F.col("flip"), F.lit("Item no.")), cell(2 - F.col("flip"), F.lit("Kind of item")), cell(F.lit(3), F.lit("Size (cm)")))).alias("c"))
+    head = names.select(
+        "sheet",
+        F.lit(0).cast("long").alias("row"),
+        F.explode(F.array(
+            cell(1 + F.col("flip"), F.lit("Item no.")),
+            cell(2 - F.col("flip"), F.lit("Kind of item")),
+            cell(F.lit(3), F.lit("Size (cm)"))
+        )).alias("c")
+    )
     return head.unionByName(body).select("sheet", "row", "c.col", "c.value")
 
 
@@ -76,7 +88,12 @@ def a20_detail_parse(spark, sf):
     """Heading, number of paragraphs and the different link texts in order of a page."""
     all_ = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
     names = F.array_join(F.array_distinct(all_('<a[^>]* href="[^"]*"[^>]*>([^<]*)</a>')), "; ")
-    return _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("question"), F.size(all_("(?s)<p[^>]*>(.*?)</p>")).alias("n_answers"), F.nullif(names, F.lit("")).alias("authors"))
+    return _t(spark, sf, "pages").select(
+        "page_id",
+        F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("question"),
+        F.size(all_("(?s)<p[^>]*>(.*?)</p>")).alias("n_answers"),
+        F.nullif(names, F.lit("")).alias("authors")
+    )
 
 
 @query("""SELECT event_id, 'k' AS needle, json_extract_string(props, '$.k') AS replacement FROM events""")
@@ -128,7 +145,11 @@ def b6_index_save_load(spark, sf):
     at = _written(spark, "index")
     v = _t(spark, sf, "embeddings")
     tables.write_partitioned(v.select("vec_id", "embedding", F.col("label").alias("index_id")), at, "index_id")
-    return spark.read.schema(f"vec_id long, embedding {v.schema['embedding'].dataType.simpleString()}, index_id {v.schema['label'].dataType.simpleString()}").parquet(at).select("vec_id", F.col("index_id").alias("label"), F.size("embedding").alias("dim"))
+    return spark.read.schema(f"vec_id long, embedding {v.schema['embedding'].dataType.simpleString()}, index_id {v.schema['label'].dataType.simpleString()}").parquet(at).select(
+        "vec_id",
+        F.col("index_id").alias("label"),
+        F.size("embedding").alias("dim")
+    )
 
 
 @query("""SELECT o_orderkey::VARCHAR AS id, c_mktsegment AS stratum, n_name AS unit FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
@@ -210,9 +231,20 @@ SELECT lang, sum(words)::BIGINT AS word_tokens, sum(fours)::BIGINT AS four_token
 def f20_tokenizers(spark, sf):
     """Corpus tokens, characters a token and chunks of 256 tokens under two tokenizers."""
     text = F.coalesce("text", F.lit(""))
-    t = _t(spark, sf, "documents").select("lang", F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")).alias("words"), F.ceil(F.length(text) / 4).alias("fours"))
+    t = _t(spark, sf, "documents").select(
+        "lang",
+        F.length(text).alias("chars"),
+        F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")).alias("words"),
+        F.ceil(F.length(text) / 4).alias("fours")
+    )
     chunks = lambda c: F.sum(F.ceil(F.col(c) / 256)).cast("long")
-    return t.groupBy("lang").agg(F.sum("words").alias("word_tokens"), F.sum("fours").cast("long").alias("four_tokens"), F.round(F.sum("chars") / F.sum("words"), 3).alias("chars_per_word_token"), chunks("words").alias("word_chunks"), chunks("fours").alias("four_chunks"))
+    return t.groupBy("lang").agg(
+        F.sum("words").alias("word_tokens"),
+        F.sum("fours").cast("long").alias("four_tokens"),
+        F.round(F.sum("chars") / F.sum("words"), 3).alias("chars_per_word_token"),
+        chunks("words").alias("word_chunks"),
+        chunks("fours").alias("four_chunks")
+    )
 
 
 # study tables
@@ -222,7 +254,11 @@ def f20_tokenizers(spark, sf):
 def c16_ordinals(spark, sf):
     """Categories to numbers by a dictionary, null where it has none; verdict words to true or false (C17)."""
     o = _t(spark, sf, "orders")
-    return o.select("o_orderkey", tx.ordinal(F.col("o_orderpriority"), {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3}).alias("influence"), tx.verdict_is(F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")), ["f", "true", "1", "1.0", "yes"]).alias("verdict"))
+    return o.select(
+        "o_orderkey",
+        tx.ordinal(F.col("o_orderpriority"), {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3}).alias("influence"),
+        tx.verdict_is(F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")), ["f", "true", "1", "1.0", "yes"]).alias("verdict")
+    )
 
 
 @query("""WITH c AS (SELECT l_returnflag, l_orderkey, round(avg(l_discount * 20), 6) AS m FROM lineitem GROUP BY ALL) SELECT l_returnflag, count(*) AS n, avg((m < 1)::INT) AS fail_rate FROM c GROUP BY l_returnflag""")
@@ -246,7 +282,13 @@ _RATER = """r AS (SELECT o_custkey % 12 AS rater, o_orderstatus AS condition, o_
 
 
 def _ratings(spark, sf):
-    return _t(spark, sf, "orders").select((F.col("o_custkey") % 12).alias("rater"), F.col("o_orderstatus").alias("condition"), (F.col("o_totalprice") / 1000).alias("v"), F.col("o_orderpriority").alias("block"), "o_custkey")
+    return _t(spark, sf, "orders").select(
+        (F.col("o_custkey") % 12).alias("rater"),
+        F.col("o_orderstatus").alias("condition"),
+        (F.col("o_totalprice") / 1000).alias("v"),
+        F.col("o_orderpriority").alias("block"),
+        "o_custkey"
+    )
 
 
 @query(f"""WITH {_RATER} SELECT rater, round(avg(v), 6) AS mean, round(avg(v) FILTER (WHERE condition = 'F') - avg(v) FILTER (WHERE condition = 'O'), 6) AS benefit FROM r GROUP BY rater""")
@@ -267,7 +309,11 @@ SELECT d.block, CASE WHEN w.block IS NULL THEN 'not recorded' WHEN abs(w.mean -
 def k21_rederivation(spark, sf):
     """Recorded results against the ones derived anew: a list of problems."""
     d = _ratings(spark, sf).groupBy("block").agg(F.round(F.avg("v"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
-    recorded = d.filter("block <> '2-HIGH'").select("block", (F.col("mean") + F.when(F.col("block") == "1-URGENT", 1).otherwise(0)).alias("mean"), (F.col("n") + F.when(F.col("block") == "5-LOW", 1).otherwise(0)).alias("n"))
+    recorded = d.filter("block <> '2-HIGH'").select(
+        "block",
+        (F.col("mean") + F.when(F.col("block") == "1-URGENT", 1).otherwise(0)).alias("mean"),
+        (F.col("n") + F.when(F.col("block") == "5-LOW", 1).otherwise(0)).alias("n")
+    )
     return study.rederived(recorded, d, "block", ["mean", "n"])
 
 
@@ -384,14 +430,30 @@ def t14_packets(spark, sf):
     """One packet a case of the first population: its contexts in order, full and light ones counted."""
     o = _t(spark, sf, "orders").join(_t(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     body = F.md5(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ","))
-    return o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count(F.lit(1)).alias("n_contexts"), F.count_if(F.col("o_totalprice") > 200000).alias("n_full"), F.count_if(F.col("o_totalprice") <= 200000).alias("n_light"), body.alias("packet"))
+    return o.groupBy(F.col("o_custkey").alias("case_id")).agg(
+        F.count(F.lit(1)).alias("n_contexts"),
+        F.count_if(F.col("o_totalprice") > 200000).alias("n_full"),
+        F.count_if(F.col("o_totalprice") <= 200000).alias("n_light"),
+        body.alias("packet")
+    )
 
 
 @query("""SELECT conv_id, '## ' || conv_id || ' (p. ' || CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END || ', viewer ' || CASE WHEN a = b THEN (a + 12)::VARCHAR ELSE (a + 12) || '–' || (b + 12) END || ')' AS header FROM (SELECT conv_id, min(turn) AS a, max(turn) // 2 AS b FROM conversations GROUP BY conv_id)""")
 def t16_passage_header(spark, sf):
     """Printed and viewer page ranges; a range of one page is one number."""
     p = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("a"), F.floor(F.max("turn") / 2).alias("b"))
-    return p.select("conv_id", F.concat(F.lit("## "), "conv_id", F.lit(" (p. "), tx.page_range(F.col("a"), F.col("b")), F.lit(", viewer "), tx.page_range(F.col("a") + 12, F.col("b") + 12), F.lit(")")).alias("header"))
+    return p.select(
+        "conv_id",
+        F.concat(
+            F.lit("## "),
+            "conv_id",
+            F.lit(" (p. "),
+            tx.page_range(F.col("a"), F.col("b")),
+            F.lit(", viewer "),
+            tx.page_range(F.col("a") + 12, F.col("b") + 12),
+            F.lit(")")
+        ).alias("header")
+    )
 
 
 QUERIES, ORACLES = Q, O

@@ -93,7 +93,10 @@ def b8_union_csv(spark, sf):
     """Rows of different keys written under the union of their keys and read back."""
     e = _t(spark, sf, "events")
     always = F.create_map(F.lit("event_id"), F.col("event_id").cast("string"))
-    other = F.when(F.col("event_type") == "click", F.create_map(F.lit("click_value"), F.col("value").cast("decimal(18,2)").cast("string"))).otherwise(F.create_map(F.lit("user_id"), F.col("user_id").cast("string")))
+    other = F.when(
+        F.col("event_type") == "click",
+        F.create_map(F.lit("click_value"), F.col("value").cast("decimal(18,2)").cast("string"))
+    ).otherwise(F.create_map(F.lit("user_id"), F.col("user_id").cast("string")))
     at = _folder(spark, "union")
     header = tables.write_union_csv(e.select("event_id", F.map_concat(always, other).alias("fields")), "fields", "event_id", at)
     back = tables.read_csv(spark, at, ", ".join(f"`{c}` string" for c in header))
@@ -107,8 +110,21 @@ def o10_resumed_generation(spark, sf):
     turns = _t(spark, sf, "conversations").filter("role = 'user' AND text IS NOT NULL")
     key = F.concat_ws("/", "conv_id", "turn")
     none = F.lit(None)
-    asked = turns.select("conv_id", key.alias("question_id"), F.lit(1).cast("long").alias("nth"), F.col("text").alias("question"), (F.size(tx.matched_keywords(F.col("text"), ["the", "und"])) > 0).alias("risky"), none.cast("boolean").alias("pin"))
-    pins = turns.filter("conv_id % 5 = 0").select(key.alias("question_id"), F.lit(0).cast("long").alias("nth"), none.cast("string").alias("question"), none.cast("boolean").alias("risky"), (F.col("turn") % 4 == 0).alias("pin"))
+    asked = turns.select(
+        "conv_id",
+        key.alias("question_id"),
+        F.lit(1).cast("long").alias("nth"),
+        F.col("text").alias("question"),
+        (F.size(tx.matched_keywords(F.col("text"), ["the", "und"])) > 0).alias("risky"),
+        none.cast("boolean").alias("pin")
+    )
+    pins = turns.filter("conv_id % 5 = 0").select(
+        key.alias("question_id"),
+        F.lit(0).cast("long").alias("nth"),
+        none.cast("string").alias("question"),
+        none.cast("boolean").alias("risky"),
+        (F.col("turn") % 4 == 0).alias("pin")
+    )
     inbox, at = _folder(spark, "questions"), _folder(spark, "answers")
     answered = lambda d: d.select("question_id", "risky", "pinned", F.md5(F.concat(F.when(F.col("risky"), "[!] ").otherwise(""), "question")).alias("answer"))
     pins.write.parquet(inbox)

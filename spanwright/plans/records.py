@@ -37,7 +37,11 @@ def _segments(spark, sf):
     lines = chunk.line_segments(_t(spark, sf, "documents").select("doc_id", "text")).join(_t(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
     kind = F.when(F.length("text") < 60, "short").otherwise("long")
     return lines.select(
-        F.concat_ws("-", "doc_id", "line_no").alias("segment_id"), F.col("source").alias("source_unit"), F.concat_ws(" > ", "source", "lang").alias("heading_path"), F.col("line_no").alias("page_start"), F.col("line_no").alias("page_end"),
+        F.concat_ws(
+            "-",
+            "doc_id",
+            "line_no"
+        ).alias("segment_id"), F.col("source").alias("source_unit"), F.concat_ws(" > ", "source", "lang").alias("heading_path"), F.col("line_no").alias("page_start"), F.col("line_no").alias("page_end"),
         kind.alias("content_type"), F.lit("clinical").alias("section_role"), (F.length("text") < 60).alias("atomic"), "lang", "char_start", "char_end", F.length("text").alias("n_chars"), "text",
     )
 
@@ -65,7 +69,15 @@ def a5_segments_by_id(spark, sf):
 def a6_questions(spark, sf):
     """Questions with lists of passages, from the file; a row for each passage."""
     b = _t(spark, sf, "benchmark")
-    q = b.select(F.concat(F.lit("q"), "item_id").alias("question_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 0, "easy").when(F.col("item_id") % 3 == 1, "medium").otherwise("hard").alias("difficulty"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("item_id") % 3), lambda i: F.concat(F.lit("p"), (F.col("item_id") + i).cast("string"))).alias("passage_ids"))
+    q = b.select(
+        F.concat(F.lit("q"), "item_id").alias("question_id"),
+        F.col("text").alias("question"),
+        F.when(F.col("item_id") % 3 == 0, "easy").when(F.col("item_id") % 3 == 1, "medium").otherwise("hard").alias("difficulty"),
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("item_id") % 3),
+            lambda i: F.concat(F.lit("p"), (F.col("item_id") + i).cast("string"))
+        ).alias("passage_ids")
+    )
     back = tables.read_jsonl(spark, _written(spark, q, "questions"), "questions")
     return back.select("question_id", "difficulty", F.md5("question").alias("digest"), F.explode("passage_ids").alias("passage_id"))
 

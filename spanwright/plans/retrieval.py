@@ -154,7 +154,12 @@ m AS (SELECT index_id, round(avg(v), 9) AS score, count(*) AS n FROM l GROUP BY
 
 
 def k1_bootstrap_ci(spark, sf):
-    return stats.bootstrap_ci(_scores(spark, sf).select(F.col("qlabel").alias("index_id"), F.col("query_id").alias("item"), F.col("ndcg_at_5").alias("value")), ["index_id"], n_boot=10_000, seed=20260628)
+    return stats.bootstrap_ci(
+        _scores(spark, sf).select(F.col("qlabel").alias("index_id"), F.col("query_id").alias("item"), F.col("ndcg_at_5").alias("value")),
+        ["index_id"],
+        n_boot=10_000,
+        seed=20260628
+    )
 
 
 _BOOT = """n AS (SELECT index_id, count(*) AS n FROM v GROUP BY index_id), i AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY item) - 1 AS j FROM v),
@@ -200,5 +205,37 @@ K19 = f"""WITH {_SCORED}, m AS (SELECT qlabel, round(avg(ndcg_at_5), 9) AS a, ro
 r AS (SELECT *, row_number() OVER (ORDER BY a DESC, qlabel) AS ra, row_number() OVER (ORDER BY b DESC, qlabel) AS rb FROM m)
 SELECT count(*) AS n, 1 - 6 * sum((ra - rb) * (ra - rb))::DOUBLE / (count(*) * (count(*) * count(*) - 1)) AS rho, bool_or(ra = 1 AND rb = 1) AS winner_stable, count(*) FILTER (WHERE ra <= 3 AND rb <= 3) = 3 AS top3_same, round(avg(abs(a - b)), 9) AS mean_shift FROM r"""
 
-QUERIES = {f.__name__: f for f in (g8_topk_ip, g9_topk_multivector, g4_l2_normalise, g3_mean_pool, i7_metrics_per_query, i8_metrics_by_label, i9_metrics_grouping_sets, i6_multihop_coverage, g16_predicate_hit_at_k, g17_composition, i11_rank_indexes, k1_bootstrap_ci, k2_paired_bootstrap, k20_selection, k19_rank_sensitivity)}
-ORACLES = {"g8_topk_ip": G8, "g9_topk_multivector": G9, "g4_l2_normalise": G4, "g3_mean_pool": G3, "i7_metrics_per_query": I7, "i8_metrics_by_label": I8, "i9_metrics_grouping_sets": I9, "i6_multihop_coverage": I6, "g16_predicate_hit_at_k": G16, "g17_composition": G17, "i11_rank_indexes": I11, "k1_bootstrap_ci": K1, "k2_paired_bootstrap": K2, "k20_selection": K20, "k19_rank_sensitivity": K19}
+QUERIES = {f.__name__: f for f in (
+    g8_topk_ip,
+    g9_topk_multivector,
+    g4_l2_normalise,
+    g3_mean_pool,
+    i7_metrics_per_query,
+    i8_metrics_by_label,
+    i9_metrics_grouping_sets,
+    i6_multihop_coverage,
+    g16_predicate_hit_at_k,
+    g17_composition,
+    i11_rank_indexes,
+    k1_bootstrap_ci,
+    k2_paired_bootstrap,
+    k20_selection,
+    k19_rank_sensitivity
+)}
+ORACLES = {
+    "g8_topk_ip": G8,
+    "g9_topk_multivector": G9,
+    "g4_l2_normalise": G4,
+    "g3_mean_pool": G3,
+    "i7_metrics_per_query": I7,
+    "i8_metrics_by_label": I8,
+    "i9_metrics_grouping_sets": I9,
+    "i6_multihop_coverage": I6,
+    "g16_predicate_hit_at_k": G16,
+    "g17_composition": G17,
+    "i11_rank_indexes": I11,
+    "k1_bootstrap_ci": K1,
+    "k2_paired_bootstrap": K2,
+    "k20_selection": K20,
+    "k19_rank_sensitivity": K19
+}

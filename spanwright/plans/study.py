@@ -176,7 +176,10 @@ known AS (SELECT {own("x")}, x.n, CASE WHEN x.ties = 0 AND x.n <= 50 THEN 'exact
 p AS (SELECT {own("g")}, coalesce(known.n, 0) AS n, coalesce(known.method, 'identical') AS method, coalesce(known.p, 1) AS p FROM (SELECT DISTINCT {keys} FROM e) g LEFT JOIN known ON {same("g", "known")})"""
 
 
-_WILCOXON = _wilcoxon("e AS (SELECT lang, coalesce(source, '') || '/' || doc_id % 3 AS part, (n_chars - 2000) % 500 AS d FROM documents WHERE n_chars IS NOT NULL)", "lang, part") + " SELECT lang, part, n, method, round(p, 9) AS p FROM p"
+_WILCOXON = _wilcoxon(
+    "e AS (SELECT lang, coalesce(source, '') || '/' || doc_id % 3 AS part, (n_chars - 2000) % 500 AS d FROM documents WHERE n_chars IS NOT NULL)",
+    "lang, part"
+) + " SELECT lang, part, n, method, round(p, 9) AS p FROM p"
 
 
 @query(_WILCOXON)
@@ -211,7 +214,10 @@ def k10_icc21(spark, sf):
 @query("""WITH x AS (SELECT (n_chars % 5)::INT AS a, ((n_chars + quality * 2) % 5)::INT AS b FROM documents JOIN labels USING (doc_id)), c AS (SELECT DISTINCT v FROM (SELECT a AS v FROM x UNION SELECT b FROM x)), p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM c), k AS (SELECT p.i, q.i AS j FROM x JOIN p ON x.a = p.v JOIN p q ON x.b = q.v),
 n AS (SELECT sum((i - j) ** 2) AS seen, count(*) AS n FROM k), e AS (SELECT sum((a.i - b.j) ** 2 * a.n * b.n) AS chance FROM (SELECT i, count(*) AS n FROM k GROUP BY i) a, (SELECT j, count(*) AS n FROM k GROUP BY j) b) SELECT n, round(1 - seen * n / chance, 9) AS kappa FROM n, e""")
 def k11_weighted_kappa(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "n_chars").join(_t(spark, sf, "labels"), "doc_id").select((F.col("n_chars") % 5).alias("a"), ((F.col("n_chars") + F.col("quality") * 2) % 5).alias("b"))
+    d = _t(spark, sf, "documents").select("doc_id", "n_chars").join(_t(spark, sf, "labels"), "doc_id").select(
+        (F.col("n_chars") % 5).alias("a"),
+        ((F.col("n_chars") + F.col("quality") * 2) % 5).alias("b")
+    )
     return stats.weighted_kappa(d, "a", "b").select("n", F.round("kappa", 9).alias("kappa"))
 
 
@@ -273,7 +279,12 @@ def c13_clock(spark, sf):
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_discount) AS avg_disc, count(*) AS n, max_by(l_orderkey, (l_extendedprice, l_orderkey)) AS top_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def j1_group_counts(spark, sf):
     li = _t(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.avg("l_discount").alias("avg_disc"), F.count(F.lit(1)).alias("n"), F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("top_order"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"),
+        F.avg("l_discount").alias("avg_disc"),
+        F.count(F.lit(1)).alias("n"),
+        F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("top_order")
+    )
 
 
 @query("""SELECT r_name, c.c_name IS NULL AS no_match, n_name, concept_n FROM (SELECT n.n_name, r.r_name, count(c.c_custkey) AS concept_n, max(c.c_name) AS c_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 GROUP BY ALL) c""")
@@ -308,14 +319,27 @@ _CELLS = """cells AS (SELECT conv_id AS sheet, turn AS "row", 1 AS "col", role A
 @query(f"""WITH {_CELLS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet, value ORDER BY "row", "col") AS nth FROM cells WHERE value IN ('user', 'assistant')) WHERE nth = 1) SELECT h.sheet, h.value AS header, c.value AS answer FROM h LEFT JOIN cells c ON c.sheet = h.sheet AND c."row" = h."row" AND c."col" = h."col" + 1""")
 def a14_cell_answers(spark, sf):
     c = _t(spark, sf, "conversations")
-    cells = c.select(F.col("conv_id").alias("sheet"), F.col("turn").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("role").alias("value")), F.struct(F.lit(2).alias("col"), F.col("text").alias("value")))).alias("c")).select("sheet", "row", "c.col", "c.value")
+    cells = c.select(
+        F.col("conv_id").alias("sheet"),
+        F.col("turn").alias("row"),
+        F.explode(F.array(
+            F.struct(F.lit(1).alias("col"), F.col("role").alias("value")),
+            F.struct(F.lit(2).alias("col"), F.col("text").alias("value"))
+        )).alias("c")
+    ).select("sheet", "row", "c.col", "c.value")
     return study.cell_answers(cells, ["user", "assistant"])
 
 
 @query()
 def a17_worksheet(spark, sf):
     c = _t(spark, sf, "conversations")
-    lines = c.select("conv_id", F.explode(F.array(F.struct((F.col("turn") * 2).alias("line_no"), F.when(F.col("turn") % 2 == 0, "## entry").otherwise("").alias("text")), F.struct((F.col("turn") * 2 + 1).alias("line_no"), F.concat("role", F.lit(": "), F.regexp_replace("text", "\n", " ")).alias("text")))).alias("l")).select("conv_id", "l.line_no", "l.text")
+    lines = c.select(
+        "conv_id",
+        F.explode(F.array(
+            F.struct((F.col("turn") * 2).alias("line_no"), F.when(F.col("turn") % 2 == 0, "## entry").otherwise("").alias("text")),
+            F.struct((F.col("turn") * 2 + 1).alias("line_no"), F.concat("role", F.lit(": "), F.regexp_replace("text", "\n", " ")).alias("text"))
+        )).alias("l")
+    ).select("conv_id", "l.line_no", "l.text")
     return study.worksheet(lines, "conv_id", "^## ", r"^(\w+): (.*)$")
 
 
@@ -326,7 +350,11 @@ def h6_blind_key_join(spark, sf):
     s = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("response_id")).agg(F.avg("l_quantity").alias("score"))
     k = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("response_id"), F.col("o_custkey").alias("question_id"), F.col("o_orderstatus").alias("condition"))
     c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.col("c_mktsegment").alias("stratum"))
-    return k.join(s, "response_id", "left").join(c, "question_id", "left").groupBy("condition", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.round(F.avg("score"), 6).alias("mean"))
+    return k.join(s, "response_id", "left").join(c, "question_id", "left").groupBy("condition", "stratum").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("score").alias("n_scored"),
+        F.round(F.avg("score"), 6).alias("mean")
+    )
 
 
 @query("""SELECT d.doc_id, l.quality IS NULL AS pending FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL""")
@@ -366,7 +394,13 @@ def m7_union(spark, sf):
 def t19_parse_config(spark, sf):
     spec = F.concat(F.lit("fixed-"), 64 * (1 + F.col("doc_id") % 3), F.when(F.col("doc_id") % 2 == 0, "-16").otherwise(""))
     parts = F.split("spec", "-")
-    return _t(spark, sf, "documents").groupBy(spec.alias("spec")).agg(F.count(F.lit(1)).alias("n_chunks")).select("n_chunks", "spec", parts[0].alias("config_strategy"), parts[1].cast("int").alias("size"), F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0)).alias("overlap"))
+    return _t(spark, sf, "documents").groupBy(spec.alias("spec")).agg(F.count(F.lit(1)).alias("n_chunks")).select(
+        "n_chunks",
+        "spec",
+        parts[0].alias("config_strategy"),
+        parts[1].cast("int").alias("size"),
+        F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0)).alias("overlap")
+    )
 
 
 @query("""WITH f AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS f FROM conversations WHERE role = 'user')

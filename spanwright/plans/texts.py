@@ -161,12 +161,25 @@ def e5_headings(spark, sf):
 @query(f"""WITH {_LINES}, k AS (SELECT doc_id, line_no, CASE WHEN contains(lower(text), 'licensed') THEN 'licence' WHEN contains(lower(text), 'stupid') OR contains(lower(text), 'worthless') THEN 'toxic' WHEN regexp_matches(text, '[0-9]+') THEN 'numeric' ELSE 'exposition' END AS content_type, length(text) AS n FROM seg)
 SELECT doc_id, line_no, content_type, content_type IN ('licence', 'toxic') AND n <= 400 AS atomic FROM k""")
 def e10_classify(spark, sf):
-    return segment.classify(chunk.line_segments(_docs(spark, sf)), [("licence", tx.matches(F.col("text"), ["licensed"])), ("toxic", tx.matches(F.col("text"), ["stupid", "worthless"])), ("numeric", F.col("text").rlike("[0-9]+"))], "exposition", ("licence", "toxic"), 400).select("doc_id", "line_no", "content_type", "atomic")
+    return segment.classify(
+        chunk.line_segments(_docs(spark, sf)),
+        [
+            ("licence", tx.matches(F.col("text"), ["licensed"])),
+            ("toxic", tx.matches(F.col("text"), ["stupid", "worthless"])),
+            ("numeric", F.col("text").rlike("[0-9]+"))
+        ],
+        "exposition",
+        ("licence", "toxic"),
+        400
+    ).select("doc_id", "line_no", "content_type", "atomic")
 
 
 @query("""SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE n_chars > 2000) AS n_long FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
 def e18_counts(spark, sf):
-    return _docs(spark, sf, "lang", "source", "n_chars").groupingSets([[F.col("lang")], [F.col("source")], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 2000).alias("n_long"))
+    return _docs(spark, sf, "lang", "source", "n_chars").groupingSets([[F.col("lang")], [F.col("source")], []], "lang", "source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("n_chars") > 2000).alias("n_long")
+    )
 
 
 @query(f"""WITH {_LINES}, o AS (SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN 'override' ELSE 'exposition' END AS content_type, length(text) AS n FROM seg) SELECT doc_id, line_no, content_type, content_type = 'override' AND n <= 300 AS atomic FROM o""")
@@ -208,7 +221,13 @@ def e8_walk(spark, sf):
 
 def _segments(spark, sf):
     """Lines as segments in an array: length, length without blanks, kind, unit (ten lines) and whether they are atomic."""
-    one = lambda x, i: F.struct(F.length(x).alias("n"), F.length(tx.strip(x)).alias("bare"), F.when(x.rlike("[0-9]"), "numeric").when(F.length(x) < 60, "short").otherwise("long").alias("kind"), F.floor(i / 10).alias("unit"), (F.length(x) <= 200).alias("atomic"))
+    one = lambda x, i: F.struct(
+        F.length(x).alias("n"),
+        F.length(tx.strip(x)).alias("bare"),
+        F.when(x.rlike("[0-9]"), "numeric").when(F.length(x) < 60, "short").otherwise("long").alias("kind"),
+        F.floor(i / 10).alias("unit"),
+        (F.length(x) <= 200).alias("atomic")
+    )
     return _docs(spark, sf).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), one).alias("segs"))
 
 
@@ -252,7 +271,12 @@ def d10_fold(spark, sf):
 @query(rf"WITH s AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '{tx.EMAIL}', '[email]', 'g'), '{tx.PHONE}', '[phone]', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS digest, (length(t) - length(replace(t, '[email]', ''))) // 7 AS n_email, (length(t) - length(replace(t, '[phone]', ''))) // 7 AS n_phone FROM s WHERE t <> text")
 def d14_scrub(spark, sf):
     s = _docs(spark, sf).withColumn("t", tx.scrub(F.col("text"))).filter("t <> text")
-    return s.select("doc_id", F.md5("t").alias("digest"), F.regexp_count("t", F.lit(r"\[email\]")).cast("long").alias("n_email"), F.regexp_count("t", F.lit(r"\[phone\]")).cast("long").alias("n_phone"))
+    return s.select(
+        "doc_id",
+        F.md5("t").alias("digest"),
+        F.regexp_count("t", F.lit(r"\[email\]")).cast("long").alias("n_email"),
+        F.regexp_count("t", F.lit(r"\[phone\]")).cast("long").alias("n_phone")
+    )
 
 
 _RULES = [("stupid", "[nama]"), ("worthless", "[nama]"), ("License", "[lisensi]")]
@@ -348,7 +372,12 @@ def m3_first_by_url(spark, sf):
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, contains(html, 'track(') AND contains(html, '<article') AS served FROM pages""")
 def a21_page_markers(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("n_links"), (F.contains("html", F.lit("track(")) & F.contains("html", F.lit("<article"))).alias("served"))
+    return _t(spark, sf, "pages").select(
+        "page_id",
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+        F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("n_links"),
+        (F.contains("html", F.lit("track(")) & F.contains("html", F.lit("<article"))).alias("served")
+    )
 
 
 @query()
