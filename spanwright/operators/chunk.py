@@ -288,6 +288,32 @@ def span_overlap(chunks: DataFrame, gold: DataFrame, threshold: float, denominat
     return hit.withColumn("fraction", fraction).filter(F.col("fraction") >= threshold).select("r.gold_id", F.col(f"l.{id_col}").alias(id_col), "l.seq", "fraction")
 
 
+#: Tokenizers that SQL can state: words and single marks, and runs without white space.
+TOKENIZERS = {"words": r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", "blanks": r"\S+"}
+
+
+def token_count(text: Column, tokenizer: str) -> Column:
+    """Tokens of a text under one of ``TOKENIZERS``, without special ones; an empty or null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
+
+
+def compare_tokenizers(docs: DataFrame, group: str, tokenizers: list[str], size: int, *, text_col: str = "text") -> DataFrame:
+    """(group, and for each tokenizer its corpus tokens, characters a token with 3 places, and chunks of ``size`` tokens)."""
+    each = docs.select(group, F.length(F.coalesce(text_col, F.lit(""))).alias("_chars"), *[token_count(F.col(text_col), t).alias(t) for t in tokenizers])
+    made = []
+    for t in tokenizers:
+        tokens = F.sum(t)
+        per = F.round(F.sum("_chars") / F.nullif(tokens, F.lit(0)), 3)
+        made += [tokens.alias(f"{t}_tokens"), per.alias(f"chars_per_{t}_token"), F.sum(F.ceil(F.col(t) / size)).cast("long").alias(f"{t}_chunks")]
+    return each.groupBy(group).agg(*made)
+
+
+def query_tokens(df: DataFrame, prefix: str, special: int, cap: int, tokenizer: str, *, text_col: str = "text") -> DataFrame:
+    """``df`` with ``n_tokens`` of the text, ``n_input`` with prefix and special tokens, and ``over_cap``; a null text counts as none."""
+    with_prefix = token_count(F.concat(F.lit(prefix), F.coalesce(text_col, F.lit(""))), tokenizer) + special
+    return df.withColumns({"n_tokens": token_count(F.col(text_col), tokenizer), "n_input": with_prefix, "over_cap": with_prefix > cap})
+
+
 def offset_violations(chunks: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``chunks`` with ``violates``: their text is not what stands at their offsets in the document, or the document is not there."""
     whole = docs.select(id_col, F.col(text_col).alias("_whole"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
-from spanwright.operators import reports, study
+from spanwright.operators import chunk, reports, study
 from spanwright.plans.retrieval import _t
 from spanwright.session import shared_dir
 from spanwright.sources import tables
@@ -217,34 +217,23 @@ def c6_restricted_grid(spark, sf):
     return study.restricted(_t(spark, sf, "events"), "event_type", ["click", "error", "nothing"])
 
 
-@query("""SELECT conv_id, turn, (length(text) + 3) // 4 AS n_tokens, (length('query: ' || text) + 3) // 4 + 2 AS n_input, (length('query: ' || text) + 3) // 4 + 2 > 32 AS over_cap FROM conversations WHERE role = 'user'""")
+_WORDS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, len(regexp_extract_all(text, '{_WORDS}')) AS n_tokens, len(regexp_extract_all('query: ' || text, '{_WORDS}')) + 2 AS n_input FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+SELECT *, n_input > 32 AS over_cap FROM q""")
 def t20_query_tokens(spark, sf):
-    """Tokens of a query with prefix and special tokens, and whether they are above the cap; a token is four characters."""
-    u = _t(spark, sf, "conversations").filter("role = 'user'")
-    n = lambda text: F.ceil(F.length(text) / 4).cast("long")
-    with_prefix = n(F.concat(F.lit("query: "), "text")) + 2
-    return u.select("conv_id", "turn", n("text").alias("n_tokens"), with_prefix.alias("n_input"), (with_prefix > 32).alias("over_cap"))
+    """Tokens of a query with prefix and special tokens, and whether they are above the cap."""
+    asked = _t(spark, sf, "conversations").filter("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", "text")
+    return chunk.query_tokens(asked, "query: ", 2, 32, "words").drop("text")
 
 
-@query(r"""WITH c AS (SELECT lang, coalesce(text, '') AS text FROM documents), t AS (SELECT lang, length(text) AS chars, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS words, (length(text) + 3) // 4 AS fours FROM c)
-SELECT lang, sum(words)::BIGINT AS word_tokens, sum(fours)::BIGINT AS four_tokens, round(sum(chars) / sum(words), 3) AS chars_per_word_token, sum((words + 255) // 256)::BIGINT AS word_chunks, sum((fours + 255) // 256)::BIGINT AS four_chunks FROM t GROUP BY lang""")
+@query(rf"""WITH t AS (SELECT lang, length(coalesce(text, '')) AS chars, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS words, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS blanks FROM documents)
+SELECT lang, sum(words)::BIGINT AS words_tokens, sum(blanks)::BIGINT AS blanks_tokens, round(sum(chars) / sum(words), 3) AS chars_per_words_token, round(sum(chars) / sum(blanks), 3) AS chars_per_blanks_token,
+sum((words + 255) // 256)::BIGINT AS words_chunks, sum((blanks + 255) // 256)::BIGINT AS blanks_chunks FROM t GROUP BY lang""")
 def f20_tokenizers(spark, sf):
     """Corpus tokens, characters a token and chunks of 256 tokens under two tokenizers."""
-    text = F.coalesce("text", F.lit(""))
-    t = _t(spark, sf, "documents").select(
-        "lang",
-        F.length(text).alias("chars"),
-        F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")).alias("words"),
-        F.ceil(F.length(text) / 4).alias("fours")
-    )
-    chunks = lambda c: F.sum(F.ceil(F.col(c) / 256)).cast("long")
-    return t.groupBy("lang").agg(
-        F.sum("words").alias("word_tokens"),
-        F.sum("fours").cast("long").alias("four_tokens"),
-        F.round(F.sum("chars") / F.sum("words"), 3).alias("chars_per_word_token"),
-        chunks("words").alias("word_chunks"),
-        chunks("fours").alias("four_chunks")
-    )
+    return chunk.compare_tokenizers(_t(spark, sf, "documents").select("lang", "text"), "lang", ["words", "blanks"], 256)
 
 
 # study tables

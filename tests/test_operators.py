@@ -166,6 +166,14 @@ def test_topk_unique_ids(spark):
     assert vector.topk_inner_product(v, q.limit(0), 5).count() == 0
 
 
+def test_tokenizers(spark):
+    df = spark.createDataFrame([("a", "Hi, you_2!"), ("a", None), ("b", "")], "g string, text string")
+    got = {r.g: (r.words_tokens, r.chars_per_words_token, r.words_chunks, r.blanks_tokens) for r in chunk.compare_tokenizers(df, "g", ["words", "blanks"], 3).collect()}
+    assert got == {"a": (4, 2.5, 2, 2), "b": (0, None, 0, 0)}
+    asked = chunk.query_tokens(df, "q: ", 2, 5, "words").collect()
+    assert [(r.n_tokens, r.n_input, r.over_cap) for r in asked] == [(4, 8, True), (0, 4, False), (0, 4, False)]
+
+
 def test_rank_correlation_of_one_value(spark):
     df = spark.createDataFrame([("a", i, 1) for i in range(5)] + [("b", i, -i) for i in range(5)] + [("c", 1, 1)], "g string, x int, y int")
     assert {r.g: r.rho for r in stats.spearman(df, "x", "y", ["g"]).collect()} == {"a": None, "b": -1.0}
