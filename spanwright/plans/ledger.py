@@ -112,14 +112,16 @@ def a26_sample_labels(spark, sf):
 # folders
 
 
-@query("""SELECT DISTINCT l_returnflag || '-' || l_linestatus AS config_id, true AS filled FROM lineitem""")
+@query("""SELECT l_returnflag || '-' || l_linestatus AS config_id, count(*) AS n, true AS filled FROM lineitem GROUP BY 1""")
 def a12_discovery(spark, sf):
-    """Configurations found by the folders that hold their files: a listing, no file is opened."""
+    """Configurations found by the folders that hold their files, from a listing; then every row of what was found is read and counted."""
     at = _written(spark, "configs")
-    li = _t(spark, sf, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("config_id"), "l_orderkey")
+    li = _t(spark, sf, "lineitem").select(F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("config_id"), "l_orderkey")
     tables.write_partitioned(li, at, "config_id")
-    found = tables.discover(spark, at, "*.parquet").groupBy(F.regexp_extract("folder", "config_id=(.+)", 1).alias("config_id"))
-    return found.agg((F.sum("n_bytes") > 0).alias("filled"))
+    name = F.url_decode(F.replace(F.regexp_extract("folder", "config_id=(.+)", 1), F.lit("+"), F.lit("%2B")))  # as Spark escapes a folder's name
+    found = tables.discover(spark, at, "*.parquet").groupBy(F.nullif(name, F.lit("__HIVE_DEFAULT_PARTITION__")).alias("config_id")).agg((F.sum("n_bytes") > 0).alias("filled"))
+    rows = spark.read.schema("l_orderkey long, config_id string").parquet(at).groupBy(F.col("config_id").alias("id")).agg(F.count("*").alias("n"))
+    return found.join(rows, F.col("config_id").eqNullSafe(F.col("id")), "left").select("config_id", F.coalesce("n", F.lit(0)).alias("n"), "filled")
 
 
 @query(r"""SELECT conv_id, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY turn)) AS digest, sum(length(trim(text)))::BIGINT + 2 * (count(*) - 1) AS n_chars FROM conversations GROUP BY conv_id""")

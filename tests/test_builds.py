@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.operators import deidentify, incremental
+from spanwright.plans import ledger
 from spanwright.sources import tables
 from spanwright.streaming import resume
 
@@ -126,3 +127,10 @@ def test_discovery_and_lookups(spark, tmp_path):
     for bad, words in (("z", "no record of z"), ("c", "several records of c")):
         with pytest.raises(Exception, match=words):
             tables.by_id(records, "id", ids("a", bad)).collect()
+
+
+def test_discovery_counts_every_row(spark, tmp_path):
+    rows = [("A/x", "F", 1), ("A/x", "F", 2), ("a+b %", "O", 3), (None, "O", 4), ("", "O", 5), ("R", "", 6), ("R", "", 6)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = ledger.a12_discovery(spark, str(tmp_path)).collect()
+    assert {r.config_id: r.n for r in found} == {"A/x-F": 2, "a+b %-O": 1, None: 1, "-O": 1, "R-": 2} and all(r.filled for r in found)
