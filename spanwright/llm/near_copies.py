@@ -1,15 +1,21 @@
-"""Near copies by word shingles: MinHash bands, exact Jaccard, components.
-
-Texts with equal shingle sets form one class first. A class has ``BANDS`` keys of ``ROWS``
-minima each; two sets of Jaccard J share a key with probability ``1 - (1 - J**ROWS)**BANDS``:
-0.998 at 0.8, 0.9999 at 0.85. The classes of a key meet in a task, up to ``MEET`` of them at a time,
-which counts the shingles of all their pairs as a matrix product and hands on a spanning forest of the
-links, never the pairs. Of a key with more classes, most are then in one component; only those
-outside of it meet the others, block by block, so no link of the key is lost.
+"""Near copies by word shingles: SimHash fingerprints, pigeonhole blocks, Hamming distance, exact Jaccard, components.
+
+Texts with equal shingle sets form one class first. A class has a SimHash fingerprint of its shingles, a majority bit for each bit of
+their hashes, which is cut into ``blocks`` of ``bits`` bits (see ``layout``). Two that differ in fewer bits than there are blocks
+agree on one block for certain; sets of Jaccard 0.8 have about 85 % of their bits in common, so they agree on one of the blocks with
+a probability of 0.998 or more, closer ones with more. Sets of at most ``TINY`` shingles, whose bits say less, also meet by their
+sums without one shingle, which misses none of them. Classes that share a block meet if their fingerprints are within
+``FAR`` of 128 bits (a pair of Jaccard 0.8 is beyond with a probability below 0.0001); groups of them are compared up
+to ``MEET`` at a time in a task, which counts the shingles of all their pairs as a matrix product and hands on a spanning forest of the
+links, never the pairs. Of a group with more classes, most are then in one component; only those
+outside of it meet the others, block by block, so no link of the group is lost. The first blocks link most; the others are
+searched for what is not yet in one component.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwright.llm.common import stored
 from spanwright.llm.components import components
 from spanwright.llm.simhash import first_rows
+from spanwright.llm.suffix_dedup import Packed, stored
 
-BANDS, ROWS = 16, 5
+#: Share of bits that fingerprints of sets of Jaccard 0.8 have in common, at least; bits of 128 that may differ.
+AGREE, FAR = 0.8385, 37
+#: Shingles of a set up to which sums without one of them are keys: two such sets of Jaccard 0.8 have a key in common.
+TINY = 9
+#: Blocks that travel at a time, rows of one part of a block, and classes of one block that are compared pair by pair.
+AT_ONCE, PART_ROWS, PAIRED = 16, 1 << 17, 128
 #: Classes that meet in one task, and shingles of one matrix product.
 MEET, COLUMNS = 512, 8192
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BLOCKS = Packed(key="<u4", cls="<i8", w0="<u8", w1="<u8", root="<i8")
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -38,17 +49,112 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64))
 
 
-def signature(text: str | None, width: int) -> tuple[int, list[int]]:
-    """(class, keys): a digest of the shingle set and its band keys, signed; zero and none without a word."""
+def layout(n: int) -> tuple[int, int]:
+    """(blocks, bits of a block) for ``n`` classes: about 16 classes to a value of a block, and as many blocks as find a
+    pair of Jaccard 0.8 with a probability of 0.998."""
+    bits = min(24, max(8, n.bit_length() - 4))
+    return max(math.ceil(6.2 / AGREE**bits), math.ceil(128 / bits)), bits
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(h: np.ndarray, words: int) -> bytes:
+    """The majority of each bit over the hashes ``h`` and ``words - 1`` hashes derived from each."""
+    ones, more = np.zeros(64 * words, np.int64), np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(h), 255):  # what a byte can count
+        part = np.ascontiguousarray(_mix(h[i : i + 255, None] + more))
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h)).tobytes()
+
+
+def signature(text: str | None, width: int, words: int) -> tuple[int, bytes | None, list[int]]:
+    """(class, fingerprint, keys): a digest of the shingle set, signed; zero, none and none without a word."""
     h = shingle_hashes(text, width)
     if not len(h):
-        return 0, []
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 1 << 12):
-        np.minimum(least, (h[i : i + (1 << 12)] * _FACTORS[:, None]).min(axis=1), out=least)
-    digests = [xxhash.xxh64_intdigest(h.tobytes()), *(xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS)))]
-    cls, *keys = np.array(digests, np.uint64).view(np.int64).tolist()
-    return cls, keys
+        return 0, None, []
+    keys = []
+    if len(h) <= TINY:
+        total = h.sum(dtype=np.uint64)
+        keys = np.unique(_mix(np.append(total - h, total))).view(np.int64).tolist()
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0]), fingerprint(h, words), keys
+
+
+def _groups(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, far: int) -> np.ndarray:
+    """For each row, in order of ``key``, the first row that links of ``far`` bits or fewer between rows of one key lead to."""
+    near = lambda i, j: np.bitwise_count(w0[i] ^ w0[j]).astype(np.int64) + np.bitwise_count(w1[i] ^ w1[j]) <= far
+    label = np.arange(len(key))
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(begins, len(key)))
+    i, left, right = np.flatnonzero(np.repeat(size <= PAIRED, size)), [], []
+    for d in range(1, PAIRED):
+        i = i[i + d < len(key)]
+        i = i[key[i + d] == key[i]]
+        if not len(i):
+            break
+        hit = i[near(i, i + d)]
+        left.append(hit)
+        right.append(hit + d)
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        while (label[a] != label[b]).any():
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], least)
+            np.minimum.at(label, label[b], least)
+            label = label[label]
+    for begin, n in zip(begins[size > PAIRED].tolist(), size[size > PAIRED].tolist()):
+        rest = np.arange(begin, begin + n)  # what is found leaves the rest, so that many alike are few steps
+        while len(rest):
+            first, rest, todo = rest[0], rest[1:], [rest[0]]
+            while todo and len(rest):
+                hit = near(todo.pop(), rest)
+                label[rest[hit]] = first
+                todo += rest[hit].tolist()
+                rest = rest[~hit]
+    return label
+
+
+def _keyed(classes: DataFrame, n: int, first: int, stop: int) -> DataFrame:
+    """(cls, key): for each block from ``first`` to ``stop`` the groups of classes with one value of it and near fingerprints.
+
+    A key stands for the members of a group. Groups whose classes all have one ``root`` are left out.
+    """
+    _, bits = layout(n)
+    parts, far = -(-n // PART_ROWS), FAR
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            cls, root = (batch.column(c).to_numpy() for c in (0, 2))
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
+            w0, w1 = (np.ascontiguousarray(fps[:, a : a + 8]).view(np.uint64).ravel() for a in (0, 8))
+            flat = np.unpackbits(fps, axis=1)[:, first * bits : stop * bits].reshape(len(batch), stop - first, bits)
+            value = flat.astype(np.float32) @ (2.0 ** np.arange(bits)).astype(np.float32)
+            for t in range(stop - first):
+                v = value[:, t].astype(np.uint32)
+                yield BLOCKS.rows(t * parts + v % parts, v, cls, w0, w1, root)
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, cls, w0, w1, root = BLOCKS.columns(table)
+        order = np.argsort(key, kind="stable")
+        key, cls, w0, w1, root = key[order], cls[order], w0[order], w1[order], root[order]
+        label = _groups(key, w0, w1, far)
+        order = np.argsort(label, kind="stable")
+        begins = np.flatnonzero(np.append(True, np.diff(label[order]) != 0)[: len(label)])
+        size = np.diff(np.append(begins, len(label)))
+        cls, root = cls[order], root[order]
+        several = np.minimum.reduceat(root, begins) < np.maximum.reduceat(root, begins)
+        names = _mix(np.add.reduceat(_mix(cls.view(np.uint64)), begins)).view(np.int64)
+        keep = np.repeat(several, size)
+        return pa.table({"cls": pa.array(cls[keep]), "key": pa.array(np.repeat(names, size)[keep])})
+
+    rows = classes.filter("fp is not null").select("cls", "fp", "root")
+    return rows.mapInArrow(deal, BLOCKS.schema).groupBy("part").applyInArrow(meet, "cls long, key long")
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
@@ -127,9 +233,8 @@ def _met(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
 
 
-def _links(classes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b): links between classes that give the components of all similar pairs sharing a key."""
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
+def _links(keyed: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): links between classes that give the components of all similar pairs sharing a key of ``keyed`` (cls, key)."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(keyed.join(sizes, "key").withColumn("shard", F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("n") / MEET))), "near-keys")
 
@@ -169,15 +274,29 @@ def keep_one_similar(docs: DataFrame, *, width: int = 5, least: float = 0.8, id_
     stays.
     """
 
+    n = docs.count()
+    blocks, bits = layout(n)
+    words = -(-blocks * bits // 64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = [signature(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in signed], pa.int64()), pa.array([k for _, k in signed], pa.list_(pa.int64()))], names=["row", "cls", "keys"])
+            signed = [signature(t.as_py(), width, words) for t in batch.column(1)]
+            cls, fp, keys = (pa.array([x[i] for x in signed], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), cls, fp, keys], names=["row", "cls", "fp", "keys"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("cls", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([packed.schema["row"], T.StructField("cls", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     rows = stored(packed.mapInArrow(run, schema), "near-signed")
-    classes = stored(rows.groupBy("cls").agg(F.min(f"row.{id_col}").alias("first_id"), F.first("keys").alias("keys")), "near-classes")
-    roots = components(_links(classes, rows.select("cls", F.col(f"row.{text_col}").cast("string").alias("text")), width, least))
+    classes = stored(rows.groupBy("cls").agg(F.min(f"row.{id_col}").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
+    texts = rows.select("cls", F.col(f"row.{text_col}").cast("string").alias("text"))
+    begin = min(AT_ONCE, blocks)
+    keyed = _keyed(classes.withColumn("root", F.col("cls")), n, 0, begin).unionByName(classes.select("cls", F.explode("keys").alias("key")))
+    links = _links(stored(keyed.distinct(), "near-keyed"), texts, width, least)
+    if begin < blocks:
+        roots = components(links)
+        rooted = stored(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "fp", F.coalesce("root", "cls").alias("root")), "near-rooted")
+        rest = [stored(_keyed(rooted, n, at, min(at + AT_ONCE, blocks)), "near-keyed") for at in range(begin, blocks, AT_ONCE)]
+        links = links.unionByName(_links(stored(functools.reduce(DataFrame.unionByName, rest).distinct(), "near-keyed"), texts, width, least))
+    roots = components(links)
     rooted = classes.join(roots, classes["cls"] == roots["node"], "left").select(F.col("cls").alias("fp"), "first_id", F.coalesce("root", "cls").alias("root"))
-    return first_rows(rows.drop("keys").withColumnRenamed("cls", "fp"), rooted, id_col, text_col)
+    return first_rows(rows.select("row", F.col("cls").alias("fp")), rooted, id_col, text_col)
