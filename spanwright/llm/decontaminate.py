@@ -156,21 +156,43 @@ class Plain:
 
 
 def _least_distances(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, masks: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each row the smallest edit distance of a pattern of up to 64 symbols to any stretch of ``symbols[low:high]``, by Myers' bit vectors."""
-    one, zero = np.uint64(1), np.uint64(0)
-    pv, mv = np.full(len(low), ~zero), np.zeros(len(low), np.uint64)
-    top = (size - 1).astype(np.uint64)
-    score, best = size.astype(np.int64), size.astype(np.int64)
-    for t in range(int((high - low).max(initial=0))):
-        at = low + t
-        eq = np.where(at < high, masks[own, symbols[np.minimum(at, len(symbols) - 1)]], zero)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv), pv & xh
-        score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
-        np.minimum(best, score, out=best)
-        ph, mh = ph << one, mh << one
-        pv, mv = mh | ~(xv | ph), ph & xv
+    """For each row the smallest edit distance of a pattern of up to 64 symbols to any stretch of ``symbols[low:high]``, by Myers' bit vectors.
+
+    Rows are in order of ``high - low``, so that those which end first leave the front. A pattern stands at the top of its word, so that its
+    last symbol is the sign; what is below it (see ``_masks``) always fits.
+    """
+    one, left = np.uint64(1), np.int64(63)
+    masks, place, at = masks.ravel(), own.astype(np.int64) * 256, low.astype(np.int64)
+    pv, mv = ~np.uint64(0) << (64 - size).astype(np.uint64), np.zeros(len(low), np.uint64)
+    score, best, lengths = size.astype(np.int64), size.astype(np.int64), high - low
+    x, ph, mh, eq = (np.empty(len(low), np.uint64) for _ in range(4))
+    step, begin = np.empty(len(low), np.int64), 0
+    for t in range(int(lengths.max(initial=0))):
+        if lengths[begin] <= t:
+            done = int(np.searchsorted(lengths, t, "right")) - begin
+            begin += done
+            place, at, pv, mv, score, x, ph, mh, eq, step = (v[done:] for v in (place, at, pv, mv, score, x, ph, mh, eq, step))
+        np.add(place, symbols.take(at), out=step)
+        masks.take(step, out=eq, mode="clip")
+        at += 1
+        np.bitwise_and(eq, pv, out=x)
+        x += pv
+        x ^= pv
+        x |= eq
+        np.bitwise_or(x, pv, out=ph)
+        np.invert(ph, out=ph)
+        ph |= mv
+        np.bitwise_and(pv, x, out=mh)
+        score -= np.right_shift(ph.view(np.int64), left, out=step)
+        score += np.right_shift(mh.view(np.int64), left, out=step)
+        np.minimum(best[begin:], score, out=best[begin:])
+        np.left_shift(ph, one, out=ph)
+        np.left_shift(mh, one, out=mh)
+        eq |= mv
+        np.bitwise_and(ph, eq, out=mv)
+        np.bitwise_or(eq, ph, out=pv)
+        np.invert(pv, out=pv)
+        pv |= mh
     return best
 
 
@@ -302,13 +324,14 @@ class Tables:
         return ok
 
     def _masks(self, key: int) -> np.ndarray:
-        """For each symbol the places it has in a part of an item."""
+        """For each symbol the places it has in a part of an item, which stands at the top of 64 bits; below it all fits."""
         item, nth = key >> 24, key & 0xFFFFFF
         n = int(self.lengths[item])
         count = -(-n // 64)
         codes = normal_codes([self.block.items[item][0]])[0][nth * n // count : (nth + 1) * n // count]
-        out = np.zeros(256, np.uint64)
-        np.bitwise_or.at(out, _symbols()[codes], np.uint64(1) << np.arange(len(codes), dtype=np.uint64))
+        free = 64 - len(codes)
+        out = np.full(256, (1 << free) - 1, np.uint64)
+        np.bitwise_or.at(out, _symbols()[codes], np.uint64(1) << np.arange(free, 64, dtype=np.uint64))
         return out
 
     def candidates(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
