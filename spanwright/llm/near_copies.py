@@ -10,6 +10,9 @@ to ``MEET`` at a time in a task, which counts the shingles of all their pairs as
 links, never the pairs. Of a group with more classes, most are then in one component; only those
 outside of it meet the others, block by block, so no link of the group is lost. The first blocks link most; the others are
 searched for what is not yet in one component.
+
+A class is called by the number of one of its rows. Texts stay where they are: Bloom filters of row numbers say which ones are cut
+into shingles for a meeting and which may have to go at the end, and only the latter travel.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwright.llm.components import components
-from spanwright.llm.simhash import first_rows
+from spanwright.llm.simhash import first_of_roots, first_rows
 from spanwright.llm.suffix_dedup import Packed, stored
+from spanwright.llm.twice_filter import bits_for, may_hold, seen
 
 #: Share of bits that fingerprints of sets of Jaccard 0.8 have in common, at least; bits of 128 that may differ.
 AGREE, FAR = 0.8385, 37
@@ -37,6 +41,8 @@ TINY = 9
 AT_ONCE, PART_ROWS, PAIRED = 16, 1 << 17, 128
 #: Classes that meet in one task, and shingles of one matrix product.
 MEET, COLUMNS = 512, 8192
+#: Bits of a filter of row numbers, at most.
+FILTER_BITS = 1 << 27
 BLOCKS = Packed(key="<u4", cls="<i8", w0="<u8", w1="<u8", root="<i8")
 
 
@@ -73,7 +79,7 @@ def fingerprint(h: np.ndarray, words: int) -> bytes:
 
 
 def signature(text: str | None, width: int, words: int) -> tuple[int, bytes | None, list[int]]:
-    """(class, fingerprint, keys): a digest of the shingle set, signed; zero, none and none without a word."""
+    """(digest of the shingle set, signed; fingerprint; keys): zero, none and none without a word."""
     h = shingle_hashes(text, width)
     if not len(h):
         return 0, None, []
@@ -121,7 +127,7 @@ def _groups(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, far: int) -> np.nda
 def _keyed(classes: DataFrame, n: int, first: int, stop: int) -> DataFrame:
     """(cls, key): for each block from ``first`` to ``stop`` the groups of classes with one value of it and near fingerprints.
 
-    A key stands for the members of a group. Groups whose classes all have one ``root`` are left out.
+    A key stands for the members of a group. Groups whose classes all have one ``root`` are left out; a class without a link has none (-1).
     """
     _, bits = layout(n)
     parts, far = -(-n // PART_ROWS), FAR
@@ -130,6 +136,7 @@ def _keyed(classes: DataFrame, n: int, first: int, stop: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
+            batch = batch.sort_by("cls")  # numbers that rise, and one root for most, take little room
             cls, root = (batch.column(c).to_numpy() for c in (0, 2))
             fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
             w0, w1 = (np.ascontiguousarray(fps[:, a : a + 8]).view(np.uint64).ravel() for a in (0, 8))
@@ -148,6 +155,7 @@ def _keyed(classes: DataFrame, n: int, first: int, stop: int) -> DataFrame:
         begins = np.flatnonzero(np.append(True, np.diff(label[order]) != 0)[: len(label)])
         size = np.diff(np.append(begins, len(label)))
         cls, root = cls[order], root[order]
+        root = np.where(root < 0, -2 - cls, root)
         several = np.minimum.reduceat(root, begins) < np.maximum.reduceat(root, begins)
         names = _mix(np.add.reduceat(_mix(cls.view(np.uint64)), begins)).view(np.int64)
         keep = np.repeat(several, size)
@@ -233,6 +241,14 @@ def _met(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
 
 
+def _held(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose ``cls`` is in ``numbers`` (cls), and some more."""
+    n = numbers.count()
+    bits = bits_for(n, FILTER_BITS)
+    found = rows.filter(may_hold(seen(numbers, bits), F.col("cls")))
+    return found if 8 * n <= 2 * bits else found.join(numbers, "cls", "left_semi")
+
+
 def _links(keyed: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b): links between classes that give the components of all similar pairs sharing a key of ``keyed`` (cls, key)."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -243,8 +259,7 @@ def _links(keyed: DataFrame, rows: DataFrame, width: int, least: float) -> DataF
             sets = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    texts = rows.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("text").alias("text"))
-    sets = stored(texts.select("cls", "text").mapInArrow(cut, "cls long, shingles binary"), "near-sets")
+    sets = stored(_held(rows, stored(shared.select("cls").distinct(), "near-asked")).select("cls", "text").mapInArrow(cut, "cls long, shingles binary"), "near-sets")
     # keys with the same classes are one meeting
     groups = shared.groupBy("key", "shard").agg(F.sort_array(F.collect_list("cls")).alias("members")).filter(F.size("members") > 1).select("members").distinct()
     members = groups.select(F.xxhash64("members").alias("meeting"), F.explode("members").alias("cls"))
@@ -280,23 +295,31 @@ def keep_one_similar(docs: DataFrame, *, width: int = 5, least: float = 0.8, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = [signature(t.as_py(), width, words) for t in batch.column(1)]
-            cls, fp, keys = (pa.array([x[i] for x in signed], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), cls, fp, keys], names=["row", "cls", "fp", "keys"])
+            signed = [signature(t.as_py(), width, words) for t in batch.column(2)]
+            digest, fp, keys = (pa.array([x[i] for x in signed], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, fp, keys], names=["row", "number", "digest", "fp", "keys"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("cls", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([packed.schema["row"], *(T.StructField(c, T.LongType()) for c in ("number", "digest")), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     rows = stored(packed.mapInArrow(run, schema), "near-signed")
-    classes = stored(rows.groupBy("cls").agg(F.min(f"row.{id_col}").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
-    texts = rows.select("cls", F.col(f"row.{text_col}").cast("string").alias("text"))
+    classes = stored(rows.groupBy("digest").agg(F.min("number").alias("cls"), F.min(f"row.{id_col}").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
+    texts = rows.select(F.col("number").alias("cls"), F.col(f"row.{text_col}").cast("string").alias("text"))
     begin = min(AT_ONCE, blocks)
-    keyed = _keyed(classes.withColumn("root", F.col("cls")), n, 0, begin).unionByName(classes.select("cls", F.explode("keys").alias("key")))
+    keyed = _keyed(classes.withColumn("root", F.lit(-1).cast("long")), n, 0, begin).unionByName(classes.select("cls", F.explode("keys").alias("key")))
     links = _links(stored(keyed.distinct(), "near-keyed"), texts, width, least)
     if begin < blocks:
         roots = components(links)
-        rooted = stored(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "fp", F.coalesce("root", "cls").alias("root")), "near-rooted")
+        rooted = stored(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "fp", F.coalesce("root", F.lit(-1)).alias("root")), "near-rooted")
         rest = [stored(_keyed(rooted, n, at, min(at + AT_ONCE, blocks)), "near-keyed") for at in range(begin, blocks, AT_ONCE)]
         links = links.unionByName(_links(stored(functools.reduce(DataFrame.unionByName, rest).distinct(), "near-keyed"), texts, width, least))
     roots = components(links)
-    rooted = classes.join(roots, classes["cls"] == roots["node"], "left").select(F.col("cls").alias("fp"), "first_id", F.coalesce("root", "cls").alias("root"))
-    return first_rows(rows.select("row", F.col("cls").alias("fp")), rooted, id_col, text_col)
+    rooted = stored(classes.join(roots, classes["cls"] == roots["node"], "left").select(F.col("digest").alias("fp"), "first_id", F.coalesce("root", "cls").alias("root")), "near-rooted")
+    rows = rows.select("row", "number", F.col("digest").alias("fp"))
+    # most rows stay for certain, as the only ones of their id and set; only the others go where their copies are
+    named = rows.select("number", "fp", F.col(f"row.{id_col}").alias("first_id"))
+    meant = named.join(first_of_roots(rooted).withColumnRenamed("first_id", "id"), "fp").filter(F.col("first_id").eqNullSafe(F.col("id")))
+    alone = meant.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("number")).filter("n = 1")
+    doubtful = stored(named.join(alone, "number", "left_anti").select("number"), "near-doubtful")
+    asked = may_hold(seen(doubtful, bits_for(doubtful.count(), FILTER_BITS)), F.col("number"))
+    marked = rows.withColumn("asked", asked)
+    return marked.filter(~F.col("asked")).select("row.*").unionByName(first_rows(marked.filter("asked").select("row", "fp"), rooted, id_col, text_col))

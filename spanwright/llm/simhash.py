@@ -114,10 +114,14 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 2, width: int = 3, id_co
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_roots(rooted: DataFrame) -> DataFrame:
+    """(fp, first_id) of smallest id for each ``root`` in ``rooted`` (fp, first_id, root)."""
+    return rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k")).select("k.fp", "k.first_id")
+
+
 def first_rows(rows: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each ``root`` in ``rooted`` (fp, first_id, root) the row of smallest id in ``rows`` (row, fp)."""
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k")).select("k.fp", "k.first_id")
-    chosen = rows.join(kept, "fp").filter(F.col(f"row.{id_col}").eqNullSafe(F.col("first_id")))
+    chosen = rows.join(first_of_roots(rooted), "fp").filter(F.col(f"row.{id_col}").eqNullSafe(F.col("first_id")))
     first = Window.partitionBy("fp").orderBy(F.col(f"row.{text_col}"))
     return chosen.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
 

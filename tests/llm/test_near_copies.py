@@ -67,6 +67,33 @@ def test_keep_one_similar_matches_all_pairs(spark, monkeypatch, meet):
     assert {r.doc_id for r in near_copies.keep_one_similar(frame(spark, docs)).collect()} == plain(docs)
 
 
+def test_texts_without_copies_stay_where_they_are(spark):
+    """Exchanges carry numbers and fingerprints, not each text twice and more."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1500))) for i in range(120)]
+    docs.append((500, edited(rng, docs[0][1].split(), 9)))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert {r.doc_id for r in near_copies.keep_one_similar(frame(spark, docs)).collect()} == set(range(120))
+    assert written() - before < 0.3 * sum(len(t) for _, t in docs)
+
+
+def test_rows_of_one_id_and_rows_without_one(spark):
+    """Where several rows are meant, the smallest text stays; a full filter only lets more texts travel."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(5, a.upper()), (5, a), (5, a), (9, a), (None, b), (None, b.title()), (2, c), (None, c)]
+    got = near_copies.keep_one_similar(frame(spark, docs)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", a.upper()), ("None", b.title()), ("2", c)])
+
+
+def test_filters_of_numbers_miss_none(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "FILTER_BITS", 1 << 16)
+    rows, even = spark.range(40_000).withColumnRenamed("id", "cls"), spark.range(0, 40_000, 2).withColumnRenamed("id", "cls")
+    assert near_copies._held(rows, even).count() == 20_000  # beyond what the filter can tell, a join decides
+    few = {r.cls for r in near_copies._held(rows, even.filter("cls < 2000")).collect()}
+    assert few >= {r.cls for r in even.filter("cls < 2000").collect()} and len(few) < 4000
+
+
 def test_keep_one_similar_matches_all_pairs_of_a_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id is not null")
     docs = [(r.doc_id, r.text) for r in table.collect()]
