@@ -188,6 +188,26 @@ def test_repeats_with_many_ranges_and_a_hot_beginning(spark, monkeypatch):
         assert sorted(rows, key=repr) == brute_repeats(texts, 30)
 
 
+def test_texts_without_repeats_stay_where_they_are(spark, monkeypatch):
+    """Lists too large to be broadcast draw the texts that may be in them, not all."""
+    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST", 0)
+    rnd = random.Random(6)
+    texts = [(i, "".join(f"{rnd.getrandbits(64):x}" for _ in range(2000))) for i in range(60)]
+    want = dict.fromkeys(range(60), 0) | {100: 90, 101: len(texts[1][1])}
+    texts += [(100, texts[0][1][500:590] + " end"), (101, texts[1][1]), (None, texts[2][1])]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.drop_repeats(docs(spark, texts)).collect()}
+    assert got == want | {None: 0}
+    assert written() - before < 1.5 * sum(len(t) for _, t in texts)
+
+
+@pytest.mark.parametrize("length", [8, 50])
+def test_repeats_brought_by_filters(spark, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST", 0)
+    test_repeats_against_brute_force(spark, length, suffix_dedup.CUTS)
+
+
 def test_exchange_cleanup_leaves_the_session_as_it_was(spark):
     before = spark.conf.get(suffix_dedup.CLEANUP, None)
     assert suffix_dedup.stored(spark.range(10).repartition(3), "kept").count() == 10
