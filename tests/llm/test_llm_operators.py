@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,6 +174,57 @@ def test_suffixes_are_sorted(length):
     assert same.tolist() == [i > 0 and got[i] == got[i - 1] for i in range(len(got))]
 
 
+@pytest.mark.parametrize("sparse", [True, False])
+def test_fingerprints_are_hashed_within_the_cache(monkeypatch, sparse):
+    """Many short rows are hashed 64 KB at a time, and no chunk's limit shows in what is found."""
+    rnd = random.Random(7)
+    rows = [bytes(rnd.choice(b"ab\0 ") for _ in range(rnd.choice([0, 7, 8, 49, 50, 51, 300]))) for _ in range(4000)] + [b"x" * 200_000, b"a" * 50]
+    whole, sizes = suffix_dedup._hashes, []
+    monkeypatch.setattr(suffix_dedup, "_hashes", lambda data, width: sizes.append(len(data)) or whole(data, width))
+    got = [(m, r) for marks, row in suffix_dedup._marks_by_row(pa.array(rows), 50, sparse) for m, r in zip(marks.tolist(), row.tolist())]
+    assert [n for n in sizes if n > 1 << 16] == [200_000]
+    want = []
+    for i, row in enumerate(rows):
+        marks = suffix_dedup._marks(np.frombuffer(row, np.uint8), 50, sparse).tolist()
+        want += [(m, i) for k, m in enumerate(marks) if not k or m != marks[k - 1]]
+    assert got == want
+
+
+@pytest.mark.parametrize("width", [4, 6, 8, 12, 37, 50])
+def test_hashes_are_of_the_string_alone(width):
+    data = np.frombuffer(bytes(random.Random(width).choice(b"ab") for _ in range(3000)), np.uint8)
+    hashes, text = suffix_dedup._hashes(data, width).tolist(), data.tobytes()
+    strings = [text[i : i + width] for i in range(len(text) - width + 1)]
+    assert len(hashes) == len(strings) and len(set(zip(strings, hashes))) == len(set(strings)) == len({h >> 24 for h in hashes})
+
+
+@pytest.mark.parametrize("width", [6, 9, 24])
+def test_numbers_are_in_the_order_of_their_strings(width):
+    rnd = random.Random(width)
+    strings = [bytes(rnd.choice(b"\0a\xff") for _ in range(3)) + b"b" * (width - 5) + bytes(rnd.choice(b"\0a\xff") for _ in range(2)) for _ in range(2000)]
+    for some in (strings, strings[:1], []):
+        order, begins = suffix_dedup._ordered(*suffix_dedup._words(np.array(some, f"S{width}")), np.arange(len(some)))
+        assert order.tolist() == sorted(range(len(some)), key=lambda i: some[i])
+        order, begins = suffix_dedup._ordered(*suffix_dedup._words(np.array(some, f"S{width}")))
+        got = [some[i] for i in order]
+        assert got == sorted(some) and begins.tolist() == [not i or got[i] != got[i - 1] for i in range(len(got))]
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20, (1 << 33) - 1])
+def test_order_by_place(most):
+    """Also of numbers that do not fit one integer with their positions."""
+    rnd = random.Random(most)
+    places = list({(rnd.randrange(9) << 33 | rnd.randrange(most), rnd.choice([rnd.randrange(40), (1 << 31) - 1])) for _ in range(1000)})
+    number, pos = np.array([p[0] for p in places], np.int64), np.array([p[1] for p in places], np.int32)
+    assert [places[i] for i in suffix_dedup._by_place(number, pos)] == sorted(places)
+    assert suffix_dedup._by_place(number[:0], pos[:0]).tolist() == []
+
+
+def test_stretches_that_touch_are_one():
+    assert suffix_dedup._spans([9, 0, 2, 5, 20], [12, 5, 3, 6, 21]) == ([0, 9, 20], [6, 12, 21])
+    assert suffix_dedup._spans([], []) == ([], [])
+
+
 def test_repeats_with_many_ranges_and_a_hot_beginning(spark, monkeypatch):
     """Texts that all begin with one pad longer than a triple, under clashing names, sorted in ranges of a few suffixes."""
     monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 64)
