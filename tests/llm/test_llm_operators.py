@@ -1,7 +1,9 @@
 """Small fixtures against brute force: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import os
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +262,32 @@ def test_repeats_brought_by_filters(spark, monkeypatch, length):
     test_repeats_against_brute_force(spark, length, suffix_dedup.CUTS)
 
 
+def test_spent_pieces_and_filters_go_before_the_sort(spark, monkeypatch):
+    """While the sort has its exchanges on disk, neither the texts of the first level nor the filters lie beside them."""
+    filters, beside = [], []
+    marks, by_cover = suffix_dedup._repeated_marks, suffix_dedup._by_cover
+    folder = Path(common.shared_path(spark, "any").removeprefix("file:")).parent
+    before = set(folder.glob("*"))
+
+    def keeping(*args):
+        filters.append(marks(*args))
+        return filters[-1]
+
+    def looking(*args):
+        beside.extend(p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before)
+        beside.extend(f._path for f in filters if os.path.exists(f._path))
+        return by_cover(*args)
+
+    monkeypatch.setattr(suffix_dedup, "_repeated_marks", keeping)
+    monkeypatch.setattr(suffix_dedup, "_by_cover", looking)
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choice("abc ") for _ in range(200)) for _ in range(6)]
+    texts = [(i, "".join(rnd.choice(parts) for _ in range(6))) for i in range(20)]
+    got = suffix_dedup.drop_repeats(docs(spark, texts)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == brute_repeats(texts, 50)
+    assert len(filters) == 2 and sorted(beside) == ["copies", "groups-32", "keys-64", "places-32", "places-64"]
+
+
 def test_exchange_cleanup_leaves_the_session_as_it_was(spark):
     before = spark.conf.get(suffix_dedup.CLEANUP, None)
     assert suffix_dedup.stored(spark.range(10).repartition(3), "kept").count() == 10
