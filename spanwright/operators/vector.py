@@ -17,6 +17,12 @@ def as_double(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double"))
 
 
+def rounded(x: Column, decimals: int) -> Column:
+    """``x`` rounded, with its sign: Spark's ``round`` makes plain zeros of small negative numbers, SQL's keeps them negative."""
+    near = F.round(x, decimals)
+    return F.when(near == 0, F.signum(x) * F.lit(0.0)).otherwise(near)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

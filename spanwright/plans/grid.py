@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanwright.operators import chunk, index
+from spanwright.operators import chunk, index, vector
 from spanwright.plans.retrieval import _t
 from spanwright.plans.texts import _TOK, _fixed_sql
 from spanwright.session import materialised, shared_dir
@@ -92,7 +92,7 @@ def b6_index_store(spark, sf):
     index.save(vectors, names[0], f"{at}/vectors", buckets=8)
     index.save(chunks.select("index_id", "chunk_id", "n_tokens", "char_start", "char_end"), names[1], f"{at}/chunks", buckets=8)
     back = index.load(spark, *names)
-    return back.withColumn("vec", F.transform("vec", lambda x: F.round(x.cast("double"), 6)))
+    return back.withColumn("vec", F.transform("vec", lambda x: vector.rounded(x.cast("double"), 6)))
 
 
 QUERIES, ORACLES = Q, O
