@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.operators import stats
 from spanwright.operators.order import numbered_within
 from spanwright.operators.study import numbered_in_order
+from spanwright.session import materialised
 
 
 def units_in_order(df: DataFrame, unit: str, order: str) -> DataFrame:
@@ -57,11 +58,15 @@ def rater_benefit(df: DataFrame, rater: str, condition: str, value: str, first:
     return df.groupBy(rater).agg(F.avg(value).alias("mean"), condition_gap(F.col(value), condition, first, second).alias("benefit"))
 
 
-def gap_correlation(df: DataFrame, case: str, condition: str, a: Column, b: Column, first: str, second: str) -> DataFrame:
-    """(n, rho): rank correlation over cases of two differences between conditions. Differences are rounded, so that equal ones tie."""
+def gap_correlation(df: DataFrame, case: str, condition: str, a: Column, b: Column, first: str, second: str, *, decimals: int = 6) -> DataFrame:
+    """(n, rho): rank correlation over cases of two differences between conditions. Differences are rounded, so that equal ones tie.
+
+    Cases meet their ranks by the differences, which are sums of doubles: they are stored first, as a sum that is taken again in another order
+    may round to another value, and the case would meet no rank.
+    """
     gap = lambda v, n: F.round(condition_gap(v, condition, first, second), n)
-    c = df.groupBy(case).agg(gap(a, 4).alias("_a"), gap(b, 6).alias("_b")).dropna(subset=["_a", "_b"])
-    return stats.spearman(c, "_a", "_b", [])
+    c = df.groupBy(case).agg(gap(a, 4).alias("_a"), gap(b, 6).alias("_b")).filter("_a is not null and _b is not null")
+    return stats.spearman(materialised(c.select("_a", "_b"), "gaps"), "_a", "_b", [], decimals=decimals)
 
 
 def exit_form(df: DataFrame, rater: str, order: str, value: str, rated: Column, low: float, high: float, section: Column) -> DataFrame:

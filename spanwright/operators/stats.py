@@ -101,12 +101,12 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str)
     return u.select("n1", "n2", "u", (2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("rank_biserial"))
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, keys: list[str], *, decimals: int = 9) -> DataFrame:
     """n and the correlation of midranks, for groups of four rows or more; null where one side has one value only."""
     rx = midranks(df, x, keys).select(*keys, x, F.col("midrank").alias("_x"))
     ry = midranks(df, y, keys).select(*keys, y, F.col("midrank").alias("_y"))
     both = df.select(*keys, x, y).join(rx, [*keys, x]).join(ry, [*keys, y])
-    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.covar_pop("_x", "_y") / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0)), 9).alias("rho")).filter("n >= 4")
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.covar_pop("_x", "_y") / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0)), decimals).alias("rho")).filter("n >= 4")
 
 
 @F.pandas_udf(DoubleType())

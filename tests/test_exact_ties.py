@@ -26,3 +26,23 @@ def test_stored_vectors_keep_the_sign_of_zero(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumn("embedding", small).write.parquet(str(tmp_path / "embeddings.parquet"))
     rows = registry.QUERIES["b6_index_store"](spark, str(tmp_path)).select("vec").collect()
     assert rows and {repr(r.vec[0]) for r in rows} == {"-0.0"}
+
+
+def test_correlation_is_rounded_once(spark, tmp_path):
+    draw = random.Random(2112)  # a correlation of 0.14487649956: to nine places and then to six it would be 0.144877
+    rows = []
+    for i in range(60):
+        rows += [(2 * i, i, "F", 1000.0 * (i + 1), datetime(1995, draw.randint(1, 12), 1)), (2 * i + 1, i, "O", 500.0, datetime(1995, 1, 1))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    for table in set(TABLES) - {"orders"}:
+        (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
+    assert registry.QUERIES["k22_confidence_gap"](spark, str(tmp_path)).collect()[0].rho == 0.144876
+    assert not compare(spark, str(tmp_path), registry.QUERIES["k22_confidence_gap"], registry.ORACLES["k22_confidence_gap"])
+
+
+def test_cases_meet_their_ranks_when_sums_vary(spark):
+    noisy = F.udf(lambda v: v + random.random(), "double").asNondeterministic()
+    rows = [(c, s, float(c * 7 % 40 + k)) for c in range(40) for k, s in enumerate("FO")]
+    df = spark.createDataFrame(rows, "c int, s string, v double").repartition(3).withColumn("v", noisy("v"))
+    r = reports.gap_correlation(df, "c", "s", F.col("v"), F.col("v") * 2, "F", "O").collect()
+    assert [x.n for x in r] == [40]
