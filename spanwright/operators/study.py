@@ -302,14 +302,18 @@ def freeze(df: DataFrame, strata: list[str], n: int, risk: Column, order: Column
     )
 
 
-def against_winner(df: DataFrame, system: str, item: str, value: str) -> DataFrame:
-    """Mean difference and signs of every system to the one of largest mean, over the items that both have."""
+def against_winner(df: DataFrame, system: str, item: str, value: str, *, decimals: int = 12) -> DataFrame:
+    """Mean difference and signs of every system to the one of largest mean, over the items that both have.
+
+    A sign counts to ``decimals`` places of the difference: values are means of doubles, and what is left of two equal ones depends on the order of their sums.
+    """
     means = df.groupBy(system).agg(F.round(F.avg(value), 9).alias("m"))
     best = means.agg(F.max_by(system, F.struct("m", system)).alias("_best"))
     marked = df.crossJoin(F.broadcast(best))  # one row
     own = marked.filter(F.col(system) == F.col("_best")).select(item, F.col(value).alias("_v"))
     d = marked.filter(F.col(system) != F.col("_best")).join(own, item).withColumn("_d", F.col(value) - F.col("_v"))
-    return d.groupBy(system).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.count_if(F.col("_d") > 0).alias("up"), F.count_if(F.col("_d") < 0).alias("down"))
+    side = F.round("_d", decimals)
+    return d.groupBy(system).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.count_if(side > 0).alias("up"), F.count_if(side < 0).alias("down"))
 
 
 def worklists(df: DataFrame, rater: Column, order: list[str], shared: Column) -> DataFrame:

@@ -46,3 +46,9 @@ def test_cases_meet_their_ranks_when_sums_vary(spark):
     df = spark.createDataFrame(rows, "c int, s string, v double").repartition(3).withColumn("v", noisy("v"))
     r = reports.gap_correlation(df, "c", "s", F.col("v"), F.col("v") * 2, "F", "O").collect()
     assert [x.n for x in r] == [40]
+
+
+def test_equal_means_are_no_difference(spark):
+    rows = [("a", 1, 0.1 + 0.2), ("b", 1, 0.3), ("a", 2, 0.3), ("b", 2, 0.1 + 0.2), ("a", 3, 0.5), ("b", 3, 0.25), ("a", 4, 0.5), ("b", 4, 0.5 + 1e-9)]
+    got = study.against_winner(spark.createDataFrame(rows, "s string, i int, v double"), "s", "i", "v").collect()
+    assert [(r.s, r.n, r.up, r.down) for r in got] == [("b", 4, 1, 1)]
