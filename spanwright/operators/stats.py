@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
 
@@ -115,18 +118,96 @@ def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else min(1.0, math.erfc(abs(x) / math.sqrt(2))))
 
 
+#: Rounds of a resampling that a task draws at a time, and hashes that it holds.
+ROUNDS, HELD_DRAWS = 100, 1 << 22
+#: Hashes of one step of MD5: what stays in a core's cache.
+_HASHES = 1 << 14
+_TURNS = [t for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in row * 4]
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+
+
+def _first_word(w: list[np.ndarray]) -> np.ndarray:
+    """The first 32 bits of the MD5 of messages of one block, as the number that their hex digits spell; ``w`` are the block's 16 words."""
+    a, b, c, d = first = [np.array([x], np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + (a + (w[g] + _SINES[i : i + 1]))
+        a, d, c, b = d, c, b, b + ((f << np.uint32(_TURNS[i])) | (f >> np.uint32(32 - _TURNS[i])))
+    return (first[0] + a).byteswap()
+
+
+def _by_digits(start: int, stop: int) -> list[tuple[int, int]]:
+    """The numbers from ``start`` to ``stop`` as ranges of one number of digits."""
+    cuts = [start, *(10**d for d in range(1, 20) if start < 10**d < stop), stop]
+    return list(zip(cuts, cuts[1:])) if start < stop else []
+
+
+def _draws(seed: int, start: int, stop: int, n: int) -> np.ndarray:
+    """(rounds, n): the first 32 bits of the MD5 of ``seed/round/draw`` for the rounds from ``start`` to ``stop`` and ``n`` draws each."""
+    out, head = np.empty((stop - start, n), np.uint32), f"{seed}/".encode()
+    for b0, b1 in _by_digits(start, stop):
+        for j0, j1 in _by_digits(0, n):
+            b_len, j_len = len(str(b0)), len(str(j0))
+            length = len(head) + b_len + 1 + j_len
+            if length > 55:
+                raise ValueError("a draw's name does not fit one block of MD5")
+            step = max(1, _HASHES // (b1 - b0))
+            for low in range(j0, j1, step):
+                b, j = np.arange(b0, b1)[:, None], np.arange(low, min(j1, low + step))[None, :]
+                text = np.zeros((b.size, j.size, 64), np.uint8)
+                text[..., : len(head)] = np.frombuffer(head, np.uint8)
+                for at, number, digits in ((len(head), b, b_len), (len(head) + b_len + 1, j, j_len)):
+                    for p in range(digits):
+                        text[..., at + p] = number // 10 ** (digits - 1 - p) % 10 + 48
+                text[..., len(head) + b_len], text[..., length] = ord("/"), 0x80
+                text[..., 56:58] = np.array([length * 8], "<u2").view(np.uint8)
+                words = text.reshape(-1, 64).view("<u4")
+                # words before the numbers and behind the end are the same in all messages
+                w = [np.ascontiguousarray(words[:, i]) if len(head) // 4 <= i <= length // 4 else words[:1, i].copy() for i in range(16)]
+                out[b0 - start : b1 - start, low : low + j.size] = _first_word(w).reshape(b.size, j.size)
+    return out
+
+
 def _resampled(df: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
     """(keys, b, m): means of resamples; the pick of draw j in round b is a hash, so reruns and engines agree.
 
-    ``df`` holds one small group of scores a key: items are numbered within it.
+    ``df`` holds one small group of scores a key, which fits one row: its values in the order of ``item`` go to every block of rounds. No
+    draw travels; a block's hashes are the same for all keys and are taken once for the largest group.
     """
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    items = df.withColumn("j", F.row_number().over(Window.partitionBy(*keys).orderBy("item")) - 1)
-    each = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*keys, "b")  # so that rounds are drawn all over the cluster
-    rounds = each.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    h = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "b", "draw")), 1, 8), 16, 10).cast("long")
-    picks = rounds.withColumn("j", F.pmod(h, F.col("n")).cast("int")).select(*keys, "b", "j")
-    return picks.join(items.select(*keys, "j", "value"), [*keys, "j"]).groupBy(*keys, "b").agg(F.avg("value").alias("m"))
+    known = df.filter(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
+    lists = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("item", F.col("value").cast("double").alias("value")))).alias("_s"))
+    each = lists.select(*keys, F.col("_s.value").alias("_values"), F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // ROUNDS))).alias("_block"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = each.repartition(parts, "_block").sortWithinPartitions("_block", F.desc(F.size("_values")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.empty((0, 0), np.uint32)
+        for batch in batches:
+            for r in range(len(batch)):
+                row = batch.slice(r, 1)
+                values = row.column("_values").flatten()
+                ok, x, n = np.asarray(values.is_valid()), values.fill_null(0.0).to_numpy(), len(values)
+                start = row.column("_block")[0].as_py() * ROUNDS
+                stop, step = min(n_boot, start + ROUNDS), max(1, HELD_DRAWS // n)
+                for low in range(start, stop, step):
+                    high = min(stop, low + step)
+                    if at != (low, high) or held.shape[1] < n:
+                        at, held = (low, high), _draws(seed, low, high, n)
+                    pick = held[:, :n] % np.uint32(n)
+                    of = np.full(high - low, n) if ok.all() else ok[pick].sum(axis=1)
+                    m = pa.array(x[pick].sum(axis=1) / np.maximum(of, 1), mask=of == 0)
+                    same = pa.array(np.zeros(high - low, np.int32))
+                    yield pa.RecordBatch.from_arrays([*(row.column(k).take(same) for k in keys), pa.array(np.arange(low, high, dtype=np.int32)), m], names=[*keys, "b", "m"])
+
+    schema = T.StructType([*(lists.schema[k] for k in keys), T.StructField("b", T.IntegerType()), T.StructField("m", T.DoubleType())])
+    return each.mapInArrow(run, schema)
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], *, n_boot: int = 10_000, seed: int = 20260628, alpha: float = 0.05) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwright.operators import metrics, stats, vector
+from spanwright.session import materialised
 
 KS = (1, 3, 5, 10)
 
@@ -171,7 +172,7 @@ SELECT m.index_id, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_c
 
 def k2_paired_bootstrap(spark, sf):
     d = _scores(spark, sf).select(F.lit("ndcg5-mrr5").alias("index_id"), F.col("query_id").alias("item"), (F.col("ndcg_at_5") - F.col("mrr_at_5")).alias("value"))
-    return stats.paired_bootstrap(d, ["index_id"], n_boot=10_000, seed=20260628)
+    return stats.paired_bootstrap(materialised(d, "differences"), ["index_id"], n_boot=10_000, seed=20260628)  # read twice
 
 
 K2 = f"""WITH {_SCORED}, v AS (SELECT 'ndcg5-mrr5' AS index_id, query_id AS item, ndcg_at_5 - mrr_at_5 AS value FROM s), {_BOOT},
