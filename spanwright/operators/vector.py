@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are compared in one pass; a larger set takes several passes.
-BLOCK_QUERIES = 2048
+#: Query vectors that are compared in one pass; a larger set takes several passes. Queries and vectors of one matrix product.
+BLOCK_QUERIES, TILE, ROWS = 1 << 14, 512, 4096
 
 
 def as_double(vec: Column) -> Column:
@@ -45,7 +45,9 @@ def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int, *, id_col
     vectors with the block and passes on ``k`` rows a query. With ``group_col`` several
     vectors stand for one id, whose best score counts.
     """
-    rows = vectors.select(F.col(group_col or id_col).cast("long").alias("id"), as_double(F.col(vec_col)).alias("vec")).filter("id is not null and vec is not null")
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    vec = F.col(vec_col) if kind in ("array<float>", "array<double>") else as_double(F.col(vec_col))
+    rows = vectors.select(F.col(group_col or id_col).cast("long").alias("id"), vec.alias("vec")).filter("id is not null and vec is not null")
     found = None
     for ids, matrix in _blocks(queries):
         block = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -70,28 +72,52 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)
 
 
+def best_of(of: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each ``of``, in order: by score, then by id; of several with one id the best counts."""
+    order = np.lexsort((-scores, ids, of))
+    order = order[np.append(True, (of[order][1:] != of[order][:-1]) | (ids[order][1:] != ids[order][:-1]))[: len(order)]]
+    order = order[np.lexsort((ids[order], -scores[order], of[order]))]
+    return order[np.arange(len(order)) - np.searchsorted(of[order], of[order]) < k]
+
+
 def _scan(block, k: int, skip_self: bool):
+    """Vectors of a task -> its ``k`` best of each query. What is below the ``k`` best so far is left out at once; the others' scores are taken
+    one by one, so that equal vectors have equal scores wherever they stand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = block.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(qids), TILE)]
+        least, span = np.full(len(qids), -np.inf), np.sqrt((q * q).sum(axis=1)).max(initial=0.0)
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch.column(0).to_numpy()
-            v = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
-            scores = q @ v.T
-            if skip_self:
-                scores[qids[:, None] == ids[None, :]] = -np.inf
-            # an id may own several vectors: its best one counts
-            order = np.argsort(ids, kind="stable")
-            starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order][:1] - 1))
-            scores, own = np.maximum.reduceat(scores[:, order], starts, axis=1), ids[order][starts]
-            n = min(k, len(own))
-            least = np.partition(scores, -n, axis=1)[:, -n]
-            of, at = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-            order = np.lexsort((at, -scores[of, at], of))  # of equal scores the smaller id, as ids are in order
-            of, at = of[order], at[order]
-            kept = np.arange(len(of)) - np.searchsorted(of, of) < n
-            of, at = of[kept], at[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[of]), pa.array(own[at]), pa.array(scores[of, at])], names=["query_id", "id", "score"])
+            for low in range(0, len(batch), ROWS):
+                part = batch.slice(low, ROWS)
+                ids = part.column(0).to_numpy()
+                v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+                # what a matrix product may be off
+                slack = 1e-14 * v.shape[1] * span * np.sqrt((v * v).sum(axis=1)).max()
+                own = np.flatnonzero(np.isin(ids, qids)) if skip_self else ids[:0]
+                by_id = np.argsort(ids, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(ids[by_id]) != 0))
+                for t, a in enumerate(range(0, len(qids), TILE)):
+                    scores = q[a : a + TILE] @ v.T
+                    if len(own):
+                        scores[:, own] = np.where(qids[a : a + TILE, None] == ids[own], -np.inf, scores[:, own])
+                    floor = least[a : a + TILE].copy()
+                    new = np.flatnonzero(floor == -np.inf)
+                    if len(new) and len(starts) > k:  # an id may own several vectors: its best one counts
+                        each = np.maximum.reduceat(scores[new][:, by_id], starts, axis=1)
+                        floor[new] = np.partition(each, -k, axis=1)[:, -k]
+                    of, at = np.nonzero((scores >= floor[:, None] - slack) & (scores > -np.inf))
+                    if not len(of):
+                        continue
+                    found = (q[a + of] * v[at]).sum(axis=1)
+                    of, at, found = of[np.isfinite(found)], at[np.isfinite(found)], found[np.isfinite(found)]
+                    of, at, found = (np.concatenate(x) for x in zip(best[t], (of, ids[at], found)))
+                    kept = best_of(of, at, found, k)
+                    of, at, found = best[t] = of[kept], at[kept], found[kept]
+                    last = np.flatnonzero(np.arange(len(of)) - np.searchsorted(of, of) == k - 1)
+                    least[a + of[last]] = found[last]
+        for t, (of, at, found) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[t * TILE + of]), pa.array(at), pa.array(found)], names=["query_id", "id", "score"])
 
     return run

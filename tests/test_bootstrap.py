@@ -1,10 +1,11 @@
-"""Resamples against their definition, and the work that they leave out."""
+"""Resamples against their definition, top-k over tiles of equal vectors, and the work that both leave out."""
 
 import hashlib
 
+import numpy as np
 import pytest
 
-from spanwright.operators import stats
+from spanwright.operators import stats, vector
 
 
 def plain_draw(seed, b, j):
@@ -36,3 +37,19 @@ def test_no_draw_travels(spark):
     df = spark.createDataFrame([(1, i, i / 7) for i in range(300)], "k int, item int, value double")
     plan = stats._resampled(df, ["k"], 10_000, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "draw" not in plan and "MapInArrow" in plan
+
+
+def test_topk_over_tiles_with_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector, "TILE", 3)
+    monkeypatch.setattr(vector, "ROWS", 11)
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(9, 6)).round(3)
+    rows = [(int(i), kinds[i % 9].tolist()) for i in rng.permutation(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame(rows[:10], "query_id long, vec array<double>")
+    got = {(r.query_id, r["rank"]): r.id for r in vector.topk_inner_product(df, asked, 17, skip_self=True).collect()}
+    want = {}
+    for qid, q in rows[:10]:
+        order = sorted((-float((np.array(q) * np.array(v)).sum()), i) for i, v in rows if i != qid)
+        want |= {(qid, n): i for n, (_, i) in enumerate(order[:17], 1)}
+    assert got == want
