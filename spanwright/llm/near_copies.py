@@ -249,6 +249,12 @@ def _held(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     return found if 8 * n <= 2 * bits else found.join(numbers, "cls", "left_semi")
 
 
+def _with_sets(meeting: DataFrame, sets: DataFrame) -> DataFrame:
+    """``meeting`` with the shingles of its classes. Its rows come from arrays and sequences, whose length the planner does not see: both sides are
+    exchanged, or it would send a table of any size through the driver as a small one."""
+    return meeting.hint("merge").join(sets, "cls")
+
+
 def _links(keyed: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b): links between classes that give the components of all similar pairs sharing a key of ``keyed`` (cls, key)."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -263,7 +269,7 @@ def _links(keyed: DataFrame, rows: DataFrame, width: int, least: float) -> DataF
     # keys with the same classes are one meeting
     groups = shared.groupBy("key", "shard").agg(F.sort_array(F.collect_list("cls")).alias("members")).filter(F.size("members") > 1).select("members").distinct()
     members = groups.select(F.xxhash64("members").alias("meeting"), F.explode("members").alias("cls"))
-    first = stored(_met(members.join(sets, "cls").withColumns({"side": F.lit(0), "root": F.lit(0).cast("long")}), least), "near-links")
+    first = stored(_met(_with_sets(members, sets).withColumns({"side": F.lit(0), "root": F.lit(0).cast("long")}), least), "near-links")
     large = shared.filter(F.col("n") > MEET).select("key", "cls", "n")
     if large.isEmpty():
         return first
@@ -277,7 +283,7 @@ def _links(keyed: DataFrame, rows: DataFrame, width: int, least: float) -> DataF
     strays = at.filter("root <> main").withColumn("j", below(F.ceil(F.col("n") / MEET))).withColumn("side", F.lit(1))
     others = at.withColumn("i", below(F.col("rows"))).withColumn("side", F.lit(0))
     meeting = strays.unionByName(others).select(F.xxhash64("key", "i", "j").alias("meeting"), "side", "cls", "root")
-    return first.unionByName(_met(meeting.join(sets, "cls"), least))
+    return first.unionByName(_met(_with_sets(meeting, sets), least))
 
 
 def keep_one_similar(docs: DataFrame, *, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
